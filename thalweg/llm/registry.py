@@ -7,6 +7,7 @@ import importlib
 #: Query -> (module, function, whether the module has its DuckDB SQL as ORACLE_SQL).
 QUERIES = {
     "op2_pii": ("thalweg.llm.pii", "op2_pii", False),
+    "op7_bpe": ("thalweg.llm.bpe", "op7_bpe", False),
 }
 
 
