@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_pii": ("thalweg.llm.pii", "op2_pii", False),
     "op7_bpe": ("thalweg.llm.bpe", "op7_bpe", False),
+    "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
 }
 
 
