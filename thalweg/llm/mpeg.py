@@ -140,9 +140,6 @@ def read(data: bytes) -> Stream:
     pos = junk = bad = samples = hz = table_frames = 0
     tags, offsets, pieces, table, length, first = [], [], [], "", None, True
     end = len(data)
-    if data[-128:-125] == b"TAG":
-        tags.append("ID3v1")
-        end -= 128
     while data[pos : pos + 3] == b"ID3" and pos + 10 <= end:
         size = _from_syncsafe(data[pos + 6 : pos + 10])
         tags.append(f"ID3v2.{data[pos + 3]}")
@@ -158,6 +155,9 @@ def read(data: bytes) -> Stream:
             after = header(data[pos + h.size : pos + h.size + 4])
             # In step, a frame stands by itself; out of step, another must follow it.
             ok = locked is not None or (after is not None and (after.hz, after.layer) == (h.hz, h.layer))
+        if not ok and pos == end - 128 and data[pos : pos + 3] == b"TAG":  # only where no frame reaches: a frame's data may hold these letters
+            tags.append("ID3v1")
+            break
         if not ok:
             locked = None
             m = _SYNC.search(data, pos + 1, end)
