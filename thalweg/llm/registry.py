@@ -7,6 +7,7 @@ import importlib
 #: Query -> (module, function, whether the module has its DuckDB SQL as ORACLE_SQL).
 QUERIES = {
     "op2_pii": ("thalweg.llm.pii", "op2_pii", False),
+    "op3_secrets": ("thalweg.llm.secrets", "op3_secrets", False),
     "op5_mixing": ("thalweg.llm.mixing", "op5_mixing", True),
     "op7_bpe": ("thalweg.llm.bpe", "op7_bpe", False),
     "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
