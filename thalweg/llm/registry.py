@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_pii": ("thalweg.llm.pii", "op2_pii", False),
     "op3_secrets": ("thalweg.llm.secrets", "op3_secrets", False),
+    "op4_simhash": ("thalweg.llm.simhash", "op4_simhash", False),
     "op5_mixing": ("thalweg.llm.mixing", "op5_mixing", True),
     "op7_bpe": ("thalweg.llm.bpe", "op7_bpe", False),
     "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
