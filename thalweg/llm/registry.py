@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": ("thalweg.llm.mixing", "op5_mixing", True),
     "op7_bpe": ("thalweg.llm.bpe", "op7_bpe", False),
     "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
+    "op9_quality": ("thalweg.llm.quality", "op9_quality", False),
 }
 
 
