@@ -241,6 +241,23 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(df, make, "text string", "ids")
 
 
+def tokenized(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """df without its text, with ids (array of int) and n_tokens; a text whose ids do not decode to it stops the job."""
+
+    def make():
+        bpe = load(path or vocabulary())
+
+        def row(x: str) -> tuple:
+            ids = bpe.encode(x)
+            if bpe.decode(ids) != x.encode():
+                raise ValueError("a text does not survive encoding and decoding")
+            return np.frombuffer(ids, "<i4"), len(ids) // 4
+
+        return row
+
+    return map_rows(df, make, "ids array<int>, n_tokens long", text)
+
+
 def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """df without its text, with n_tokens and digests of the ids and of the text decoded from them."""
 

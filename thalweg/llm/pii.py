@@ -16,6 +16,7 @@ import string
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thalweg.llm.common import documents, map_rows
 
@@ -160,11 +161,11 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with personal data in `text` replaced; null stays null. Columns keep their order."""
-    from pyspark.sql import functions as F
-
+    """df with personal data in `text` replaced; null stays null. Columns keep their order, and n_chars follows a changed text."""
     columns, was, now = df.columns, "__pii_text", "__pii_new"
     out = map_rows(df.withColumn(was, F.col(text)), lambda: lambda x: (redact(x),), f"{now} string", was)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col(text) == F.col(now), F.col("n_chars")).when(F.col(text).isNotNull(), F.char_length(now).cast(df.schema["n_chars"].dataType)))
     return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col(now))).select(*columns)
 
 

@@ -14,6 +14,7 @@ QUERIES = {
     "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
     "op9_quality": ("thalweg.llm.quality", "op9_quality", False),
     "op10_line_rules": ("thalweg.llm.line_rules", "op10_line_rules", False),
+    "pipeline": ("corpus_pipeline", "run", False),
 }
 
 

@@ -177,9 +177,8 @@ def stars(fps: DataFrame, distance: int) -> DataFrame:
     return rows.select(F.min("fp").over(W.partitionBy("v")).alias("u"), F.col("fp").alias("v")).where("u < v")
 
 
-def clusters(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without its text, with fp and component_id (the smallest key reachable)."""
-    marked = written(fingerprints(docs, words, text), "simhash-fingerprints")
+def clusters(marked: DataFrame, distance: int = DISTANCE, key: str = "doc_id") -> DataFrame:
+    """Rows with fp and key -> with component_id (the smallest key reachable). Read twice: give it a written table."""
     nodes = written(marked.groupBy("fp").agg(F.min(key).alias("__least")), "simhash-nodes")
     found = components(links(nodes.select("fp"), distance))
     reach = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("component", "fp").alias("component"))
@@ -188,6 +187,16 @@ def clusters(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, text
     return marked.join(ids, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
+def one_of_each(docs: DataFrame, words: int, distance: int, text: str = "text") -> DataFrame:
+    """The rows of docs, columns as they were, that stand for their components: the smallest doc_id (null last), and one row of repeated ones."""
+    columns = docs.columns
+    # Rows are numbered and written once, so that their numbers hold when they are read again.
+    rows = written(fingerprints(docs.select(*columns, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), words, "__text").withColumnRenamed("fp", "__fp64"), "simhash-rows")
+    marked = rows.select(F.col("__fp64").alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row")).alias("key"))
+    kept = clusters(marked, distance, "key").where("key = component_id").select(F.col("key.row").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = clusters(documents(spark, sf_dir, "doc_id", "text"))
+    df = clusters(written(fingerprints(documents(spark, sf_dir, "doc_id", "text")), "simhash-fingerprints"))
     return df.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
