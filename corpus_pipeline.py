@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from thalweg.llm import bpe, mixing, pii, quality, simhash
 from thalweg.llm.common import written
 
-#: Near copies: fingerprints of five-word shingles that differ in at most this many bits.
-SHINGLE_WORDS, DISTANCE = 5, 4
+#: Near copies: fingerprints of five-word shingles that differ in at most 9 of 64 bits. Two sets of shingles of Jaccard similarity 0.8 stand at
+#: an angle whose cosine is 2 * 0.8 / 1.8, and fingerprints are expected to differ in 64 / pi times the angle: 9.7 bits.
+SHINGLE_WORDS, DISTANCE = 5, 9
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,5 +215,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     base = [r.name for r in RULES if r.base]
     df = scan(documents(spark, sf_dir, "doc_id", "text"))
-    counts = [F.size(F.filter(found, lambda x, n=n: x["name"] == n)).cast("long").alias(f"n_{n}") for n in base]
-    return df.select("doc_id", *counts, F.sha2(_joined(F.filter(found, lambda x: x["name"].isin(base))), 256).alias("base_sha256"), _joined(found).alias("spans"))
+
+    def count(name: str) -> Column:
+        return F.size(F.filter(found, lambda x: x["name"] == name)).cast("long").alias(f"n_{name}")
+
+    return df.select("doc_id", *map(count, base), F.sha2(_joined(F.filter(found, lambda x: x["name"].isin(base))), 256).alias("base_sha256"), _joined(found).alias("spans"))

@@ -4,11 +4,11 @@ A text's fingerprint has a bit set where over half of its shingles' hashes have
 The search works on distinct fingerprints. The 64 bits are dealt into partitions, correlated bits together, by the correlations counted over
 all fingerprints. If two fingerprints differ in at most d bits, then for thresholds t_1..t_m with sum d - m + 1 some partition differs in at
 most t_i bits (a threshold of -1 leaves a partition out); dynamic programming takes the thresholds with the least estimated cost, from
-histograms of all fingerprints. Each side probes a partition's values within its threshold, and candidates are verified by popcount.
+histograms of all fingerprints. Both sides probe the
+partition's values within half its threshold, and candidates are verified by popcount.
 
-A probe value that more than BUCKET distinct fingerprints share is not compared pair by pair: its members are refined exactly by the same
-search on one-bit variants, where a value's members are at most 65 whatever the data (two fingerprints within 2 bits share a fingerprint
-within 1 bit of both), linked as a star. So no group is gathered and none yields all its pairs, and no link is lost.
+A probe value that more than BUCKET distinct fingerprints share is not compared pair by pair: its fingerprints are searched breadth first for
+spanning trees, in blocks, so that a dense group costs about its size, no task holds more than two blocks, and no link is lost.
 
 A null or empty text, or one of white space, has fingerprint zero. Equal fingerprints are one node, so exact copies and repeated rows cost
 nothing. component_id is the smallest doc_id reachable; null ids are never the smallest unless a component has no other. An empty table gives
@@ -17,13 +17,14 @@ an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import documents, map_rows, written
@@ -32,8 +33,10 @@ from thalweg.llm.components import components
 BITS, SEED = 64, 42
 WORDS, DISTANCE = 3, 2
 #: Numbers of partitions that the plan chooses from.
-PARTITIONS = (3, 2, 1)
-BUCKET = 64
+PARTITIONS = (6, 5, 4, 3, 2, 1)
+#: Fingerprints that may share a probe value before they are searched as trees, how many one block of those holds, and the cost of shuffling
+#: a probe in comparisons.
+BUCKET, BLOCK, ROW_COST = 256, 8192, 30
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingle hashes turned into bits at a time.
 CHUNK = 1 << 16
@@ -138,43 +141,80 @@ def plan(fps: DataFrame, distance: int, partitions: tuple[int, ...]) -> list[tup
     joint = joint_counts(fps)
     best = None
     for m in partitions:
+        if m > distance + 1:
+            continue  # more partitions than that leave thresholds below zero in all plans: some partitions would go unused
         parts = deal_bits(joint, n, m)
         cost = []
         for bits in parts:
-            # The sum of squared bucket sizes stands for the pairs that one mask meets; crowded buckets cost no more than BUCKET a member.
-            met = fps.groupBy(value(F.col("fp"), bits).alias("v")).count().agg(F.sum(F.least(F.col("count"), F.lit(BUCKET)) * F.col("count"))).first()[0] or 0
-            cost.append([0.0] + [len(probes(bits, t)) * float(n + met) for t in range(distance + 1)])
+            # Pairs that share a value, each bucket at most at BUCKET a member: beyond it, members are not compared pair by pair.
+            size = F.col("count")
+            met = fps.groupBy(value(F.col("fp"), bits).alias("v")).count().agg(F.sum(F.least(size - 1, F.lit(BUCKET)) * size / 2)).first()[0] or 0
+            cost.append([0.0] + [len(masks) * ROW_COST * n + len(masks) ** 2 * float(met) for masks in (probes(bits, t) for t in range(distance + 1))])
         spent, chosen = allocate(cost, distance)
         if best is None or spent < best[0]:
             best = (spent, [(bits, t) for bits, t in zip(parts, chosen, strict=True) if t >= 0])
     return best[1]
 
 
+def probed(fps: DataFrame, part: int, bits: list[int], threshold: int) -> DataFrame:
+    """(part, v, fp): the values that a fingerprint probes in a partition."""
+    base, masks = value(F.col("fp"), bits), [F.lit(m).cast("long") for m in probes(bits, threshold)]
+    return fps.select(F.lit(part).alias("part"), F.explode(F.transform(F.array(*masks), lambda m: base.bitwiseXOR(m))).alias("v"), "fp")
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, partitions: tuple[int, ...] = PARTITIONS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that connect exactly what differs in at most `distance` bits, step by step."""
-    rows = None
-    for k, (bits, t) in enumerate(plan(fps, distance, partitions)):
-        masks = F.array(*map(F.lit, probes(bits, t)))
-        base = value(F.col("fp"), bits)
-        part = fps.select(F.lit(k).alias("part"), F.explode(F.transform(masks, lambda m, b=base: b.bitwiseXOR(m))).alias("v"), "fp")
-        rows = part if rows is None else rows.union(part)
-    sizes = rows.groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = written(rows.join(sizes, ["part", "v"]), "simhash-probes")
-    small, crowded = rows.where(F.col("n") <= BUCKET), rows.where(F.col("n") > BUCKET).select("fp").distinct()
+    rows = reduce(DataFrame.union, [probed(fps, k, bits, t) for k, (bits, t) in enumerate(plan(fps, distance, partitions))])
+    sizes = rows.groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("part").alias("__part"), F.col("v").alias("__v"), "n")
+    rows = written(rows.join(sizes, (F.col("part") == F.col("__part")) & (F.col("v") == F.col("__v"))).select("part", "v", "fp", "n"), "simhash-probes")
     near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
     same = (F.col("a.part") == F.col("b.part")) & (F.col("a.v") == F.col("b.v"))
+    small = rows.where(F.col("n") <= BUCKET)
     pairs = small.alias("a").join(small.alias("b"), same & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return pairs.union(stars(crowded, distance)).distinct()
-
-
-def stars(fps: DataFrame, distance: int) -> DataFrame:
-    """The same links for any crowding: all fingerprints within half the distance of a common value are within the distance of each other, and
-    are linked to the least of them. A value has at most 65 of them for a distance of 2, whatever the data."""
-    if distance % 2:
-        raise ValueError("the exact way for crowded values needs an even distance")
-    masks = F.array(*map(F.lit, probes(list(range(BITS)), distance)))
-    rows = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
-    return rows.select(F.min("fp").over(W.partitionBy("v")).alias("u"), F.col("fp").alias("v")).where("u < v")
+    return pairs.union(crowded(rows.where(F.col("n") > BUCKET), distance)).distinct()
+
+
+def crowded(rows: DataFrame, distance: int) -> DataFrame:
+    """Links within probe values that many fingerprints share, as spanning trees instead of pairs.
+
+    A value's fingerprints are dealt into blocks of about BLOCK by hash, and each pair of blocks is searched in a task of its own, so that no
+    task's size grows with the value. Every pair of fingerprints meets in some pair of blocks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))))
+    dealt = dealt.select("part", "v", "fp", other.alias("b")).select("part", "v", "b.i", "b.j", "fp")
+
+    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = spanning(pdf["fp"].to_numpy(), distance)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return dealt.groupBy("part", "v", "i", "j").applyInPandas(trees, "u long, v long")
+
+
+def spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning trees of the graph in which fingerprints within the distance are linked: edges (u, v).
+
+    Breadth first: what has been reached is only compared with what has not. One dense group costs about its size, not its square.
+    """
+    left = np.unique(fp).view(np.uint64)
+    us, vs = [], []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            reached = np.zeros(len(left), bool)
+            parent = np.zeros(len(left), np.uint64)
+            for x in front:
+                hit = (np.bitwise_count(left ^ x) <= distance) & ~reached
+                parent[hit] = x
+                reached |= hit
+                if reached.all():
+                    break
+            us.append(parent[reached])
+            vs.append(left[reached])
+            front, left = left[reached], left[~reached]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *us]).view(np.int64), np.concatenate([none, *vs]).view(np.int64)
 
 
 def clusters(marked: DataFrame, distance: int = DISTANCE, key: str = "doc_id") -> DataFrame:
