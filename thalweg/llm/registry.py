@@ -6,6 +6,7 @@ import importlib
 
 #: Query -> (module, function, whether the module has its DuckDB SQL as ORACLE_SQL).
 QUERIES = {
+    "op1_suffix_dedup": ("thalweg.llm.suffix_dedup", "op1_suffix_dedup", False),
     "op2_pii": ("thalweg.llm.pii", "op2_pii", False),
     "op3_secrets": ("thalweg.llm.secrets", "op3_secrets", False),
     "op4_simhash": ("thalweg.llm.simhash", "op4_simhash", False),
