@@ -96,15 +96,15 @@ class Units:
         return grams
 
     def found(self, text: str):
-        """units, and of each stretch: anchor hash, first window, last window."""
+        """units, and of each stretch: anchor hash, the anchor's place, first window, last window."""
         units = self.read(text)
         codes = self.codes(units)
         none = np.zeros(0, np.int64)
         if len(codes) < self.width:
-            return units, none, none, none
+            return units, none, none, none, none
         grams = gram_hashes(codes, self.gram)
         place, first, last = stretches(self.order(codes, grams, units), self.width, self.gram)
-        return units, grams[place].view(np.int64), first, last
+        return units, grams[place].view(np.int64), place, first, last
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -143,24 +143,25 @@ def anchors(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def contents(docs: DataFrame, units: Units) -> DataFrame:
-    """(key, doc_id, anchor, content, starts, windows): the stretches of each text whose anchors are in `shared`, equal ones of a text together.
+    """(key, doc_id, anchor, offset, content, starts, windows): the stretches of each text whose anchors are in `shared`, equal ones of a text together.
 
-    docs: key, doc_id, text, shared (array of anchors). starts are the first windows of the occurrences, windows how many a stretch has.
+    docs: key, doc_id, text, shared (array of anchors). offset is the anchor's place in the content, starts are
+    the first windows of the occurrences, windows how many a stretch has.
     """
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("starts", pa.list_(pa.int32())), ("windows", pa.int32())])
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("anchor", pa.int64()), ("offset", pa.int32()), ("content", pa.binary()), ("starts", pa.list_(pa.int32())), ("windows", pa.int32())])
 
     def rows(batches):
         for key, doc_id, text, shared in _texts(batches):
-            seq, ids, first, last = units.found(text or "")
+            seq, ids, place, first, last = units.found(text or "")
             own: dict[bytes, list] = {}
             for i in np.flatnonzero(np.isin(ids, np.array(shared, np.int64))):
                 a, b = int(first[i]), int(last[i])
                 content = units.content(seq, a, b + units.width)
-                own.setdefault(content, [int(ids[i]), b - a + 1, []])[2].append(a)
-            for content, (anchor, windows, starts) in own.items():
-                yield key, doc_id, anchor, content, starts, windows
+                own.setdefault(content, [int(ids[i]), int(place[i]) - a, b - a + 1, []])[3].append(a)
+            for content, (anchor, offset, windows, starts) in own.items():
+                yield key, doc_id, anchor, offset, content, starts, windows
 
-    return docs.mapInArrow(lambda b: _chunks(rows(b), schema, 2048), "key binary, doc_id long, anchor long, content binary, starts array<int>, windows int")
+    return docs.mapInArrow(lambda b: _chunks(rows(b), schema, 2048), "key binary, doc_id long, anchor long, offset int, content binary, starts array<int>, windows int")
 
 
 def candidates(docs: DataFrame, units: Units, within: bool) -> DataFrame:
@@ -177,10 +178,10 @@ def decided(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list
     """(stretch, first, n, own): for each distinct stretch its smallest doc_id, its number of occurrences, and the windows (offsets) that are
     found repeated in other stretches.
 
-    found: stretch, anchor, content, doc_id, n. judge gets the distinct stretches of a shard (anchor, content, first, n) and gives the offsets of
+    found: stretch, anchor, offset, content, doc_id, n. judge gets the distinct stretches of a shard (those columns, first) and gives the offsets of
     each. tell turns the single windows of crowded anchors (stretch, at, window, first, n) into (stretch, at) of the repeated ones.
     """
-    distinct = written(found.groupBy("stretch", "anchor", "content").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n")), "repeats-stretches")
+    distinct = written(found.groupBy("stretch", "anchor", "offset", "content").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n")), "repeats-stretches")
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("content")).alias("size"))
     sizes = written(sizes.where("m > 1").select(F.col("anchor").alias("__a"), "m", "size"), "repeats-anchors")
     none = F.array().cast("array<int>")
@@ -192,7 +193,7 @@ def decided(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list
         pdf = pdf.sort_values(["anchor", "stretch"], ignore_index=True)
         return pdf[["stretch", "first", "n"]].assign(own=judge(pdf))
 
-    few = crowded.where(F.col("m") <= CROWD).select("stretch", "anchor", "content", F.col("first"), "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    few = crowded.where(F.col("m") <= CROWD).select("stretch", "anchor", "offset", "content", "first", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     few = few.groupBy("shard").applyInPandas(run, "stretch binary, first long, n long, own array<int>")
     schema = pa.schema([("stretch", pa.binary()), ("at", pa.int32()), ("window", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
 
@@ -208,7 +209,7 @@ def decided(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list
 def search(docs: DataFrame, units: Units, within: bool, judge, tell) -> DataFrame:
     """(key, found): for each text with candidates, an array of (starts, windows, first, n, own) by stretch. docs: doc_id, text, key."""
     table = written(candidates(docs, units, within).withColumn("stretch", F.unhex(F.md5("content"))), "repeats-candidates")
-    verdicts = decided(table.select("stretch", "anchor", "content", "doc_id", F.size("starts").alias("n")), units, judge, tell)
+    verdicts = decided(table.select("stretch", "anchor", "offset", "content", "doc_id", F.size("starts").alias("n")), units, judge, tell)
     places = table.select("key", "stretch", "starts", "windows").dropDuplicates(["key", "stretch"])
     joined = places.join(verdicts.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"))
     return joined.groupBy("key").agg(F.collect_list(F.struct("starts", "windows", "first", "n", "own")).alias("found"))

@@ -26,7 +26,7 @@ from thalweg.llm.repeats import Units, covered, runs, scramble, search, window_s
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
 
-WIDTH, GRAM = 400, 128
+WIDTH, GRAM, STEP = 400, 128, 34
 _CODES = scramble(np.arange(1, 257))
 
 
@@ -131,21 +131,42 @@ def permuted_prefixes(s: list[int], sa: list[int]) -> list[int]:
     return out
 
 
+def possible(pdf: pd.DataFrame) -> list[int]:
+    """Rows of the stretches that may share a window with another of their anchor. A window that reaches d bytes to the left of the anchor holds
+    the bytes from the multiple of STEP below d on, up to what the next multiple leaves on the right: one such piece must be shared."""
+    seen: dict[tuple, int] = {}
+    pieces = []
+    for anchor, at, content in zip(pdf["anchor"], pdf["offset"], pdf["content"], strict=True):
+        own = []
+        for left in range(0, WIDTH - GRAM, STEP):
+            a, b = at - left, at + GRAM + WIDTH - GRAM - left - STEP
+            if a >= 0 and b <= len(content):
+                piece = (anchor, left, content[a:b])
+                seen[piece] = seen.get(piece, 0) + 1
+                own.append(piece)
+        pieces.append(own)
+    return [row for row, own in enumerate(pieces) if any(seen[piece] > 1 for piece in own)]
+
+
 def judge(pdf: pd.DataFrame) -> list[list[int]]:
     """Offsets of the windows of each stretch of a shard that repeat in another; none for what occurs twice, which repeats as a whole."""
-    s, starts = [], []
-    for k, content in enumerate(pdf["content"]):
+    s, starts, rows = [], [], possible(pdf)
+    for k, row in enumerate(rows):
         starts.append(len(s))
-        s += content
+        s += pdf["content"][row]
         s.append(256 + k)
+    out: list[list[int]] = [[] for _ in range(len(pdf))]
     if not s:
-        return []
+        return out
     sa = suffix_array(s, 255 + len(starts))
     prefix = np.array(permuted_prefixes(s, sa))
     order = np.array(sa)
     shared = prefix.copy()  # the longer of what a suffix shares with the ones before and after it
     shared[order[:-1]] = np.maximum(prefix[order[:-1]], prefix[order[1:]])
-    return [[] if n > 1 else np.flatnonzero(shared[a : a + len(c)] >= WIDTH).tolist() for a, c, n in zip(starts, pdf["content"], pdf["n"], strict=True)]
+    for a, row in zip(starts, rows, strict=True):
+        if pdf["n"][row] == 1:
+            out[row] = np.flatnonzero(shared[a : a + len(pdf["content"][row])] >= WIDTH).tolist()
+    return out
 
 
 def tell(windows: DataFrame) -> DataFrame:
