@@ -11,6 +11,7 @@ QUERIES = {
     "op3_secrets": ("thalweg.llm.secrets", "op3_secrets", False),
     "op4_simhash": ("thalweg.llm.simhash", "op4_simhash", False),
     "op5_mixing": ("thalweg.llm.mixing", "op5_mixing", True),
+    "op6_fm_dedup": ("thalweg.llm.fm_dedup", "op6_fm_dedup", False),
     "op7_bpe": ("thalweg.llm.bpe", "op7_bpe", False),
     "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
     "op9_quality": ("thalweg.llm.quality", "op9_quality", False),

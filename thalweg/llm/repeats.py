@@ -164,9 +164,13 @@ def contents(docs: DataFrame, units: Units) -> DataFrame:
     return docs.mapInArrow(lambda b: _chunks(rows(b), schema, 2048), "key binary, doc_id long, anchor long, offset int, content binary, starts array<int>, windows int")
 
 
+#: Stands for a null doc_id: after all others.
+LAST = (1 << 63) - 1
+
+
 def candidates(docs: DataFrame, units: Units, within: bool) -> DataFrame:
     """contents() of the anchors that occur in two rows, or twice in one if `within`. docs: doc_id, text, key; read twice."""
-    docs = docs.withColumn("__hash", F.xxhash64("key"))
+    docs = docs.withColumn("__hash", F.xxhash64("key")).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     found = anchors(docs.select("__hash", "text"), units)
     weight = F.sum("n") if within else F.count(F.lit(1))
     shared = found.groupBy("anchor").agg(weight.alias("__n")).where("__n > 1").select(F.col("anchor").alias("__anchor"))
