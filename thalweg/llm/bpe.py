@@ -25,7 +25,7 @@ from thalweg.llm.common import documents, map_rows
 #: The byte-level pre-tokenizer's pattern (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pre-tokens that a task remembers, and the longest remembered, in characters.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 PAIRS = 1_000_000
 
 

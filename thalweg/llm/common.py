@@ -12,13 +12,21 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.session import shared_dir, written
 
-__all__ = ["WORD", "documents", "map_rows", "n_words", "shared_dir", "text_key", "written"]
+__all__ = ["WORD", "documents", "map_rows", "n_words", "shared_dir", "small_batches", "text_key", "written"]
 
 #: A word is a run of anything but these white-space characters.
 SPACES = "\x20\x09-\x0d"
 WORD = rf"[^{SPACES}]+"
 #: Rows turned into Python objects at a time: bounds memory whatever the Arrow batch holds.
 SLICE = 128
+#: Rows in an Arrow batch between Spark and Python. Texts are long, and each task holds a batch on either side.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after asking its session for Arrow batches that suit whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -57,4 +65,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[str], tuple]], fields:
                 columns = [part.column(i) for i in others] + [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, T.StructType([*keep, *new]))
+    return small_batches(df).mapInArrow(run, T.StructType([*keep, *new]))

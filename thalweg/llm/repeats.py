@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import SLICE, written
+from thalweg.llm.common import SLICE, small_batches, written
 
 #: Distinct stretches of one anchor that a shard takes, and units of stretches in a shard.
 CROWD, SHARD_UNITS = 512, 400_000
@@ -139,7 +139,7 @@ def anchors(docs: DataFrame, units: Units) -> DataFrame:
                     counts.append(n.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, counts)], ["key", "anchor", "n"])
 
-    return docs.mapInArrow(run, "key long, anchor long, n int")
+    return small_batches(docs).mapInArrow(run, "key long, anchor long, n int")
 
 
 def contents(docs: DataFrame, units: Units) -> DataFrame:
@@ -161,7 +161,7 @@ def contents(docs: DataFrame, units: Units) -> DataFrame:
             for content, (anchor, offset, windows, starts) in own.items():
                 yield key, doc_id, anchor, offset, content, starts, windows
 
-    return docs.mapInArrow(lambda b: _chunks(rows(b), schema, 2048), "key binary, doc_id long, anchor long, offset int, content binary, starts array<int>, windows int")
+    return small_batches(docs).mapInArrow(lambda b: _chunks(rows(b), schema, 2048), "key binary, doc_id long, anchor long, offset int, content binary, starts array<int>, windows int")
 
 
 #: Stands for a null doc_id: after all others.
