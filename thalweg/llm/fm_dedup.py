@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import documents, text_key
-from thalweg.llm.repeats import LAST, Units, covered, scramble, search, window_starts
+from thalweg.llm.repeats import LAST, Repeated, Units, covered, scramble, search, window_starts
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
 from thalweg.llm.suffix_dedup import suffix_array
@@ -37,7 +37,7 @@ LONG = 63
 class Words(Units):
     """A text as words."""
 
-    width, gram, unit_bytes = WIDTH, GRAM, 7
+    width, gram, unit_bytes, range_sizes = WIDTH, GRAM, 7, (4, 1)
 
     def read(self, text):
         return text.encode().split()
@@ -48,10 +48,8 @@ class Words(Units):
     def content(self, units, start, end):
         return b" ".join(units[start:end])
 
-    def windows(self, content):
-        words = content.split()
-        for i in range(len(words) - self.width + 1):
-            yield i, b" ".join(words[i : i + self.width])
+    def split(self, content):
+        return content.split()
 
     def order(self, codes, grams, units):
         ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
@@ -159,16 +157,10 @@ def judge(pdf: pd.DataFrame) -> list[list[int]]:
     return out
 
 
-def tell(windows: DataFrame) -> DataFrame:
-    """Of single windows, those that also occur with a smaller doc_id."""
-    least = windows.groupBy("window").agg(F.min("first").alias("__least")).withColumnRenamed("window", "__w")
-    return windows.join(least, F.col("window") == F.col("__w")).where("__least < first").select("stretch", "at")
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, kept (the remaining words), n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key("text"))
-    found = search(docs, Words(), False, judge, tell)
+    found = search(docs, Words(), False, judge, Repeated(F.min("first"), lambda seen, first: seen < first))  # that a smaller doc_id also has
     joined = docs.join(found.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k"), "left").select("doc_id", "text", "found")
     schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 

@@ -4,19 +4,20 @@ A text is a sequence of units (bytes, words), a window is `width` units. Each wi
 value is least (the last of equals), so that equal windows have equal anchors at equal offsets, wherever they stand. Consecutive windows with
 one anchor form a stretch. Anchors are counted over all documents; stretches whose anchor occurs once cannot repeat and go no further. What
 is left is reduced to distinct stretches before anything is compared, so copies cost nothing, and stretches with one anchor meet in one
-shard. An anchor with over CROWD distinct stretches is not gathered in a shard: its stretches are cut into single windows, which are counted
-by content, exactly.
+shard. An anchor with over CROWD distinct stretches is not gathered in a shard: ranges of its stretches' windows are counted by content and
+narrowed down, exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import md5
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import SLICE, small_batches, written
@@ -77,6 +78,8 @@ class Units:
     width: int
     gram: int
     unit_bytes: int
+    #: Windows in a range when crowded stretches are narrowed, the last one 1.
+    range_sizes: tuple[int, ...]
 
     def read(self, text: str):
         raise NotImplementedError
@@ -88,8 +91,8 @@ class Units:
     def content(self, units, start: int, end: int) -> bytes:
         raise NotImplementedError
 
-    def windows(self, content: bytes) -> Iterator[tuple[int, bytes]]:
-        """Offset and content of each window of a stretch."""
+    def split(self, content: bytes):
+        """The units of a content."""
         raise NotImplementedError
 
     def order(self, codes: np.ndarray, grams: np.ndarray, units) -> np.ndarray:
@@ -178,42 +181,80 @@ def candidates(docs: DataFrame, units: Units, within: bool) -> DataFrame:
     return contents(docs.join(own, F.col("__hash") == F.col("__key")).select("key", "doc_id", "text", "shared"), units)
 
 
-def decided(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list[list[int]]], tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+class Repeated(NamedTuple):
+    """Which contents repeat: an aggregate over the rows (first, n) that have a content, and what it must be for a row with `first`."""
+
+    seen: Column
+    holds: Callable[[Column, Column], Column]
+
+
+def decided(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list[list[int]]], repeated: Repeated) -> DataFrame:
     """(stretch, first, n, own): for each distinct stretch its smallest doc_id, its number of occurrences, and the windows (offsets) that are
     found repeated in other stretches.
 
-    found: stretch, anchor, offset, content, doc_id, n. judge gets the distinct stretches of a shard (those columns, first) and gives the offsets of
-    each. tell turns the single windows of crowded anchors (stretch, at, window, first, n) into (stretch, at) of the repeated ones.
+    found: stretch, anchor, offset, content, doc_id, n. judge gets distinct stretches that share anchors (those columns, first) and gives the
+    offsets of each. `repeated` says the same of counted contents.
     """
     distinct = written(found.groupBy("stretch", "anchor", "offset", "content").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n")), "repeats-stretches")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("content")).alias("size"))
-    sizes = written(sizes.where("m > 1").select(F.col("anchor").alias("__a"), "m", "size"), "repeats-anchors")
-    none = F.array().cast("array<int>")
-    alone = distinct.select("stretch", "first", "n", "anchor").join(sizes, F.col("anchor") == F.col("__a"), "left_anti").select("stretch", "first", "n", none.alias("own"))
-    crowded = distinct.join(sizes, F.col("anchor") == F.col("__a"))
-    shards = max(1, -(-int(sizes.where(F.col("m") <= CROWD).agg(F.sum("size")).first()[0] or 0) // (SHARD_UNITS * units.unit_bytes)))
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
+    crowds = written(sizes.where(F.col("m") > CROWD).select(F.col("anchor").alias("__a")), "repeats-crowds")
+    few = distinct.join(crowds, F.col("anchor") == F.col("__a"), "left_anti")
+    shards = max(1, -(-int(distinct.agg(F.sum(F.length("content"))).first()[0] or 0) // (SHARD_UNITS * units.unit_bytes)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["anchor", "stretch"], ignore_index=True)
-        return pdf[["stretch", "first", "n"]].assign(own=judge(pdf))
-
-    few = crowded.where(F.col("m") <= CROWD).select("stretch", "anchor", "offset", "content", "first", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    few = few.groupBy("shard").applyInPandas(run, "stretch binary, first long, n long, own array<int>")
-    schema = pa.schema([("stretch", pa.binary()), ("at", pa.int32()), ("window", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
-
-    def cut(batches):
-        return _chunks(((stretch, at, md5(window).digest(), first, n) for stretch, content, first, n in _texts(batches) for at, window in units.windows(content)), schema)
-
-    many = crowded.where(F.col("m") > CROWD).select("stretch", "content", "first", "n")
-    own = tell(many.mapInArrow(cut, "stretch binary, at int, window binary, first long, n long")).groupBy("stretch").agg(F.collect_set("at").alias("own"))
-    many = many.join(own.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"), "left").select("stretch", "first", "n", F.coalesce("own", none).alias("own"))
-    return alone.unionByName(few).unionByName(many)
-
-
-def search(docs: DataFrame, units: Units, within: bool, judge, tell) -> DataFrame:
+        out = pd.Series([[]] * len(pdf))
+        shared = pdf[pdf["anchor"].duplicated(keep=False)].reset_index()
+        for row, own in zip(shared["index"], judge(shared), strict=True):
+            out[row] = own
+        return pdf[["stretch", "first", "n"]].assign(own=out)
+
+    few = few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(run, "stretch binary, first long, n long, own array<int>")
+    many = distinct.join(crowds, F.col("anchor") == F.col("__a")).select("stretch", "offset", "content", "first", "n")
+    own = narrowed(many, units, repeated)
+    many = many.join(own.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"), "left").select("stretch", "first", "n", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+    return few.unionByName(many)
+
+
+def narrowed(stretches: DataFrame, units: Units, repeated: Repeated) -> DataFrame:
+    """(stretch, own) of crowded anchors, whatever their size. Windows are dealt into ranges by their place relative to the anchor, and a range is
+    told by two contents: what its windows have in common, and what those of the stretch span together. A range whose span repeats is repeated
+    as a whole, one whose common part does not is dropped, and the others are cut into smaller ones, down to single windows. Contents are
+    counted by hash; no group of stretches is gathered."""
+    schema = pa.schema([("stretch", pa.binary()), ("offset", pa.int32()), ("content", pa.binary()), ("first", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("common", pa.binary()), ("span", pa.binary())])
+    live, done = stretches.select("stretch", "offset", "content", "first", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b")), None
+    for size in units.range_sizes:
+
+        def cut(batches, size=size):
+            def rows():
+                for stretch, offset, content, first, a, b in _texts(batches):
+                    seq = units.split(content)
+                    b = len(seq) - units.width if b is None else b
+                    for place in range((a - offset) // size, (b - offset) // size + 1):
+                        low = offset + place * size  # of the whole range, some of whose windows the stretch may lack
+                        lo, hi = max(a, low), min(b, low + size - 1)
+                        common, span = units.content(seq, low + size - 1, low + units.width), units.content(seq, lo, hi + units.width)
+                        yield stretch, offset, content, first, lo, hi, md5(common).digest(), md5(span).digest()
+
+            return _chunks(rows(), schema, 2048)
+
+        cut_rows = small_batches(live).mapInArrow(cut, "stretch binary, offset int, content binary, first long, a int, b int, common binary, span binary")
+        ranges = written(cut_rows, "repeats-ranges")
+        spans = ranges.groupBy("span").agg(repeated.seen.alias("__seen"), F.min(F.struct("first", "stretch")).alias("__one")).withColumnRenamed("span", "__span")
+        commons = ranges.groupBy("common").agg((F.count(F.lit(1)) > 1).alias("__shared")).withColumnRenamed("common", "__common")
+        ranges = ranges.join(spans, F.col("span") == F.col("__span")).join(commons, F.col("common") == F.col("__common"))
+        ranges = written(ranges.withColumn("__told", repeated.holds(F.col("__seen"), F.col("first"))), "repeats-told")
+        found = ranges.where("__told").select("stretch", F.explode(F.sequence("a", "b")).alias("at"))
+        done = found if done is None else done.unionByName(found)
+        # Of equal spans that are told already, one goes on: others may share a part of it.
+        live = ranges.where("__shared AND (NOT __told OR (__one.first = first AND __one.stretch = stretch))").select("stretch", "offset", "content", "first", "a", "b")
+    return done.groupBy("stretch").agg(F.collect_set("at").alias("own"))
+
+
+def search(docs: DataFrame, units: Units, within: bool, judge: Callable[[pd.DataFrame], list[list[int]]], repeated: Repeated) -> DataFrame:
     """(key, found): for each text with candidates, an array of (starts, windows, first, n, own) by stretch. docs: doc_id, text, key."""
     table = written(candidates(docs, units, within).withColumn("stretch", F.unhex(F.md5("content"))), "repeats-candidates")
-    verdicts = decided(table.select("stretch", "anchor", "offset", "content", "doc_id", F.size("starts").alias("n")), units, judge, tell)
+    verdicts = decided(table.select("stretch", "anchor", "offset", "content", "doc_id", F.size("starts").alias("n")), units, judge, repeated)
     places = table.select("key", "stretch", "starts", "windows").dropDuplicates(["key", "stretch"])
     joined = places.join(verdicts.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"))
     return joined.groupBy("key").agg(F.collect_list(F.struct("starts", "windows", "first", "n", "own")).alias("found"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import documents, text_key
-from thalweg.llm.repeats import Units, covered, runs, scramble, search, window_starts
+from thalweg.llm.repeats import Repeated, Units, covered, runs, scramble, search, window_starts
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
 
@@ -33,7 +33,7 @@ _CODES = scramble(np.arange(1, 257))
 class Bytes(Units):
     """A text as UTF-8 bytes."""
 
-    width, gram, unit_bytes = WIDTH, GRAM, 1
+    width, gram, unit_bytes, range_sizes = WIDTH, GRAM, 1, (48, 8, 1)
 
     def read(self, text):
         return text.encode()
@@ -44,9 +44,8 @@ class Bytes(Units):
     def content(self, units, start, end):
         return units[start:end]
 
-    def windows(self, content):
-        for i in range(len(content) - self.width + 1):
-            yield i, content[i : i + self.width]
+    def split(self, content):
+        return content
 
 
 def suffix_array(s: list[int], top: int) -> list[int]:
@@ -131,29 +130,34 @@ def permuted_prefixes(s: list[int], sa: list[int]) -> list[int]:
     return out
 
 
-def possible(pdf: pd.DataFrame) -> list[int]:
-    """Rows of the stretches that may share a window with another of their anchor. A window that reaches d bytes to the left of the anchor holds
-    the bytes from the multiple of STEP below d on, up to what the next multiple leaves on the right: one such piece must be shared."""
+def possible(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """(row, from, to) of the parts of stretches that may hold a window of another of their anchor. A window that reaches d bytes to the left of the
+    anchor holds the bytes from the multiple of STEP below d on, up to what the next multiple leaves on the right: such a piece must be shared."""
     seen: dict[tuple, int] = {}
     pieces = []
     for anchor, at, content in zip(pdf["anchor"], pdf["offset"], pdf["content"], strict=True):
         own = []
         for left in range(0, WIDTH - GRAM, STEP):
-            a, b = at - left, at + GRAM + WIDTH - GRAM - left - STEP
+            a, b = at - left, at + WIDTH - left - STEP
             if a >= 0 and b <= len(content):
                 piece = (anchor, left, content[a:b])
                 seen[piece] = seen.get(piece, 0) + 1
                 own.append(piece)
         pieces.append(own)
-    return [row for row, own in enumerate(pieces) if any(seen[piece] > 1 for piece in own)]
+    out = []
+    for row, (own, at, content) in enumerate(zip(pieces, pdf["offset"], pdf["content"], strict=True)):
+        shared = [left for piece in own if seen[piece] > 1 for left in (piece[1],)]
+        if shared:
+            out.append((row, max(0, at - max(shared) - STEP), min(len(content), at - min(shared) + WIDTH)))
+    return out
 
 
 def judge(pdf: pd.DataFrame) -> list[list[int]]:
     """Offsets of the windows of each stretch of a shard that repeat in another; none for what occurs twice, which repeats as a whole."""
-    s, starts, rows = [], [], possible(pdf)
-    for k, row in enumerate(rows):
+    s, starts, parts = [], [], possible(pdf)
+    for k, (row, a, b) in enumerate(parts):
         starts.append(len(s))
-        s += pdf["content"][row]
+        s += pdf["content"][row][a:b]
         s.append(256 + k)
     out: list[list[int]] = [[] for _ in range(len(pdf))]
     if not s:
@@ -163,23 +167,16 @@ def judge(pdf: pd.DataFrame) -> list[list[int]]:
     order = np.array(sa)
     shared = prefix.copy()  # the longer of what a suffix shares with the ones before and after it
     shared[order[:-1]] = np.maximum(prefix[order[:-1]], prefix[order[1:]])
-    for a, row in zip(starts, rows, strict=True):
+    for start, (row, a, b) in zip(starts, parts, strict=True):
         if pdf["n"][row] == 1:
-            out[row] = np.flatnonzero(shared[a : a + len(pdf["content"][row])] >= WIDTH).tolist()
+            out[row] = (a + np.flatnonzero(shared[start : start + b - a] >= WIDTH)).tolist()
     return out
 
 
-def tell(windows: DataFrame) -> DataFrame:
-    """Of single windows, those that occur twice or more."""
-    times = windows.groupBy("window").agg(F.count(F.lit(1)).alias("__t")).where("__t > 1").select(F.col("window").alias("__w"))
-    return windows.join(times, F.col("window") == F.col("__w")).select("stretch", "at")
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key("text"))
-    units = Bytes()
-    found = search(docs, units, True, judge, tell)
+    found = search(docs, Bytes(), True, judge, Repeated(F.count(F.lit(1)), lambda seen, first: seen > 1))  # that two stretches have
     joined = docs.join(found.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k"), "left").select("doc_id", "text", "found")
 
     def run(batches):
