@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.session import shared_dir, written
 
-__all__ = ["WORD", "documents", "map_rows", "n_words", "shared_dir", "small_batches", "text_key", "written"]
+__all__ = ["WORD", "documents", "map_rows", "n_words", "shared_dir", "small_batches", "text_key", "whole_row", "written"]
 
 #: A word is a run of anything but these white-space characters.
 SPACES = "\x20\x09-\x0d"
@@ -34,6 +34,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def whole_row(df: DataFrame, name: str) -> Column:
+    """All columns of df as one struct, so that none clashes with what an operator adds; unpacked by select(f"{name}.*")."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
+
+
 def text_key(text: Column | str) -> Column:
     """128 bits that stand for a whole text."""
     return F.unhex(F.md5(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))))
@@ -49,10 +54,12 @@ def n_words(text: Column | str) -> Column:
 def map_rows(df: DataFrame, make: Callable[[], Callable[[str], tuple]], fields: str, text: str = "text") -> DataFrame:
     """df without `text`, with `fields` (DDL) added: make() gives each task a function from one whole text (null: empty) to their values.
 
-    Arrow batches are read in slices of SLICE rows, so that a task holds few texts as Python objects.
+    Columns of df whose names a field has, in any case, give way to it. Arrow batches are read in slices of SLICE rows, so that a task holds few
+    texts as Python objects.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
     new = T._parse_datatype_string(fields).fields
+    taken = {f.name.lower() for f in new}
+    keep = [f for f in df.schema.fields if f.name != text and f.name.lower() not in taken]
     types = [to_arrow_type(f.dataType) for f in new]
     at, others, names = df.columns.index(text), [df.columns.index(f.name) for f in keep], [f.name for f in [*keep, *new]]
 

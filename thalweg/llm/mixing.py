@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import SPACES, documents, n_words, written
+from thalweg.llm.common import SPACES, documents, n_words, whole_row, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -80,18 +80,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: each row of docs as often as its words are taken, columns as they were; where a budget ends inside a text, that text's
-    first words stand for it (single spaces between them). Texts without words are not taken."""
-    columns = docs.columns
-    df = mix(docs.withColumn("size", n_words(text)) if "size" not in columns else docs.withColumnRenamed("size", "__own_size").withColumn("size", n_words(text)))
-    whole, rest = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"), (F.col("taken") % F.greatest("size", F.lit(1))).cast("int")
-    words = F.filter(F.split(F.col(text), rf"[{SPACES}]+"), lambda w: w != "")
+    first words stand for it (single spaces between them). Texts without words are not taken. n_chars, if there, follows a cut text."""
+    df = mix(docs.select("doc_id", "source", n_words(text).alias("size"), whole_row(docs, "doc"))).where("taken > 0")
+    body = F.col("doc")[text]
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    words = F.filter(F.split(body, rf"[{SPACES}]+"), lambda w: w != "")
     cut = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), " "))).otherwise(F.array().cast("array<string>"))
-    df = df.where("taken > 0").withColumn("__copy", F.explode(F.concat(F.array_repeat(F.col(text), whole), cut))).drop("size")
-    if "__own_size" in df.columns:
-        df = df.withColumnRenamed("__own_size", "size")
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.when(F.col("__copy") == F.col(text), F.col("n_chars")).otherwise(F.char_length("__copy").cast(docs.schema["n_chars"].dataType)))
-    return df.withColumn(text, F.col("__copy")).select(*columns)
+    df = df.select("doc", F.explode(F.concat(F.array_repeat(body, whole), cut)).alias("copy"))
+    changed = {text: F.col("copy")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("copy") == body, F.col("doc")["n_chars"]).otherwise(F.char_length("copy").cast(docs.schema["n_chars"].dataType))
+    return df.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

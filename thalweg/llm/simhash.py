@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import documents, map_rows, written
+from thalweg.llm.common import documents, map_rows, whole_row, written
 from thalweg.llm.components import components
 
 BITS, SEED = 64, 42
@@ -135,21 +135,28 @@ def allocate(cost: list[list[float]], distance: int) -> tuple[float, list[int]]:
     return best[distance - len(cost) + 1]
 
 
+def meetings(fps: DataFrame, parts: list[list[int]]) -> dict[tuple[int, ...], float]:
+    """For each partition, pairs of fingerprints that share its value, each bucket at most at BUCKET a member: beyond it, members are not
+    compared pair by pair. One job counts all partitions' values."""
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), value(F.col("fp"), bits).alias("v")) for k, bits in enumerate(parts)))).alias("x")
+    size = F.col("count")
+    pairs = fps.select(values).groupBy("x.part", "x.v").count().groupBy("part").agg(F.sum(F.least(size - 1, F.lit(BUCKET)) * size / 2).alias("met"))
+    return {tuple(parts[k]): float(met) for k, met in pairs.collect()}  # a row a partition
+
+
 def plan(fps: DataFrame, distance: int, partitions: tuple[int, ...]) -> list[tuple[list[int], int]]:
     """Partitions and thresholds of the least estimated cost: rows probed plus candidates met, from histograms over all fingerprints."""
     n = max(1, fps.count())
     joint = joint_counts(fps)
+    # More partitions than distance + 1 leave thresholds below zero in all plans: some partitions would go unused.
+    dealt = {m: deal_bits(joint, n, m) for m in partitions if m <= distance + 1}
+    known = meetings(fps, [bits for parts in dealt.values() for bits in parts])
     best = None
-    for m in partitions:
-        if m > distance + 1:
-            continue  # more partitions than that leave thresholds below zero in all plans: some partitions would go unused
-        parts = deal_bits(joint, n, m)
+    for parts in dealt.values():
         cost = []
         for bits in parts:
-            # Pairs that share a value, each bucket at most at BUCKET a member: beyond it, members are not compared pair by pair.
-            size = F.col("count")
-            met = fps.groupBy(value(F.col("fp"), bits).alias("v")).count().agg(F.sum(F.least(size - 1, F.lit(BUCKET)) * size / 2)).first()[0] or 0
-            cost.append([0.0] + [len(masks) * ROW_COST * n + len(masks) ** 2 * float(met) for masks in (probes(bits, t) for t in range(distance + 1))])
+            met = known.get(tuple(bits), 0.0)
+            cost.append([0.0] + [len(masks) * ROW_COST * n + len(masks) ** 2 * met for masks in (probes(bits, t) for t in range(distance + 1))])
         spent, chosen = allocate(cost, distance)
         if best is None or spent < best[0]:
             best = (spent, [(bits, t) for bits, t in zip(parts, chosen, strict=True) if t >= 0])
@@ -229,12 +236,12 @@ def clusters(marked: DataFrame, distance: int = DISTANCE, key: str = "doc_id") -
 
 def one_of_each(docs: DataFrame, words: int, distance: int, text: str = "text") -> DataFrame:
     """The rows of docs, columns as they were, that stand for their components: the smallest doc_id (null last), and one row of repeated ones."""
-    columns = docs.columns
     # Rows are numbered and written once, so that their numbers hold when they are read again.
-    rows = written(fingerprints(docs.select(*columns, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), words, "__text").withColumnRenamed("fp", "__fp64"), "simhash-rows")
-    marked = rows.select(F.col("__fp64").alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row")).alias("key"))
-    kept = clusters(marked, distance, "key").where("key = component_id").select(F.col("key.row").alias("__kept"))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*columns)
+    numbered = docs.select(whole_row(docs, "doc"), F.col(text).alias("body"), F.monotonically_increasing_id().alias("row"))
+    rows = written(fingerprints(numbered, words, "body"), "simhash-rows")
+    marked = rows.select("fp", F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row").alias("key"))
+    kept = clusters(marked, distance, "key").where("key = component_id").select(F.col("key.row").alias("kept"))
+    return rows.join(kept, F.col("row") == F.col("kept"), "left_semi").select("doc.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
