@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -122,6 +123,11 @@ def probes(bits: list[int], threshold: int) -> list[int]:
     return [signed(sum(1 << b for b in c)) for k in range((threshold + 1) // 2 + 1) for c in combinations(bits, k)]
 
 
+def n_probes(width: int, threshold: int) -> int:
+    """How many masks probes() gives for a partition of so many bits."""
+    return sum(comb(width, k) for k in range((threshold + 1) // 2 + 1))
+
+
 def allocate(cost: list[list[float]], distance: int) -> tuple[float, list[int]]:
     """Thresholds (-1 and up) with sum distance - m + 1 of the least cost; cost[i][t + 1] is partition i's at threshold t."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -156,7 +162,7 @@ def plan(fps: DataFrame, distance: int, partitions: tuple[int, ...]) -> list[tup
         cost = []
         for bits in parts:
             met = known.get(tuple(bits), 0.0)
-            cost.append([0.0] + [len(masks) * ROW_COST * n + len(masks) ** 2 * met for masks in (probes(bits, t) for t in range(distance + 1))])
+            cost.append([0.0] + [masks * ROW_COST * n + masks**2 * met for masks in (n_probes(len(bits), t) for t in range(distance + 1))])
         spent, chosen = allocate(cost, distance)
         if best is None or spent < best[0]:
             best = (spent, [(bits, t) for bits, t in zip(parts, chosen, strict=True) if t >= 0])
