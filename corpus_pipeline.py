@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thalweg.llm import bpe, mixing, pii, quality, simhash
+from thalweg.llm import bpe, mixing, near_copies, pii, quality
 from thalweg.llm.common import written
 
-#: Near copies: fingerprints of five-word shingles that differ in at most 9 of 64 bits. Two sets of shingles of Jaccard similarity 0.8 stand at
-#: an angle whose cosine is 2 * 0.8 / 1.8, and fingerprints are expected to differ in 64 / pi times the angle: 9.7 bits.
-SHINGLE_WORDS, DISTANCE = 5, 9
+#: Near copies: sets of five-word shingles whose Jaccard similarity is 0.8 or more, compared exactly.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of near copies differ at most in tests/llm/test_pipeline.py; the stage does not use it.
+DISTANCE = 9
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs, SHINGLE_WORDS, DISTANCE)
+    return near_copies.one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
