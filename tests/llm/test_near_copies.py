@@ -4,11 +4,10 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as pipeline
-import numpy as np
 import pytest
 from cases import folder
 
-from thalweg.llm import near_copies
+from thalweg.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -76,3 +75,22 @@ def test_no_pair_is_lost(spark, tmp_path, monkeypatch, bucket, block, sample, co
     for k, found in enumerate((edited(), crowd())):
         ids, n = expected(found)
         assert n >= 20 and kept(spark, tmp_path / str(k), found) == ids
+
+
+def test_unlike_texts_stay(spark, tmp_path):
+    """Short texts whose sparse fingerprints are near zero or near one another, and longer ones that share less than 0.8."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    short = [" ".join(word() for _ in range(6)) for _ in range(300)]
+    assert any(simhash.fingerprint(t, 5).bit_count() <= 9 for t in short)
+    body = [word() for _ in range(60)]
+    part = [" ".join([*body, *(word() for _ in range(n))]) for n in (0, 14, 15, 16, 20)]
+    found = list(enumerate([None, "", " \n", *short, *part, "one two", "One  Two"], 1))
+    ids, _ = expected(found)
+    assert ids[:2] == [1, 4] and kept(spark, tmp_path, found) == ids
+
+
+def test_texts_of_one_passage_stay(spark, tmp_path):
+    """Texts that hold one passage and go on differently: only those go that chain by verified edges."""
+    found = crowd()[:40]
+    assert kept(spark, tmp_path, found) == expected(found)[0]
