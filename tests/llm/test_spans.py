@@ -102,6 +102,17 @@ def test_checked_kinds():
     assert far < pii.PRIOR["card"] < near
 
 
+def test_ibans_before_capitals_and_numbers():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for text, found in (
+        (f"{de} BIC COBADEFFXXX", [de]), (f"{de} 2024", [de]), (f"{de.replace(' ', '')} BIC X", [de.replace(" ", "")]), (f"{de} {gb} {no} OK", [de, gb, no]), (f"AA11 TRANSFER CODE {de} EUR", [de]),
+        (f"{de}1 2024", []), (de[:-1] + "1 BIC", []), (f"x{de} BIC", []),
+    ):
+        assert [text[a:b] for a, b in pii.ibans(text)] == found
+    assert pii.redact(f"iban {de} 2024") == "iban [IBAN] 2024"
+    assert len(list(pii.ibans("AA11 " * 100_000))) == 0
+
+
 def test_trigram_queries():
     for rule in secrets.RULES:
         query = secrets.trigram_query(rule.pattern)
