@@ -48,8 +48,8 @@ def prefix(s: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~last], s[last]])[: len(s) - ceil(similarity * len(s) - 1e-9) + 1]
 
 
-def sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s.view(np.uint64) % SKETCH).astype(np.int64), minlength=SKETCH) % 2 == 1).tobytes()
+def sketch(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s.view(np.uint64) % SKETCH).astype(np.int64), minlength=SKETCH) % 2 == 1).view(np.int64)
 
 
 def _of(texts: DataFrame, words: int, field: str, f) -> DataFrame:
@@ -63,8 +63,12 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r.s for r in counted.orderBy(F.desc("count"), "s").limit(MOST).collect()], np.int64))  # MOST rows whatever the input
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the written pairs (u, v) of nodes, those of the similarity or above by their whole sets."""
+def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of nodes, those of the similarity or above by their whole sets; sketches spare most others these."""
+    a, b = (sketches.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "uv")
+    differ = F.aggregate(F.zip_with("ku", "kv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    close = pairs.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v")).where(differ <= (F.col("nu") + F.col("nv")) * (1 - similarity) / (1 + similarity) + 1e-9)
+    pairs = written(close.select("u", "v"), "copies-close")
     met = pairs.select(F.col("u").alias("met")).union(pairs.select("v")).distinct()
     sets = written(_of(texts.join(met, F.col("node") == F.col("met"), "left_semi"), words, "array<long>", lambda s: s), "copies-sets")
     a, b = (sets.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("value").alias(f"s{x}")) for x in "uv")
@@ -80,14 +84,23 @@ def _close(a: str, b: str, similarity: float):
 def links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (u, v) between nodes of texts (node, size, body; written, nodes distinct) that connect exactly what is similar, step by step."""
     common = common_shingles(texts, words)
-    keys = written(_of(texts, words, "array<long>", lambda s: prefix(s, similarity, common)), "copies-prefixes").select(F.explode("value").alias("key"), "node", "size")
+
+    def make():
+        def row(x: str) -> tuple:
+            s = shingles(x, words)
+            return prefix(s, similarity, common), sketch(s)
+
+        return row
+
+    marked = written(map_rows(texts, make, "prefix array<long>, sketch array<long>", "body"), "copies-prefixes")
+    keys, sketches = marked.select(F.explode("prefix").alias("key"), "node", "size"), marked.select("node", "size", "sketch")
     ends = F.struct("node", "size")
     sizes = keys.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("lo"), F.max(ends).alias("hi")).where("n > 1")
     rows = written(keys.join(sizes, F.col("key") == F.col("__key")).drop("__key"), "copies-keys")
 
     star = rows.select("node", "size", F.explode(F.array("lo", "hi")).alias("x")).where((F.col("node") != F.col("x.node")) & _close("size", "x.size", similarity))
     stars = written(star.select(F.least("node", "x.node").alias("u"), F.greatest("node", "x.node").alias("v")).distinct(), "copies-stars")
-    first = written(verified(stars, texts, words, similarity), "copies-first")
+    first = written(verified(stars, texts, sketches, words, similarity), "copies-first")
 
     reached = components(first).withColumnRenamed("node", "__node")
     placed = written(rows.join(reached, F.col("node") == F.col("__node"), "left").select("key", "node", "size", "n", F.coalesce("component", "node").alias("component")), "copies-placed")
@@ -96,26 +109,24 @@ def links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     small = left.where(F.col("n") <= BUCKET)
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _close("a.size", "b.size", similarity)
     pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    pairs = pairs.union(crowded(left.where(F.col("n") > BUCKET), texts, words, similarity)).distinct()
+    pairs = pairs.union(crowded(left.where(F.col("n") > BUCKET), sketches, similarity)).distinct()
     known = stars.select(F.col("u").alias("__u"), F.col("v").alias("__v"))
     rest = written(pairs.join(known, (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti"), "copies-rest")
-    return first.union(verified(rest, texts, words, similarity))
+    return first.union(verified(rest, texts, sketches, words, similarity))
 
 
-def crowded(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def crowded(rows: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v) of different components that share a key of many texts and that sizes and sketches do not rule out.
 
     A key's texts are dealt into blocks of about BLOCK by hash, and each pair of blocks is compared in a task of its own.
     """
-    met = rows.select(F.col("node").alias("met")).distinct()
-    sketches = written(_of(texts.join(met, F.col("node") == F.col("met"), "left_semi"), words, "binary", sketch), "copies-sketches").select(F.col("node").alias("__node"), "value")
-    dealt = rows.join(sketches, F.col("node") == F.col("__node")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = rows.join(sketches.select(F.col("node").alias("__node"), F.col("sketch").alias("value")), F.col("node") == F.col("__node")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))))
     dealt = dealt.select("key", "node", "size", "component", "own", "value", other.alias("b")).select("key", "b.i", "b.j", "node", "size", "component", "own", "value")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, size, component, own = (pdf[c].to_numpy() for c in ("node", "size", "component", "own"))
-        bits = np.frombuffer(b"".join(pdf["value"]), np.uint64).reshape(len(pdf), -1)
+        bits = np.stack(pdf["value"].to_numpy()).view(np.uint64)
         one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(pdf)):
