@@ -32,8 +32,8 @@ def expected(found):
             n += 1
     least = {}
     for k, (i, _) in enumerate(found):
-        least[root(k)] = min(least.get(root(k), i), i)
-    return sorted(least.values()), n
+        least.setdefault(root(k), []).append(i)
+    return sorted((min((i for i in ids if i is not None), default=None) for ids in least.values()), key=lambda i: (i is None, i)), n
 
 
 def kept(spark, path, found):

@@ -48,10 +48,10 @@ def by_force(found, distance=2):
     return ordered((i, f"{f:016x}", least.get(root[f])) for i, f in marked)
 
 
-@pytest.mark.parametrize("bucket, block", [(simhash.BUCKET, simhash.BLOCK), (1, 3)])
-def test_query(spark, tmp_path, monkeypatch, bucket, block):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize("leaf, short", [(simhash.LEAF, simhash.SHORT), (8, 1)])
+def test_query(spark, tmp_path, monkeypatch, leaf, short):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "SHORT", short)
     df = simhash.op4_simhash(spark, folder(spark, tmp_path, rows()))
     assert outcome(df, "doc_id", "fingerprint", "component_id") == by_force(rows())
 
@@ -65,9 +65,9 @@ def test_empty_table(spark, tmp_path):
     assert simhash.op4_simhash(spark, folder(spark, tmp_path, [])).count() == 0
 
 
-@pytest.mark.parametrize("distance, bucket", [(2, 256), (9, 256), (9, 2)])
-def test_links_join_what_is_near(spark, monkeypatch, distance, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+@pytest.mark.parametrize("distance, leaf", [(2, 4096), (9, 4096), (2, 12)])
+def test_links_join_what_is_near(spark, monkeypatch, distance, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     r = random.Random(distance)
     values = {r.getrandbits(64) for _ in range(60)}
     for v in list(values)[:25]:

@@ -1,14 +1,18 @@
 """Near copies by the exact Jaccard similarity of word shingles: every pair of the similarity or above links, and no other.
 
-A text stands for the set of its shingles' 64-bit hashes, ASCII capitals lowered; equal sets are one node. Two sets of Jaccard similarity t or more
-share a shingle among the first n - ceil(t n) + 1 of their n, in any order that is the same for all texts. Texts that share such a key meet and are
-verified by their whole sets. The order has shingles last that a sample of the texts finds common; the sample moves cost, never results.
-
-Only components matter, so pairs are taken in two steps. First each text is verified against two members of each of its keys. Then, of what meets
-and is not in one component yet, all pairs are: within keys of up to BUCKET texts by a join, within others in blocks, where bit sketches leave out
-pairs whose sets differ too much. A sketch's bits are parities, so that two of them never differ in more bits than their sets do in shingles.
-
-A text without words has the empty set, which links to no other. A text of fewer words than a shingle is one shingle.
+Links are found in two steps; both are verified by whole sets of shingle hashes (64 bits, ASCII capitals lowered; equal sets are one node).
+
+1. SimHash fingerprints of the texts that differ in few bits (simhash.links), and equal ones. Fingerprints alone lose pairs and link unlike texts:
+   at a similarity of 0.8 two of them differ in about 10 of 64 bits. They find most links at little cost, and dense groups become one component.
+2. What fingerprints miss. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of their n, in any order that is the
+   same for all texts. Texts of different components that share such a key are compared. Bit sketches leave out pairs whose sets differ too much: a
+   sketch's bits are parities, so that two of them never differ in more bits than their sets do in shingles. Crowded keys give a spanning
+   forest of such pairs first; all pairs follow of what has stayed in different components. The order has shingles last that a sample of the
+   texts finds common; the sample moves cost, never results.
+
+A text without words has the empty set, which links to no other. A text of fewer words than a shingle is one shingle. Very long texts are taken
+whole: a set is as large as its text. Texts themselves are not shuffled but for those in pairs and those that go: a bit table of fixed size
+leaves out most of the others first, an exact join decides.
 """
 
 from __future__ import annotations
@@ -18,28 +22,27 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thalweg.llm import simhash
 from thalweg.llm.common import map_rows, whole_row, written
 from thalweg.llm.components import components
-from thalweg.llm.simhash import _LOWER, SEED
 
 #: Texts that may share a key before they are compared in blocks, how many one block holds, and the bits of a sketch.
-BUCKET, BLOCK, SKETCH = 128, 1024, 1024
+BUCKET, BLOCK, SKETCH = 64, 8192, 1024
 #: One text of SAMPLE is counted to find common shingles: those in COMMON texts of the sample or more, up to MOST of them.
 SAMPLE, COMMON, MOST = 16, 8, 100_000
+#: Bits of the table that leaves out rows: at most BITS / 64 rows of two numbers, whatever the input.
+BITS = 1 << 24
+#: Where a row is: its file's hash and its number there.
+AT = ("file", "at")
 
 
 def shingles(text: str, words: int) -> np.ndarray:
     """The distinct hashes of a whole text's shingles, in order."""
-    body = b" ".join(text.encode().translate(_LOWER).split())
-    if not body:
-        return np.zeros(0, np.int64)
-    gaps = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(body)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(body[a:b], SEED) for a, b in zip(starts, ends[min(words, len(ends)) - 1 :], strict=False)), np.uint64).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text, words).view(np.int64))
 
 
 def prefix(s: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
@@ -52,28 +55,59 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s.view(np.uint64) % SKETCH).astype(np.int64), minlength=SKETCH) % 2 == 1).view(np.int64)
 
 
-def _of(texts: DataFrame, words: int, field: str, f) -> DataFrame:
-    """texts (node, size, body) -> (node, size, value), f of each text's shingles."""
-    return map_rows(texts, lambda: lambda x: (f(shingles(x, words)),), f"value {field}", "body")
+def placed(docs: DataFrame, text: str) -> DataFrame:
+    """doc (the whole row), body, file, at: rows by their place in files. What is not read from files is written first."""
+    try:
+        about = docs.metadataColumn("_metadata")
+        return docs.select(whole_row(docs, "doc"), F.col(f"`{text}`").alias("body"), F.xxhash64(about["file_path"]).alias("file"), about["row_index"].alias("at"))
+    except AnalysisException:
+        return placed(written(docs, "copies-documents"), text)
+
+
+def _same(a: str, b: str):
+    return (F.col(f"{a}file") == F.col(f"{b}file")) & (F.col(f"{a}at") == F.col(f"{b}at"))
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    """file and at with __ before them."""
+    return rows.select(*(F.col(c).alias(f"__{c}") for c in AT))
+
+
+def bit_table(rows: DataFrame) -> DataFrame:
+    """(word, bits): a table of BITS bits, those set on which rows fall by the hash of their places."""
+    return written(rows.select((_bit(F) / 64).cast("long").alias("word"), _bit(F).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS INT))")).alias("bits")), "copies-bits")
+
+
+def _bit(f):
+    return f.pmod(f.xxhash64(*AT), f.lit(BITS))
+
+
+def maybe(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with `held`: false where the table shows that a row is not among those that made it. The table's size is bounded, so it is broadcast."""
+    joined = rows.join(F.broadcast(table), (_bit(F) / 64).cast("long") == F.col("word"), "left")
+    return joined.withColumn("held", F.coalesce(F.expr(f"shiftright(bits, cast(pmod(xxhash64(file, at), {BITS}) % 64 AS INT)) & 1"), F.lit(0)) != 0).drop("word", "bits")
 
 
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
-    counted = _of(some, words, "array<long>", lambda s: s).select(F.explode("value").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
+    some = texts.select("body").where(F.pmod(F.xxhash64("body"), F.lit(SAMPLE)) == 0).distinct()
+    counted = map_rows(some, lambda: lambda x: (shingles(x, words),), "value array<long>", "body").select(F.explode("value").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
     return np.sort(np.array([r.s for r in counted.orderBy(F.desc("count"), "s").limit(MOST).collect()], np.int64))  # MOST rows whatever the input
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (u, v) of nodes, those of the similarity or above by their whole sets; sketches spare most others these."""
-    a, b = (sketches.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "uv")
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of nodes, those of the similarity or above by their whole sets; sizes and sketches spare most others these."""
+    a, b = (nodes.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "uv")
     differ = F.aggregate(F.zip_with("ku", "kv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    close = pairs.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v")).where(differ <= (F.col("nu") + F.col("nv")) * (1 - similarity) / (1 + similarity) + 1e-9)
-    pairs = written(close.select("u", "v"), "copies-close")
-    met = pairs.select(F.col("u").alias("met")).union(pairs.select("v")).distinct()
-    sets = written(_of(texts.join(met, F.col("node") == F.col("met"), "left_semi"), words, "array<long>", lambda s: s), "copies-sets")
+    close = pairs.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v")).where(_close("nu", "nv", similarity) & (differ <= (F.col("nu") + F.col("nv")) * (1 - similarity) / (1 + similarity) + 1e-9))
+    close = written(close.select("u", "v"), "copies-close")
+    met = close.select(F.col("u").alias("met")).union(close.select("v")).distinct()
+    wanted = written(nodes.join(met, F.col("node") == F.col("met"), "left_semi").select("node", "size", F.col("least.file").alias("__file"), F.col("least.at").alias("__at")), "copies-wanted")
+    some = maybe(texts.select("body", *AT), bit_table(wanted.select(F.col("__file").alias("file"), F.col("__at").alias("at")))).where("held").select("body", *AT)
+    sets = map_rows(some.join(wanted, _same("", "__")).select("body", "node", "size"), lambda: lambda x: (shingles(x, words),), "value array<long>", "body")
+    sets = written(sets, "copies-sets")
     a, b = (sets.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("value").alias(f"s{x}")) for x in "uv")
-    both = pairs.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v")).select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).alias("same"))
-    return both.where(F.col("same") / (F.col("nu") + F.col("nv") - F.col("same")) >= similarity).select("u", "v")
+    both = close.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v")).select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).alias("same"))
+    return written(both.where(F.col("same") / (F.col("nu") + F.col("nv") - F.col("same")) >= similarity).select("u", "v"), "copies-verified")
 
 
 def _close(a: str, b: str, similarity: float):
@@ -81,42 +115,45 @@ def _close(a: str, b: str, similarity: float):
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (u, v) between nodes of texts (node, size, body; written, nodes distinct) that connect exactly what is similar, step by step."""
-    common = common_shingles(texts, words)
-
-    def make():
-        def row(x: str) -> tuple:
-            s = shingles(x, words)
-            return prefix(s, similarity, common), sketch(s)
+def by_fingerprint(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (u, v) of nodes (node, fp) that connect what has equal fingerprints or near ones; to be verified."""
+    leads = written(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "copies-leads")
+    of = lambda x: leads.select(F.col("fp").alias(f"__{x}"), F.col("lead").alias(f"lead_{x}"))
+    same = nodes.select("node", "fp").join(of("f"), F.col("fp") == F.col("__f")).where("node <> lead_f").select(F.col("lead_f").alias("u"), F.col("node").alias("v"))
+    near = simhash.links(leads.select("fp"), distance).join(of("u"), F.col("u") == F.col("__u")).join(of("v"), F.col("v") == F.col("__v")).select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
+    return same.union(near)
 
-        return row
 
-    marked = written(map_rows(texts, make, "prefix array<long>, sketch array<long>", "body"), "copies-prefixes")
-    keys, sketches = marked.select(F.explode("prefix").alias("key"), "node", "size"), marked.select("node", "size", "sketch")
-    ends = F.struct("node", "size")
-    sizes = keys.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("lo"), F.max(ends).alias("hi")).where("n > 1")
-    rows = written(keys.join(sizes, F.col("key") == F.col("__key")).drop("__key"), "copies-keys")
+def parted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node, size, component, n): the keys of nodes that hold more than one component, after those links."""
+    reached = components(links).withColumnRenamed("node", "__node")
+    keys = nodes.join(reached, F.col("node") == F.col("__node"), "left").select(F.explode("prefix").alias("key"), "node", "size", F.coalesce("component", "node").alias("component"))
+    keys = keys.repartition("key")  # dealt once, for the aggregation and for the join
+    several = keys.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("c"), F.max("size").alias("d")).where("a < b")
+    return written(keys.join(several, F.col("key") == F.col("__key")).select("key", "node", "size", "component", "n"), "copies-keys")
 
-    star = rows.select("node", "size", F.explode(F.array("lo", "hi")).alias("x")).where((F.col("node") != F.col("x.node")) & _close("size", "x.size", similarity))
-    stars = written(star.select(F.least("node", "x.node").alias("u"), F.greatest("node", "x.node").alias("v")).distinct(), "copies-stars")
-    first = written(verified(stars, texts, sketches, words, similarity), "copies-first")
 
-    reached = components(first).withColumnRenamed("node", "__node")
-    placed = written(rows.join(reached, F.col("node") == F.col("__node"), "left").select("key", "node", "size", "n", F.coalesce("component", "node").alias("component")), "copies-placed")
-    several = placed.groupBy(F.col("key").alias("__key")).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    left = written(placed.join(several, F.col("key") == F.col("__key"), "left_semi"), "copies-left")
-    small = left.where(F.col("n") <= BUCKET)
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _close("a.size", "b.size", similarity)
-    pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    pairs = pairs.union(crowded(left.where(F.col("n") > BUCKET), sketches, similarity)).distinct()
-    known = stars.select(F.col("u").alias("__u"), F.col("v").alias("__v"))
-    rest = written(pairs.join(known, (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti"), "copies-rest")
-    return first.union(verified(rest, texts, sketches, words, similarity))
+def links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, distance: int) -> DataFrame:
+    """Edges (u, v) between nodes (node, size > 0, fp, prefix, sketch, least; written) that connect exactly what is similar, step by step.
 
-
-def crowded(rows: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of different components that share a key of many texts and that sizes and sketches do not rule out.
+    texts: body, file, at.
+    """
+    found = verified(by_fingerprint(nodes, distance), texts, nodes, words, similarity)
+    sketches = nodes.select("node", "sketch")
+    for forest in (True, False):
+        left = parted(nodes, found)
+        small = left.where(F.col("n") <= BUCKET)
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _close("a.size", "b.size", similarity)
+        pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        many = crowded(left.where(F.col("n") > BUCKET), sketches, similarity, forest)
+        pairs = (pairs.union(many) if forest else many).distinct()  # small keys have given all their pairs the first time
+        found = found.union(verified(pairs, texts, nodes, words, similarity))
+    return found
+
+
+def crowded(rows: DataFrame, sketches: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """Pairs (u, v) of different components that share a key of many texts and that sizes and sketches do not rule out; of a forest, only those that
+    connect what the pairs before them do not.
 
     A key's texts are dealt into blocks of about BLOCK by hash, and each pair of blocks is compared in a task of its own.
     """
@@ -126,15 +163,20 @@ def crowded(rows: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, size, component, own = (pdf[c].to_numpy() for c in ("node", "size", "component", "own"))
+        tree = np.unique(component, return_inverse=True)[1]  # what is connected so far
         bits = np.stack(pdf["value"].to_numpy()).view(np.uint64)
         one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(pdf)):
-            near = (component != component[k]) & (node > node[k]) & (one_block | (own != own[k]))
+            near = (tree != tree[k]) & (node > node[k]) & (one_block | (own != own[k]))
             near &= np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k]) - 1e-9
             at = np.flatnonzero(near)
             differ = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
             at = at[differ <= (size[at] + size[k]) * (1 - similarity) / (1 + similarity) + 1e-9]
+            if forest and len(at):
+                met, first = np.unique(tree[at], return_index=True)
+                at = at[first]
+                tree[np.isin(tree, met)] = tree[k]
             us.append(np.full(len(at), node[k]))
             vs.append(node[at])
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
@@ -142,24 +184,30 @@ def crowded(rows: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
-def one_of_each(docs: DataFrame, words: int, similarity: float, text: str = "text") -> DataFrame:
-    """The rows of docs, columns as they were, that stand for their components: the smallest doc_id (null last), and one row of repeated ones."""
+def one_of_each(docs: DataFrame, words: int, similarity: float, distance: int, text: str = "text") -> DataFrame:
+    """The rows of docs, columns as they were, that stand for their components: the smallest doc_id (null last), and one row of repeated ones.
+
+    docs: a table read from files, or what is then written as one; its rows keep their places while it is read again.
+    """
+    source = placed(docs, text)
+    texts = source.select(F.col("doc.doc_id").alias("doc_id"), "body", *AT)
+    common = common_shingles(texts, words)
 
     def make():
         def row(x: str) -> tuple:
-            s = shingles(x, words)
-            return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63), len(s)
+            hashes = simhash.shingle_hashes(x, words)
+            s = np.unique(hashes.view(np.int64))
+            return xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) - (1 << 63), len(s), simhash.signed(simhash.folded(hashes)), prefix(s, similarity, common), sketch(s)
 
         return row
 
-    # Rows are numbered and written once, so that their numbers hold when they are read again.
-    numbered = docs.select(whole_row(docs, "doc"), F.col(text).alias("body"), F.monotonically_increasing_id().alias("row"))
-    rows = written(map_rows(numbered, make, "node long, size long", "body"), "copies-rows")
-    key = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row")
-    nodes = written(rows.groupBy("node").agg(F.min(key).alias("least"), F.min("row").alias("first")), "copies-nodes")
-    texts = rows.join(nodes.select("first"), F.col("row") == F.col("first"), "left_semi").select("node", "size", F.col(f"doc.`{text}`").alias("body"))
-    texts = written(texts.where("size > 0"), "copies-texts")
-    found = components(links(texts, words, similarity)).withColumnRenamed("node", "__node")
+    fields = ("size", "fp", "prefix", "sketch")
+    marked = written(map_rows(texts, make, "node long, size long, fp long, prefix array<long>, sketch array<long>", "body"), "copies-marked")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *AT)).alias("least")
+    nodes = written(marked.groupBy("node").agg(least, *(F.first(c).alias(c) for c in fields)), "copies-nodes")
+    found = components(links(texts, nodes.where("size > 0"), words, similarity, distance)).withColumnRenamed("node", "__node")
     reach = nodes.join(found, F.col("node") == F.col("__node"), "left").select("least", F.coalesce("component", "node").alias("component"))
-    kept = reach.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("kept"))
-    return rows.join(kept, F.col("row") == F.col("kept"), "left_semi").select("doc.*")
+    kept = reach.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.file").alias("__file"), F.col("least.at").alias("__at"))
+    gone = written(marked.select(*AT).join(kept, _same("", "__"), "left_anti"), "copies-gone")
+    rows = maybe(source.select("doc", *AT), bit_table(gone))
+    return rows.where("NOT held").select("doc.*").union(rows.where("held").join(_renamed(gone), _same("", "__"), "left_anti").select("doc.*"))

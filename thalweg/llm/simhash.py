@@ -7,8 +7,9 @@ most t_i bits (a threshold of -1 leaves a partition out); dynamic programming ta
 histograms of all fingerprints. Both sides probe the
 partition's values within half its threshold, and candidates are verified by popcount.
 
-A probe value that more than BUCKET distinct fingerprints share is not compared pair by pair: its fingerprints are searched breadth first for
-spanning trees, in blocks, so that a dense group costs about its size, no task holds more than two blocks, and no link is lost.
+What shares a probe value comes out as a spanning forest, never as pairs. A value that more than LEAF fingerprints share is dealt anew by the bits
+that are still free: two of them within the distance agree in one of distance + 1 pieces of these. That repeats until values are small, so a dense
+group costs about its size, no task holds more than LEAF of a value, and no link is lost.
 
 A null or empty text, or one of white space, has fingerprint zero. Equal fingerprints are one node, so exact copies and repeated rows cost
 nothing. component_id is the smallest doc_id reachable; null ids are never the smallest unless a component has no other. An empty table gives
@@ -22,7 +23,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,28 +35,38 @@ BITS, SEED = 64, 42
 WORDS, DISTANCE = 3, 2
 #: Numbers of partitions that the plan chooses from.
 PARTITIONS = (6, 5, 4, 3, 2, 1)
-#: Fingerprints that may share a probe value before they are searched as trees, how many one block of those holds, and the cost of shuffling
-#: a probe in comparisons.
-BUCKET, BLOCK, ROW_COST = 256, 8192, 30
+#: Fingerprints that share a probe value and are compared in one place at most, runs that are compared all at once, and the cost of shuffling a
+#: probe in comparisons.
+LEAF, SHORT, ROW_COST = 4096, 32, 30
+#: Places that a component's least id goes to, and all bits.
+SALTS, ALL = 16, (1 << BITS) - 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingle hashes turned into bits at a time.
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The fingerprint of a whole text, ASCII capitals lowered."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The hashes of a whole text's shingles in order, repeats included, ASCII capitals lowered; none of a text without words."""
     body = b" ".join(text.encode().translate(_LOWER).split())  # bytes split at the six white-space characters, and no other
     if not body:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(body)]
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(starts) - words + 1)
+    return np.fromiter((digest(body[a:b], SEED) for a, b in zip(starts, ends[min(words, len(ends)) - 1 :], strict=False)), np.uint64)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bits that over half of them have set."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(body[a:b], SEED) for a, b in zip(starts[at : min(n, at + CHUNK)], ends[min(words, len(ends)) - 1 + at :], strict=False)], ">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The fingerprint of a whole text; zero without words."""
+    return folded(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
@@ -64,8 +74,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text") -> Dat
 
     def make():
         def row(x: str) -> tuple:
-            f = fingerprint(x, words)
-            return (f - (1 << 64) if f >> 63 else f,)
+            return (signed(fingerprint(x, words)),)
 
         return row
 
@@ -142,11 +151,11 @@ def allocate(cost: list[list[float]], distance: int) -> tuple[float, list[int]]:
 
 
 def meetings(fps: DataFrame, parts: list[list[int]]) -> dict[tuple[int, ...], float]:
-    """For each partition, pairs of fingerprints that share its value, each bucket at most at BUCKET a member: beyond it, members are not
-    compared pair by pair. One job counts all partitions' values."""
+    """For each partition, pairs of fingerprints that share its value, each value at most at LEAF a member: beyond it, members are dealt
+    anew. One job counts all partitions' values."""
     values = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), value(F.col("fp"), bits).alias("v")) for k, bits in enumerate(parts)))).alias("x")
     size = F.col("count")
-    pairs = fps.select(values).groupBy("x.part", "x.v").count().groupBy("part").agg(F.sum(F.least(size - 1, F.lit(BUCKET)) * size / 2).alias("met"))
+    pairs = fps.select(values).groupBy("x.part", "x.v").count().groupBy("part").agg(F.sum(F.least(size - 1, F.lit(LEAF)) * size / 2).alias("met"))
     return {tuple(parts[k]): float(met) for k, met in pairs.collect()}  # a row a partition
 
 
@@ -177,32 +186,95 @@ def probed(fps: DataFrame, part: int, bits: list[int], threshold: int) -> DataFr
 
 def links(fps: DataFrame, distance: int = DISTANCE, partitions: tuple[int, ...] = PARTITIONS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that connect exactly what differs in at most `distance` bits, step by step."""
-    rows = reduce(DataFrame.union, [probed(fps, k, bits, t) for k, (bits, t) in enumerate(plan(fps, distance, partitions))])
-    sizes = rows.groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("part").alias("__part"), F.col("v").alias("__v"), "n")
-    rows = written(rows.join(sizes, (F.col("part") == F.col("__part")) & (F.col("v") == F.col("__v"))).select("part", "v", "fp", "n"), "simhash-probes")
-    near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
-    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.v") == F.col("b.v"))
-    small = rows.where(F.col("n") <= BUCKET)
-    pairs = small.alias("a").join(small.alias("b"), same & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return pairs.union(crowded(rows.where(F.col("n") > BUCKET), distance)).distinct()
+    plans = plan(fps, distance, partitions)
+    rows = reduce(DataFrame.union, [probed(fps, k, bits, t) for k, (bits, t) in enumerate(plans)])
+    free = F.element_at(F.array(*(F.lit(signed(~sum(1 << b for b in bits) & ALL)).cast("long") for bits, _ in plans)), F.col("part") + 1)
+    rows = rows.select(F.xxhash64("part", "v").alias("key"), free.alias("free"), "fp")  # keys that meet by accident cost comparisons, no more
+    found = None
+    while True:
+        sizes = rows.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = written(rows.join(sizes, F.col("key") == F.col("__key")).select("key", "free", "fp", "n"), "simhash-probes")
+        crowded = (F.col("n") > LEAF) & (F.col("free") != 0)
+        edges = met.where(~crowded).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_forests(distance), "u long, v long")
+        found = edges if found is None else found.union(edges)
+        rows = met.where(crowded).select("key", "free", "fp")
+        if rows.isEmpty():
+            return found.distinct()
+        rows = rows.mapInArrow(_dealt_again(distance), "key long, free long, fp long")
+
+
+def _dealt_again(distance: int):
+    """Rows (key, free, fp) under distance + 1 keys each: two fingerprints of a key within the distance agree in one of so many pieces of the bits that
+    are still free."""
 
+    def run(batches):
+        for batch in batches:
+            key, free, fp = (batch.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in range(3))
+            for mask in np.unique(free).tolist():
+                at = np.flatnonzero(free == np.uint64(mask))
+                bits = [b for b in range(BITS) if mask >> b & 1]
+                for piece in range(distance + 1):
+                    own = np.uint64(sum(1 << b for b in bits[piece :: distance + 1]))
+                    mixed = (key[at] ^ np.uint64(piece + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ (fp[at] & own) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    left = np.full(len(at), np.uint64(mask) & ~own)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (mixed, left, fp[at])], ["key", "free", "fp"])
 
-def crowded(rows: DataFrame, distance: int) -> DataFrame:
-    """Links within probe values that many fingerprints share, as spanning trees instead of pairs.
+    return run
 
-    A value's fingerprints are dealt into blocks of about BLOCK by hash, and each pair of blocks is searched in a task of its own, so that no
-    task's size grows with the value. Every pair of fingerprints meets in some pair of blocks.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))))
-    dealt = dealt.select("part", "v", "fp", other.alias("b")).select("part", "v", "b.i", "b.j", "fp")
 
-    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = spanning(pdf["fp"].to_numpy(), distance)
-        return pd.DataFrame({"u": u, "v": v})
+def _forests(distance: int):
+    """Rows (key, fp) in order of key -> edges (u, v): spanning forests of what shares a key and is near."""
 
-    return dealt.groupBy("part", "v", "i", "j").applyInPandas(trees, "u long, v long")
+    def run(batches):
+        for key, fp in _whole_runs(batches):
+            u, v = forests(key, fp.view(np.uint64), distance)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    return run
+
+
+def _whole_runs(batches):
+    """Two columns of batches in order of the first, cut so that equal values stay together."""
+    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, fp = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key, fp)))
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if cut:
+            yield key[:cut], fp[:cut]
+            key, fp = key[cut:], fp[cut:]
+    if len(key):
+        yield key, fp
+
+
+def forests(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (u, v) of spanning forests within runs of equal keys: at most one fewer than a run has members."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    start, size = edge[:-1], np.diff(edge)
+    us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for a, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+        for out, x in zip((us, vs), spanning(fp[a : a + n], distance), strict=True):
+            out.append(x.view(np.uint64))
+    # Short runs all at once, by what lies 1, 2, ... places on; then a root for each place.
+    short = np.repeat(size <= SHORT, size)
+    pairs = []
+    for k in range(1, int(size[size <= SHORT].max(initial=1))):
+        near = (key[:-k] == key[k:]) & short[k:] & (np.bitwise_count(fp[:-k] ^ fp[k:]) <= distance)
+        pairs += [(i, i + k) for i in np.flatnonzero(near).tolist()]
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := parent.get(i, i)) != i:
+            parent[i] = i = parent.get(up, up)
+        return i
+
+    tree = []
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            tree.append((i, j))
+    at = np.array(tree, np.int64).reshape(-1, 2)
+    return np.concatenate([*us, fp[at[:, 0]]]), np.concatenate([*vs, fp[at[:, 1]]])
 
 
 def spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +306,11 @@ def clusters(marked: DataFrame, distance: int = DISTANCE, key: str = "doc_id") -
     """Rows with fp and key -> with component_id (the smallest key reachable). Read twice: give it a written table."""
     nodes = written(marked.groupBy("fp").agg(F.min(key).alias("__least")), "simhash-nodes")
     found = components(links(nodes.select("fp"), distance))
-    reach = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("component", "fp").alias("component"))
-    least = reach.groupBy("component").agg(F.min("__least").alias("component_id"))
-    ids = reach.join(least, "component").select(F.col("fp").alias("__fp"), "component_id")
+    reach = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("component", "fp").alias("component"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    # A component may hold most fingerprints: its least key goes to each of SALTS places.
+    least = reach.groupBy("component").agg(F.min("__least").alias("component_id"), F.count(F.lit(1)).alias("n"), F.min("salt").alias("own"))
+    places = F.when(F.col("n") > 1, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array("own"))
+    ids = reach.join(least.select("component", "component_id", F.explode(places).alias("salt")), ["component", "salt"]).select(F.col("fp").alias("__fp"), "component_id")
     return marked.join(ids, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
