@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from thalweg.llm import bpe, mixing, near_copies, pii, quality
 from thalweg.llm.common import written
 
-#: Near copies: sets of five-word shingles whose Jaccard similarity is 0.8 or more, compared exactly.
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Bits in which fingerprints of near copies differ at most in tests/llm/test_pipeline.py; the stage does not use it.
-DISTANCE = 9
+#: Near copies: sets of five-word shingles whose Jaccard similarity is 0.8 or more, compared exactly; and the bits in which fingerprints of texts
+#: differ at most that are compared first.
+SHINGLE_WORDS, SIMILARITY, NEAR_BITS = 5, 0.8, 6
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +23,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return near_copies.one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
+    return near_copies.one_of_each(docs, SHINGLE_WORDS, SIMILARITY, NEAR_BITS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
