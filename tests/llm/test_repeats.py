@@ -11,16 +11,22 @@ from cases import folder, ordered, outcome, rows
 from thalweg.llm import fm_dedup, repeats, suffix_dedup
 
 
-def bytes_by_force(found, width=400):
-    raws = [(t or "").encode() for _, t in found]
+def marked(raws, width):
+    """For each text, its bytes that lie in strings of that width which also start elsewhere."""
     times = Counter(raw[i : i + width] for raw in raws for i in range(len(raw) - width + 1))
-    for (doc_id, _), raw in zip(found, raws, strict=True):
+    for raw in raws:
         gone = np.zeros(len(raw), bool)
         for i in range(len(raw) - width + 1):
             if times[raw[i : i + width]] > 1:
                 gone[i : i + width] = True
+        yield gone
+
+
+def bytes_by_force(found):
+    raws = [(t or "").encode() for _, t in found]
+    for (doc_id, _), raw, gone, short in zip(found, raws, marked(raws, 400), marked(raws, 256), strict=True):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        yield doc_id, len(raw), int(gone.sum()), spans, sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest()
+        yield doc_id, len(raw), int(gone.sum()), spans, sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest(), int(short.sum())
 
 
 def words_by_force(found, width=13):
@@ -42,7 +48,7 @@ def words_by_force(found, width=13):
 def test_bytes(spark, tmp_path, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
     df = suffix_dedup.op1_suffix_dedup(spark, folder(spark, tmp_path, rows()))
-    assert outcome(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(bytes_by_force(rows()))
+    assert outcome(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated") == ordered(bytes_by_force(rows()))
 
 
 @pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
@@ -55,7 +61,7 @@ def test_words(spark, tmp_path, monkeypatch, crowd):
 def test_whole_table(spark, sf):
     found = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert outcome(fm_dedup.op6_fm_dedup(spark, sf), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(words_by_force(found))
-    assert outcome(suffix_dedup.op1_suffix_dedup(spark, sf), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(bytes_by_force(found))
+    assert outcome(suffix_dedup.op1_suffix_dedup(spark, sf), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated") == ordered(bytes_by_force(found))
 
 
 def test_empty_table(spark, tmp_path):
@@ -63,14 +69,16 @@ def test_empty_table(spark, tmp_path):
     assert fm_dedup.op6_fm_dedup(spark, sf_dir).count() == suffix_dedup.op1_suffix_dedup(spark, sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("whole", [suffix_dedup.WHOLE, 0])
 @pytest.mark.parametrize("symbols", [1, 2, 3, 200])
-def test_suffix_array(symbols):
+def test_suffix_array(symbols, whole, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WHOLE", whole)
     r = random.Random(symbols)
     for n in (1, 2, 3, 17, 300):
         s = [r.randrange(symbols) for _ in range(n)]
         sa = suffix_dedup.suffix_array(s, symbols - 1)
-        assert sa == sorted(range(n), key=lambda i: s[i:])
-        prefix = suffix_dedup.permuted_prefixes(s, sa)
+        assert sa.tolist() == sorted(range(n), key=lambda i: s[i:])
+        sa, prefix = sa.tolist(), suffix_dedup.permuted_prefixes(np.array(s), sa, np.full(n, n)).tolist()
         for a, b in zip(sa, sa[1:], strict=False):
             assert s[a : a + prefix[b]] == s[b : b + prefix[b]] and s[a + prefix[b] : a + prefix[b] + 1] != s[b + prefix[b] : b + prefix[b] + 1]
 
@@ -78,13 +86,13 @@ def test_suffix_array(symbols):
 def test_index_finds_every_occurrence():
     r = np.random.default_rng(3)
     s = np.concatenate([r.integers(0, 4, 500), [4]])
-    index = fm_dedup.Index(s, 5)
+    index = fm_dedup.Index(s, 5, np.arange(len(s)))
     patterns = r.integers(0, 4, (200, 5))
     lo, hi, length = index.search(patterns)
     text = bytes(s.tolist())
     for p, a, b, n in zip(patterns, lo, hi, length, strict=True):
         tail = bytes(p[len(p) - n :].tolist())
-        assert sorted(index.sa[a:b]) == [i for i in range(len(text)) if text.startswith(tail, i)]
+        assert sorted(index.values[a:b]) == [i for i in range(len(text)) if text.startswith(tail, i)]
         assert n == len(p) or bytes(p[len(p) - n - 1 :].tolist()) not in text
     values = r.integers(0, 99, 77)
     a = r.integers(0, 76, 50)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from thalweg.session import shared_dir, written
+from thalweg.session import shared_dir, spent, written
 
-__all__ = ["WORD", "documents", "map_rows", "n_words", "shared_dir", "small_batches", "text_key", "whole_row", "written"]
+__all__ = ["WORD", "bit_table", "documents", "map_rows", "maybe", "n_words", "placed", "shared_dir", "small_batches", "spent", "text_key", "whole_row", "written"]
 
 #: A word is a run of anything but these white-space characters.
 SPACES = "\x20\x09-\x0d"
@@ -73,3 +74,31 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[str], tuple]], fields:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return small_batches(df).mapInArrow(run, T.StructType([*keep, *new]))
+
+
+#: Bits of a table that leaves out rows: at most TABLE_BITS / 64 rows of two numbers, whatever the input.
+TABLE_BITS = 1 << 24
+
+
+def placed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """Those columns of docs, and where each row is: file (its file's hash) and at (its number there). What is not read from files is written first."""
+    try:
+        about = docs.metadataColumn("_metadata")
+        return docs.select(*columns, F.xxhash64(about["file_path"]).alias("file"), about["row_index"].alias("at"))
+    except AnalysisException:
+        return placed(written(docs, "placed"), *columns)
+
+
+def bit_table(rows: DataFrame, *of: str) -> DataFrame:
+    """(word, bits): a table of TABLE_BITS bits, those set on which rows fall by the hash of the columns `of`."""
+    bit = F.pmod(F.xxhash64(*of), F.lit(TABLE_BITS))
+    words = rows.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+    return written(words, "bit-table")
+
+
+def maybe(rows: DataFrame, table: DataFrame, *of: str) -> DataFrame:
+    """rows with `held`: false only where none of the rows that made the table has these values. Its size is bounded, so it is broadcast."""
+    bit = F.pmod(F.xxhash64(*of), F.lit(TABLE_BITS))
+    named = table.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    joined = rows.withColumn("__bit", bit).join(F.broadcast(named), F.shiftright("__bit", 6) == F.col("__word"), "left")
+    return joined.withColumn("held", F.expr("coalesce(shiftright(__bits, cast(__bit % 64 AS INT)) & 1L, 0L) <> 0")).drop("__bit", "__word", "__bits")

@@ -1,15 +1,15 @@
 """Substring deduplication of words by compressed full-text indexes.
 
 Every word goes that is covered by a window of WIDTH words whose sequence also starts in a document with a smaller doc_id; windows are judged on
-the input. Stretches of text that may hold such windows (see repeats) meet in shards; a run of long words is preferred as anchor, since it
-seldom occurs by chance. A shard's stretches are indexed: their words are numbered, the suffixes sorted, and the transform that puts the
-word before each suffix in the suffixes' order is held in a wavelet matrix of packed bits with block counts. Then all stretches' windows are
-streamed through the index by backward search, all at a time: matching goes on while the interval of suffixes is not empty, and an interval that
+the input. Stretches of text that may hold such windows (see repeats) meet in shards. A shard's stretches are indexed: their words are numbered,
+the suffixes sorted, and the transform that puts the word before each suffix in the suffixes' order is held in a wavelet matrix of packed bits
+with block counts; the order itself is not kept, only whose suffix stands where, as a rank of its doc_id. Then the stretches are streamed through
+the index by backward search, the windows of many at a time: matching goes on while the interval of suffixes is not empty, and an interval that
 reaches WIDTH words is reported with the smallest doc_id in it.
 
 A null doc_id comes after all others; two null ones are not before each other. Rows with one doc_id do not count against each other. Null and
-empty texts have no words (and keep the digest of an empty string). Words are as in the text, joined by one space when kept. An empty table
-gives an empty result. Columns beside doc_id and text are not read.
+empty texts have no words (and keep the digest of an empty string). Words are as in the text, joined by one space when kept. Very long texts are
+read whole; only their stretches are shuffled, each to its shard. An empty table gives an empty result. Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,23 +21,20 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from thalweg.llm.common import documents, text_key
-from thalweg.llm.repeats import LAST, Repeated, Units, covered, scramble, search, window_starts
+from thalweg.llm.common import documents
+from thalweg.llm.repeats import LAST, Units, covered, marked_windows, scramble, search, with_verdicts
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
 from thalweg.llm.suffix_dedup import suffix_array
 
-WIDTH, GRAM = 13, 3
-#: Letters of a run of GRAM words up to which longer ones are preferred.
-LONG = 63
+WIDTH, GRAM = 13, 7
 
 
 class Words(Units):
     """A text as words."""
 
-    width, gram, unit_bytes, range_sizes = WIDTH, GRAM, 7, (4, 1)
+    width, gram, unit_bytes, least_bytes, reach, range_sizes = WIDTH, GRAM, 7, 2 * WIDTH - 1, WIDTH, (1,)
 
     def read(self, text):
         return text.encode().split()
@@ -51,11 +48,6 @@ class Words(Units):
     def split(self, content):
         return content.split()
 
-    def order(self, codes, grams, units):
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        size = ends[self.gram - 1 :] - np.concatenate([[0], ends[: -self.gram]])
-        return (LONG - np.minimum(size, LONG)).astype(np.uint64) << np.uint64(58) | grams >> np.uint64(6)
-
 
 class Bits:
     """A bit array packed into words, with the count of ones before each word."""
@@ -74,11 +66,14 @@ class Bits:
 
 
 class Index:
-    """The full-text index of a sequence of numbers below `top`: counts of smaller symbols and a wavelet matrix of the transform."""
-
-    def __init__(self, s: np.ndarray, top: int):
-        self.sa = np.array(suffix_array(s.tolist(), top - 1), np.int64)
-        transform = s[self.sa - 1]
+    """The full-text index of a sequence of numbers below `top`: counts of smaller symbols, a wavelet matrix of the transform, and for each place in
+    the order of suffixes the value of the sequence's member that starts it."""
+
+    def __init__(self, s: np.ndarray, top: int, values: np.ndarray):
+        order = suffix_array(s, top - 1)
+        self.values = values[order]
+        self.size = len(s)
+        transform = s[order - 1]
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=top))])
         self.levels: list[tuple[int, Bits]] = []
         for shift in range(max(1, (top - 1).bit_length()) - 1, -1, -1):
@@ -97,7 +92,7 @@ class Index:
         """Matching statistics of the ends of patterns (a row each): the interval of suffixes that begin with the longest matched end, and its
         length. Rows drop out of the search when their interval empties."""
         n = len(patterns)
-        lo, hi, length = np.zeros(n, np.int64), np.full(n, len(self.sa), np.int64), np.zeros(n, np.int64)
+        lo, hi, length = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
         on = np.arange(n)
         for column in range(patterns.shape[1] - 1, -1, -1):
             c = patterns[on, column]
@@ -131,45 +126,42 @@ def range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarra
 STREAM = 1 << 15
 
 
-def judge(pdf: pd.DataFrame) -> list[list[int]]:
-    """Offsets of the windows of each stretch of a shard that also occur in a stretch with a smaller doc_id."""
+def judge(pdf: pd.DataFrame) -> list[bytes]:
+    """For each window of each stretch, eight bytes: the smallest doc_id of the shard's stretches that hold it."""
     number: dict[bytes, int] = {}
     rows = [[number.setdefault(w, len(number)) for w in content.split()] for content in pdf["content"]]
     if not rows:
         return []
     words = len(number)
-    s = np.array([x for k, row in enumerate(rows) for x in (*row, words + k)], np.int64)
-    index = Index(s, words + len(rows))
     sizes = np.array([len(row) for row in rows])
+    s = np.array([x for row in rows for x in (*row, words)], np.int64)
+    ids, rank = np.unique(pdf["first"].to_numpy(np.int64), return_inverse=True)
+    index = Index(s, words + 1, np.repeat(rank.astype(np.int32), sizes + 1))
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    owner = np.repeat(np.arange(len(rows)), sizes + 1)
-    first = pdf["first"].to_numpy(np.int64)
-    by_rank = first[owner[index.sa]]
-    places = np.concatenate([a + np.arange(n - WIDTH + 1) for a, n in zip(starts, sizes, strict=True)])
-    out: list[list[int]] = [[] for _ in rows]
+    windows = sizes - WIDTH + 1
+    places = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    least = np.empty(len(places), np.int64)
     for at in range(0, len(places), STREAM):
-        p = places[at : at + STREAM]
-        lo, hi, length = index.search(s[p[:, None] + np.arange(WIDTH)])
-        whole = length >= WIDTH
-        p, least = p[whole], range_least(by_rank, lo[whole], hi[whole])
-        for place in p[least < first[owner[p]]]:
-            out[owner[place]].append(int(place - starts[owner[place]]))
-    return out
+        lo, hi, _ = index.search(s[places[at : at + STREAM, None] + np.arange(WIDTH)])  # each is found: its own stretch holds it
+        least[at : at + STREAM] = ids[range_least(index.values, lo, hi)]
+    return [x.tobytes() for x in np.split(least, np.cumsum(windows)[:-1])]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, kept (the remaining words), n_words, n_removed, kept_sha256."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key("text"))
-    found = search(docs, Words(), False, judge, Repeated(F.min("first"), lambda seen, first: seen < first))  # that a smaller doc_id also has
-    joined = docs.join(found.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k"), "left").select("doc_id", "text", "found")
+    joined = with_verdicts(*search(docs.select("doc_id", "text"), Words(), False, judge))
     schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         def rows():
-            for doc_id, text, stretches in texts(batches):
+            for doc_id, text, _, first, found in texts(batches):
                 words = text.encode().split()
                 own = LAST if doc_id is None else doc_id
-                gone = covered(len(words), window_starts(stretches, lambda f: f["first"] < own), WIDTH)
+                if first is not None and first < own:
+                    gone = np.full(len(words), len(words) >= WIDTH)
+                else:
+                    some = [a[m < own] for a, m in marked_windows(found, np.int64)]
+                    gone = covered(len(words), np.concatenate([np.zeros(0, np.int64), *some]), WIDTH)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 yield doc_id, kept.decode(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
 

@@ -22,20 +22,17 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm import simhash
-from thalweg.llm.common import map_rows, whole_row, written
+from thalweg.llm.common import bit_table, map_rows, maybe, placed, whole_row, written
 from thalweg.llm.components import components
 
 #: Texts that may share a key before they are compared in blocks, how many one block holds, and the bits of a sketch.
 BUCKET, BLOCK, SKETCH = 64, 8192, 1024
 #: One text of SAMPLE is counted to find common shingles: those in COMMON texts of the sample or more, up to MOST of them.
 SAMPLE, COMMON, MOST = 16, 8, 100_000
-#: Bits of the table that leaves out rows: at most BITS / 64 rows of two numbers, whatever the input.
-BITS = 1 << 24
 #: Where a row is: its file's hash and its number there.
 AT = ("file", "at")
 
@@ -55,15 +52,6 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s.view(np.uint64) % SKETCH).astype(np.int64), minlength=SKETCH) % 2 == 1).view(np.int64)
 
 
-def placed(docs: DataFrame, text: str) -> DataFrame:
-    """doc (the whole row), body, file, at: rows by their place in files. What is not read from files is written first."""
-    try:
-        about = docs.metadataColumn("_metadata")
-        return docs.select(whole_row(docs, "doc"), F.col(f"`{text}`").alias("body"), F.xxhash64(about["file_path"]).alias("file"), about["row_index"].alias("at"))
-    except AnalysisException:
-        return placed(written(docs, "copies-documents"), text)
-
-
 def _same(a: str, b: str):
     return (F.col(f"{a}file") == F.col(f"{b}file")) & (F.col(f"{a}at") == F.col(f"{b}at"))
 
@@ -73,21 +61,6 @@ def _renamed(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"__{c}") for c in AT))
 
 
-def bit_table(rows: DataFrame) -> DataFrame:
-    """(word, bits): a table of BITS bits, those set on which rows fall by the hash of their places."""
-    return written(rows.select((_bit(F) / 64).cast("long").alias("word"), _bit(F).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS INT))")).alias("bits")), "copies-bits")
-
-
-def _bit(f):
-    return f.pmod(f.xxhash64(*AT), f.lit(BITS))
-
-
-def maybe(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with `held`: false where the table shows that a row is not among those that made it. The table's size is bounded, so it is broadcast."""
-    joined = rows.join(F.broadcast(table), (_bit(F) / 64).cast("long") == F.col("word"), "left")
-    return joined.withColumn("held", F.coalesce(F.expr(f"shiftright(bits, cast(pmod(xxhash64(file, at), {BITS}) % 64 AS INT)) & 1"), F.lit(0)) != 0).drop("word", "bits")
-
-
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     some = texts.select("body").where(F.pmod(F.xxhash64("body"), F.lit(SAMPLE)) == 0).distinct()
     counted = map_rows(some, lambda: lambda x: (shingles(x, words),), "value array<long>", "body").select(F.explode("value").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
@@ -102,7 +75,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, s
     close = written(close.select("u", "v"), "copies-close")
     met = close.select(F.col("u").alias("met")).union(close.select("v")).distinct()
     wanted = written(nodes.join(met, F.col("node") == F.col("met"), "left_semi").select("node", "size", F.col("least.file").alias("__file"), F.col("least.at").alias("__at")), "copies-wanted")
-    some = maybe(texts.select("body", *AT), bit_table(wanted.select(F.col("__file").alias("file"), F.col("__at").alias("at")))).where("held").select("body", *AT)
+    some = maybe(texts.select("body", *AT), bit_table(wanted, "__file", "__at"), *AT).where("held").select("body", *AT)
     sets = map_rows(some.join(wanted, _same("", "__")).select("body", "node", "size"), lambda: lambda x: (shingles(x, words),), "value array<long>", "body")
     sets = written(sets, "copies-sets")
     a, b = (sets.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("value").alias(f"s{x}")) for x in "uv")
@@ -189,7 +162,7 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, distance: int, t
 
     docs: a table read from files, or what is then written as one; its rows keep their places while it is read again.
     """
-    source = placed(docs, text)
+    source = placed(docs, whole_row(docs, "doc"), F.col(f"`{text}`").alias("body"))
     texts = source.select(F.col("doc.doc_id").alias("doc_id"), "body", *AT)
     common = common_shingles(texts, words)
 
@@ -209,5 +182,5 @@ def one_of_each(docs: DataFrame, words: int, similarity: float, distance: int, t
     reach = nodes.join(found, F.col("node") == F.col("__node"), "left").select("least", F.coalesce("component", "node").alias("component"))
     kept = reach.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.file").alias("__file"), F.col("least.at").alias("__at"))
     gone = written(marked.select(*AT).join(kept, _same("", "__"), "left_anti"), "copies-gone")
-    rows = maybe(source.select("doc", *AT), bit_table(gone))
+    rows = maybe(source.select("doc", *AT), bit_table(gone, *AT), *AT)
     return rows.where("NOT held").select("doc.*").union(rows.where("held").join(_renamed(gone), _same("", "__"), "left_anti").select("doc.*"))

@@ -2,28 +2,36 @@
 
 A text is a sequence of units (bytes, words), a window is `width` units. Each window has an anchor, the run of `gram` units in it whose order
 value is least (the last of equals), so that equal windows have equal anchors at equal offsets, wherever they stand. Consecutive windows with
-one anchor form a stretch. Anchors are counted over all documents; stretches whose anchor occurs once cannot repeat and go no further. What
-is left is reduced to distinct stretches before anything is compared, so copies cost nothing, and stretches with one anchor meet in one
-shard. An anchor with over CROWD distinct stretches is not gathered in a shard: ranges of its stretches' windows are counted by content and
-narrowed down, exactly.
+one anchor form a stretch; its content goes on to `reach` units from the last window's start, so that longer strings can be told too.
+
+1. Equal texts are one text, by their digests; only one row of each goes on.
+2. Anchors are counted over all texts. Stretches whose anchor occurs in one text only (and once in it, where that matters) go no further.
+3. What is left is reduced to distinct stretches, and those with one anchor meet in one shard, where an operator's index judges their windows.
+4. An anchor with over CROWD distinct stretches would not fit a shard. Its stretches are cut by where windows stand around the anchor, and what all
+   windows of a cut have in common becomes their anchor. That repeats with finer cuts, the last of which holds equal windows only: every stretch
+   and every cut is judged by the index of a shard of bounded size.
+
+Texts are shuffled only where they have candidates; tables of fixed size leave out most of the others (common.bit_table).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import md5
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import SLICE, small_batches, written
+from thalweg.llm.common import SLICE, bit_table, maybe, placed, small_batches, spent, text_key, written
 
 #: Distinct stretches of one anchor that a shard takes, and units of stretches in a shard.
 CROWD, SHARD_UNITS = 512, 400_000
+#: Stands for a null doc_id: after all others.
+LAST = (1 << 63) - 1
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -78,7 +86,11 @@ class Units:
     width: int
     gram: int
     unit_bytes: int
-    #: Windows in a range when crowded stretches are narrowed, the last one 1.
+    #: Bytes of the shortest text that has a window.
+    least_bytes: int
+    #: Units from the start of a stretch's last window that its content goes on to.
+    reach: int
+    #: Windows in a cut of crowded stretches, the last one 1.
     range_sizes: tuple[int, ...]
 
     def read(self, text: str):
@@ -127,147 +139,166 @@ def _chunks(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
 
 
-def anchors(docs: DataFrame, units: Units) -> DataFrame:
-    """(key, anchor, n): the distinct anchors of each text, and how often a text has them. docs: key, text."""
+def anchors(texts: DataFrame, units: Units) -> DataFrame:
+    """(id, anchor, n): the distinct anchors of each text, and how often a text has them. texts: id, text."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                keys, ids, counts = [], [], []
+                ids, found, counts = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found, n = np.unique(units.found(text or "")[1], return_counts=True)
-                    keys.append(np.full(len(found), key, np.int64))
-                    ids.append(found)
+                    own, n = np.unique(units.found(text)[1], return_counts=True)
+                    ids.append(np.full(len(own), key, np.int64))
+                    found.append(own)
                     counts.append(n.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, counts)], ["key", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, found, counts)], ["id", "anchor", "n"])
+
+    return small_batches(texts.select("id", "text")).mapInArrow(run, "id long, anchor long, n int")
+
 
-    return small_batches(docs).mapInArrow(run, "key long, anchor long, n int")
+CONTENTS = "key binary, first long, rows long, stretch binary, anchor long, offset int, windows int, content binary, starts array<int>"
 
 
-def contents(docs: DataFrame, units: Units) -> DataFrame:
-    """(key, doc_id, anchor, offset, content, starts, windows): the stretches of each text whose anchors are in `shared`, equal ones of a text together.
+def contents(texts: DataFrame, units: Units) -> DataFrame:
+    """CONTENTS: the stretches of each text whose anchors are in `shared`, equal ones of a text together.
 
-    docs: key, doc_id, text, shared (array of anchors). offset is the anchor's place in the content, starts are
-    the first windows of the occurrences, windows how many a stretch has.
+    texts: key, first, rows, text, shared (array of anchors). offset is the anchor's place in the content, starts are the first windows of the
+    occurrences, windows how many a stretch has, stretch its name.
     """
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("anchor", pa.int64()), ("offset", pa.int32()), ("content", pa.binary()), ("starts", pa.list_(pa.int32())), ("windows", pa.int32())])
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    schema = pa.schema(list(zip((f.split()[0] for f in CONTENTS.split(", ")), types, strict=True)))
 
     def rows(batches):
-        for key, doc_id, text, shared in _texts(batches):
-            seq, ids, place, first, last = units.found(text or "")
-            own: dict[bytes, list] = {}
+        for key, first_id, n, text, shared in _texts(batches):
+            seq, ids, place, first, last = units.found(text)
+            own: dict[tuple, list] = {}
             for i in np.flatnonzero(np.isin(ids, np.array(shared, np.int64))):
                 a, b = int(first[i]), int(last[i])
-                content = units.content(seq, a, b + units.width)
-                own.setdefault(content, [int(ids[i]), int(place[i]) - a, b - a + 1, []])[3].append(a)
-            for content, (anchor, offset, windows, starts) in own.items():
-                yield key, doc_id, anchor, offset, content, starts, windows
+                what = (int(place[i]) - a, b - a + 1, units.content(seq, a, b + units.reach))
+                own.setdefault(what, [int(ids[i]), []])[1].append(a)
+            for (offset, windows, content), (anchor, starts) in own.items():
+                yield key, first_id, n, _name(offset, windows, content), anchor, offset, windows, content, starts
 
-    return small_batches(docs).mapInArrow(lambda b: _chunks(rows(b), schema, 2048), "key binary, doc_id long, anchor long, offset int, content binary, starts array<int>, windows int")
+    return small_batches(texts.select("key", "first", "rows", "text", "shared")).mapInArrow(lambda b: _chunks(rows(b), schema, 2048), CONTENTS)
 
 
-#: Stands for a null doc_id: after all others.
-LAST = (1 << 63) - 1
-
+def _name(offset: int, windows: int, content: bytes) -> bytes:
+    return md5(b"%d %d " % (offset, windows) + content).digest()
 
-def candidates(docs: DataFrame, units: Units, within: bool) -> DataFrame:
-    """contents() of the anchors that occur in two rows, or twice in one if `within`. docs: doc_id, text, key; read twice."""
-    docs = docs.withColumn("__hash", F.xxhash64("key")).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    found = anchors(docs.select("__hash", "text"), units)
-    weight = F.sum("n") if within else F.count(F.lit(1))
-    shared = found.groupBy("anchor").agg(weight.alias("__n")).where("__n > 1").select(F.col("anchor").alias("__anchor"))
-    own = found.join(shared, F.col("anchor") == F.col("__anchor")).groupBy("key").agg(F.collect_set("anchor").alias("shared")).select(F.col("key").alias("__key"), "shared")
-    return contents(docs.join(own, F.col("__hash") == F.col("__key")).select("key", "doc_id", "text", "shared"), units)
 
+def candidates(docs: DataFrame, texts: DataFrame, units: Units, within: bool) -> DataFrame:
+    """contents() of the anchors that occur in two texts, or twice in one if `within`. docs: text, key, file, at; texts: key, file, at, first, rows."""
+    at = lambda a, b: (F.col(a) == F.col("__file")) & (F.col(b) == F.col("__at"))
+    named = docs.select("key", "text", "file", "at").where(F.octet_length("text") >= units.least_bytes)
+    # Of equal texts only one has its anchors found.
+    more = docs.select("key", "file", "at").join(texts.where("rows > 1").select(F.col("key").alias("__key"), F.col("file").alias("__file"), F.col("at").alias("__at")), F.col("key") == F.col("__key")).where(~at("file", "at")).select(F.col("file").alias("__file"), F.col("at").alias("__at"))
+    more = written(more, "repeats-equal")
+    flagged = maybe(named, bit_table(more, "__file", "__at"), "file", "at")
+    one = flagged.where("NOT held").select("key", "text").union(flagged.where("held").join(more, at("file", "at"), "left_anti").select("key", "text"))
+    found = anchors(one.select(F.xxhash64("key").alias("id"), "text"), units).repartition("anchor")  # dealt once, for the aggregation and for the join
+    counted = found.groupBy(F.col("anchor").alias("__anchor")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("n").alias("most"))
+    shared = counted.where("a < b OR most > 1" if within else "a < b").select("__anchor")
+    own = found.join(shared, F.col("anchor") == F.col("__anchor")).groupBy(F.col("id").alias("__id")).agg(F.collect_set("anchor").alias("shared"))
+    own = written(texts.join(own, F.xxhash64("key") == F.col("__id")).select(F.col("file").alias("__file"), F.col("at").alias("__at"), "first", "rows", "shared"), "repeats-shared")
+    some = maybe(named, bit_table(own, "__file", "__at"), "file", "at").where("held")
+    return written(contents(some.join(own, at("file", "at")), units), "repeats-candidates")
 
-class Repeated(NamedTuple):
-    """Which contents repeat: an aggregate over the rows (first, n) that have a content, and what it must be for a row with `first`."""
 
-    seen: Column
-    holds: Callable[[Column, Column], Column]
+PIECE = ("stretch", "anchor", "offset", "windows", "content")
 
 
-def decided(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list[list[int]]], repeated: Repeated) -> DataFrame:
-    """(stretch, first, n, own): for each distinct stretch its smallest doc_id, its number of occurrences, and the windows (offsets) that are
-    found repeated in other stretches.
+def judged(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
+    """(stretch, marks): what the judge says of each distinct stretch.
 
-    found: stretch, anchor, offset, content, doc_id, n. judge gets distinct stretches that share anchors (those columns, first) and gives the
-    offsets of each. `repeated` says the same of counted contents.
+    found: PIECE, first, n (its smallest doc_id and how often it occurs). judge gets distinct stretches of a shard, those of an anchor together, and
+    gives marks of fixed size for the windows of each.
     """
-    distinct = written(found.groupBy("stretch", "anchor", "offset", "content").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n")), "repeats-stretches")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
-    crowds = written(sizes.where(F.col("m") > CROWD).select(F.col("anchor").alias("__a")), "repeats-crowds")
-    few = distinct.join(crowds, F.col("anchor") == F.col("__a"), "left_anti")
-    shards = max(1, -(-int(distinct.agg(F.sum(F.length("content"))).first()[0] or 0) // (SHARD_UNITS * units.unit_bytes)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["anchor", "stretch"], ignore_index=True)
-        out = pd.Series([[]] * len(pdf))
-        shared = pdf[pdf["anchor"].duplicated(keep=False)].reset_index()
-        for row, own in zip(shared["index"], judge(shared), strict=True):
-            out[row] = own
-        return pdf[["stretch", "first", "n"]].assign(own=out)
-
-    few = few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(run, "stretch binary, first long, n long, own array<int>")
-    many = distinct.join(crowds, F.col("anchor") == F.col("__a")).select("stretch", "offset", "content", "first", "n")
-    own = narrowed(many, units, repeated)
-    many = many.join(own.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"), "left").select("stretch", "first", "n", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
-    return few.unionByName(many)
-
-
-def narrowed(stretches: DataFrame, units: Units, repeated: Repeated) -> DataFrame:
-    """(stretch, own) of crowded anchors, whatever their size. Windows are dealt into ranges by their place relative to the anchor, and a range is
-    told by two contents: what its windows have in common, and what those of the stretch span together. A range whose span repeats is repeated
-    as a whole, one whose common part does not is dropped, and the others are cut into smaller ones, down to single windows. Contents are
-    counted by hash; no group of stretches is gathered."""
-    schema = pa.schema([("stretch", pa.binary()), ("offset", pa.int32()), ("content", pa.binary()), ("first", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("common", pa.binary()), ("span", pa.binary())])
-    live, done = stretches.select("stretch", "offset", "content", "first", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b")), None
-    for size in units.range_sizes:
-
-        def cut(batches, size=size):
-            def rows():
-                for stretch, offset, content, first, a, b in _texts(batches):
-                    seq = units.split(content)
-                    b = len(seq) - units.width if b is None else b
-                    for place in range((a - offset) // size, (b - offset) // size + 1):
-                        low = offset + place * size  # of the whole range, some of whose windows the stretch may lack
-                        lo, hi = max(a, low), min(b, low + size - 1)
-                        common, span = units.content(seq, low + size - 1, low + units.width), units.content(seq, lo, hi + units.width)
-                        yield stretch, offset, content, first, lo, hi, md5(common).digest(), md5(span).digest()
-
-            return _chunks(rows(), schema, 2048)
-
-        cut_rows = small_batches(live).mapInArrow(cut, "stretch binary, offset int, content binary, first long, a int, b int, common binary, span binary")
-        ranges = written(cut_rows, "repeats-ranges")
-        spans = ranges.groupBy("span").agg(repeated.seen.alias("__seen"), F.min(F.struct("first", "stretch")).alias("__one")).withColumnRenamed("span", "__span")
-        commons = ranges.groupBy("common").agg((F.count(F.lit(1)) > 1).alias("__shared")).withColumnRenamed("common", "__common")
-        ranges = ranges.join(spans, F.col("span") == F.col("__span")).join(commons, F.col("common") == F.col("__common"))
-        ranges = written(ranges.withColumn("__told", repeated.holds(F.col("__seen"), F.col("first"))), "repeats-told")
-        found = ranges.where("__told").select("stretch", F.explode(F.sequence("a", "b")).alias("at"))
-        done = found if done is None else done.unionByName(found)
-        # Of equal spans that are told already, one goes on: others may share a part of it.
-        live = ranges.where("__shared AND (NOT __told OR (__one.first = first AND __one.stretch = stretch))").select("stretch", "offset", "content", "first", "a", "b")
-    return done.groupBy("stretch").agg(F.collect_set("at").alias("own"))
-
-
-def search(docs: DataFrame, units: Units, within: bool, judge: Callable[[pd.DataFrame], list[list[int]]], repeated: Repeated) -> DataFrame:
-    """(key, found): for each text with candidates, an array of (starts, windows, first, n, own) by stretch. docs: doc_id, text, key."""
-    table = written(candidates(docs, units, within).withColumn("stretch", F.unhex(F.md5("content"))), "repeats-candidates")
-    verdicts = decided(table.select("stretch", "anchor", "offset", "content", "doc_id", F.size("starts").alias("n")), units, judge, repeated)
-    places = table.select("key", "stretch", "starts", "windows").dropDuplicates(["key", "stretch"])
-    joined = places.join(verdicts.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"))
-    return joined.groupBy("key").agg(F.collect_list(F.struct("starts", "windows", "first", "n", "own")).alias("found"))
-
-
-def window_starts(found: list[dict], all_of: Callable[[dict], bool]) -> np.ndarray:
-    """Starts of the repeated windows of a text: all windows of the stretches that all_of names, the own ones of the others."""
-    out = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"stretch": pdf["stretch"], "marks": judge(pdf)})
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy(*PIECE).agg(F.min("first").alias("first"), F.sum("n").alias("n")), "repeats-stretches")
+
+    pieces, leaves, cuts = distinct(found), [], []
+    for size in (*units.range_sizes, None):
+        crowds = written(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select(F.col("anchor").alias("__a")), "repeats-crowds")
+        if size is None or crowds.isEmpty():
+            leaves.append(pieces)
+            break
+        leaves.append(pieces.join(crowds, F.col("anchor") == F.col("__a"), "left_anti"))
+        cut = written(small_batches(pieces.join(crowds, F.col("anchor") == F.col("__a")).select(*PIECE, "first", "n")).mapInArrow(_cutter(units, size), CUT), "repeats-cuts")
+        cuts.append(cut.select("parent", "low", "stretch"))
+        pieces = distinct(cut)
+    out = None
+    for level in range(len(leaves) - 1, -1, -1):
+        rows = leaves[level]
+        shards = max(1, -(-int(rows.agg(F.sum(F.length("content"))).first()[0] or 0) // (SHARD_UNITS * units.unit_bytes)))
+        here = rows.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(run, "stretch binary, marks binary")
+        if out is not None:
+            # A stretch's marks are those of its cuts in order; it has at most as many cuts as windows.
+            below = cuts[level].join(out.select(F.col("stretch").alias("__s"), "marks"), F.col("stretch") == F.col("__s"))
+            joined = below.groupBy(F.col("parent").alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("low", "marks"))).alias("cuts"))
+            here = here.union(joined.select("stretch", F.aggregate("cuts", F.expr("CAST('' AS BINARY)"), lambda a, x: F.concat(a, x["marks"]))))
+        out = here
+    return out
+
+
+CUT = "parent binary, low int, stretch binary, anchor long, offset int, windows int, content binary, first long, n long"
+
+
+def _cutter(units: Units, size: int):
+    """PIECE, first, n -> CUT: windows dealt by how far before the anchor they start, `size` to a cut; its anchor is what its windows share."""
+    schema = pa.schema([("parent", pa.binary()), ("low", pa.int32()), ("stretch", pa.binary()), ("anchor", pa.int64()), ("offset", pa.int32()), ("windows", pa.int32()), ("content", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
+
+    def rows(batches):
+        for parent, anchor, offset, windows, content, first, n in _texts(batches):
+            seq = units.split(content)
+            for place in range((offset - windows + 1) // size, offset // size + 1):
+                nearest, farthest = place * size, place * size + size - 1
+                low, high = max(0, offset - farthest), min(windows - 1, offset - nearest)
+                if low > high:
+                    continue
+                common = units.content(seq, max(0, offset - nearest), offset - farthest + units.width)
+                own = units.content(seq, low, high + units.reach)
+                key = xxhash.xxh64_intdigest(b"%d %d %d " % (anchor, size, place) + common) - (1 << 63)
+                yield parent, low, md5(b"%d " % key + _name(offset - low, high - low + 1, own)).digest(), key, offset - low, high - low + 1, own, first, n
+
+    return lambda batches: _chunks(rows(batches), schema, 2048)
+
+
+def search(docs: DataFrame, units: Units, within: bool, judge: Callable[[pd.DataFrame], list[bytes]]) -> tuple[DataFrame, DataFrame]:
+    """(docs with doc_id, text, key; verdicts): for each text with candidates, or that several rows have, key, rows, first (the smallest doc_id of
+    these, LAST for null) and found, an array of (starts, marks) by stretch. docs: doc_id, text."""
+    docs = placed(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("key", text_key("text"))
+    texts = docs.groupBy("key").agg(F.min(F.struct("file", "at")).alias("place"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"), F.count(F.lit(1)).alias("rows"))
+    texts = written(texts.select("key", "place.*", "first", "rows"), "repeats-texts")
+    table = candidates(docs, texts, units, within)
+    verdicts = judged(table.select(*PIECE, "first", (F.size("starts") * F.col("rows")).alias("n")), units, judge)
+    joined = table.select("key", "stretch", "starts").join(verdicts.withColumnRenamed("stretch", "__s"), F.col("stretch") == F.col("__s"))
+    found = joined.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("starts", "marks")).alias("found"))
+    out = texts.join(found, F.col("key") == F.col("__key"), "left").where("rows > 1 OR found IS NOT NULL").select(F.col("key").alias("__key"), "rows", "first", "found")
+    out = written(out, "repeats-found")
+    spent(table)
+    return docs, out
+
+
+def with_verdicts(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """doc_id, text, rows, first, found: all rows of docs, the last three null where no verdict is."""
+    flagged = maybe(docs.select("doc_id", "text", "key"), bit_table(verdicts, "__key"), "key")
+    rest = flagged.where("NOT held").select("doc_id", "text", *(F.lit(None).cast(verdicts.schema[c].dataType).alias(c) for c in ("rows", "first", "found")))
+    return rest.union(flagged.where("held").join(verdicts, F.col("key") == F.col("__key"), "left").select("doc_id", "text", "rows", "first", "found"))
+
+
+def marked_windows(found: list[dict] | None, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, marks) of the windows of a text's stretches."""
     for f in found or ():
-        offsets = np.arange(f["windows"]) if all_of(f) else np.array(f["own"], np.int64)
-        if len(offsets):
-            out.append((np.array(f["starts"], np.int64)[:, None] + offsets).ravel())
-    return np.concatenate(out)
+        marks = np.frombuffer(f["marks"], kind)
+        starts = np.array(f["starts"], np.int64)
+        yield (starts[:, None] + np.arange(len(marks))).ravel(), np.tile(marks, len(starts))
 
 
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
