@@ -49,13 +49,13 @@ def dense(net_rows, kind, v, substeps, q0):
     return np.array(out).T, q
 
 
-@pytest.mark.parametrize("strategy", ["grouped", "levels"])
+@pytest.mark.parametrize("strategy, task_numbers", [("grouped", 1), ("levels", 2 * 3 * T), ("auto", 5 * 3 * T), ("auto", 10**6)])
 @pytest.mark.parametrize("kind", ["rapid", "channel"])
-def test_against_a_dense_solve(spark, sf, net, lateral, kind, strategy):
+def test_against_a_dense_solve(spark, sf, net, lateral, kind, strategy, task_numbers):
     rows = sorted(net.collect())
     v = np.array([r[1] for r in sorted(kernels.packed(lateral, "t", "v", "v").collect())])
     q0 = np.array([10.0 + r["river_id"] % 7 for r in rows])
-    routed = routing.route(kind, net, lateral if kind == "rapid" else None, T, HOUR, 3, views.state(spark, sf), strategy=strategy).cache()
+    routed = routing.route(kind, net, lateral if kind == "rapid" else None, T, HOUR, 3, views.state(spark, sf), strategy=strategy, task_numbers=task_numbers).cache()
     want, state = dense(rows, kind, v, 3, q0)
     assert np.allclose(matrix(routed), want, atol=1e-9)
     assert np.allclose(matrix(routed, "state"), state, atol=1e-9)
@@ -63,7 +63,7 @@ def test_against_a_dense_solve(spark, sf, net, lateral, kind, strategy):
 
 def test_unit_strategies_agree_and_headwaters_carry_their_inflow(net, lateral):
     grouped = routing.route("unit", net, lateral, T, HOUR, 2, strategy="grouped")
-    levels = routing.route("unit", net, lateral, T, HOUR, 2, strategy="levels")
+    levels = routing.route("unit", net, lateral, T, HOUR, 2, strategy="levels", task_numbers=3 * 2 * T)
     assert np.allclose(matrix(grouped), matrix(levels), atol=1e-9)
     v = np.array([r[1] for r in sorted(kernels.packed(lateral, "t", "v", "v").collect())])
     fed = {r["downstream_river_id"] for r in net.collect()}
@@ -87,6 +87,16 @@ def test_an_initial_state_decays(spark, sf, net):
     assert (q >= 0).all() and (q[:, -1] < 1e-3).all() and q[:, 0].max() > 1
 
 
+def test_a_deep_chain_in_pieces(spark):
+    """5000 segments in a row, cut to pieces of at most 700: as when solved whole."""
+    n = 5000
+    net = spark.createDataFrame([(i, i + 1 if i < n else -1, 3600.0, 0.2) for i in range(1, n + 1)], "river_id long, downstream_river_id long, k double, x double")
+    state = net.select("river_id", (F.col("river_id") % 13).cast("double").alias("q"))
+    whole = routing.route("channel", net, None, 4, HOUR, 1, state, strategy="grouped")
+    pieces = routing.route("channel", net, None, 4, HOUR, 1, state, task_numbers=4 * 700)
+    assert np.allclose(matrix(whole), matrix(pieces), atol=1e-9) and np.allclose(matrix(whole, "state"), matrix(pieces, "state"), atol=1e-9)
+
+
 def test_rivers_and_series_must_match(net, lateral):
     with pytest.raises(Exception, match="not in the network"):
         routing.route("rapid", net.where("river_id <> 7"), lateral, T, HOUR).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ def rooted(net: DataFrame) -> DataFrame:
     raise ValueError("the network has a cycle")
 
 
+def with_roots(net: DataFrame) -> DataFrame:
+    """net with watershed_id and dist."""
+    found = rooted(net).withColumnRenamed("river_id", "__r")
+    return net.join(found, F.col("river_id") == F.col("__r")).drop("__r")
+
+
 def levels(net: DataFrame) -> DataFrame:
     """river_id, level: an order in which every segment comes after what flows into it (greatest distance to the outlet first)."""
     r = rooted(net)
@@ -100,21 +107,24 @@ def subset(net: DataFrame, target: int, weights: DataFrame | None = None) -> tup
 
 
 def strahler(net: DataFrame) -> DataFrame:
-    """river_id, strahler: 1 for headwaters; else the greatest upstream order, plus 1 if two have it. A join and an aggregation by level."""
+    """river_id, strahler: 1 for headwaters; else the greatest upstream order, plus 1 if two have it.
+
+    A join and an aggregation by level; each level is written once, and only what its segments pass on goes to later ones.
+    """
     base = written(net.join(levels(net), "river_id").select("river_id", "downstream_river_id", "level"), "strahler")
     depth = base.agg(F.max("level")).first()[0]
-    done = None
+    done: list[DataFrame] = []
     for level in range((depth if depth is not None else -1) + 1):
         here = base.where(F.col("level") == level)
-        if done is None:
-            done = here.withColumn("strahler", F.lit(1))
-        else:
-            above = done.groupBy(F.col("downstream_river_id").alias("__d"), "strahler").agg(F.count(F.lit(1)).alias("n"))
+        if done:
+            # A segment's upstream ones are all on the level before: levels count from the farthest segment to the outlet.
+            above = done[-1].groupBy(F.col("downstream_river_id").alias("__d"), "strahler").agg(F.count(F.lit(1)).alias("n"))
             above = above.groupBy("__d").agg(F.max(F.struct("strahler", "n")).alias("m"))
-            mine = here.join(above, F.col("river_id") == F.col("__d"), "left")
-            order = F.coalesce(F.col("m.strahler") + (F.col("m.n") > 1).cast("int"), F.lit(1))
-            done = written(done.unionByName(mine.select("river_id", "downstream_river_id", "level", order.alias("strahler"))), "strahler")
-    return (done if done is not None else base.withColumn("strahler", F.lit(1))).select("river_id", "strahler")
+            here = here.join(above, F.col("river_id") == F.col("__d"), "left").withColumn("strahler", F.coalesce(F.col("m.strahler") + (F.col("m.n") > 1).cast("int"), F.lit(1)))
+        else:
+            here = here.withColumn("strahler", F.lit(1))
+        done.append(written(here.select("river_id", "downstream_river_id", "strahler"), "strahler"))
+    return reduce(DataFrame.union, done or [base.withColumn("strahler", F.lit(1))]).select("river_id", "strahler")
 
 
 def with_connectivity(params: DataFrame, connectivity: DataFrame, how: str = "inner") -> DataFrame:

@@ -14,6 +14,7 @@ substeps of a step, not below 0; the state that is carried on is the last subste
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Literal
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import packed
-from thalweg.operators.network import rooted
+from thalweg.operators.network import rooted, with_roots
 from thalweg.session import written
 
 Kind = Literal["channel", "rapid", "unit"]
@@ -80,20 +81,23 @@ def respond(kind: Kind, c: np.ndarray, now: np.ndarray, prev: np.ndarray, latera
     return out, full[:, -1] if s_count else q0, full, before
 
 
-def solve(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_steps: int) -> pd.DataFrame:
-    """A whole watershed: river_id, downstream_river_id, dist, c1..c3, v (array or null), q0 -> river_id, discharge, state."""
+def solve(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_steps: int, inflow: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[pd.DataFrame, list[tuple]]:
+    """A watershed or a piece of one: river_id, downstream_river_id, dist, fed, c1..c3, v (array or null), q0 -> river_id, discharge, state.
+
+    inflow: what a river gets from other pieces, now and before. Also given: (river_id, downstream id, now, before) of rivers that flow to others.
+    """
     pdf = pdf.sort_values(["dist", "river_id"], ascending=[False, True], ignore_index=True)
     place = {r: i for i, r in enumerate(pdf["river_id"])}
-    down = np.array([place.get(d, -1) for d in pdf["downstream_river_id"]])
+    flows_to = pdf["downstream_river_id"].to_numpy()
+    down = np.array([place.get(d, -1) for d in flows_to])
     n, s_count = len(pdf), n_steps * substeps
     c, q0, dist = pdf[["c1", "c2", "c3"]].to_numpy(float), pdf["q0"].to_numpy(float), pdf["dist"].to_numpy()
     lateral = None if kind == "channel" else np.stack(pdf["v"].to_list()).astype(float)
-    fed = np.zeros(n, bool)
-    fed[down[down >= 0]] = True
-    discharge, state = np.zeros((n, n_steps)), np.zeros(n)
+    fed = pdf["fed"].to_numpy(bool)
+    discharge, state, out = np.zeros((n, n_steps)), np.zeros(n), []
     # Only what is still to be received is held: the sums of a level leave once it is solved.
-    now: dict[int, np.ndarray] = {}
-    prev: dict[int, np.ndarray] = {}
+    now = {place[r]: x for r, (x, _) in (inflow or {}).items()}
+    prev = {place[r]: x for r, (_, x) in (inflow or {}).items()}
     nothing = np.zeros(s_count)
     edges = np.flatnonzero(np.concatenate([[True], dist[1:] != dist[:-1], [True]]))
     for a, b in zip(edges, edges[1:], strict=False):
@@ -101,19 +105,31 @@ def solve(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_step
         got_now = np.stack([now.pop(i, nothing) for i in rows])
         got_prev = np.stack([prev.pop(i, nothing) for i in rows])
         discharge[a:b], state[a:b], full, before = respond(kind, c[a:b], got_now, got_prev, None if lateral is None else lateral[a:b], q0[a:b], substeps, dt_runoff, fed[a:b])
-        for i in rows[down[a:b] >= 0]:
+        for i in rows:
             d = down[i]
-            now[d] = now[d] + full[i - a] if d in now else full[i - a]
-            prev[d] = prev[d] + before[i - a] if d in prev else before[i - a]
-    return pd.DataFrame({"river_id": pdf["river_id"], "discharge": list(discharge), "state": state})
+            if d >= 0:
+                now[d] = now[d] + full[i - a] if d in now else full[i - a]
+                prev[d] = prev[d] + before[i - a] if d in prev else before[i - a]
+            elif flows_to[i] >= 0:
+                out.append((pdf["river_id"][i], flows_to[i], full[i - a], before[i - a]))
+    return pd.DataFrame({"river_id": pdf["river_id"], "discharge": list(discharge), "state": state}), out
+
+
+def _solved(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_steps: int, inflow=None) -> tuple[pd.DataFrame, list[tuple]]:
+    if kind != "channel" and any(len(v) != n_steps for v in pdf["v"]):
+        raise ValueError(f"lateral inflow must have {n_steps} steps for every river")
+    return solve(kind, pdf, substeps, dt_runoff, n_steps, inflow)
 
 
 def prepared(net: DataFrame, lateral: DataFrame | None, state: DataFrame | None, dt_routing: float, member: str | None = None) -> DataFrame:
     """One row for each river (and member): topology, coefficients, inflow array v and initial flow q0.
 
-    Joined by river_id; a river without a series, or a series without a river, stops the query. lateral: river_id, (member), t, v.
+    Joined by river_id; a river without a series, or a series without a river, stops the query. lateral: river_id, (member), t, v. A network that
+    knows its roots (network.with_roots) is not searched for them again.
     """
-    base = coefficients(net, dt_routing).join(rooted(net), "river_id")
+    base = coefficients(net if "watershed_id" in net.columns else with_roots(net), dt_routing)
+    fed = base.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
+    base = base.join(fed, F.col("river_id") == F.col("__f"), "left").withColumn("fed", F.col("__f").isNotNull()).drop("__f")
     if state is not None:
         base = base.join(state.select("river_id", "q"), "river_id", "left")
     base = base.withColumn("q0", F.coalesce("q", F.lit(0.0)) if state is not None else F.lit(0.0))
@@ -133,72 +149,100 @@ def route_grouped(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float,
     schema = RESULT + (f", {member} string" if member else "")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if kind != "channel" and any(len(v) != n_steps for v in pdf["v"]):
-            raise ValueError(f"lateral inflow must have {n_steps} steps for every river")
-        out = solve(kind, pdf, substeps, dt_runoff, n_steps).assign(watershed_id=key[0])
+        out = _solved(kind, pdf, substeps, dt_runoff, n_steps)[0].assign(watershed_id=key[0])
         return out.assign(**{member: key[1]}) if member else out
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def route_levels(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n_steps: int, member: str | None = None) -> DataFrame:
-    """The same by levels, for watersheds too large for one task: each level is a join and an aggregation over all watersheds, by place in the
-    series, and a vectorised pass over its rivers. Levels are written to the shared folder."""
+def cut_to_pieces(rows: DataFrame, most: int) -> DataFrame:
+    """(river_id, piece, band): watersheds cut across at every `span` segments from the outlet, with the largest span for which no piece has over
+    `most` rivers (1 at last: a river is a piece). A piece is named by the river that it flows out of; it needs only those of the next band."""
+    net = written(rows.select("river_id", "downstream_river_id", "dist").distinct(), "pieces-rivers")
+    depth = net.agg(F.max("dist")).first()[0] or 0
+    span = 1 << max(0, int(depth).bit_length())
+    while True:
+        band = F.floor(F.col("dist") / span).cast("int")
+        cut = net.withColumn("downstream_river_id", F.when(F.col("dist") % span == 0, F.lit(-1).cast("long")).otherwise(F.col("downstream_river_id")))
+        pieces = written(rooted(cut).select(F.col("river_id").alias("__r"), F.col("watershed_id").alias("piece")), "pieces")
+        largest = pieces.groupBy("piece").count().agg(F.max("count")).first()[0] or 0
+        if largest <= most or span == 1:
+            return net.join(pieces, F.col("river_id") == F.col("__r")).select("river_id", "piece", band.alias("band"))
+        span //= 2
+
+
+def route_pieces(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n_steps: int, member: str | None = None, most: int = 1) -> DataFrame:
+    """The same for watersheds too large for one task: pieces of at most `most` rivers are solved band by band, from the headwaters down, each in a
+    task of its own; only the series of their outlets go on to the next band. Bands are written to the shared folder."""
     extra = [member] if member else []
-    rows = written(rows, "levels-input")
-    fed_ids = rows.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
-    rows = written(rows.join(fed_ids, F.col("river_id") == F.col("__f"), "left").withColumn("fed", F.col("__f").isNotNull()).drop("__f"), "levels-rivers")
-    s_count = n_steps * substeps
-    schema = ", ".join(["watershed_id long", "river_id long", "downstream_river_id long", "discharge array<double>", "state double", "now array<double>", "prev array<double>", *(f"{m} string" for m in extra)])
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if kind != "channel" and any(len(v) != n_steps for v in pdf["v"]):
-                raise ValueError(f"lateral inflow must have {n_steps} steps for every river")
-            arrays = [np.stack([np.zeros(s_count) if x is None else np.asarray(x, float) for x in pdf[name]]) for name in ("got_now", "got_prev")]
-            lateral = None if kind == "channel" else np.stack(pdf["v"].to_list()).astype(float)
-            out, state, full, before = respond(kind, pdf[["c1", "c2", "c3"]].to_numpy(float), *arrays, lateral, pdf["q0"].to_numpy(float), substeps, dt_runoff, pdf["fed"].to_numpy(bool))
-            yield pdf[["watershed_id", "river_id", "downstream_river_id", *extra]].assign(discharge=list(out), state=state, now=list(full), prev=list(before))
-
-    deepest = rows.agg(F.max("dist")).first()[0]
-    results, above = [], None
-    for dist in range(deepest if deepest is not None else -1, -1, -1):
-        here = rows.where(F.col("dist") == dist)
-        if above is None:
-            fed = here.withColumns({"got_now": F.lit(None).cast("array<double>"), "got_prev": F.lit(None).cast("array<double>")})
-        else:
-            each = above.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__d"), *extra, F.posexplode(F.arrays_zip("now", "prev")).alias("pos", "z"))
-            sums = each.groupBy("__d", *extra, "pos").agg(F.sum("z.now").alias("a"), F.sum("z.prev").alias("b"))
-            series = F.array_sort(F.collect_list(F.struct("pos", "a", "b")))
-            sums = sums.groupBy("__d", *extra).agg(series.alias("s")).select("__d", *[F.col(m).alias(f"__{m}") for m in extra], F.transform("s", lambda p: p["a"]).alias("got_now"), F.transform("s", lambda p: p["b"]).alias("got_prev"))
-            on = F.col("river_id") == F.col("__d")
-            for m in extra:
-                on = on & (F.col(m) == F.col(f"__{m}"))
-            fed = here.join(sums, on, "left")
-        above = written(fed.select("watershed_id", "river_id", "downstream_river_id", *extra, "c1", "c2", "c3", "q0", "fed", "v", "got_now", "got_prev").mapInPandas(run, schema), "levels")
-        results.append(above.select("watershed_id", "river_id", "discharge", "state", *extra))
-    if not results:
-        return route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-#: Numbers that one task may hold for a watershed: beyond it, watersheds are solved by levels.
+    cut = written(cut_to_pieces(rows, most), "pieces-cut")
+    named = cut.select(F.col("river_id").alias("__r"), "piece", "band")
+    rows = written(rows.join(named, F.col("river_id") == F.col("__r")).drop("__r"), "pieces-input")
+    given = ["now", "prev"]
+    columns = ["piece", "watershed_id", "river_id", "downstream_river_id", "dist", "fed", "c1", "c2", "c3", "q0", "v", *extra]
+    series = {g: F.lit(None).cast("array<double>").alias(g) for g in given}
+    schema = f"{RESULT}, downstream_river_id long, now array<double>, prev array<double>" + "".join(f", {m} string" for m in extra)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        comes = pdf["now"].notna()
+        inflow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for river, now, prev in zip(pdf["river_id"][comes], pdf["now"][comes], pdf["prev"][comes], strict=True):
+            a, b = inflow.get(river, (0.0, 0.0))
+            inflow[river] = (a + now, b + prev)
+        own = pdf[~comes].reset_index(drop=True)
+        out, leaves = _solved(kind, own, substeps, dt_runoff, n_steps, inflow)
+        leaves = {r: x for r, *x in leaves}
+        each = [leaves.get(r, (None, None, None)) for r in out["river_id"]]
+        out = out.assign(watershed_id=own["watershed_id"].iloc[0], downstream_river_id=pd.array([x[0] for x in each], "Int64"), now=[x[1] for x in each], prev=[x[2] for x in each])
+        return out.assign(**{m: own[m].iloc[0] for m in extra})
+
+    last = cut.agg(F.max("band")).first()[0]
+    bands, above = [], None
+    for band in range(last if last is not None else -1, -1, -1):
+        here = rows.where(F.col("band") == band).select(*columns, *series.values())
+        if above is not None:
+            target = named.where(F.col("band") == band).select("__r", "piece")
+            comes = above.where("downstream_river_id IS NOT NULL").join(target, F.col("downstream_river_id") == F.col("__r"))
+            here = here.unionByName(comes.select("piece", F.col("__r").alias("river_id"), *given, *extra), allowMissingColumns=True)
+        above = written(here.groupBy("piece", *extra).applyInPandas(run, schema), "pieces-band")
+        bands.append(above.select("watershed_id", "river_id", "discharge", "state", *extra))
+    return reduce(DataFrame.unionByName, bands) if bands else route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
+
+
+#: Numbers of a series that one task may hold for all its rivers: larger watersheds are cut to pieces.
 TASK_NUMBERS = 40_000_000
 
 
-def route(kind: Kind, net: DataFrame, lateral: DataFrame | None, n_steps: int, dt_runoff: float, substeps: int = 1, state: DataFrame | None = None, member: str | None = None, strategy: str = "auto") -> DataFrame:
-    """Discharge arrays and states of all rivers; `auto` looks at the largest watershed first."""
+def route(
+    kind: Kind,
+    net: DataFrame,
+    lateral: DataFrame | None,
+    n_steps: int,
+    dt_runoff: float,
+    substeps: int = 1,
+    state: DataFrame | None = None,
+    member: str | None = None,
+    strategy: Literal["auto", "grouped", "levels"] = "auto",
+    task_numbers: int = TASK_NUMBERS,
+) -> DataFrame:
+    """Discharge arrays and states of all rivers.
+
+    auto: watersheds whose series fit a task are solved whole, the others in pieces that fit. grouped: all whole; levels: all in pieces.
+    """
     rows = prepared(net, lateral, state, dt_runoff / substeps, member)
-    if strategy == "auto":
-        rows = written(rows, "routing")
-        by = rows.groupBy("watershed_id", *([member] if member else [])).count().agg(F.max("count")).first()[0] or 0
-        strategy = "levels" if by * n_steps * substeps > TASK_NUMBERS else "grouped"
-    return (route_levels if strategy == "levels" else route_grouped)(kind, rows, substeps, dt_runoff, n_steps, member)
+    most = max(1, task_numbers // max(1, n_steps * substeps))
+    if strategy == "grouped":
+        return route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
+    rows = written(rows, "routing")
+    if strategy == "levels":
+        return route_pieces(kind, rows, substeps, dt_runoff, n_steps, member, most)
+    sizes = rows.groupBy("watershed_id", *([member] if member else [])).count().groupBy(F.col("watershed_id").alias("__w")).agg(F.max("count").alias("n"))
+    large = written(sizes.where(F.col("n") > most), "routing-large")
+    if large.isEmpty():
+        return route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
+    is_large = F.col("watershed_id") == F.col("__w")
+    whole = route_grouped(kind, rows.join(large, is_large, "left_anti"), substeps, dt_runoff, n_steps, member)
+    return whole.unionByName(route_pieces(kind, rows.join(large, is_large, "left_semi"), substeps, dt_runoff, n_steps, member, most))
 
 
 def long_series(routed: DataFrame, *keys: str) -> DataFrame:
