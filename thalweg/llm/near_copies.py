@@ -49,7 +49,17 @@ def prefix(s: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    return np.packbits(np.bincount((s.view(np.uint64) % SKETCH).astype(np.int64), minlength=SKETCH) % 2 == 1).view(np.int64)
+    """Parities of how many shingles fall on each bit: SKETCH bits, or about twice as many as a larger set has shingles. The number of bits is a power
+    of two, so that a sketch folded in half is that of the half size."""
+    bits = max(SKETCH, 1 << (2 * len(s)).bit_length())
+    return np.packbits(np.bincount((s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) % 2 == 1).view(np.int64)
+
+
+def _folded(name: str, other: str):
+    """A sketch at the size of the other one, which is half as long at least: sets of close sizes have no other ones."""
+    half = F.size(name) / 2
+    halves = F.zip_with(F.slice(name, F.lit(1), half.cast("int")), F.slice(name, (half + 1).cast("int"), half.cast("int")), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(name) > F.size(other), halves).otherwise(F.col(name))
 
 
 def _same(a: str, b: str):
@@ -70,7 +80,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (u, v) of nodes, those of the similarity or above by their whole sets; sizes and sketches spare most others these."""
     a, b = (nodes.select(F.col("node").alias(f"__{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "uv")
-    differ = F.aggregate(F.zip_with("ku", "kv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    differ = F.aggregate(F.zip_with(_folded("ku", "kv"), _folded("kv", "ku"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     close = pairs.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v")).where(_close("nu", "nv", similarity) & (differ <= (F.col("nu") + F.col("nv")) * (1 - similarity) / (1 + similarity) + 1e-9))
     close = written(close.select("u", "v"), "copies-close")
     met = close.select(F.col("u").alias("met")).union(close.select("v")).distinct()
@@ -97,10 +107,10 @@ def by_fingerprint(nodes: DataFrame, distance: int) -> DataFrame:
     return same.union(near)
 
 
-def parted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, size, component, n): the keys of nodes that hold more than one component, after those links."""
+def parted(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Of keys (key, node, size), those that hold more than one component after those links: key, node, size, component, n."""
     reached = components(links).withColumnRenamed("node", "__node")
-    keys = nodes.join(reached, F.col("node") == F.col("__node"), "left").select(F.explode("prefix").alias("key"), "node", "size", F.coalesce("component", "node").alias("component"))
+    keys = keys.join(reached, F.col("node") == F.col("__node"), "left").select(*((F.explode("prefix").alias("key"),) if "prefix" in keys.columns else ("key",)), "node", "size", F.coalesce("component", "node").alias("component"))
     keys = keys.repartition("key")  # dealt once, for the aggregation and for the join
     several = keys.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("c"), F.max("size").alias("d")).where("a < b")
     return written(keys.join(several, F.col("key") == F.col("__key")).select("key", "node", "size", "component", "n"), "copies-keys")
@@ -113,15 +123,16 @@ def links(texts: DataFrame, nodes: DataFrame, words: int, similarity: float, dis
     """
     found = verified(by_fingerprint(nodes, distance), texts, nodes, words, similarity)
     sketches = nodes.select("node", "sketch")
-    for forest in (True, False):
-        left = parted(nodes, found)
-        small = left.where(F.col("n") <= BUCKET)
-        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _close("a.size", "b.size", similarity)
-        pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        many = crowded(left.where(F.col("n") > BUCKET), sketches, similarity, forest)
-        pairs = (pairs.union(many) if forest else many).distinct()  # small keys have given all their pairs the first time
-        found = found.union(verified(pairs, texts, nodes, words, similarity))
-    return found
+    left = parted(nodes.select("node", "size", "prefix"), found)
+    small = left.where(F.col("n") <= BUCKET)
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _close("a.size", "b.size", similarity)
+    pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    large = left.where(F.col("n") > BUCKET)
+    pairs = pairs.union(crowded(large, sketches, similarity, True)).distinct()
+    found = written(found.union(verified(pairs, texts, nodes, words, similarity)), "copies-found")
+    # Crowded keys again, now all pairs of what has stayed apart.
+    apart = parted(large.select("key", "node", "size"), found)
+    return found.union(verified(crowded(apart, sketches, similarity, False).distinct(), texts, nodes, words, similarity))
 
 
 def crowded(rows: DataFrame, sketches: DataFrame, similarity: float, forest: bool) -> DataFrame:
@@ -137,14 +148,14 @@ def crowded(rows: DataFrame, sketches: DataFrame, similarity: float, forest: boo
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, size, component, own = (pdf[c].to_numpy() for c in ("node", "size", "component", "own"))
         tree = np.unique(component, return_inverse=True)[1]  # what is connected so far
-        bits = np.stack(pdf["value"].to_numpy()).view(np.uint64)
+        sketches = _Sketches(pdf["value"])
         one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(pdf)):
             near = (tree != tree[k]) & (node > node[k]) & (one_block | (own != own[k]))
             near &= np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k]) - 1e-9
             at = np.flatnonzero(near)
-            differ = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
+            differ = sketches.differ(k, at)
             at = at[differ <= (size[at] + size[k]) * (1 - similarity) / (1 + similarity) + 1e-9]
             if forest and len(at):
                 met, first = np.unique(tree[at], return_index=True)
@@ -157,6 +168,31 @@ def crowded(rows: DataFrame, sketches: DataFrame, similarity: float, forest: boo
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
+class _Sketches:
+    """Sketches of several sizes, each also folded in half."""
+
+    def __init__(self, values: pd.Series):
+        self.size = values.str.len().to_numpy(np.int64)
+        self.place = np.zeros(len(values), np.int64)
+        self.whole: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.place[at] = np.arange(len(at))
+            self.whole[size] = np.stack([values.iloc[i] for i in at]).view(np.uint64)
+            self.half[size] = self.whole[size][:, : size // 2] ^ self.whole[size][:, size // 2 :]
+
+    def differ(self, k: int, at: np.ndarray) -> np.ndarray:
+        """In how many bits, at the smaller size, k differs from each of those; their sizes are the same, half or double."""
+        out = np.zeros(len(at), np.int64)
+        size, own = int(self.size[k]), self.place[k]
+        for other, mine, theirs in ((size, self.whole, self.whole), (size // 2, self.half, self.whole), (size * 2, self.whole, self.half)):
+            of = self.size[at] == other
+            if of.any():
+                out[of] = np.bitwise_count(theirs[other][self.place[at[of]]] ^ mine[size][own]).sum(1, dtype=np.int64)
+        return out
+
+
 def one_of_each(docs: DataFrame, words: int, similarity: float, distance: int, text: str = "text") -> DataFrame:
     """The rows of docs, columns as they were, that stand for their components: the smallest doc_id (null last), and one row of repeated ones.
 
