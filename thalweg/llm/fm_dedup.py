@@ -26,9 +26,8 @@ from thalweg.llm.common import documents
 from thalweg.llm.repeats import LAST, Units, covered, marked_windows, scramble, search, with_verdicts
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
-from thalweg.llm.suffix_dedup import suffix_array
 
-WIDTH, GRAM = 13, 7
+WIDTH, GRAM, STEP = 13, 7, 2
 
 
 class Words(Units):
@@ -65,12 +64,28 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
 
+def suffix_order(s: np.ndarray) -> np.ndarray:
+    """The suffixes of s in order, by doubling the length that they are ranked by until no two ranks are equal."""
+    rank, order = np.unique(s, return_inverse=True)[1].astype(np.int64), np.argsort(s, kind="stable")
+    n, have = len(s), 1
+    while True:
+        follow = np.zeros(n, np.int64)
+        follow[: max(0, n - have)] = rank[have:] + 1  # what has ended is the least
+        both = rank * (n + 1) + follow
+        order = np.argsort(both, kind="stable")
+        step = np.concatenate([[False], both[order[1:]] != both[order[:-1]]])
+        rank[order] = np.cumsum(step)
+        if n == 0 or step.sum() == n - 1:
+            return order
+        have *= 2
+
+
 class Index:
     """The full-text index of a sequence of numbers below `top`: counts of smaller symbols, a wavelet matrix of the transform, and for each place in
     the order of suffixes the value of the sequence's member that starts it."""
 
     def __init__(self, s: np.ndarray, top: int, values: np.ndarray):
-        order = suffix_array(s, top - 1)
+        order = suffix_order(s)
         self.values = values[order]
         self.size = len(s)
         transform = s[order - 1]
@@ -80,6 +95,8 @@ class Index:
             bits = (transform >> shift & 1).astype(bool)
             self.levels.append((shift, Bits(bits)))
             transform = np.concatenate([transform[~bits], transform[bits]])
+        # Where a symbol's places begin, less where its path begins at the bottom of the matrix.
+        self.begin = self.smaller[:-1] - self.descend(np.arange(top), np.zeros(top, np.int64))
 
     def descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where place i of the transform comes to at the bottom of the matrix, on the path of symbol c."""
@@ -96,9 +113,10 @@ class Index:
         on = np.arange(n)
         for column in range(patterns.shape[1] - 1, -1, -1):
             c = patterns[on, column]
-            base = self.descend(c, np.zeros(len(c), np.int64))
-            a = self.smaller[c] + self.descend(c, lo[on]) - base
-            b = self.smaller[c] + self.descend(c, hi[on]) - base
+            # Nothing is before the first symbol of a search: its interval is that of the symbol.
+            whole = column == patterns.shape[1] - 1
+            a = self.smaller[c] if whole else self.begin[c] + self.descend(c, lo[on])
+            b = self.smaller[c + 1] if whole else self.begin[c] + self.descend(c, hi[on])
             go = a < b
             on = on[go]
             lo[on], hi[on] = a[go], b[go]
@@ -126,25 +144,51 @@ def range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarra
 STREAM = 1 << 15
 
 
+def possible(rows: list[list[int]], pdf: pd.DataFrame) -> list[np.ndarray]:
+    """For each stretch, which windows may also be in another of its anchor: those that reach from `left` to under left + STEP words before the anchor
+    hold what these have in common, and another stretch must hold it at the same place."""
+    seen: dict[tuple, int] = {}
+    own = []
+    for row, anchor, at, windows in zip(rows, pdf["anchor"], pdf["offset"], pdf["windows"], strict=True):
+        pieces = []
+        for left in range((at - windows + 1) // STEP * STEP, at + 1, STEP):
+            piece = (anchor, left, *row[max(0, at - left) : at - left - STEP + 1 + WIDTH])
+            seen[piece] = seen.get(piece, 0) + 1
+            pieces.append((left, piece))
+        own.append(pieces)
+    out = []
+    for pieces, at, windows in zip(own, pdf["offset"], pdf["windows"], strict=True):
+        lefts = [left for left, piece in pieces if seen[piece] > 1]
+        some = np.array([at - left - k for left in lefts for k in range(STEP)], np.int64)
+        out.append(some[(some >= 0) & (some < windows)])
+    return out
+
+
 def judge(pdf: pd.DataFrame) -> list[bytes]:
     """For each window of each stretch, eight bytes: the smallest doc_id of the shard's stretches that hold it."""
     number: dict[bytes, int] = {}
     rows = [[number.setdefault(w, len(number)) for w in content.split()] for content in pdf["content"]]
-    if not rows:
-        return []
-    words = len(number)
-    sizes = np.array([len(row) for row in rows])
-    s = np.array([x for row in rows for x in (*row, words)], np.int64)
-    ids, rank = np.unique(pdf["first"].to_numpy(np.int64), return_inverse=True)
-    index = Index(s, words + 1, np.repeat(rank.astype(np.int32), sizes + 1))
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    windows = sizes - WIDTH + 1
-    places = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-    least = np.empty(len(places), np.int64)
-    for at in range(0, len(places), STREAM):
-        lo, hi, _ = index.search(s[places[at : at + STREAM, None] + np.arange(WIDTH)])  # each is found: its own stretch holds it
-        least[at : at + STREAM] = ids[range_least(index.values, lo, hi)]
-    return [x.tobytes() for x in np.split(least, np.cumsum(windows)[:-1])]
+    least = [np.full(windows, first, np.int64) for windows, first in zip(pdf["windows"], pdf["first"], strict=True)]
+    asked = possible(rows, pdf)
+    held = [k for k, windows in enumerate(asked) if len(windows)]
+    if held:
+        sizes = np.array([len(rows[k]) for k in held])
+        words = np.array([x for k in held for x in (*rows[k], -1)], np.int64)
+        s = np.unique(words, return_inverse=True)[1]  # the end of a stretch is the least symbol
+        ids, rank = np.unique(pdf["first"].to_numpy(np.int64)[held], return_inverse=True)
+        index = Index(s, int(s.max()) + 1, np.repeat(rank.astype(np.int32), sizes + 1))
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        owner = np.repeat(np.arange(len(held)), [len(asked[k]) for k in held])
+        window = np.concatenate([asked[k] for k in held])
+        places = starts[owner] + window
+        found = np.empty(len(places), np.int64)
+        for at in range(0, len(places), STREAM):
+            lo, hi, _ = index.search(s[places[at : at + STREAM, None] + np.arange(WIDTH)])  # each is found: its own stretch holds it
+            found[at : at + STREAM] = ids[range_least(index.values, lo, hi)]
+        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+        for k, at, x in zip(held, np.split(window, cuts), np.split(found, cuts), strict=True):
+            least[k][at] = x
+    return [x.tobytes() for x in least]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -153,6 +197,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
+        none = np.zeros(0, np.int64)
+
         def rows():
             for doc_id, text, _, first, found in texts(batches):
                 words = text.encode().split()
@@ -160,10 +206,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 if first is not None and first < own:
                     gone = np.full(len(words), len(words) >= WIDTH)
                 else:
-                    some = [a[m < own] for a, m in marked_windows(found, np.int64)]
-                    gone = covered(len(words), np.concatenate([np.zeros(0, np.int64), *some]), WIDTH)
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                yield doc_id, kept.decode(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
+                    some = np.concatenate([none, *(a[m < own] for a, m in marked_windows(found, np.int64))])
+                    gone = covered(len(words), some, WIDTH) if len(some) else none
+                n = int(gone.sum())
+                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words)
+                yield doc_id, kept.decode(), len(words), n, hashlib.sha256(kept).hexdigest()
 
         return chunks(rows(), schema, 512)
 

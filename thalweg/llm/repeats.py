@@ -199,7 +199,7 @@ def candidates(docs: DataFrame, texts: DataFrame, units: Units, within: bool) ->
     found = anchors(one.select(F.xxhash64("key").alias("id"), "text"), units).repartition("anchor")  # dealt once, for the aggregation and for the join
     counted = found.groupBy(F.col("anchor").alias("__anchor")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("n").alias("most"))
     shared = counted.where("a < b OR most > 1" if within else "a < b").select("__anchor")
-    own = found.join(shared, F.col("anchor") == F.col("__anchor")).groupBy(F.col("id").alias("__id")).agg(F.collect_set("anchor").alias("shared"))
+    own = found.join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor")).groupBy(F.col("id").alias("__id")).agg(F.collect_set("anchor").alias("shared"))
     own = written(texts.join(own, F.xxhash64("key") == F.col("__id")).select(F.col("file").alias("__file"), F.col("at").alias("__at"), "first", "rows", "shared"), "repeats-shared")
     some = maybe(named, bit_table(own, "__file", "__at"), "file", "at").where("held")
     return written(contents(some.join(own, at("file", "at")), units), "repeats-candidates")

@@ -275,6 +275,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 size = len(raw)
                 if (times or 0) > 1:
                     gone, short = np.full(size, size >= WIDTH), np.full(size, size >= SHORT)
+                elif not found:
+                    yield doc_id, raw, size, 0, 0, hashlib.sha256(raw).hexdigest(), 0
+                    continue
                 else:
                     some = [(a[m == 2], a[m > 0]) for a, m in marked_windows(found, np.uint8)]
                     gone, short = (covered(size, np.concatenate([np.zeros(0, np.int64), *(x[k] for x in some)]), w) for k, w in ((0, WIDTH), (1, SHORT)))
