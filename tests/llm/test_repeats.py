@@ -24,7 +24,7 @@ def marked(raws, width):
 
 def bytes_by_force(found):
     raws = [(t or "").encode() for _, t in found]
-    for (doc_id, _), raw, gone, short in zip(found, raws, marked(raws, 400), marked(raws, 256), strict=True):
+    for (doc_id, _), raw, gone, short in zip(found, raws, marked(raws, 400), marked(raws, 288), strict=True):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         yield doc_id, len(raw), int(gone.sum()), spans, sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest(), int(short.sum())
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from thalweg.llm.common import SLICE, bit_table, maybe, placed, small_batches, spent, text_key, written
 
 #: Distinct stretches of one anchor that a shard takes, and units of stretches in a shard.
-CROWD, SHARD_UNITS = 512, 400_000
+CROWD, SHARD_UNITS = 2048, 1_000_000
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 

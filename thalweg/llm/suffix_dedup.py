@@ -27,7 +27,7 @@ from thalweg.llm.repeats import Units, covered, marked_windows, runs, scramble,
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
 
-WIDTH, SHORT, GRAM, STEP = 400, 256, 64, 34
+WIDTH, SHORT, GRAM, STEP = 400, 288, 48, 34
 _CODES = scramble(np.arange(1, 257))
 #: Stands after each stretch: no byte of UTF-8.
 END = 255
@@ -65,10 +65,16 @@ def _induced_whole(s: np.ndarray, smaller: np.ndarray, heads: np.ndarray, ends:
     seeded[c] -= count
     head = heads.copy()
 
+    narrow = s.astype(np.uint16)  # sorted by counting
+
     def put(found: np.ndarray, at: np.ndarray, step: int) -> None:
-        symbol = s[found]
+        if not len(found):
+            return
+        symbol = narrow[found]
         by = np.argsort(symbol, kind="stable")
-        c, start, count = np.unique(symbol[by], return_index=True, return_counts=True)
+        ordered = symbol[by]
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        c, count = ordered[start], np.diff(start, append=len(found))
         rank = np.arange(len(found)) - np.repeat(start, count)
         sa[np.repeat(at[c], count) + (rank if step > 0 else -1 - rank)] = found[by]
         at[c] += step * count
