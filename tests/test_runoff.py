@@ -1,14 +1,19 @@
 import math
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.functions import metrics
+from thalweg.functions import geometry, metrics
 from thalweg.operators import runoff, weights
 from thalweg.sources import io, views
 
 
+def area(ring):
+    return float(geometry.areas(np.array(ring, float), np.zeros(len(ring), np.int64), 1)[0])
+
+
 def series(df):
     return {(r["river_id"], r["t"]): r["v"] for r in df.collect()}
 
@@ -56,19 +61,52 @@ def test_overlay_splits_a_rectangle_exactly(spark, sf):
     for r in sums:
         k = r["river_id"] - 1
         x0, y0 = k * 11.0 - 140, k * 4.0 - 50
-        whole = weights.area(np.array([[x0, y0], [x0 + 20, y0], [x0 + 20, y0 + 12], [x0, y0 + 12]]))
+        whole = area([[x0, y0], [x0 + 20, y0], [x0 + 20, y0 + 12], [x0, y0 + 12]])
         assert math.isclose(r["p"], 1, rel_tol=1e-9) and math.isclose(r["a"], whole, rel_tol=1e-9)
     with pytest.raises(KeyError):
         weights.overlay(c, views.boxes(spark, sf).drop("ring"))
 
 
 def test_clip_keeps_what_is_inside():
-    triangle = np.array([[0, 0], [4, 0], [0, 4], [0, 0]], float)
-    cut = weights.clip(triangle, 0, 1, 0, 1)
-    assert {tuple(p) for p in cut} == {(0, 0), (1, 0), (1, 1), (0, 1)}
-    assert len(weights.clip(triangle, 5, 6, 5, 6)) == 0
+    triangle = [[0, 0], [4, 0], [0, 4], [0, 0]]
+    far, none = [[9, 9], [10, 9], [10, 10]], [[0, 0], [0, 0], [0, 0]]
+    points, ring = geometry.clipped(np.array(triangle + far + none, float), np.repeat([0, 1, 2], [4, 3, 3]), np.array([[0, 1, 0, 1], [5, 6, 5, 6], [0, 1, 0, 1]], float))
+    assert {tuple(p) for p in points[ring == 0]} == {(0, 0), (1, 0), (1, 1), (0, 1)} and not (ring == 1).any()
     # The whole ellipsoid's area: both hemispheres of the projection.
-    assert math.isclose(weights.area(np.array([[-180, -90], [180, -90], [180, 90], [-180, 90]], float)), 5.10065621724e14, rel_tol=1e-9)
+    assert math.isclose(area([[-180, -90], [180, -90], [180, 90], [-180, 90]]), 5.10065621724e14, rel_tol=1e-9)
+
+
+def test_shapes_from_well_known_binary():
+    parts = [[[(0.0, 0.0), (3.0, 0.0), (0.0, 3.0), (0.0, 0.0)]], [[(5.0, 5.0), (9.0, 5.0), (9.0, 9.0), (5.0, 5.0)], [(6.0, 5.5), (7.0, 5.5), (7.0, 6.0), (6.0, 5.5)]]]
+    assert [[[tuple(p) for p in r] for r in rings] for rings in geometry.polygons(geometry.multipolygon(parts))] == parts
+    # Big-endian, one polygon with heights.
+    raw = struct.pack(">BIII", 0, 1003, 1, 3) + struct.pack(">9d", 0, 0, 7, 1, 0, 7, 1, 1, 7)
+    assert geometry.polygons(raw)[0][0].tolist() == [[0, 0], [1, 0], [1, 1]]
+    with pytest.raises(ValueError, match="neither"):
+        geometry.polygons(struct.pack("<BI2d", 1, 1, 0, 0))
+
+
+def test_overlay_of_slanted_shapes_covers_them(spark):
+    """Triangles and a shape with a hole over a fine grid: cells' areas sum to the shapes', and weights come in order."""
+    axis = lambda name: spark.range(40).select(F.col("id").cast("int").alias(f"{name}_index"), (F.col("id") * 0.5).alias(name))
+    shapes = [[[(1.3, 2.1), (9.7, 3.4), (4.2, 11.9)]], [[(10.0, 10.0), (18.0, 10.0), (18.0, 18.0), (10.0, 18.0)], [(12.0, 12.0), (15.0, 12.5), (13.0, 16.0)]]]
+    point = "struct<x:double,y:double>"
+    catchments = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, rings in enumerate(shapes)], f"river_id long, rings array<array<{point}>>")
+    found = weights.overlay(weights.cells(axis("x"), axis("y")), catchments).collect()
+    for k, rings in enumerate(shapes):
+        whole = area(rings[0]) - sum(area(r) for r in rings[1:])
+        # Slanted edges are straight in degrees: cut at cell borders they follow the projection more closely.
+        assert math.isclose(sum(r["area_sqm"] for r in found if r["river_id"] == k), whole, rel_tol=1e-3)
+    assert [(r["river_id"], -r["area_sqm"]) for r in found] == sorted((r["river_id"], -r["area_sqm"]) for r in found)
+
+
+def test_numbers_and_nearest_lines(spark):
+    df = spark.range(500).select(((F.col("id") * 37) % 101).alias("a"), "id").repartition(7)
+    got = {r["row"]: (r["a"], r["id"]) for r in weights.numbered(df, "a", "id").collect()}
+    assert [got[i] for i in range(1, 501)] == sorted((i * 37 % 101, i) for i in range(500))
+    axis = spark.createDataFrame([(0, 0.0), (1, 10.0), (2, 20.0)], "i int, v double")
+    points = spark.createDataFrame([(-3.0,), (5.0,), (5.1,), (99.0,)], "x double")
+    assert [r["near"] for r in weights.nearest(points, axis, "i", "v", "x", "near").orderBy("x").collect()] == [0, 0, 1, 2]
 
 
 def test_metrics_guard_constants(spark):

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: WGS 84: semi-major axis in metres and first eccentricity.
-AXIS, ECCENTRICITY = 6378137.0, math.sqrt((2 - 1 / 298.257223563) / 298.257223563)
+from thalweg.functions.geometry import areas, clipped
+from thalweg.session import written
+
 WEIGHT_COLUMNS = ("river_id", "x_index", "y_index", "x", "y", "area_sqm", "proportion")
 
 
@@ -52,72 +51,77 @@ def cells(x_axis: DataFrame, y_axis: DataFrame) -> DataFrame:
     return both.withColumn("x", (F.col("x_min") + F.col("x_max")) / 2).withColumn("y", (F.col("y_min") + F.col("y_max")) / 2)
 
 
-def equal_area_y(lat: np.ndarray) -> np.ndarray:
-    """Northing of the ellipsoidal cylindrical equal-area projection, in metres."""
-    s, e = np.sin(np.radians(lat)), ECCENTRICITY
-    return AXIS * (1 - e * e) / 2 * (s / (1 - (e * s) ** 2) + np.arctanh(e * s) / e)
-
-
-def clip(ring: np.ndarray, x_min: float, x_max: float, y_min: float, y_max: float) -> np.ndarray:
-    """The part of a ring inside a rectangle: cut by its four sides in turn."""
-    points = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
-    for axis, limit, sign in ((0, x_min, 1), (0, x_max, -1), (1, y_min, 1), (1, y_max, -1)):
-        if not len(points):
-            break
-        inside = sign * (points[:, axis] - limit) >= 0
-        out = []
-        for i in range(len(points)):
-            a, b, p, q = inside[i - 1], inside[i], points[i - 1], points[i]
-            if a != b:
-                out.append(p + (q - p) * (limit - p[axis]) / (q[axis] - p[axis]))
-            if b:
-                out.append(q)
-        points = np.array(out).reshape(-1, 2)
-    return points
+def nearest(points: DataFrame, axis: DataFrame, index: str, value: str, point: str, name: str) -> DataFrame:
+    """points with `name`: the index of the axis's nearest value (the smaller index of two as near). An axis has a row a grid line."""
+    lines = axis.agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(index).alias("i"))).alias("__lines"))
+    best = F.array_min(F.transform("__lines", lambda p: F.struct(F.abs(p["v"] - F.col(point)).alias("d"), p["i"].alias("i"))))
+    return points.crossJoin(F.broadcast(lines)).withColumn(name, best["i"]).drop("__lines")  # one row
 
 
-def area(points: np.ndarray) -> float:
-    """Area of a ring of degrees in the equal-area projection, in square metres."""
-    if len(points) < 3:
-        return 0.0
-    x, y = AXIS * np.radians(points[:, 0]), equal_area_y(points[:, 1])
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+def in_order(grid_cells: DataFrame) -> DataFrame:
+    """Cells in the order of their x, then y."""
+    return grid_cells.orderBy("x", "y")
 
 
 def overlay(grid_cells: DataFrame, catchments: DataFrame, river_id: str = "river_id") -> DataFrame:
-    """Weights from the areas of cells within catchments (river_id, ring), in the order of river, then area descending.
+    """Weights from the areas of cells within catchments, in the order of river, then area descending.
 
-    Candidates come from a join on bounding boxes: boxes are dealt to square bins of longitude and latitude, so the join is on equal bins.
+    catchments: river_id and ring (an array of points), or rings (an outer ring and its holes); a river of several parts has several rows.
+    Candidates come from a join on bounding boxes: what boxes cover of the catchments' common box is dealt to bins of about a cell's size, so the
+    join is on equal bins, and a bin holds few cells whatever their size. Rings are clipped and measured for a whole batch at a time.
     """
-    for need, df in (({river_id, "ring"}, catchments), ({"x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max"}, grid_cells)):
+    shape = "rings" if "rings" in catchments.columns else "ring"
+    for need, df in (({river_id, shape}, catchments), ({"x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max"}, grid_cells)):
         if missing := need - set(df.columns):
             raise KeyError(f"missing columns: {sorted(missing)}")
-    size = 5.0
-    edge = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
-    boxed = catchments.select(river_id, "ring", edge(F.array_min, "x").alias("bx0"), edge(F.array_max, "x").alias("bx1"), edge(F.array_min, "y").alias("by0"), edge(F.array_max, "y").alias("by1"))
+    rings = F.col("rings") if shape == "rings" else F.array("ring")
+    outer = lambda f, axis: f(F.transform(F.col("rings")[0], lambda p: p[axis]))
+    boxed = catchments.select(river_id, rings.alias("rings")).withColumns({"bx0": outer(F.array_min, "x"), "bx1": outer(F.array_max, "x"), "by0": outer(F.array_min, "y"), "by1": outer(F.array_max, "y")})
+    box = boxed.agg(F.min("bx0").alias("wx0"), F.max("bx1").alias("wx1"), F.min("by0").alias("wy0"), F.max("by1").alias("wy1"))
+    step = grid_cells.agg(F.percentile_approx(F.col("x_max") - F.col("x_min"), 0.5).alias("sx"), F.percentile_approx(F.col("y_max") - F.col("y_min"), 0.5).alias("sy"))
+    about = F.broadcast(box.crossJoin(step))  # one row
 
     def binned(df: DataFrame, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
-        steps = lambda a, b, low: F.explode(F.sequence(F.greatest(F.floor(F.col(a) / size), F.lit(-low)).cast("int"), F.least(F.floor(F.col(b) / size), F.lit(low)).cast("int")))
-        return df.withColumn("bin_x", steps(x0, x1, 73)).withColumn("bin_y", steps(y0, y1, 37))
+        place = lambda edge, low, high, size: F.floor((F.greatest(F.least(F.col(edge), F.col(high)), F.col(low)) - F.col(low)) / F.col(size)).cast("int")
+        bins = lambda a, b, *w: F.explode(F.sequence(place(a, *w), place(b, *w)))
+        known = df.crossJoin(about).where((F.col(x0) < F.col("wx1")) & (F.col(x1) > F.col("wx0")) & (F.col(y0) < F.col("wy1")) & (F.col(y1) > F.col("wy0")))
+        first = known.withColumn(f"first_{x0}", place(x0, "wx0", "wx1", "sx")).withColumn(f"first_{y0}", place(y0, "wy0", "wy1", "sy"))
+        return first.withColumn("bin_x", bins(x0, x1, "wx0", "wx1", "sx")).withColumn("bin_y", bins(y0, y1, "wy0", "wy1", "sy")).drop(*about.columns)
 
-    c = binned(grid_cells.withColumn("cx0", F.greatest("x_min", F.lit(-360.0))).withColumn("cx1", F.least("x_max", F.lit(360.0))).withColumn("cy0", F.greatest("y_min", F.lit(-180.0))).withColumn("cy1", F.least("y_max", F.lit(180.0))), "cx0", "cx1", "cy0", "cy1")
+    c = binned(grid_cells.select("x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max"), "x_min", "x_max", "y_min", "y_max")
     b = binned(boxed, "bx0", "bx1", "by0", "by1")
     meet = (F.col("x_min") < F.col("bx1")) & (F.col("x_max") > F.col("bx0")) & (F.col("y_min") < F.col("by1")) & (F.col("y_max") > F.col("by0"))
     # A pair meets in several bins; it counts in the one that holds the lower corner of the common box.
-    corner = (F.col("bin_x") == F.floor(F.greatest("cx0", "bx0") / size)) & (F.col("bin_y") == F.floor(F.greatest("cy0", "by0") / size))
-    near = b.join(c, ["bin_x", "bin_y"]).where(meet & corner).select(river_id, "ring", "x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max")
-
-    def clipped(batches):
-        for pdf in batches:
-            found = [area(clip(np.array([[p["x"], p["y"]] for p in r], float), *box)) for r, *box in zip(pdf["ring"], pdf["x_min"], pdf["x_max"], pdf["y_min"], pdf["y_max"], strict=True)]
-            yield pd.DataFrame(pdf[[river_id, "x_index", "y_index", "x", "y"]]).assign(area_sqm=np.array(found, float))
+    corner = (F.col("bin_x") == F.greatest("first_x_min", "first_bx0")) & (F.col("bin_y") == F.greatest("first_y_min", "first_by0"))
+    near = b.join(c, ["bin_x", "bin_y"]).where(meet & corner).select(river_id, "rings", "x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max")
+
+    def measured(batches):
+        for batch in batches:
+            flat = [(row, hole, [(p["x"], p["y"]) for p in ring]) for row, shapes in enumerate(batch.column("rings").to_pylist()) for hole, ring in enumerate(shapes)]
+            row = np.array([f[0] for f in flat], np.int64)
+            points = np.array([p for f in flat for p in f[2]], float).reshape(-1, 2)
+            ring = np.repeat(np.arange(len(flat)), [len(f[2]) for f in flat])
+            boxes = np.stack([batch.column(c).to_numpy() for c in ("x_min", "x_max", "y_min", "y_max")], axis=1)[row]
+            sign = np.where(np.array([f[1] for f in flat]) > 0, -1.0, 1.0)
+            found = np.bincount(row, sign * areas(*clipped(points, ring, boxes), len(flat)), minlength=batch.num_rows)
+            yield batch.select([river_id, "x_index", "y_index", "x", "y"]).append_column("area_sqm", pa.array(found))
 
     schema = near.select(river_id, "x_index", "y_index", "x", "y").schema.add("area_sqm", "double")
-    parts = near.mapInPandas(clipped, schema).where("area_sqm > 0").groupBy(river_id, "x_index", "y_index", "x", "y").agg(F.sum("area_sqm").alias("area_sqm"))
-    return proportions(parts, river_id)
+    parts = near.mapInArrow(measured, schema).where("area_sqm > 0").groupBy(river_id, "x_index", "y_index", "x", "y").agg(F.sum("area_sqm").alias("area_sqm"))
+    return proportions(parts, river_id).orderBy(river_id, F.desc("area_sqm"), "x_index", "y_index")
 
 
 def in_network_order(weights: DataFrame, order: DataFrame, river_id: str = "river_id") -> DataFrame:
     """Weights with `row`: the place of each row when rivers come in the order of `order` (river_id, position; unknown ones last), larger areas first."""
     joined = weights.join(order.select(river_id, "position"), river_id, "left")
     return joined.orderBy(F.col("position").asc_nulls_last(), F.desc("area_sqm"), "x_index", "y_index")
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "row") -> DataFrame:
+    """df with the place of each row, from 1, in an order: sorted by ranges, then counted on from the rows of the ranges before. No row leaves its range."""
+    ranges = written(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__id", 33)
+    counts = ranges.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
+    placed = ranges.join(F.broadcast(starts), part == F.col("__part"))
+    return placed.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__id", "__part", "__before")

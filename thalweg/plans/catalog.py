@@ -5,19 +5,23 @@ Doubles are rounded to six places on both sides, so that sums taken in another o
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.functions import kernels, metrics
+from thalweg.functions import geometry, kernels, metrics
 from thalweg.operators import network, routing, runoff, validate, weights
+from thalweg.session import written
 from thalweg.sources import io, views
-from thalweg.sources.views import HOURS, START, sql
+from thalweg.sources.views import START, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 ENTRIES: dict[str, tuple[Query, str]] = {}
 HOUR = 3600
+#: Hours of channel routing, which has no input series, and the length of the hourly series in SQL.
+CHANNEL_HOURS, H = 72, "(SELECT n FROM horizon)"
 TARGET = 5
 GRID_START = "1995-01-01 00:00:00"
 
@@ -195,14 +199,11 @@ def catchment_area(spark, d):
     return views.weights(spark, d).groupBy("river_id").agg(F.sum("area_sqm").alias("area_sqm"))
 
 
-@query(sql("SELECT row_number() OVER (ORDER BY -river_id, area_sqm DESC, x_index, y_index) AS row, river_id, x_index, y_index FROM weights WHERE river_id <= 40", "weights"))
+@query(sql("SELECT row_number() OVER (ORDER BY -river_id, area_sqm DESC, x_index, y_index) AS row, river_id, x_index, y_index FROM weights", "weights"))
 def weights_topo_sorted(spark, d):
-    from pyspark.sql import Window as W
-
-    order = views.net(spark, d).where("river_id <= 40").select("river_id", (-F.col("river_id")).alias("position"))
-    few = weights.in_network_order(views.weights(spark, d).where("river_id <= 40"), order)
-    w = W.orderBy("position", F.desc("area_sqm"), "x_index", "y_index")
-    return few.select(F.row_number().over(w).cast("long").alias("row"), "river_id", "x_index", "y_index")
+    order = views.net(spark, d).select("river_id", (-F.col("river_id")).alias("position"))
+    placed = weights.in_network_order(views.weights(spark, d), order)
+    return weights.numbered(placed, "position", F.desc("area_sqm"), "x_index", "y_index").select("row", "river_id", "x_index", "y_index")
 
 
 _BOUNDS = """bx AS (SELECT x_index, coalesce((lag(x) OVER o + x) / 2, x - 330) AS x_min, coalesce((lead(x) OVER o + x) / 2, x + 330) AS x_max
@@ -225,14 +226,14 @@ def lon_wrap_index(spark, d):
     return x.select("x_index", "x", F.row_number().over(W.orderBy("x")).cast("long").alias("place"))
 
 
-_E = weights.ECCENTRICITY
-_Y = f"({weights.AXIS} * (1 - {_E}::DOUBLE * {_E}::DOUBLE) / 2 * (sin(radians(Z)) / (1 - pow({_E}::DOUBLE * sin(radians(Z)), 2)) + atanh({_E}::DOUBLE * sin(radians(Z))) / {_E}::DOUBLE))"
+_E = geometry.ECCENTRICITY
+_Y = f"({geometry.AXIS} * (1 - {_E}::DOUBLE * {_E}::DOUBLE) / 2 * (sin(radians(Z)) / (1 - pow({_E}::DOUBLE * sin(radians(Z)), 2)) + atanh({_E}::DOUBLE * sin(radians(Z))) / {_E}::DOUBLE))"
 
 
 @query(
     f"""WITH {_BOUNDS}, b AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS river_id, n_nationkey * 11.0::DOUBLE - 140 AS x0, n_nationkey * 4.0::DOUBLE - 50 AS y0 FROM nation),
     i AS (SELECT river_id, x_index, y_index, greatest(x_min, x0) AS a, least(x_max, x0 + 20) AS c, greatest(y_min, y0) AS s, least(y_max, y0 + 12) AS n FROM b JOIN cells ON x_min < x0 + 20 AND x_max > x0 AND y_min < y0 + 12 AND y_max > y0),
-    m AS (SELECT river_id, x_index, y_index, {weights.AXIS} * radians(c - a) * ({_Y.replace("Z", "n")} - {_Y.replace("Z", "s")}) AS area FROM i)
+    m AS (SELECT river_id, x_index, y_index, {geometry.AXIS} * radians(c - a) * ({_Y.replace("Z", "n")} - {_Y.replace("Z", "s")}) AS area FROM i)
     SELECT river_id, x_index, y_index, round(area / 1000000, 3) AS area_sqkm, round(area / sum(area) OVER (PARTITION BY river_id), 6) AS proportion FROM m"""
 )
 def voronoi_overlay_area(spark, d):
@@ -342,19 +343,19 @@ def _depths(spark, d):
 _CONV = f"(SELECT q.river_id, q.t + k.step AS t, sum(q.v / 100000 * k.u) AS q FROM qlateral q JOIN {_kernel_sql('triangular')} k ON k.river_id = q.river_id GROUP BY 1, 2)"
 
 
-@query(sql(f"SELECT river_id, CAST(t AS INT) AS t, round(q, 6) AS q FROM {_CONV} WHERE t < {HOURS}", "uh_inputs", "qlateral"))
+@query(sql(f"SELECT river_id, CAST(t AS INT) AS t, round(q, 6) AS q FROM {_CONV} WHERE t < {H}", "uh_inputs", "qlateral"))
 def uh_convolve(spark, d):
     out = kernels.convolve(kernels.packed(_depths(spark, d), "t", "v", "v"), _kernels(spark, d))
     return out.select("river_id", F.posexplode("v").alias("t", "q")).withColumn("q", r6("q", "q"))
 
 
-@query(sql(f"SELECT river_id, CAST(t AS INT) AS t, round(q, 6) AS q FROM {_CONV} WHERE t < {HOURS}", "uh_inputs", "qlateral"))
+@query(sql(f"SELECT river_id, CAST(t AS INT) AS t, round(q, 6) AS q FROM {_CONV} WHERE t < {H}", "uh_inputs", "qlateral"))
 def uh_convolve_incremental(spark, d):
     out = kernels.convolve_incrementally(kernels.packed(_depths(spark, d), "t", "v", "v"), _kernels(spark, d))
     return out.select("river_id", F.posexplode("v").alias("t", "q")).withColumn("q", r6("q", "q"))
 
 
-@query(sql(f"SELECT river_id, CAST(t - {HOURS} AS INT) AS step, round(q, 6) AS carry FROM {_CONV} WHERE t >= {HOURS}", "uh_inputs", "qlateral"))
+@query(sql(f"SELECT river_id, CAST(t - {H} AS INT) AS step, round(q, 6) AS carry FROM {_CONV} WHERE t >= {H}", "uh_inputs", "qlateral"))
 def uh_final_state(spark, d):
     out = kernels.convolve(kernels.packed(_depths(spark, d), "t", "v", "v"), _kernels(spark, d))
     carry = F.slice("state", F.lit(1), F.size("state") - 1)  # the last place is always 0
@@ -363,7 +364,7 @@ def uh_final_state(spark, d):
 
 # --- routing --------------------------------------------------------------------------------------------------------------------------------
 
-_C = lambda dt: f"(SELECT river_id, downstream_river_id, ({dt} / k - 2 * x) / ({dt} / k + 2 * (1 - x)) AS c1, ({dt} / k + 2 * x) / ({dt} / k + 2 * (1 - x)) AS c2, (2 * (1 - x) - {dt} / k) / ({dt} / k + 2 * (1 - x)) AS c3 FROM net)"
+_C = lambda dt, net="net": f"(SELECT river_id, downstream_river_id, ({dt} / k - 2 * x) / ({dt} / k + 2 * (1 - x)) AS c1, ({dt} / k + 2 * x) / ({dt} / k + 2 * (1 - x)) AS c2, (2 * (1 - x) - {dt} / k) / ({dt} / k + 2 * (1 - x)) AS c3 FROM {net})"
 
 
 @query(sql(f"SELECT river_id, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3, round(c1 + c2, 6) AS c4 FROM {_C('900.0::DOUBLE')}", "net"))
@@ -372,30 +373,30 @@ def muskingum_coefficients(spark, d):
     return c.select("river_id", *(r6(n, n) for n in ("c1", "c2", "c3", "c4")))
 
 
-def _solver_sql(kind: str, substeps: int = 1, lateral: str = "SELECT river_id, t, v FROM qlateral", start: str = "0.0::DOUBLE") -> str:
+def _solver_sql(kind: str, substeps: int = 1, lateral: str = "SELECT river_id, t, v FROM qlateral", start: str = "0.0::DOUBLE", hours: int | str = H, net: str = "net") -> str:
     """river_id, s (from 0), full_: flows by substep. A recursion over substeps holds the flows of all rivers as a list; within a substep they
     are found from the largest id down, as a river's id is smaller than those upstream. Index i of a list is river n + 1 - i."""
     dt = f"{HOUR / substeps}::DOUBLE"
     order = "ORDER BY river_id DESC"
-    lat = f"lat[i][(s // {substeps}) + 1]" if kind != "channel" else "0.0::DOUBLE"
+    lat = "lat[i]" if kind != "channel" else "0.0::DOUBLE"
     inflow_now = "coalesce(list_sum(list_transform(ups[i], lambda j: acc[j])), 0.0)"
-    own = f"list_sum(list_transform(ups[i], lambda j: CASE WHEN len(ups[j]) = 0 THEN lat[j][(s // {substeps}) + 1] ELSE q[j] END))" if kind == "unit" else "list_sum(list_transform(ups[i], lambda j: q[j]))"
-    x_before = "x[i]"
+    own = "list_sum(list_transform(ups[i], lambda j: CASE WHEN len(ups[j]) = 0 THEN lat[j] ELSE q[j] END))" if kind == "unit" else "list_sum(list_transform(ups[i], lambda j: q[j]))"
     source = f" + (c1[i] + c2[i]) / {HOUR}.0::DOUBLE * {lat}" if kind == "rapid" else ""
-    x_now = f"c1[i] * {inflow_now} + c2[i] * coalesce({own}, 0.0) + c3[i] * {x_before}{source}"
+    x_now = f"c1[i] * {inflow_now} + c2[i] * coalesce({own}, 0.0) + c3[i] * x[i]{source}"
     full = f"CASE WHEN len(ups[i]) = 0 THEN {lat} ELSE {x_now} + {lat} END" if kind == "unit" else x_now
-    steps = HOURS * substeps
+    series = f"SELECT t, list(v {order}) AS lat FROM ({lateral}) GROUP BY 1" if kind != "channel" else "SELECT 0 AS t, []::DOUBLE[] AS lat"
     return f"""(WITH RECURSIVE
-        k AS (SELECT count(*) AS n, list(c1 {order}) AS c1, list(c2 {order}) AS c2, list(c3 {order}) AS c3 FROM {_C(dt)}),
-        u AS (SELECT list(up ORDER BY river_id DESC) AS ups FROM (SELECT n.river_id, coalesce(list((SELECT count(*) FROM net) + 1 - m.river_id ORDER BY m.river_id DESC) FILTER (WHERE m.river_id IS NOT NULL), [])::BIGINT[] AS up FROM net n LEFT JOIN net m ON m.downstream_river_id = n.river_id GROUP BY 1)),
-        l AS (SELECT list(vs ORDER BY river_id DESC) AS lat FROM (SELECT river_id, list(v ORDER BY t) AS vs FROM ({lateral}) GROUP BY 1)),
-        z AS (SELECT list(q0 ORDER BY river_id DESC) AS q0 FROM (SELECT river_id, {start} AS q0 FROM net)),
+        k AS (SELECT count(*) AS n, list(c1 {order}) AS c1, list(c2 {order}) AS c2, list(c3 {order}) AS c3 FROM {_C(dt, net)}),
+        u AS (SELECT list(up ORDER BY river_id DESC) AS ups FROM (SELECT n.river_id, coalesce(list((SELECT count(*) FROM {net}) + 1 - m.river_id ORDER BY m.river_id DESC) FILTER (WHERE m.river_id IS NOT NULL), [])::BIGINT[] AS up FROM {net} n LEFT JOIN {net} m ON m.downstream_river_id = n.river_id GROUP BY 1)),
+        l AS MATERIALIZED ({series}),
+        z AS (SELECT list(q0 {order}) AS q0 FROM (SELECT river_id, {start} AS q0 FROM {net})),
+        ending AS (SELECT {hours} * {substeps} - 1 AS last_s),
         r(s, q, x) AS (
             SELECT CAST(-1 AS BIGINT), q0, q0 FROM z
             UNION ALL
-            SELECT s + 1, f, {"list_transform(range(1, n + 1), lambda i: CASE WHEN len(ups[i]) = 0 THEN 0.0::DOUBLE ELSE f[i] - lat[i][((s + 1) // " + str(substeps) + ") + 1] END)" if kind == "unit" else "f"} FROM (
-                SELECT r.s, k.n, u.ups, l.lat, list_reduce(range(1, k.n + 1), lambda acc, i: list_append(acc, {full.replace("(s //", "((r.s + 1) //")}), []::DOUBLE[]) AS f
-                FROM r, k, u, l WHERE r.s < {steps - 1}))
+            SELECT s + 1, f, {"list_transform(range(1, n + 1), lambda i: CASE WHEN len(ups[i]) = 0 THEN 0.0::DOUBLE ELSE f[i] - lat[i] END)" if kind == "unit" else "f"} FROM (
+                SELECT r.s, k.n, u.ups, l.lat, list_reduce(range(1, k.n + 1), lambda acc, i: list_append(acc, {full}), []::DOUBLE[]) AS f
+                FROM r, k, u, l, ending WHERE r.s < ending.last_s{"" if kind == "channel" else f" AND l.t = (r.s + 1) // {substeps}"}))
         SELECT (SELECT n FROM k) + 1 - i AS river_id, s, q[i] AS full_ FROM r, range(1, (SELECT n FROM k) + 1) g(i) WHERE s >= 0)"""
 
 
@@ -403,36 +404,41 @@ def _mean_sql(kind: str, substeps: int = 1, **more: str) -> str:
     return f"(SELECT river_id, CAST(s // {substeps} AS INT) AS t, greatest(avg(full_), 0) AS q FROM {_solver_sql(kind, substeps, **more)} GROUP BY 1, 2)"
 
 
+def _few(spark, d, steps: int) -> int:
+    """Numbers of a task that let a piece have an eighth of the rivers, so that watersheds are cut."""
+    return max(1, views.net(spark, d).count() // 8) * steps
+
+
 def _series(routed: DataFrame, *keys: str) -> DataFrame:
     return routing.long_series(routed, *keys).withColumn("q", r6("q", "q"))
 
 
-@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('channel', 2, start='CAST(10 + river_id % 7 AS DOUBLE)')}", "net", "qlateral"))
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('channel', 2, start='CAST(10 + river_id % 7 AS DOUBLE)', hours=CHANNEL_HOURS)}", "net", "qlateral"))
 def muskingum_route(spark, d):
-    return _series(routing.route("channel", views.net(spark, d), None, HOURS, HOUR, 2, views.state(spark, d), strategy="grouped"))
+    return _series(routing.route("channel", views.net(spark, d), None, CHANNEL_HOURS, HOUR, 2, views.state(spark, d)))
 
 
-@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('channel', 2, start='CAST(10 + river_id % 7 AS DOUBLE)')}", "net", "qlateral"))
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('channel', 2, start='CAST(10 + river_id % 7 AS DOUBLE)', hours=CHANNEL_HOURS)}", "net", "qlateral"))
 def muskingum_route_levels(spark, d):
-    return _series(routing.route("channel", views.net(spark, d), None, HOURS, HOUR, 2, views.state(spark, d), strategy="levels"))
+    return _series(routing.route("channel", views.net(spark, d), None, CHANNEL_HOURS, HOUR, 2, views.state(spark, d), strategy="levels", task_numbers=_few(spark, d, 2 * CHANNEL_HOURS)))
 
 
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')}", "net", "qlateral"))
 def rapid_route(spark, d):
-    return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), HOURS, HOUR))
+    return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR))
 
 
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')}", "net", "qlateral"))
 def rapid_route_levels(spark, d):
-    return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), HOURS, HOUR, strategy="levels"))
+    return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR, strategy="levels", task_numbers=_few(spark, d, views.hours(spark, d))))
 
 
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid', 2)}", "net", "qlateral"))
 def rapid_route_substeps(spark, d):
-    return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), HOURS, HOUR, 2, strategy="grouped"))
+    return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR, 2))
 
 
-_UNIT = f"SELECT river_id, t, q AS v FROM {_CONV} WHERE t < {HOURS}"
+_UNIT = f"SELECT river_id, t, q AS v FROM {_CONV} WHERE t < {H}"
 
 
 def _unit_lateral(spark, d):
@@ -442,71 +448,66 @@ def _unit_lateral(spark, d):
 
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('unit', 2, lateral=_UNIT)}", "net", "qlateral", "uh_inputs"))
 def unit_route(spark, d):
-    return _series(routing.route("unit", views.net(spark, d), _unit_lateral(spark, d), HOURS, HOUR, 2, strategy="grouped"))
+    return _series(routing.route("unit", views.net(spark, d), _unit_lateral(spark, d), views.hours(spark, d), HOUR, 2))
 
 
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('unit', 2, lateral=_UNIT)}", "net", "qlateral", "uh_inputs"))
 def unit_route_levels(spark, d):
-    return _series(routing.route("unit", views.net(spark, d), _unit_lateral(spark, d), HOURS, HOUR, 2, strategy="levels"))
+    return _series(routing.route("unit", views.net(spark, d), _unit_lateral(spark, d), views.hours(spark, d), HOUR, 2, strategy="levels", task_numbers=_few(spark, d, 2 * views.hours(spark, d))))
 
 
-_GRID_VOLUME = f"SELECT river_id, t, v * 0.001 * a AS v FROM ({_DEPTH}) JOIN (SELECT river_id, sum(area_sqm) AS a FROM weights GROUP BY 1) USING (river_id) WHERE t < {HOURS}"
+_GRID_VOLUME = f"SELECT river_id, t, v * 0.001 * a AS v FROM ({_DEPTH}) JOIN (SELECT river_id, sum(area_sqm) AS a FROM weights GROUP BY 1) USING (river_id)"
 
 
-@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid', lateral=_GRID_VOLUME)}", "net", "grid", "weights"))
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid', lateral=_GRID_VOLUME, hours='(SELECT max(t) + 1 FROM gridcells)')}", "net", "grid", "weights"))
 def rapid_route_volumes_from_grid(spark, d):
-    lateral = runoff.to_qlateral(views.grid(spark, d).where(F.col("t") < HOURS), views.weights(spark, d), unit="mm", volumes=True)
-    return _series(routing.route("rapid", views.net(spark, d), lateral, HOURS, HOUR, strategy="grouped"))
+    grid = views.grid(spark, d)
+    n = (grid.agg(F.max("t")).first()[0] or 0) + 1
+    lateral = runoff.to_qlateral(grid, views.weights(spark, d), unit="mm", volumes=True)
+    return _series(routing.route("rapid", views.net(spark, d), lateral, n, HOUR))
 
 
 @query(sql(f"SELECT river_id, CAST(t // 6 AS INT) AS t, round(avg(q), 6) AS q FROM {_mean_sql('rapid')} GROUP BY 1, 2", "net", "qlateral"))
 def discharge_resample_mean(spark, d):
-    routed = routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), HOURS, HOUR, strategy="grouped")
+    routed = routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR)
     return routing.mean_by(routing.long_series(routed), 6, "river_id").withColumn("q", r6("q", "q"))
 
 
-@query(sql(f"SELECT river_id, round(full_, 6) AS q FROM {_solver_sql('rapid')} WHERE s = {HOURS - 1}", "net", "qlateral"))
+@query(sql(f"SELECT river_id, round(full_, 6) AS q FROM {_solver_sql('rapid')} WHERE s = {H} - 1", "net", "qlateral"))
 def channel_final_state(spark, d):
-    routed = routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), HOURS, HOUR, strategy="grouped")
+    routed = routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR)
     return routed.select("river_id", r6("state", "q"))
 
 
-@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')} WHERE t >= 24", "net", "qlateral"))
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')}", "net", "qlateral"))
 def sequential_state_carry(spark, d):
     """The series in two pieces, the second from the first one's state: as if it had been whole."""
-    net, q = views.net(spark, d), views.qlateral(spark, d)
-    first = routing.route("rapid", net, q.where("t < 24"), 24, HOUR, strategy="grouped").select("river_id", F.col("state").alias("q"))
-    rest = routing.route("rapid", net, q.where("t >= 24").withColumn("t", F.col("t") - 24), HOURS - 24, HOUR, state=first, strategy="grouped")
-    return _series(rest).withColumn("t", F.col("t") + 24)
-
-
-def _member(name: str) -> str:
-    return f"SELECT river_id, t, v FROM qlateral_members WHERE member = '{name}'"
-
-
-def _members_sql(body: Callable[[str], str]) -> str:
-    """One branch for each event type (a fixed set of five)."""
-    return " UNION ALL ".join(body(m) for m in ("click", "error", "purchase", "signup", "view"))
+    net, q, n = views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d)
+    routed = written(routing.route("rapid", net, q.where("t < 24"), 24, HOUR), "first-piece")
+    rest = routing.route("rapid", net, q.where("t >= 24").withColumn("t", F.col("t") - 24), n - 24, HOUR, state=routed.select("river_id", F.col("state").alias("q")))
+    return _series(routed).union(_series(rest).withColumn("t", F.col("t") + 24))
 
 
 def _ensemble(spark, d):
-    return routing.route("rapid", views.net(spark, d), views.qlateral_members(spark, d), HOURS, HOUR, member="member", strategy="grouped")
+    return routing.route("rapid", views.net(spark, d), views.qlateral_members(spark, d), views.hours(spark, d), HOUR, member="member")
 
 
-@query(sql(_members_sql(lambda m: f"SELECT '{m}' AS member, river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid', lateral=_member(m))} WHERE t % 12 = 0"), "net", "qlateral_members"))
-def ensemble_discharge(spark, d):
-    return _series(_ensemble(spark, d).where("member IN ('click', 'error', 'purchase', 'signup', 'view')"), "member").where("t % 12 = 0")
+#: All members as one network: their rivers numbered on, member by member.
+_ALL = _solver_sql("rapid", lateral="SELECT river_id, t, v FROM lateral_members", net="net_members")
+_MEMBERS = f"(SELECT member, f.river_id - m * (SELECT count(*) FROM net) AS river_id, s, full_ FROM {_ALL} f JOIN members ON (f.river_id - 1) // (SELECT count(*) FROM net) = m)"
 
 
-_FINALS = _members_sql(lambda m: f"SELECT '{m}' AS member, river_id, full_ FROM {_solver_sql('rapid', lateral=_member(m))} WHERE s = LAST")
+@query(sql(f"SELECT member, CAST(river_id AS BIGINT) AS river_id, CAST(s AS INT) AS t, round(greatest(full_, 0), 6) AS q FROM {_MEMBERS}", "net_members", "lateral_members"))
+def ensemble_discharge(spark, d):
+    return _series(_ensemble(spark, d), "member")
 
 
-@query(sql(f"SELECT river_id, round(avg(full_), 6) AS q FROM ({_FINALS.replace('LAST', str(HOURS - 1))}) GROUP BY 1", "net", "qlateral_members"))
+@query(sql(f"SELECT CAST(river_id AS BIGINT) AS river_id, round(avg(full_), 6) AS q FROM {_MEMBERS} WHERE s = {H} - 1 GROUP BY 1", "net_members", "lateral_members"))
 def ensemble_mean_state(spark, d):
     return _ensemble(spark, d).groupBy("river_id").agg(r6(F.avg("state"), "q"))
 
 
-@query(sql(f"SELECT river_id, round(avg(greatest(full_, 0)), 6) AS q FROM ({_FINALS.replace('LAST', '24')}) GROUP BY 1", "net", "qlateral_members"))
+@query(sql(f"SELECT CAST(river_id AS BIGINT) AS river_id, round(avg(greatest(full_, 0)), 6) AS q FROM {_MEMBERS} WHERE s = 24 GROUP BY 1", "net_members", "lateral_members"))
 def lead_time_state(spark, d):
     """The members' mean a day ahead."""
     return _ensemble(spark, d).groupBy("river_id").agg(r6(F.avg(F.element_at("discharge", 25)), "q"))
@@ -514,8 +515,12 @@ def lead_time_state(spark, d):
 
 @query(sql(f"SELECT river_id, TIMESTAMP '{START}' + to_hours(CAST(t AS BIGINT)) AS time, CAST(round(q, 4) AS DOUBLE) AS q FROM {_mean_sql('rapid')} WHERE river_id = {TARGET}", "net", "qlateral"))
 def discharge_point_query(spark, d):
-    routed = routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), HOURS, HOUR, strategy="grouped")
-    return io.with_dates(routing.long_series(routed).where(F.col("river_id") == TARGET), START, HOUR).select("river_id", "time", F.round("q", 4).alias("q"))
+    """Only what lies upstream of the point is routed."""
+    part, _ = network.subset(views.net(spark, d), TARGET)
+    part = written(part, "upstream")
+    lateral = views.qlateral(spark, d).join(part.select("river_id"), "river_id", "left_semi")
+    routed = routing.route("rapid", part, lateral, views.hours(spark, d), HOUR).where(F.col("river_id") == TARGET)
+    return io.with_dates(routing.long_series(routed), START, HOUR).select("river_id", "time", F.round("q", 4).alias("q"))
 
 
 # --- skill ----------------------------------------------------------------------------------------------------------------------------------
@@ -542,9 +547,15 @@ _metric(
 )
 
 
+def _filled() -> dict[str, tuple[Query, str]]:
+    """All entries, those of the catalogue of files with them."""
+    importlib.import_module("thalweg.plans.file_catalog")
+    return ENTRIES
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in ENTRIES.items()}
+    return {name: f for name, (f, _) in _filled().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in ENTRIES.items()}
+    return {name: text for name, (_, text) in _filled().items()}

@@ -16,9 +16,12 @@ CHOICES = {
     "log_level": ("DEBUG", "INFO", "PROGRESS", "WARNING", "ERROR", "CRITICAL"),
     "strategy": ("auto", "grouped", "levels"),
 }
-INPUTS = ("params_file", "channel_state_init_file", "grid_weights_file", "uh_kernel_file", "uh_state_init_file")
-INPUT_LISTS = ("qlateral_files", "grid_runoff_files")
-OUTPUTS = ("channel_state_final_file", "uh_state_final_file")
+#: What a path option is: one path or several, and whether it must be there or be written.
+PATHS = {
+    "params_file": ("one", "read"), "channel_state_init_file": ("one", "read"), "grid_weights_file": ("one", "read"), "uh_kernel_file": ("one", "read"), "uh_state_init_file": ("one", "read"),
+    "qlateral_files": ("many", "read"), "grid_runoff_files": ("many", "read"), "discharge_files": ("many", "written"),
+    "channel_state_final_file": ("one", "written"), "uh_state_final_file": ("one", "written"), "discharge_dir": ("one", "folder"),
+}
 
 
 def is_local(path: str) -> bool:
@@ -68,37 +71,28 @@ class Config:
     var_qlateral: str = "qlateral"
     strategy: str = "auto"
 
-    def __setattr__(self, name: str, value: Any) -> None:
-        if name in CHOICES and value not in CHOICES[name]:
-            raise ValueError(f"{name} must be one of {sorted(CHOICES[name])}, not {value!r}")
-        object.__setattr__(self, name, value)
-
     def __post_init__(self) -> None:
-        self.progress_bar = bool(self.log and self.progress_bar)
-        self.grid_runoff_files = self.grid_runoff_files or []
-        absolute = lambda p: os.path.abspath(p) if is_local(str(p)) else str(p)
-        for name in (*INPUT_LISTS, "discharge_files"):
-            value = getattr(self, name)
-            setattr(self, name, [absolute(p) for p in ([value] if isinstance(value, str | os.PathLike) else value)])
-        for name in (*INPUTS, *OUTPUTS, "discharge_dir"):
-            if getattr(self, name):
-                setattr(self, name, absolute(getattr(self, name)))
-        self.discharge_files = discharge_names(self.qlateral_files or self.grid_runoff_files, self.discharge_dir, self.discharge_files)
-        for name in INPUTS:
-            self._must_exist(name, getattr(self, name))
-        for name in INPUT_LISTS:
-            for path in getattr(self, name):
-                self._must_exist(name, path)
-        for path in filter(None, (*(getattr(self, n) for n in OUTPUTS), *self.discharge_files)):
-            if is_local(path) and not os.path.isdir(os.path.dirname(path)):
-                raise NotADirectoryError(f"no folder for the output {path}")
+        if wrong := [n for n, allowed in CHOICES.items() if getattr(self, n) not in allowed]:
+            raise ValueError("; ".join(f"{n} is {getattr(self, n)!r}, which is none of {', '.join(CHOICES[n])}" for n in wrong))
         if not self.params_file:
             raise ValueError("missing option: params_file")
-
-    @staticmethod
-    def _must_exist(name: str, path: str | None) -> None:
-        if path and is_local(path) and not os.path.exists(path):
-            raise FileNotFoundError(f"{name}: {path}")
+        self.progress_bar = bool(self.log and self.progress_bar)
+        resolved = {name: self._resolved(name) for name in PATHS}
+        resolved["discharge_files"] = discharge_names(resolved["qlateral_files"] or resolved["grid_runoff_files"], next(iter(resolved["discharge_dir"]), None), resolved["discharge_files"])
+        for name, paths in resolved.items():
+            many, use = PATHS[name]
+            for path in filter(is_local, paths):
+                if use == "read" and not os.path.exists(path):
+                    raise FileNotFoundError(f"{name}: {path}")
+                if use == "written" and not os.path.isdir(os.path.dirname(path)):
+                    raise NotADirectoryError(f"no folder for the output {path}")
+            setattr(self, name, paths if many == "many" else next(iter(paths), None))
+
+    def _resolved(self, name: str) -> list[str]:
+        """An option's paths, none, one or several, local ones from the root."""
+        value = getattr(self, name) or []
+        given = [value] if isinstance(value, str | os.PathLike) else value
+        return [os.path.abspath(p) if is_local(str(p)) else str(p) for p in given]
 
     @classmethod
     def load(cls, path: str | None = None, **options: Any) -> Config:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import sys
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import convolve, packed
 from thalweg.operators import routing, runoff, validate
+from thalweg.operators.network import with_roots
 from thalweg.plans.config import Config
 from thalweg.session import written
 from thalweg.sources import io
@@ -59,9 +61,14 @@ class Muskingum:
         """A hook."""
 
     def network(self) -> DataFrame:
-        net = io.read_params(self.spark, self.cfg.params_file, self.cfg.var_river_id)
+        """The checked network with the roots of its rivers, found once for all inputs."""
+        net = written(io.read_params(self.spark, self.cfg.params_file, self.cfg.var_river_id), "parameters")
         validate.require(validate.params(net), "routing parameters")
-        return written(net, "network")
+        return written(with_roots(net), "network")
+
+    def progress(self, done: int, of: int, what: str) -> None:
+        if self.cfg.progress_bar:
+            self.log.log(PROGRESS, "%s of %s inputs routed: %s", done, of, what)
 
     def route(self, state: DataFrame | None = None) -> Muskingum:
         """Routes all inputs; starts from `state`, or the configured one, in each call."""
@@ -112,38 +119,63 @@ class RapidMuskingum(Muskingum):
                 seconds, weights, unit=cfg.runoff_depth_unit, cumulative=cfg.grid_accumulation_type == "cumulative", force_positive=cfg.force_positive_runoff, uniform=cfg.force_uniform_timesteps, volumes=self.volumes, time="time"
             ).withColumn("time", F.timestamp_seconds("time").cast("timestamp_ntz"))
         df = written(df, "lateral")
-        times = df.select("time").distinct()
+        times = written(df.select("time").distinct(), "times")
         first, last, n = times.agg(F.min("time"), F.max("time"), F.count(F.lit(1))).first()
-        step = self.cfg.dt_runoff or (int((last - first).total_seconds()) // (n - 1) if n > 1 else self.cfg.dt_total)
+        step = self.cfg.dt_runoff or first_step(times, first) or self.cfg.dt_total
         if not step:
             raise ValueError("dt_runoff is needed for an input of one step")
-        at = (F.timestamp_diff("SECOND", F.lit(first), F.col("time")) / step).cast("int")
-        return df.select("river_id", at.alias("t"), F.nanvl("v", F.lit(0.0)).alias("v")), step, n, first.isoformat(" ")
+        since = F.timestamp_diff("SECOND", F.lit(first), F.col("time"))
+        if (last - first).total_seconds() != step * (n - 1) or not times.where(since % step != 0).isEmpty():
+            raise ValueError(f"the times of {path} are not {step} s apart throughout; repair them, with force_uniform_timesteps for gridded runoff")
+        return df.select("river_id", (since / step).cast("int").alias("t"), F.nanvl("v", F.lit(0.0)).alias("v")), step, n, first.isoformat(" ")
 
     def transform(self, lateral: DataFrame) -> DataFrame:
         """What reaches the channel; a hook for other transformations."""
         return lateral
 
+    def steps(self, dt_runoff: int, n: int) -> routing.Steps:
+        cfg = self.cfg
+        out = routing.Steps(cfg.dt_routing or dt_runoff, dt_runoff, cfg.dt_discharge or dt_runoff, cfg.dt_total or dt_runoff * n)
+        if out.total != dt_runoff * n:
+            raise ValueError(f"dt_total is {out.total} s but the input has {n} steps of {dt_runoff} s")
+        return out
+
+    def passed_on(self, routed: DataFrame, steps: routing.Steps, first: str, out: str, path: str) -> None:
+        """Discharge to the sink, at the output's step."""
+        series = routing.long_series(routed)
+        if steps.discharge > steps.runoff:
+            series = routing.mean_by(series, steps.discharge // steps.runoff, "river_id")
+        self.sink(io.with_dates(series, first, steps.discharge).select("river_id", "time", "q"), out, path)
+
     def execute(self) -> None:
-        cfg, members, start_state = self.cfg, [], self.state
-        for path, out in zip(self.inputs(), cfg.discharge_files, strict=True):
+        if self.cfg.runoff_processing_mode == "ensemble":
+            self.execute_ensemble()
+            return
+        inputs = self.inputs()
+        for k, (path, out) in enumerate(zip(inputs, self.cfg.discharge_files, strict=True), 1):
             lateral, dt_runoff, n, first = self.lateral(path)
-            steps = routing.Steps(cfg.dt_routing or dt_runoff, dt_runoff, cfg.dt_discharge or dt_runoff, cfg.dt_total or dt_runoff * n)
-            if steps.total != dt_runoff * n:
-                raise ValueError(f"dt_total is {steps.total} s but the input has {n} steps of {dt_runoff} s")
-            state = self.state if cfg.runoff_processing_mode == "sequential" else start_state
-            routed = written(routing.route(self.kind, self.net, self.transform(lateral), n, dt_runoff, steps.substeps, state, strategy=cfg.strategy), "routed")
-            final = routed.select("river_id", F.col("state").alias("q"))
-            if cfg.runoff_processing_mode == "sequential":
-                self.state = final
-            members.append(final)
-            series = routing.long_series(routed)
-            if steps.discharge > dt_runoff:
-                series = routing.mean_by(series, steps.discharge // dt_runoff, "river_id")
-            self.sink(io.with_dates(series, first, steps.discharge).select("river_id", "time", "q"), out, path)
-            self.log.log(PROGRESS, "routed %s", path)
-        if cfg.runoff_processing_mode == "ensemble":
-            self.state = mean_state(members)
+            steps = self.steps(dt_runoff, n)
+            routed = written(routing.route(self.kind, self.net, self.transform(lateral), n, dt_runoff, steps.substeps, self.state, strategy=self.cfg.strategy), "routed")
+            self.state = routed.select("river_id", F.col("state").alias("q"))
+            self.passed_on(routed, steps, first, out, path)
+            self.progress(k, len(inputs), path)
+
+    def execute_ensemble(self) -> None:
+        """Every member from the same state; members with the same steps are routed together."""
+        alike: dict[tuple[int, int], list[tuple]] = {}
+        for path, out in zip(self.inputs(), self.cfg.discharge_files, strict=True):
+            lateral, dt_runoff, n, first = self.lateral(path)
+            alike.setdefault((dt_runoff, n), []).append((self.transform(lateral), first, out, path))
+        finals = []
+        for (dt_runoff, n), members in alike.items():
+            steps = self.steps(dt_runoff, n)
+            laterals = reduce(DataFrame.unionByName, [m[0].withColumn("member", F.lit(str(k))) for k, m in enumerate(members)])
+            routed = written(routing.route(self.kind, self.net, laterals, n, dt_runoff, steps.substeps, self.state, member="member", strategy=self.cfg.strategy), "routed")
+            finals.append(routed.select("river_id", F.col("state").alias("q")))
+            for k, (_, first, out, path) in enumerate(members):
+                self.passed_on(routed.where(F.col("member") == str(k)), steps, first, out, path)
+                self.progress(k + 1, len(members), path)
+        self.state = mean_state(finals)
 
 
 class UnitMuskingum(RapidMuskingum):
@@ -174,6 +206,12 @@ class UnitMuskingum(RapidMuskingum):
             io.write_kernel_state(self.carry, self.cfg.uh_state_final_file)
 
 
+def first_step(times: DataFrame, first) -> int | None:
+    """Seconds from the first time to the second; none of a single one."""
+    second = times.where(F.col("time") > F.lit(first)).agg(F.min("time")).first()[0]
+    return None if second is None else int((second - first).total_seconds())
+
+
 def mean_state(states: list[DataFrame]) -> DataFrame:
     """The unweighted mean of members' states."""
     both = states[0]

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -42,10 +43,13 @@ def write_state(state: DataFrame | None, path: str | None, discharge: str = "Q")
 
 def read_series(spark: SparkSession, paths: list[str], value: str, time: str = "time", river_id: str = "river_id") -> DataFrame:
     """source (the input's path), river_id, time, v: inputs stay apart by file or folder."""
-    df = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("__file"), F.col(river_id).cast("long").alias("river_id"), F.col(time).alias("time"), F.col(value).cast("double").alias("v"))
+    # Schemes are written in several ways (file:/x, file:///x): paths are compared without them.
+    plain = F.regexp_replace("_metadata.file_path", "^[^/]*:/*", "/").alias("__file")
+    df = spark.read.parquet(*paths).select(plain, F.col(river_id).cast("long").alias("river_id"), F.col(time).alias("time"), F.col(value).cast("double").alias("v"))
     source = F.lit(None).cast("string")
     for p in paths:
-        source = F.when(F.col("__file").contains(p.rstrip("/") + ("" if re.search(r"\.parquet$", p) and "*" not in p else "/")) | F.col("__file").endswith(p), F.lit(p)).otherwise(source)
+        own = re.sub(r"^[^/]*:/*", "/", p).rstrip("/")
+        source = F.when(F.col("__file").contains(own + "/") | F.col("__file").endswith(own), F.lit(p)).otherwise(source)
     return df.withColumn("source", source).drop("__file")
 
 
@@ -81,6 +85,40 @@ def cell_axes(coordinates: DataFrame, x: str = "lon", y: str = "lat") -> tuple[D
     return axis(x, "x"), axis(y, "y")
 
 
+def read_catchments(spark: SparkSession, path: str, river_id: str = "river_id", geometry: str = "geometry") -> DataFrame:
+    """river_id, rings (an outer ring and its holes, arrays of points): a row a polygon, from well-known binary (Polygon, MultiPolygon)."""
+    from thalweg.functions.geometry import polygons
+
+    found = spark.read.parquet(path).select(F.col(river_id).cast("long").alias("river_id"), F.col(geometry).alias("geometry"))
+
+    def parts(batches):
+        for batch in batches:
+            ids, rings = [], []
+            for river, shape in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for polygon in polygons(shape) if shape else ():
+                    ids.append(river)
+                    rings.append([[{"x": x, "y": y} for x, y in ring.tolist()] for ring in polygon])
+            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rings, pa.list_(pa.list_(point)))], ["river_id", "rings"])
+
+    return found.mapInArrow(parts, "river_id long, rings array<array<struct<x:double,y:double>>>")
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Writes grid cells: their bounds, centres and indices."""
+    cells.select("x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max").write.mode("overwrite").parquet(path)
+
+
+def write_subset(net: DataFrame, target: int, params_path: str, weights: DataFrame | None = None, weights_path: str | None = None) -> None:
+    """Writes the network above a river, and its weights if a path is given."""
+    from thalweg.operators.network import subset
+
+    part, few = subset(net, target, weights if weights_path else None)
+    part.write.mode("overwrite").parquet(params_path)
+    if few is not None:
+        write_weights(few, weights_path, subset_of=str(target))
+
+
 def write_weights(weights: DataFrame, path: str, **provenance: str) -> None:
     """Writes weights with their provenance as metadata of the proportion column."""
     about = {"description": "shares of grid cells in river catchments", "version": __version__} | provenance

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOURS = 72
 START = "2024-01-01 00:00:00"
 
 
@@ -16,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def hours(spark: SparkSession, sf_dir: str) -> int:
+    """Hours from START up to the last event's: the length of every hourly series."""
+    last = table(spark, sf_dir, "events", "ts").agg(F.max(F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ'{START}', ts)"))).first()[0]
+    return max(0, (-1 if last is None else int(last)) + 1)
+
+
+def _each_hour(df: DataFrame, n: int) -> DataFrame:
+    return df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")))
+
+
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest of three watersheds: river r flows to r div 2; 1, 2 and 3 are outlets."""
     r = (F.col("s_suppkey") + 1).cast("long")
@@ -31,7 +40,7 @@ def _hourly(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     n = net(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
     e = table(spark, sf_dir, "events", "user_id", "event_type", "ts", "value").join(F.broadcast(n))  # one row
     e = e.select("event_type", (F.col("user_id") % F.col("n") + 1).alias("river_id"), F.expr(f"cast(timestampdiff(HOUR, TIMESTAMP_NTZ'{START}', ts) AS INT)").alias("t"), "value")
-    return e.where(F.col("t").between(0, HOURS - 1)).groupBy("river_id", "t", *keys).agg(F.sum("value").alias("v"))
+    return e.where("t >= 0").groupBy("river_id", "t", *keys).agg(F.sum("value").alias("v"))
 
 
 def _with_time(df: DataFrame) -> DataFrame:
@@ -40,14 +49,14 @@ def _with_time(df: DataFrame) -> DataFrame:
 
 def qlateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """river_id, t, time, v: an hourly series for each river, missing hours 0."""
-    base = net(spark, sf_dir).select("river_id", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("t"))
+    base = _each_hour(net(spark, sf_dir).select("river_id"), hours(spark, sf_dir))
     return _with_time(base.join(_hourly(spark, sf_dir), ["river_id", "t"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))).select("river_id", "t", "time", "v")
 
 
 def qlateral_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As qlateral, for each event type as an ensemble member."""
     members = table(spark, sf_dir, "events", "event_type").distinct().select(F.col("event_type").alias("member"))
-    base = net(spark, sf_dir).select("river_id", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("t")).join(F.broadcast(members))  # five rows
+    base = _each_hour(net(spark, sf_dir).select("river_id"), hours(spark, sf_dir)).join(F.broadcast(members))  # five rows
     found = _hourly(spark, sf_dir, "event_type").withColumnRenamed("event_type", "member")
     return _with_time(base.join(found, ["river_id", "t", "member"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))).select("member", "river_id", "t", "time", "v")
 
@@ -129,6 +138,25 @@ def axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.range(12).select(F.col("id").cast("int").alias("x_index"), (F.col("id") * 30.0).alias("x")), spark.range(9).select(F.col("id").cast("int").alias("y_index"), (F.col("id") * 15.0 - 60.0).alias("y"))
 
 
+def wkb_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """river_id, geometry (WKB): for each nation an L of two rectangles, and a rectangle with a rectangular hole."""
+
+    def rings(k: int) -> list[list[list[tuple[float, float]]]]:
+        x, y = k * 9.0 - 120, k * 3.0 - 50
+        box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d), (a, b)]
+        bend = [(x, y), (x + 14, y), (x + 14, y + 4), (x + 6, y + 4), (x + 6, y + 10), (x, y + 10), (x, y)]
+        return [[bend], [box(x + 20, y, x + 40, y + 12), box(x + 24, y + 3, x + 35, y + 9)]]
+
+    def encoded(batches):
+        for pdf in batches:
+            yield pdf.assign(geometry=[geometry.multipolygon(rings(int(k) - 1)) for k in pdf["river_id"]])
+
+    from thalweg.functions import geometry
+
+    ids = table(spark, sf_dir, "nation", "n_nationkey").select((F.col("n_nationkey") + 1).cast("long").alias("river_id"))
+    return ids.mapInPandas(encoded, "river_id long, geometry binary")
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """river_id, ring: a rectangular catchment for each nation, as a closed ring of (x, y)."""
     k = F.col("n_nationkey")
@@ -142,12 +170,17 @@ SQL = {
     "net": """SELECT CAST(s_suppkey + 1 AS BIGINT) AS river_id, CAST(CASE WHEN s_suppkey + 1 < 4 THEN -1 ELSE (s_suppkey + 1) // 2 END AS BIGINT) AS downstream_river_id,
         CAST(3600 * (1 + (s_suppkey + 1) % 5) AS DOUBLE) AS k, CAST((s_suppkey + 1) % 5 AS DOUBLE) / 10 AS x FROM supplier""",
     "hourly": f"""SELECT user_id % (SELECT count(*) FROM net) + 1 AS river_id, event_type, CAST(date_diff('hour', TIMESTAMP '{START}', ts) AS INT) AS t, value
-        FROM events WHERE date_diff('hour', TIMESTAMP '{START}', ts) BETWEEN 0 AND {HOURS - 1}""",
+        FROM events WHERE date_diff('hour', TIMESTAMP '{START}', ts) >= 0""",
+    "horizon": f"SELECT max(date_diff('hour', TIMESTAMP '{START}', ts)) + 1 AS n FROM events",
     "qlateral": f"""SELECT n.river_id, CAST(h.t AS INT) AS t, TIMESTAMP '{START}' + to_hours(CAST(h.t AS BIGINT)) AS time, coalesce(e.v, 0.0::DOUBLE) AS v
-        FROM net n CROSS JOIN range({HOURS}) h(t) LEFT JOIN (SELECT river_id, t, sum(value) AS v FROM hourly GROUP BY 1, 2) e ON e.river_id = n.river_id AND e.t = h.t""",
+        FROM net n CROSS JOIN range((SELECT n FROM horizon)) h(t) LEFT JOIN (SELECT river_id, t, sum(value) AS v FROM hourly GROUP BY 1, 2) e ON e.river_id = n.river_id AND e.t = h.t""",
     "qlateral_members": f"""SELECT m.member, n.river_id, CAST(h.t AS INT) AS t, TIMESTAMP '{START}' + to_hours(CAST(h.t AS BIGINT)) AS time, coalesce(e.v, 0.0::DOUBLE) AS v
-        FROM net n CROSS JOIN range({HOURS}) h(t) CROSS JOIN (SELECT DISTINCT event_type AS member FROM events) m
+        FROM net n CROSS JOIN range((SELECT n FROM horizon)) h(t) CROSS JOIN (SELECT DISTINCT event_type AS member FROM events) m
         LEFT JOIN (SELECT river_id, t, event_type AS member, sum(value) AS v FROM hourly GROUP BY 1, 2, 3) e ON e.river_id = n.river_id AND e.t = h.t AND e.member = m.member""",
+    "members": "SELECT event_type AS member, row_number() OVER (ORDER BY event_type) - 1 AS m FROM (SELECT DISTINCT event_type FROM events)",
+    "net_members": """SELECT CAST(river_id + m * (SELECT count(*) FROM net) AS BIGINT) AS river_id, CAST(CASE WHEN downstream_river_id < 0 THEN -1 ELSE downstream_river_id + m * (SELECT count(*) FROM net) END AS BIGINT) AS downstream_river_id, k, x
+        FROM net CROSS JOIN members""",
+    "lateral_members": "SELECT river_id + m * (SELECT count(*) FROM net) AS river_id, t, v FROM qlateral_members JOIN members USING (member)",
     "gridcells": """SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INT) AS t, CAST(l_partkey % 12 AS INT) AS x_index, CAST(l_suppkey % 8 AS INT) AS y_index, l_quantity FROM lineitem""",
     "grid": """SELECT CAST(a.t AS INT) AS t, CAST(b.x AS INT) AS x_index, CAST(c.y AS INT) AS y_index, coalesce(g.ro, 0.0::DOUBLE) / 1000 AS ro
         FROM range((SELECT max(t) + 1 FROM gridcells)) a(t) CROSS JOIN range(12) b(x) CROSS JOIN range(8) c(y)
@@ -170,7 +203,7 @@ SQL = {
 
 def sql(body: str, *names: str) -> str:
     """`body` behind the named views and those that they use."""
-    needs = {"hourly": ["net"], "qlateral": ["hourly"], "qlateral_members": ["hourly"], "grid": ["gridcells"], "gappy": ["grid"], "weights": ["net"], "uh_inputs": ["weights"], "state": ["net"], "pairs": ["qlateral"], "connectivity": ["net"], "bad_net": ["net"], "roots": ["net"]}
+    needs = {"hourly": ["net"], "qlateral": ["hourly", "horizon"], "qlateral_members": ["hourly", "horizon"], "members": [], "net_members": ["net", "members"], "lateral_members": ["net", "members", "qlateral_members"], "grid": ["gridcells"], "gappy": ["grid"], "weights": ["net"], "uh_inputs": ["weights"], "state": ["net"], "pairs": ["qlateral"], "connectivity": ["net"], "bad_net": ["net"], "roots": ["net"]}
 
     def closure(name: str) -> set[str]:
         return {name}.union(*(closure(n) for n in needs.get(name, ())))
