@@ -80,6 +80,41 @@ def test_damaged_streams():
     assert mpeg.header(bytes((0xFF, 0xFB, 0x90, 0x64)))[:7] == (True, 3, False, 128, 44100, False, 417)
 
 
+def test_tables_and_short_frames():
+    """Seek points of both kinds of table, and frames too short for the table that they begin."""
+    media = mpeg.write(b"x" * 20000)
+    found = mpeg.read(media)
+    head = len(media) - (len(found.offsets) + 1) * mpeg._HEAD.size
+    assert len(found.points) == 100 and found.points[0] == head and found.points == sorted(found.points) and found.points[50] == head + 128 * (len(media) - head) // 256
+    four = bytes((0xFF, 0xFB, 0x90, 0x64))
+    size = mpeg.header(four).size
+    vbri = (four + bytes(32) + b"VBRI" + bytes(10) + (3).to_bytes(4, "big") + (3).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + size.to_bytes(2, "big") * 3).ljust(size, b"\0")
+    found = mpeg.read(vbri + (four + bytes(size - 4)) * 3)
+    assert found.table == "VBRI" and found.table_frames == 3 and found.points == [size, 2 * size, 3 * size] == found.offsets
+    short = bytes((0xFF, 0xF3, 0x10, 0x00)) + bytes(17) + b"Info\0"
+    assert mpeg.read(short).table == "" and mpeg.read(short[:9]).offsets == []
+
+
+@pytest.mark.parametrize("third, layer, rate, bits", [(0xFF, 1, 0x90, 32 * 4 * 2), (0xFD, 2, 0xA0, 11 * 8 + 12 * 6 + 7 * 4 + 2)])
+def test_checksums_of_the_lower_layers(third, layer, rate, bits):
+    """Allocations are protected; in Layer II so are two bits for each subband that has any."""
+    four = bytes((0xFF, third - 1, rate, 0x00))
+    h = mpeg.header(four)
+    assert h.layer == layer and h.crc
+    body = (bytes((0x10,)) if layer == 2 else bytes((0x35,))).ljust(h.size - 6, b"\0")
+    assert mpeg.protected_bits(h, body[:64]) == bits
+    frame = four + mpeg.crc16_bits(four[2:] + body, 16 + bits).to_bytes(2, "big") + body
+    assert mpeg.read(frame * 3).bad_crc == 0
+    damaged = bytearray(frame)
+    damaged[7] ^= 0x80
+    assert mpeg.read(frame + bytes(damaged) + frame).bad_crc == 1
+
+
+def test_media_and_tokens_of_nothing(spark, tmp_path):
+    sf_dir = folder(spark, tmp_path, [])
+    assert mpeg.op8_mpeg(spark, sf_dir).count() == bpe.op7_bpe(spark, sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("ranges", [mixing.RANGE_ROWS, 2])
 def test_mixing(spark, tmp_path, monkeypatch, ranges):
     monkeypatch.setattr(mixing, "RANGE_ROWS", ranges)

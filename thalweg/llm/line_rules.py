@@ -6,8 +6,9 @@ Viterbi decoding gives the best labelling of the whole text. The share of words
 base rules (at least LEAST_WORDS words, and at most half of the words in repeated three-word windows).
 
 Weights are trained here, by gradient ascent on the exact conditional likelihood (forward-backward), over a bounded sample: SAMPLE documents of
-either quality among the labelled ones (crc32 of doc_id mod 5 not 0), the first by hash of doc_id. Their lines take the document's label, but
-licence lines are boilerplate in either. Without labels of both kinds, the fixed START weights decode.
+either quality among the labelled ones (crc32 of doc_id mod 5 not 0), the first by hash of doc_id, and at most LINES lines of each. A line takes its
+document's label unless the START weights speak clearly against it, and licence lines are boilerplate in either, so that labels change within
+documents and transitions are learned. Without labels of both kinds, the START weights decode.
 
 Null and empty texts have no words and fail the base. Equal texts give equal rows; ties in decoding go to content. Texts are labelled whole,
 in time in proportion to their length. Columns beside doc_id and text are not read.
@@ -27,7 +28,8 @@ from thalweg.llm.quality import held_out
 
 LEAST_WORDS = 50
 CONTENT_SHARE = 0.4
-SAMPLE = 600
+#: Documents of either quality in the training sample, and lines of each that it takes.
+SAMPLE, LINES = 600, 400
 STEPS, RATE, BATCH = 80, 0.15, 64
 #: Quadratic penalties on feature weights and on transitions; the latter keeps one line from deciding for a whole text.
 PENALTY, PENALTY_MOVES = 1e-3, 0.05
@@ -36,6 +38,8 @@ FEATURES = ("bias", "length", "symbols", "bars", "bangs", "capitals", "digits",
 #: Weights for content before any training, and the score of staying on a label.
 START = (1.0, 0.5, -8.0, -4.0, -4.0, -3.0, -2.0, 0.5, 0.5, -2.0, -2.0, -4.0)
 STAY = 0.5
+#: A line's score by START beyond which it does not take its document's label in training.
+CLEAR = 1.6
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS, _CAPITALS, _DIGITS = b"#*$%&<>|", bytes(range(65, 91)), b"0123456789"
 _LICENCE = (b"licen", b"rights reserved", b"copyright", b"cookie", b"privacy policy", b"terms of use")
@@ -142,14 +146,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndar
     rows = labels.where("quality IN (0, 1)").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = rows.where("quality = 0").orderBy(*order).limit(SAMPLE).union(rows.where("quality = 1").orderBy(*order).limit(SAMPLE)).select(F.col("doc_id").alias("__id"), "quality")
-    picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("quality", "text", "doc_id")  # 2 * SAMPLE rows of two numbers
-    found = map_rows(picked, lambda: lambda x: (line_features(x.encode())[0],), "rows array<array<double>>").orderBy("doc_id", "quality").collect()
+    picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # 2 * SAMPLE rows of two numbers
+    found = map_rows(picked, lambda: lambda x: (line_features(x.encode())[0][:LINES],), "rows array<array<double>>").orderBy("doc_id", "quality").select("quality", "doc_id", "rows").collect()
     out = []
     licence = FEATURES.index("licence")
     for quality, _, lines in found:
         if lines:
             x = np.array(lines)
-            out.append((x, ((quality == 1) & (x[:, licence] == 0)).astype(int)))
+            plain = x @ np.array(START)
+            out.append((x, (np.where(np.abs(plain) > CLEAR, plain > 0, quality == 1) & (x[:, licence] == 0)).astype(int)))
     return out if len({int(q) for q, _, lines in found if lines}) == 2 else []
 
 

@@ -58,8 +58,8 @@ def mix(sizes: DataFrame) -> DataFrame:
         sources = F.broadcast(sources)
     n = F.ceil(F.col("n_rows") / RANGE_ROWS)
     df = sizes.alias("d").join(sources.withColumnRenamed("source", "__source"), F.col("d.source").eqNullSafe(F.col("__source"))).drop("__source")
-    # 40 bits of the key times the number of ranges: a range is a contiguous part of the key space.
-    df = df.withColumn("__range", F.shiftright(F.shiftright("__key", 20) * n, 40))
+    # 32 bits of the key times the number of ranges (up to 2**31): a range is a contiguous part of the key space.
+    df = df.withColumn("__range", F.shiftright(F.shiftright("__key", 28) * n, 32))
     ranges = df.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
     before = F.sum("__sum").over(W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
     ranges = ranges.select(F.col("source").alias("__s"), F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__before"))

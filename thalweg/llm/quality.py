@@ -9,7 +9,9 @@ from Mahalanobis distances by triangular solves, plus that of the log priors.
 All labelled rows train that are not held out (crc32 of doc_id as text, mod 5, is 0 for held-out rows); the sums need no sample. Labels, lang,
 source and doc_id are no inputs. Null and empty texts have the statistics of an empty text and get a score like any other. A class
 without training rows takes the statistics of the other; without any, every score is 0.5. Null doc_ids are not held out and have no labels.
-Repeated labels count as often as they are given. An empty table gives an empty result.
+Repeated labels count as often as they are given. Equal texts have equal scores; a score of exactly ACCEPT_AT accepts. Statistics are counts over
+a whole text, so very long texts take time in proportion and no more room than the text. Extra columns, whatever their names, are not read, and pass
+through `accepted` as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import documents, map_rows, written
+from thalweg.llm.common import SLICE, documents, map_rows, small_batches, written
 
 FOLDS = 5
 ACCEPT_AT = 0.3
@@ -60,6 +62,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def forward_solved(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with low @ x = b for a lower triangular matrix, all columns of b at a time."""
+    x = np.empty_like(b)
+    for i in range(len(low)):
+        x[i] = (b[i] - low[i, :i] @ x[:i]) / low[i, i]
+    return x
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Standardisation, and by class: mean, Cholesky factor of the covariance, log determinant and log prior."""
@@ -75,7 +85,7 @@ class Discriminant:
         if not self.means:
             return np.full(len(x), 0.5)
         z = (x - self.center) / self.scale
-        density = [c - 0.5 * (np.linalg.solve(f, (z - m).T) ** 2).sum(0) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
+        density = [c - 0.5 * (forward_solved(f, (z - m).T) ** 2).sum(0) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
 
 
@@ -155,10 +165,17 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that the classifier accepts, with their columns as they were."""
-    columns = docs.columns
     model = train(with_statistics(docs.select("doc_id", text), text), labels)
-    out = map_rows(docs.withColumn("__text", F.col(text)), lambda: lambda x: (float(model.score(np.array([statistics(x)]))[0]),), "__score double", "__text")
-    return out.where(F.col("__score") >= ACCEPT_AT).select(*columns)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                scores = model.score(np.array([statistics(x or "") for x in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(scores >= ACCEPT_AT))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
