@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
+from thalweg.operators import network
 from thalweg.plans import cli
 from thalweg.plans.config import Config
 from thalweg.plans.routers import Muskingum, RapidMuskingum, UnitMuskingum
@@ -68,6 +69,22 @@ def test_output_steps_and_a_sink_of_ones_own(spark, files):
     assert seen == [(8, 2, str(files / "out/discharge_a.parquet"), str(files / "a.parquet"))]
 
 
+def test_the_first_step_holds_throughout(spark, files):
+    """Times 0, 1 and 3 hours: no step fits them all."""
+    gaps = str(files / "gaps.parquet")
+    spark.read.parquet(str(files / "a.parquet")).where("t IN (0, 1, 3)").write.parquet(gaps)
+    with pytest.raises(ValueError, match="3600 s apart"):
+        RapidMuskingum(spark, **options(files, qlateral_files=gaps)).route()
+
+
+def test_roots_are_found_once(spark, files, monkeypatch):
+    """Not again for each input."""
+    calls, found = [], network.rooted
+    monkeypatch.setattr(network, "rooted", lambda net: calls.append(1) or found(net))
+    RapidMuskingum(spark, **options(files, qlateral_files=[str(files / "a.parquet"), str(files / "b.parquet")])).route()
+    assert len(calls) == 1
+
+
 def test_channel_only(spark, files):
     Muskingum(spark, **options(files, channel_state_init_file=str(files / "state.parquet"), dt_routing=1800, dt_discharge=3600, dt_total=6 * 3600, start_datetime="2020-02-28 20:00:00")).route()
     q = read(spark, files / "out/discharge.parquet")
