@@ -26,6 +26,7 @@ from thalweg.llm.common import documents
 from thalweg.llm.repeats import LAST, Units, covered, marked_windows, scramble, search, with_verdicts
 from thalweg.llm.repeats import _chunks as chunks
 from thalweg.llm.repeats import _texts as texts
+from thalweg.llm.suffix_dedup import suffix_order
 
 WIDTH, GRAM, STEP = 13, 7, 2
 
@@ -64,22 +65,6 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
 
-def suffix_order(s: np.ndarray) -> np.ndarray:
-    """The suffixes of s in order, by doubling the length that they are ranked by until no two ranks are equal."""
-    rank, order = np.unique(s, return_inverse=True)[1].astype(np.int64), np.argsort(s, kind="stable")
-    n, have = len(s), 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: max(0, n - have)] = rank[have:] + 1  # what has ended is the least
-        both = rank * (n + 1) + follow
-        order = np.argsort(both, kind="stable")
-        step = np.concatenate([[False], both[order[1:]] != both[order[:-1]]])
-        rank[order] = np.cumsum(step)
-        if n == 0 or step.sum() == n - 1:
-            return order
-        have *= 2
-
-
 class Index:
     """The full-text index of a sequence of numbers below `top`: counts of smaller symbols, a wavelet matrix of the transform, and for each place in
     the order of suffixes the value of the sequence's member that starts it."""

@@ -139,22 +139,22 @@ def _chunks(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
 
 
-def anchors(texts: DataFrame, units: Units) -> DataFrame:
-    """(id, anchor, n): the distinct anchors of each text, and how often a text has them. texts: id, text."""
+def anchors(texts: DataFrame, units: Units, within: bool) -> DataFrame:
+    """(id, anchor): the distinct anchors of each text, and if `within` once more what a text has several times. texts: id, text."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids, found, counts = [], [], []
+                ids, found = [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     own, n = np.unique(units.found(text)[1], return_counts=True)
+                    own = np.concatenate([own, own[n > 1]]) if within else own
                     ids.append(np.full(len(own), key, np.int64))
                     found.append(own)
-                    counts.append(n.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, found, counts)], ["id", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, found)], ["id", "anchor"])
 
-    return small_batches(texts.select("id", "text")).mapInArrow(run, "id long, anchor long, n int")
+    return small_batches(texts.select("id", "text")).mapInArrow(run, "id long, anchor long")
 
 
 CONTENTS = "key binary, first long, rows long, stretch binary, anchor long, offset int, windows int, content binary, starts array<int>"
@@ -196,9 +196,10 @@ def candidates(docs: DataFrame, texts: DataFrame, units: Units, within: bool) ->
     more = written(more, "repeats-equal")
     flagged = maybe(named, bit_table(more, "__file", "__at"), "file", "at")
     one = flagged.where("NOT held").select("key", "text").union(flagged.where("held").join(more, at("file", "at"), "left_anti").select("key", "text"))
-    found = anchors(one.select(F.xxhash64("key").alias("id"), "text"), units).repartition("anchor")  # dealt once, for the aggregation and for the join
-    counted = found.groupBy(F.col("anchor").alias("__anchor")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("n").alias("most"))
-    shared = counted.where("a < b OR most > 1" if within else "a < b").select("__anchor")
+    # Dealt once, for the aggregation and for the join: both ask for the same rows and columns.
+    found = anchors(one.select(F.xxhash64("key").alias("id"), "text"), units, within).where("anchor IS NOT NULL").repartition("anchor")
+    counted = found.groupBy(F.col("anchor").alias("__anchor")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = counted.where("a < b OR n > 1" if within else "a < b").select("__anchor")
     own = found.join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor")).groupBy(F.col("id").alias("__id")).agg(F.collect_set("anchor").alias("shared"))
     own = written(texts.join(own, F.xxhash64("key") == F.col("__id")).select(F.col("file").alias("__file"), F.col("at").alias("__at"), "first", "rows", "shared"), "repeats-shared")
     some = maybe(named, bit_table(own, "__file", "__at"), "file", "at").where("held")

@@ -4,7 +4,7 @@ Every byte goes that is covered by a string of WIDTH bytes which also starts any
 on the input. Bytes covered by such strings of SHORT bytes are counted beside (about fifty words), and stay. Stretches of text that may hold such
 strings (see repeats) meet in shards. A shard's stretches are laid end to end, with a mark after each, and their suffixes are sorted by induction:
 suffixes are classified as smaller or larger than the next one, leftmost-smaller substrings are sorted by inducing and named, names that
-repeat are sorted recursively, and the order of all suffixes is induced from theirs in linear time. Permuted common prefixes are computed in
+repeat are sorted recursively (by doubled ranks where there are over WHOLE of them), and the order of all suffixes is induced from theirs in linear time. Permuted common prefixes are computed in
 text order; suffixes that share a string's length stand together in the order, and the occurrences of their stretches are summed.
 
 Null and empty texts, and texts shorter than WIDTH, lose nothing (an empty text keeps the digest of no bytes). Repeated rows count as
@@ -51,7 +51,7 @@ class Bytes(Units):
         return content
 
 
-#: Symbols up to which buckets are induced whole.
+#: Symbols up to which suffixes are induced, bucket by bucket.
 WHOLE = 512
 
 
@@ -103,41 +103,32 @@ def _induced_whole(s: np.ndarray, smaller: np.ndarray, heads: np.ndarray, ends:
     return sa
 
 
-def _induced(s: list[int], smaller: bytearray, heads: list[int], ends: list[int], seeds: list[int]) -> list[int]:
-    """The same, suffix by suffix: for many symbols with few suffixes each."""
-    n = len(s)
-    sa = [-1] * n
-    tail = ends[:]
-    for i in reversed(seeds):
-        c = s[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = heads[:]
-    c = s[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not smaller[j]:
-            c = s[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends[:]
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and smaller[j]:
-            c = s[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return sa
+def suffix_order(s: np.ndarray) -> np.ndarray:
+    """The suffixes of s in order, by doubling the length that they are ranked by until no two ranks are equal: for many symbols with few suffixes
+    each, whose buckets are not worth inducing."""
+    n, have = len(s), 1
+    rank, order = np.unique(s, return_inverse=True)[1].astype(np.int64), np.argsort(s, kind="stable")
+    while n:
+        follow = np.zeros(n, np.int64)
+        follow[: max(0, n - have)] = rank[have:] + 1  # what has ended is the least
+        both = rank * (n + 1) + follow
+        order = np.argsort(both)
+        step = np.concatenate([[False], both[order[1:]] != both[order[:-1]]])
+        rank[order] = np.cumsum(step)
+        if step.sum() == n - 1:
+            break
+        have *= 2
+    return order
 
 
 def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
-    """The suffixes of s in order, by induced sorting. Symbols are 0 to top."""
+    """The suffixes of s in order, by induced sorting; beyond WHOLE symbols, which names of substrings soon are, by ranks. Symbols are 0 to top."""
     s = np.asarray(s, np.int64)
     n = len(s)
     if n <= 1:
         return np.arange(n)
+    if top > WHOLE:
+        return suffix_order(s)
     # Smaller: the suffix comes before the one that starts a symbol later. Equal symbols inherit, from the last place that differs.
     step = np.sign(s[1:] - s[:-1])
     nonzero = np.where(step != 0, np.arange(n - 1), n)
@@ -148,11 +139,7 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=top + 1))
     heads = np.concatenate([[0], ends[:-1]])
-    if top <= WHOLE:
-        induce = lambda seeds: _induced_whole(s, smaller, heads, ends, seeds)
-    else:
-        plain = s.tolist(), bytearray(smaller.astype(np.uint8).tobytes()), heads.tolist(), ends.tolist()
-        induce = lambda seeds: np.array(_induced(*plain, seeds.tolist()), np.int64)
+    induce = lambda seeds: _induced_whole(s, smaller, heads, ends, seeds)
     if not len(leftmost):
         return induce(leftmost)
     # Names of leftmost-smaller substrings, in the order that inducing from their starts gives.
