@@ -110,8 +110,10 @@ def by_fingerprint(nodes: DataFrame, distance: int) -> DataFrame:
 def parted(keys: DataFrame, links: DataFrame) -> DataFrame:
     """Of keys (key, node, size), those that hold more than one component after those links: key, node, size, component, n."""
     reached = components(links).withColumnRenamed("node", "__node")
-    keys = keys.join(reached, F.col("node") == F.col("__node"), "left").select(*((F.explode("prefix").alias("key"),) if "prefix" in keys.columns else ("key",)), "node", "size", F.coalesce("component", "node").alias("component"))
-    keys = keys.where("key IS NOT NULL").repartition("key")  # dealt once: the aggregation and the join ask for the same rows and columns
+    placed = keys.join(reached, F.col("node") == F.col("__node"), "left").drop("__node").withColumn("component", F.coalesce("component", "node"))
+    placed = written(placed, "copies-placed")
+    # Dealt once: the aggregation and the join ask for the same rows and columns of a table.
+    keys = placed.select(F.explode("prefix").alias("key") if "prefix" in placed.columns else "key", "node", "size", "component").where("key IS NOT NULL").repartition("key")
     several = keys.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("c"), F.min("size").alias("d")).where("a < b AND d > 0 AND c IS NOT NULL")
     return written(keys.join(several, F.col("key") == F.col("__key")).select("key", "node", "size", "component", "n"), "copies-keys")
 

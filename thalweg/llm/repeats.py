@@ -196,12 +196,14 @@ def candidates(docs: DataFrame, texts: DataFrame, units: Units, within: bool) ->
     more = written(more, "repeats-equal")
     flagged = maybe(named, bit_table(more, "__file", "__at"), "file", "at")
     one = flagged.where("NOT held").select("key", "text").union(flagged.where("held").join(more, at("file", "at"), "left_anti").select("key", "text"))
-    # Dealt once, for the aggregation and for the join: both ask for the same rows and columns.
-    found = anchors(one.select(F.xxhash64("key").alias("id"), "text"), units, within).where("anchor IS NOT NULL").repartition("anchor")
+    # Written, then dealt once, for the aggregation and for the join: both ask for the same rows and columns.
+    each = written(anchors(one.select(F.xxhash64("key").alias("id"), "text"), units, within), "repeats-anchors")
+    found = each.where("anchor IS NOT NULL").repartition("anchor")
     counted = found.groupBy(F.col("anchor").alias("__anchor")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
     shared = counted.where("a < b OR n > 1" if within else "a < b").select("__anchor")
     own = found.join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor")).groupBy(F.col("id").alias("__id")).agg(F.collect_set("anchor").alias("shared"))
     own = written(texts.join(own, F.xxhash64("key") == F.col("__id")).select(F.col("file").alias("__file"), F.col("at").alias("__at"), "first", "rows", "shared"), "repeats-shared")
+    spent(each)
     some = maybe(named, bit_table(own, "__file", "__at"), "file", "at").where("held")
     return written(contents(some.join(own, at("file", "at")), units), "repeats-candidates")
 
