@@ -29,11 +29,12 @@ def rows():
     return [*found, (None, passage), (None, None), (4, passage + " tail"), (9, texts()[6]), (9, texts()[6]), (1, passage.upper())]
 
 
-def folder(spark, tmp_path, found, labels=()):
-    """A table folder of those (doc_id, text), with columns whose names operators use themselves."""
+def folder(spark, tmp_path, found, labels=(), items=()):
+    """A table folder of those (doc_id, text), with columns whose names operators use themselves; also labels and (item_id, text) of a benchmark."""
     sources = ("a", "b", None, "a", "a")
     spark.createDataFrame([(i, t, None, sources[k % 5], None if t is None else len(t), "k", k, 0.5, "i") for k, (i, t) in enumerate(found)], DOCUMENTS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(labels), LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").repartition(2).write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
 
 

@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.session import shared_dir, spent, written
 
-__all__ = ["WORD", "bit_table", "documents", "map_rows", "maybe", "n_words", "placed", "shared_dir", "small_batches", "spent", "text_key", "whole_row", "written"]
+__all__ = [
+    "WORD", "ascii_lower", "ascii_words", "bit_table", "bound", "documents", "map_rows", "maybe", "n_words", "placed", "ranked", "shared_dir", "small_batches", "spent", "text_key", "whole_row", "written",
+]
 
 #: A word is a run of anything but these white-space characters.
 SPACES = "\x20\x09-\x0d"
@@ -52,6 +55,50 @@ def n_words(text: Column | str) -> Column:
     return (F.size(pieces) - (F.element_at(pieces, 1) == "").cast("int") - ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")).cast("long")
 
 
+#: What stands between the words of texts compared without regard to case: ASCII but letters and digits. Words are found before letters are lowered.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same in SQL over lowered texts: what a word is made of.
+LOWERED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def ascii_lower(word: Column) -> Column:
+    """A-Z lowered, nothing else. Spark lowers ASCII fast, and would lower other letters too."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, CAPITALS, CAPITALS.lower()))
+
+
+def ascii_words(text: Column | str) -> Column:
+    """The words of a whole text (null: none), not yet lowered. Splitting takes linear time, which extracting all matches does not."""
+    pieces = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BETWEEN, -1)
+
+    def inner(p: Column) -> Column:
+        first, last = (F.element_at(p, 1) == "").cast("int"), (F.element_at(p, -1) == "").cast("int")
+        return F.slice(p, first + 1, F.greatest(F.lit(0), F.size(p) - first - last))
+
+    return bound(pieces, inner)
+
+
+def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with place (1, 2, 3... by `order`) and total (its rows): dealt by range and sorted, each partition's rows counted, and offset by those
+    of the partitions before it. No task holds more than a range; order should tell rows apart, so that ranges can be cut anywhere.
+
+    df is read twice; the sorted rows are written.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    offsets = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("total"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.join(F.broadcast(offsets), part == F.col("__p")).withColumn("place", place).drop("__at", "__p", "__before")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[str], tuple]], fields: str, text: str = "text") -> DataFrame:
     """df without `text`, with `fields` (DDL) added: make() gives each task a function from one whole text (null: empty) to their values.
 

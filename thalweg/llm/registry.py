@@ -16,6 +16,9 @@ QUERIES = {
     "op8_mpeg": ("thalweg.llm.mpeg", "op8_mpeg", False),
     "op9_quality": ("thalweg.llm.quality", "op9_quality", False),
     "op10_line_rules": ("thalweg.llm.line_rules", "op10_line_rules", False),
+    "op11_importance": ("thalweg.llm.importance", "op11_importance", True),
+    "op12_fim": ("thalweg.llm.fim", "op12_fim", True),
+    "op13_decontamination": ("thalweg.llm.decontamination", "op13_decontamination", True),
     "pipeline": ("corpus_pipeline", "run", False),
 }
 
