@@ -9,6 +9,7 @@ import json
 import os
 import tempfile
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from thalweg.plans.config import Config
 from thalweg.plans.grid_weights import grid_weights
 from thalweg.plans.routers import RapidMuskingum, UnitMuskingum, first_step
 from thalweg.session import shared_dir, written
-from thalweg.sources import io, views
+from thalweg.sources import io, netcdf, views
 from thalweg.sources.views import START, sql
 from thalweg.streaming.incremental import convolved
 
@@ -163,6 +164,37 @@ def grid_weights_call(spark, d):
     return w.select("river_id", "x_index", "y_index", F.round(F.col("area_sqm") / 1_000_000, 3).alias("area_sqkm"), r6("proportion", "proportion"))
 
 
+# --- netCDF ---------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT river_id, time, round(v, 6) AS v FROM qlateral WHERE t >= 24 AND t < 96", "qlateral"))
+def qlateral_netcdf(spark, d):
+    """Lateral inflow as one netCDF file (time, river), written by tasks at their offsets; three days of it are read, in blocks of a few steps."""
+    path, q = place(spark, "qlateral"), views.qlateral(spark, d)
+    netcdf.write(q.withColumnRenamed("v", "qlateral"), f"{path}.nc", {"time": "time", "river_id": "long"}, {"qlateral": "double"}, about={"qlateral": {"units": "m3"}})
+    start = datetime.fromisoformat(START)
+    found = netcdf.read(spark, [f"{path}.nc"], "time timestamp_ntz, river_id long, qlateral double", start + timedelta(hours=24), start + timedelta(hours=96), block=4096)
+    return found.select("river_id", "time", r6("qlateral", "v"))
+
+
+@query(sql(f"SELECT TIMESTAMP '{GRID_START}' + to_hours(CAST(t AS BIGINT)) AS time, x_index, y_index, round(CAST(CAST(ro AS FLOAT) AS DOUBLE), 4) AS ro FROM grid", "grid"))
+def grid_netcdf(spark, d):
+    """A runoff cube in two netCDF files (time, lat, lon), 32-bit, with coordinates; read as one by the places of its cells."""
+    base, (x, y) = place(spark, "grid"), views.axes(spark, d)
+    g = io.with_dates(views.grid(spark, d), GRID_START, HOUR).join(F.broadcast(x), "x_index").join(F.broadcast(y), "y_index")
+    g = g.select("t", F.col("time").alias("valid_time"), F.col("y").alias("latitude"), F.col("x").alias("longitude"), "ro")
+    for k in (0, 1):
+        netcdf.write(g.where(F.col("t") % 2 == k), f"{base}-{k}.nc", {"valid_time": "time", "latitude": "double", "longitude": "double"}, {"ro": "float"}, about={"ro": {"units": "m"}})
+    return io.read_grid(spark, [f"{base}-0.nc", f"{base}-1.nc"], "ro", "longitude", "latitude", "valid_time").withColumn("ro", F.round("ro", 4))
+
+
+@query(_WEIGHTS)
+def weights_netcdf(spark, d):
+    path = f"{place(spark, 'weights')}.nc"
+    io.write_weights(views.weights(spark, d), path, grid="derived")
+    return io.read_weights(spark, path).withColumn("proportion", r6("proportion", "p"))
+
+
 # --- routers over files -------------------------------------------------------------------------------------------------------------------
 
 
@@ -190,6 +222,17 @@ def routed_by_command_line(spark, d):
     return out.select("river_id", "time", F.round(F.col("Q").cast("double"), 2).alias("q"), io.seconds_since(F.col("time"), START).alias("seconds"))
 
 
+@query(sql(f"{_ROUTED} FROM {_mean_sql('rapid')}", "net", "qlateral"))
+def routed_netcdf(spark, d):
+    """A router from netCDF inflow to netCDF discharge."""
+    base = place(spark, "netcdf")
+    q = views.qlateral(spark, d).select("time", "river_id", F.col("v").alias("qlateral"))
+    netcdf.write(q, f"{base}-input.nc", {"time": "time", "river_id": "long"}, {"qlateral": "double"})
+    RapidMuskingum(spark, params_file=params_of(spark, d), qlateral_files=f"{base}-input.nc", discharge_files=[f"{base}-out.nc"], log=False).route()
+    out = netcdf.read(spark, [f"{base}-out.nc"], "time timestamp_ntz, river_id long, Q double")
+    return out.select("river_id", "time", F.round("Q", 2).alias("q"))
+
+
 @query(sql(f"{_ROUTED} FROM {_mean_sql('rapid')} WHERE river_id <= 3", "net", "qlateral"))
 def routed_in_sequence(spark, d):
     """Two inputs one after the other, the state carried on, with a sink that passes some rivers on and hooks of one's own."""

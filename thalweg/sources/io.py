@@ -1,4 +1,5 @@
-"""Readers and writers. Tables are Parquet; whatever a column is called at rest, it has its one name here."""
+"""Readers and writers. Tables are Parquet, series, grids and weights also netCDF by the ending of their paths (sources.netcdf); whatever a column is
+called at rest, it has its one name here."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import json
 import re
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from thalweg import __version__
-from thalweg.operators.weights import WEIGHT_COLUMNS
+from thalweg.operators.weights import WEIGHT_COLUMNS, numbered
+from thalweg.sources import netcdf
 
 
 def read_params(spark: SparkSession, path: str, river_id: str = "river_id") -> DataFrame:
@@ -43,22 +46,54 @@ def write_state(state: DataFrame | None, path: str | None, discharge: str = "Q")
 
 def read_series(spark: SparkSession, paths: list[str], value: str, time: str = "time", river_id: str = "river_id") -> DataFrame:
     """source (the input's path), river_id, time, v: inputs stay apart by file or folder."""
-    # Schemes are written in several ways (file:/x, file:///x): paths are compared without them.
-    plain = F.regexp_replace("_metadata.file_path", "^[^/]*:/*", "/").alias("__file")
-    df = spark.read.parquet(*paths).select(plain, F.col(river_id).cast("long").alias("river_id"), F.col(time).alias("time"), F.col(value).cast("double").alias("v"))
-    source = F.lit(None).cast("string")
-    for p in paths:
-        own = re.sub(r"^[^/]*:/*", "/", p).rstrip("/")
-        source = F.when(F.col("__file").contains(own + "/") | F.col("__file").endswith(own), F.lit(p)).otherwise(source)
-    return df.withColumn("source", source).drop("__file")
+    tables, cubes = [p for p in paths if not netcdf.is_netcdf(p)], [p for p in paths if netcdf.is_netcdf(p)]
+    found = []
+    if tables:
+        # What Spark tells of a file is percent-encoded, and schemes are written in several ways (file:/x, file:///x): both are undone.
+        plain = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^[^/]*:/*", "/").alias("__file")
+        df = spark.read.parquet(*tables).select(plain, F.col(river_id).cast("long").alias("river_id"), F.col(time).alias("time"), F.col(value).cast("double").alias("v"))
+        found.append(_with_source(df, tables))
+    if cubes:
+        df = netcdf.read(spark, cubes, f"`{river_id}` long, `{time}` timestamp_ntz, `{value}` double, source string")
+        found.append(df.select(F.col(river_id).alias("river_id"), F.col(time).alias("time"), F.col(value).alias("v"), "source"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _with_source(df: DataFrame, paths: list[str]) -> DataFrame:
+    """df with source: the path that its file is, or that the file's folder is below."""
+    if len(paths) == 1:
+        return df.withColumn("source", F.lit(paths[0])).drop("__file")
+    own = {re.sub(r"^[^/]*:/*", "/", p).rstrip("/"): p for p in paths}
+    named = df.sparkSession.createDataFrame(list(own.items()), "__own string, source string")
+    # A path is the beginning of its files' at as many steps as it has: one look-up for each number of steps among the paths.
+    steps = sorted({k.count("/") for k in own}, reverse=True)
+    cut = F.array(*(F.substring_index("__file", "/", n + 1) for n in steps))
+    held = F.broadcast(named.agg(F.map_from_entries(F.collect_list(F.struct("__own", "source"))).alias("__known")))  # a row, of the paths given
+    # Paths may also be relative: then they are the end of a file's folder.
+    near = F.filter(F.map_entries("__known"), lambda e: F.contains(F.col("__file"), F.concat(F.lit("/"), e["key"], F.lit("/"))) | F.endswith(F.col("__file"), F.concat(F.lit("/"), e["key"])))
+    whole = F.filter(F.transform(cut, lambda c: F.try_element_at("__known", c)), lambda x: x.isNotNull())
+    source = F.coalesce(F.get(whole, F.lit(0)), F.get(near, F.lit(0))["value"])
+    return df.crossJoin(held).withColumn("source", source).drop("__file", "__known")
 
 
 def read_grid(spark: SparkSession, paths: list[str], runoff: str = "ro", x: str = "x_index", y: str = "y_index", time: str = "time") -> DataFrame:
-    """time, x_index, y_index, ro: many inputs are one cube."""
-    return spark.read.parquet(*paths).select(F.col(time).alias("time"), F.col(x).cast("int").alias("x_index"), F.col(y).cast("int").alias("y_index"), F.col(runoff).cast("double").alias("ro"))
+    """time, x_index, y_index, ro: many inputs are one cube. Of netCDF files x and y name dimensions, and their places are the indices."""
+    tables, cubes = [p for p in paths if not netcdf.is_netcdf(p)], [p for p in paths if netcdf.is_netcdf(p)]
+    found = []
+    if tables:
+        found.append(spark.read.parquet(*tables).select(F.col(time).alias("time"), F.col(x).cast("int").alias("x_index"), F.col(y).cast("int").alias("y_index"), F.col(runoff).cast("double").alias("ro")))
+    if cubes:
+        x, y = (f"{d.removesuffix('_index')}_index" for d in (x, y))
+        df = netcdf.read(spark, cubes, f"`{time}` timestamp_ntz, `{x}` int, `{y}` int, `{runoff}` double")
+        found.append(df.select(F.col(time).alias("time"), F.col(x).alias("x_index"), F.col(y).alias("y_index"), F.col(runoff).alias("ro")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_weights(spark: SparkSession, path: str, river_id: str = "river_id") -> DataFrame:
+    if netcdf.is_netcdf(path):
+        kinds = {river_id: "long", "x_index": "int", "y_index": "int"}
+        df = netcdf.read(spark, [path], ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in (river_id, *WEIGHT_COLUMNS[1:])))
+        return df.withColumnRenamed(river_id, "river_id").select(*WEIGHT_COLUMNS)
     return spark.read.parquet(path).withColumnRenamed(river_id, "river_id").select(*WEIGHT_COLUMNS)
 
 
@@ -122,6 +157,11 @@ def write_subset(net: DataFrame, target: int, params_path: str, weights: DataFra
 def write_weights(weights: DataFrame, path: str, **provenance: str) -> None:
     """Writes weights with their provenance as metadata of the proportion column."""
     about = {"description": "shares of grid cells in river catchments", "version": __version__} | provenance
+    if netcdf.is_netcdf(path):
+        kinds = {c: "long" if c == "river_id" or c.endswith("_index") else "double" for c in WEIGHT_COLUMNS}
+        rows = numbered(weights.select(*WEIGHT_COLUMNS), "river_id", F.desc("area_sqm"), "x_index", "y_index", name="index")
+        netcdf.write(rows, path, {"index": "place"}, kinds, about, {"area_sqm": {"units": "m2"}, "proportion": {"units": "1"}})
+        return
     weights.select(*WEIGHT_COLUMNS).withMetadata("proportion", {"provenance": json.dumps(about)}).write.mode("overwrite").parquet(path)
 
 
@@ -174,7 +214,11 @@ Sink = Callable[[DataFrame, str, str], None]
 
 
 def write_discharge(df: DataFrame, path: str, source: str = "", name: str = "Q") -> None:
-    """The default sink: river_id, time, discharge as float, with units and source as metadata."""
+    """The default sink: river_id, time, discharge as float, with units and source as metadata; a netCDF file (time, river_id) where the path says so."""
+    if netcdf.is_netcdf(path):
+        about = {"units": "m3 s-1", "long_name": "Discharge at catchment outlet", "standard_name": "discharge", "aggregation_method": "mean"}
+        netcdf.write(df.withColumnRenamed("q", name), path, {"time": "time", "river_id": "long"}, {name: "float"}, {"runoff_file": source, "version": __version__}, {name: about})
+        return
     q = F.col("q").cast("float").alias(name, metadata={"units": "m3 s-1", "source": source, "version": __version__})
     df.select("river_id", "time", q).write.mode("overwrite").parquet(path)
 
