@@ -109,3 +109,25 @@ def test_time_options():
     for bad in [(7200, 3600, 3600, 3600), (900, 3600, 3600, 4000), (1000, 3600, 3600, 7200), (900, 3600, 1800, 7200)]:
         with pytest.raises(ValueError):
             routing.Steps(*bad)
+
+
+@pytest.mark.parametrize("kind, chunk, size", [("rapid", 5, 2000), ("rapid", 24, 2000), ("unit", 7, 2000), ("unit", 5, 1), ("rapid", 100, 1)])
+def test_chunks_of_time_equal_the_whole(spark, sf, net, lateral, monkeypatch, kind, chunk, size):
+    """Days side by side, with a state, for two members at once, chunks that do not divide the horizon, and both ways of carrying flows on."""
+    monkeypatch.setattr(routing, "MATRIX", size)
+    both = lateral.withColumn("m", F.lit("a")).union(lateral.withColumn("v", F.col("v") * F.lit(2) + F.col("river_id") % 3).withColumn("m", F.lit("b")))
+    given = (kind, net, both, T, HOUR, 3, views.state(spark, sf), "m")
+    whole = {(r["river_id"], r["m"]): r for r in routing.route(*given, strategy="grouped").collect()}
+    found = routing.route(*given, strategy="chunks", chunk=chunk).collect()
+    assert len(found) == len(whole)
+    for r in found:
+        want = whole[r["river_id"], r["m"]]
+        assert np.allclose(r["discharge"], want["discharge"], rtol=1e-9, atol=1e-9) and np.isclose(r["state"], want["state"], rtol=1e-9) and r["watershed_id"] == want["watershed_id"]
+
+
+def test_chunks_check_their_series(spark, net, lateral):
+    for bad, said in ((lateral.where("NOT (river_id = 3 AND t = 7)"), "for every river"), (lateral.where("river_id <> 3"), "for every river"), (lateral.withColumn("river_id", F.when(F.col("river_id") == 3, 999).otherwise(F.col("river_id")).cast("long")), "not in the network|for every river")):
+        with pytest.raises(Exception, match=said):
+            routing.route("rapid", net, bad, T, HOUR, strategy="chunks", chunk=6).collect()
+    chunks = routing.route_chunks("rapid", net, lateral, 1, HOUR, T, 6)
+    assert chunks.groupBy("first").count().count() == 4 and chunks.where("state IS NOT NULL").count() == net.count()

@@ -20,6 +20,7 @@ from typing import Literal
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import packed
@@ -60,8 +61,9 @@ class Steps:
         return self.runoff // self.routing
 
 
-def respond(kind: Kind, c: np.ndarray, now: np.ndarray, prev: np.ndarray, lateral: np.ndarray | None, q0: np.ndarray, substeps: int, dt_runoff: float, fed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rivers of one level at once. c: (n, 3); now, prev: (n, S); lateral: (n, T). Gives discharge (n, T), state (n), and what is published."""
+def respond(kind: Kind, c: np.ndarray, now: np.ndarray, prev: np.ndarray, lateral: np.ndarray | None, q0: np.ndarray, substeps: int, dt_runoff: float, fed: np.ndarray, f0: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rivers of one level at once. c: (n, 3); now, prev: (n, S); lateral: (n, T); q0: x before the first substep, f0: what was published then.
+    Gives discharge (n, T), state (n), and what is published."""
     n, s_count = now.shape
     spread = np.zeros((n, s_count)) if lateral is None else np.repeat(lateral, substeps, axis=1)
     source = spread * ((c[:, 0] + c[:, 1]) / dt_runoff)[:, None] if kind == "rapid" else np.zeros((n, s_count))
@@ -72,9 +74,9 @@ def respond(kind: Kind, c: np.ndarray, now: np.ndarray, prev: np.ndarray, latera
         x[:, s] = last
     if kind == "unit":
         full = np.where(fed[:, None], x + spread, spread)
-        before = np.where(fed[:, None], np.concatenate([q0[:, None], full[:, :-1]], axis=1), spread)
+        before = np.where(fed[:, None], np.concatenate([f0[:, None], full[:, :-1]], axis=1), spread)
     else:
-        full, before = x, np.concatenate([q0[:, None], x[:, :-1]], axis=1)
+        full, before = x, np.concatenate([f0[:, None], x[:, :-1]], axis=1)
     mean = full.reshape(n, -1, substeps).mean(axis=2)
     # Headwaters of the unit kind pass their inflow on as it is; the rest is floored at 0, also where it is not a number.
     out = np.where(~fed[:, None], mean, np.where(mean > 0, mean, 0.0)) if kind == "unit" else np.where(mean > 0, mean, 0.0)
@@ -84,7 +86,7 @@ def respond(kind: Kind, c: np.ndarray, now: np.ndarray, prev: np.ndarray, latera
 def solve(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_steps: int, inflow: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[pd.DataFrame, list[tuple]]:
     """A watershed or a piece of one: river_id, downstream_river_id, dist, fed, c1..c3, v (array or null), q0 -> river_id, discharge, state.
 
-    inflow: what a river gets from other pieces, now and before. Also given: (river_id, downstream id, now, before) of rivers that flow to others.
+    f0, if there, is what rivers published before the first substep (else q0). inflow: what a river gets from other pieces, now and before. Also given: (river_id, downstream id, now, before) of rivers that flow to others.
     """
     pdf = pdf.sort_values(["dist", "river_id"], ascending=[False, True], ignore_index=True)
     place = {r: i for i, r in enumerate(pdf["river_id"])}
@@ -92,6 +94,7 @@ def solve(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_step
     down = np.array([place.get(d, -1) for d in flows_to])
     n, s_count = len(pdf), n_steps * substeps
     c, q0, dist = pdf[["c1", "c2", "c3"]].to_numpy(float), pdf["q0"].to_numpy(float), pdf["dist"].to_numpy()
+    f0 = pdf["f0"].to_numpy(float) if "f0" in pdf else q0
     lateral = None if kind == "channel" else np.stack(pdf["v"].to_list()).astype(float)
     fed = pdf["fed"].to_numpy(bool)
     discharge, state, out = np.zeros((n, n_steps)), np.zeros(n), []
@@ -104,7 +107,7 @@ def solve(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_step
         rows = np.arange(a, b)
         got_now = np.stack([now.pop(i, nothing) for i in rows])
         got_prev = np.stack([prev.pop(i, nothing) for i in rows])
-        discharge[a:b], state[a:b], full, before = respond(kind, c[a:b], got_now, got_prev, None if lateral is None else lateral[a:b], q0[a:b], substeps, dt_runoff, fed[a:b])
+        discharge[a:b], state[a:b], full, before = respond(kind, c[a:b], got_now, got_prev, None if lateral is None else lateral[a:b], q0[a:b], substeps, dt_runoff, fed[a:b], f0[a:b])
         for i in rows:
             d = down[i]
             if d >= 0:
@@ -121,18 +124,23 @@ def _solved(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_st
     return solve(kind, pdf, substeps, dt_runoff, n_steps, inflow)
 
 
+def with_states(net: DataFrame, state: DataFrame | None, dt_routing: float) -> DataFrame:
+    """One row for each river: topology, coefficients, whether it is fed, and initial flow q0."""
+    base = coefficients(net if "watershed_id" in net.columns else with_roots(net), dt_routing)
+    fed = base.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
+    base = base.join(fed, F.col("river_id") == F.col("__f"), "left").withColumn("fed", F.col("__f").isNotNull()).drop("__f")
+    if state is not None:
+        base = base.join(state.select("river_id", "q"), "river_id", "left")
+    return base.withColumn("q0", F.coalesce("q", F.lit(0.0)) if state is not None else F.lit(0.0))
+
+
 def prepared(net: DataFrame, lateral: DataFrame | None, state: DataFrame | None, dt_routing: float, member: str | None = None) -> DataFrame:
     """One row for each river (and member): topology, coefficients, inflow array v and initial flow q0.
 
     Joined by river_id; a river without a series, or a series without a river, stops the query. lateral: river_id, (member), t, v. A network that
     knows its roots (network.with_roots) is not searched for them again.
     """
-    base = coefficients(net if "watershed_id" in net.columns else with_roots(net), dt_routing)
-    fed = base.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
-    base = base.join(fed, F.col("river_id") == F.col("__f"), "left").withColumn("fed", F.col("__f").isNotNull()).drop("__f")
-    if state is not None:
-        base = base.join(state.select("river_id", "q"), "river_id", "left")
-    base = base.withColumn("q0", F.coalesce("q", F.lit(0.0)) if state is not None else F.lit(0.0))
+    base = with_states(net, state, dt_routing)
     if lateral is None:
         return base.withColumn("v", F.lit(None).cast("array<double>"))
     keys = ["river_id"] + ([member] if member else [])
@@ -209,6 +217,114 @@ def route_pieces(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n
     return reduce(DataFrame.unionByName, bands) if bands else route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
 
 
+# --- long horizons ---------------------------------------------------------------------------------------------------------------------------
+
+#: Rivers of a watershed up to which the map over a chunk is held as a matrix.
+MATRIX = 2000
+
+
+def carried(kind: Kind, topology: pd.DataFrame, x: np.ndarray, substeps: int) -> np.ndarray:
+    """Initial flows x (rivers in the order of `ordered`, any number of columns) after so many substeps without inflow."""
+    place = {r: i for i, r in enumerate(topology["river_id"])}
+    down = np.array([place.get(d, -1) for d in topology["downstream_river_id"]])
+    c, dist = topology[["c1", "c2", "c3"]].to_numpy(float), topology["dist"].to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], dist[1:] != dist[:-1], [True]]))
+    # Headwaters of the unit kind carry their inflow on, and remember nothing.
+    keeps = topology["fed"].to_numpy(bool)[:, None] if kind == "unit" else np.ones((len(topology), 1), bool)
+    x = np.where(keeps, x, 0.0)
+    for _ in range(substeps):
+        now, new = np.zeros_like(x), np.zeros_like(x)
+        prev = np.zeros_like(x)
+        np.add.at(prev, down[down >= 0], x[down >= 0])
+        for a, b in zip(edges, edges[1:], strict=False):
+            new[a:b] = np.where(keeps[a:b], c[a:b, :1] * now[a:b] + c[a:b, 1:2] * prev[a:b] + c[a:b, 2:] * x[a:b], 0.0)
+            flows = np.flatnonzero(down[a:b] >= 0) + a
+            np.add.at(now, down[flows], new[flows])
+        x = new
+    return x
+
+
+def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["dist", "river_id"], ascending=[False, True], ignore_index=True)
+
+
+def route_chunks(kind: Kind, net: DataFrame, lateral: DataFrame, substeps: int, dt_runoff: float, n_steps: int, chunk: int, state: DataFrame | None = None, member: str | None = None) -> DataFrame:
+    """watershed_id, river_id, (member), first (step of the chunk), discharge (array), state (null but in the last chunk): parallel in time as well.
+
+    Routing over a chunk of steps is an affine map of the flows before it, x -> M x + b; M is the same for all chunks. So b comes from routing each chunk
+    from nothing, a task for each watershed and chunk; the maps are composed from chunk to chunk, a vector of flows for each; and each chunk is routed
+    again from the flows before it. A task holds a chunk of a watershed's series, whatever the horizon, and between these a number a river and chunk.
+    Watersheds of over MATRIX rivers apply M by routing the flows without inflow.
+    """
+    extra = [member] if member else []
+    base = written(with_states(net, state, dt_runoff / substeps), "chunks-rivers")
+    n_chunks = -(-n_steps // chunk)
+    cut = lateral.withColumn("chunk", F.floor(F.col("t") / chunk).cast("int"))
+    arrays = packed(cut, "t", "v", "v", "river_id", "chunk", *extra)
+    members = [lateral.select(member).distinct()] if member else []
+    due = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), members, base)  # members, few
+    due = due.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))) if n_chunks else F.explode(F.array().cast("array<int>")))
+    keys = ["river_id", "chunk", *extra]
+    joined = due.join(arrays.select(*(F.col(c).alias(f"__{c}") for c in keys), "v"), reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in keys]), "full_outer")
+    size = F.least(F.lit(chunk), F.lit(n_steps) - F.col("chunk") * chunk)
+    stop = lambda what: F.raise_error(F.lit(what))
+    fits = F.when(F.col("river_id").isNull(), stop("lateral inflow of a river that is not in the network, or beyond the last step")).when(F.col("__river_id").isNull() | (F.size("v") != size), stop(f"lateral inflow must have {n_steps} steps for every river"))
+    joined = joined.withColumn("river_id", fits.otherwise(F.col("river_id")).cast("long")).drop(*(f"__{c}" for c in keys))
+    # What a river published before a chunk holds the inflow of the step before it (unit kind).
+    last = F.element_at("v", -1)
+    before = F.lag(last).over(W.partitionBy("river_id", *extra).orderBy("chunk")) if kind == "unit" else F.lit(0.0)
+    columns = ["watershed_id", "river_id", "downstream_river_id", "dist", "fed", "c1", "c2", "c3", "q0", "chunk", "v", *extra]
+    rows = written(joined.withColumn("before", F.coalesce(before, F.lit(0.0))).select(*columns, "before"), "chunks-input")
+    where = ["watershed_id", "chunk", *extra]
+    known = "".join(f", {m} string" for m in extra)
+
+    def from_nothing(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = ordered(pdf).assign(q0=0.0)
+        own["f0"] = np.where(own["fed"], own["before"], 0.0) if kind == "unit" else 0.0
+        out = solve(kind, own, substeps, dt_runoff, len(own["v"].iloc[0]))[0]
+        end = np.where(own["fed"], out["state"] - own["v"].str[-1], 0.0) if kind == "unit" else out["state"]
+        return own[where].assign(river_id=out["river_id"], b=end)
+
+    ends = written(rows.groupBy(*where).applyInPandas(from_nothing, f"watershed_id long, chunk int{known}, river_id long, b double"), "chunks-ends")
+    listed = ends.groupBy("river_id", *extra).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "b"))), lambda x: x["b"]).alias("b"))
+    listed = listed.join(base, "river_id").select("watershed_id", "river_id", "downstream_river_id", "dist", "fed", "c1", "c2", "c3", "q0", "b", *extra)
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = ordered(pdf)
+        b = np.stack(own["b"].to_list())
+        starts, s = np.empty_like(b), chunk * substeps
+        x = own["q0"].to_numpy(float)
+        if kind == "unit":
+            x = np.where(own["fed"], x, 0.0)
+        m = carried(kind, own, np.eye(len(own)), s) if len(own) <= MATRIX else None
+        for k in range(b.shape[1]):
+            starts[:, k] = x
+            if k + 1 < b.shape[1]:
+                x = (m @ x if m is not None else carried(kind, own, x[:, None], s)[:, 0]) + b[:, k]
+        return own[["river_id", *extra]].assign(starts=list(starts))
+
+    starts = listed.groupBy("watershed_id", *extra).applyInPandas(composed, f"river_id long{known}, starts array<double>")
+    starts = written(starts.select(F.col("river_id").alias("__r"), *(F.col(m).alias(f"__{m}") for m in extra), F.posexplode("starts").alias("__k", "start")), "chunks-starts")
+    same = reduce(lambda a, b: a & b, [F.col(m) == F.col(f"__{m}") for m in extra], (F.col("river_id") == F.col("__r")) & (F.col("chunk") == F.col("__k")))
+    begun = rows.join(starts, same).select(*columns, "before", "start")
+
+    def from_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = ordered(pdf)
+        own["f0"] = own["q0"] if own["chunk"].iloc[0] == 0 else own["start"] + own["before"]
+        own["q0"] = own["start"]
+        out = solve(kind, own, substeps, dt_runoff, len(own["v"].iloc[0]))[0]
+        final = own["chunk"].iloc[0] == n_chunks - 1
+        return out.assign(watershed_id=own["watershed_id"], first=own["chunk"] * chunk, state=out["state"] if final else None, **{m: own[m] for m in extra})
+
+    return begun.groupBy(*where).applyInPandas(from_starts, f"watershed_id long, river_id long, first int, discharge array<double>, state double{known}")
+
+
+def joined_up(chunks: DataFrame, *extra: str) -> DataFrame:
+    """route_chunks() with one row a river."""
+    each = F.array_sort(F.collect_list(F.struct("first", "discharge")))
+    return chunks.groupBy("watershed_id", "river_id", *extra).agg(F.flatten(F.transform(each, lambda x: x["discharge"])).alias("discharge"), F.max("state").alias("state"))
+
+
 #: Numbers of a series that one task may hold for all its rivers: larger watersheds are cut to pieces.
 TASK_NUMBERS = 40_000_000
 
@@ -222,13 +338,17 @@ def route(
     substeps: int = 1,
     state: DataFrame | None = None,
     member: str | None = None,
-    strategy: Literal["auto", "grouped", "levels"] = "auto",
+    strategy: Literal["auto", "grouped", "levels", "chunks"] = "auto",
     task_numbers: int = TASK_NUMBERS,
+    chunk: int = 24,
 ) -> DataFrame:
     """Discharge arrays and states of all rivers.
 
-    auto: watersheds whose series fit a task are solved whole, the others in pieces that fit. grouped: all whole; levels: all in pieces.
+    auto: watersheds whose series fit a task are solved whole, the others in pieces that fit. grouped: all whole; levels: all in pieces; chunks: all at
+    once in chunks of time.
     """
+    if strategy == "chunks" and lateral is not None:
+        return joined_up(route_chunks(kind, net, lateral, substeps, dt_runoff, n_steps, chunk, state, member), *([member] if member else []))
     rows = prepared(net, lateral, state, dt_runoff / substeps, member)
     most = max(1, task_numbers // max(1, n_steps * substeps))
     if strategy == "grouped":

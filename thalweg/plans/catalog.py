@@ -433,6 +433,13 @@ def rapid_route_levels(spark, d):
     return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR, strategy="levels", task_numbers=_few(spark, d, views.hours(spark, d))))
 
 
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')}", "net", "qlateral"))
+def rapid_route_chunks(spark, d):
+    """Days routed side by side: maps of flows over a day are composed, and no task holds more than a day of a watershed."""
+    found = routing.route_chunks("rapid", views.net(spark, d), views.qlateral(spark, d), 1, HOUR, views.hours(spark, d), 24)
+    return found.select("river_id", F.posexplode("discharge").alias("p", "q"), "first").select("river_id", (F.col("first") + F.col("p")).alias("t"), r6("q", "q"))
+
+
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid', 2)}", "net", "qlateral"))
 def rapid_route_substeps(spark, d):
     return _series(routing.route("rapid", views.net(spark, d), views.qlateral(spark, d), views.hours(spark, d), HOUR, 2))
@@ -456,6 +463,11 @@ def unit_route_levels(spark, d):
     return _series(routing.route("unit", views.net(spark, d), _unit_lateral(spark, d), views.hours(spark, d), HOUR, 2, strategy="levels", task_numbers=_few(spark, d, 2 * views.hours(spark, d))))
 
 
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('unit', 2, lateral=_UNIT)}", "net", "qlateral", "uh_inputs"))
+def unit_route_chunks(spark, d):
+    return _series(routing.route("unit", views.net(spark, d), _unit_lateral(spark, d), views.hours(spark, d), HOUR, 2, strategy="chunks", chunk=48))
+
+
 _GRID_VOLUME = f"SELECT river_id, t, v * 0.001 * a AS v FROM ({_DEPTH}) JOIN (SELECT river_id, sum(area_sqm) AS a FROM weights GROUP BY 1) USING (river_id)"
 
 

@@ -14,7 +14,7 @@ CHOICES = {
     "grid_accumulation_type": ("incremental", "cumulative"),
     "runoff_processing_mode": ("sequential", "ensemble"),
     "log_level": ("DEBUG", "INFO", "PROGRESS", "WARNING", "ERROR", "CRITICAL"),
-    "strategy": ("auto", "grouped", "levels"),
+    "strategy": ("auto", "grouped", "levels", "chunks"),
 }
 #: What a path option is: one path or several, and whether it must be there or be written.
 PATHS = {
