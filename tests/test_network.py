@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from thalweg.operators import network, validate
 
@@ -61,3 +64,49 @@ def test_validation_names_every_rule(spark, net):
         validate.params(bad.drop("k"))
     with pytest.raises(ValueError, match="k not positive"):
         validate.require(validate.params(bad), "parameters")
+
+
+def plain_orders(flows):
+    """Orders from the headwaters down, one river at a time."""
+    above, order = {}, {}
+    for r, d in flows.items():
+        above.setdefault(d, []).append(r)
+
+    def of(r):
+        found = sorted((order[u] for u in above.get(r, ())), reverse=True)
+        return 1 if not found else found[0] + (found[1:2] == found[:1])
+
+    waiting = {r: len(above.get(r, ())) for r in flows}
+    ready = [r for r, n in waiting.items() if not n]
+    while ready:
+        r = ready.pop()
+        order[r] = of(r)
+        d = flows[r]
+        if d in waiting:
+            waiting[d] -= 1
+            if not waiting[d]:
+                ready.append(d)
+    return order
+
+
+def test_orders_by_contraction(spark):
+    """Random forests, a chain with side branches, a confluence of very many, and a chain of 5000: rounds grow with the logarithm of the size."""
+    r = random.Random(5)
+    bushy = {k: (-1 if k < 3 or r.random() < 0.02 else r.randrange(max(0, k - 9), k)) for k in range(400)}
+    comb = {**{k: k - 1 for k in range(1000, 1100)}, **{k + 1000: k for k in range(1000, 1100, 7)}, **{k + 2000: k + 1000 for k in range(1000, 1100, 14)}, **{k + 3000: k + 1000 for k in range(1000, 1100, 14)}, 1000: -1}
+    star = {5000: -1, **{k: 5000 for k in range(5001, 5200)}}
+    chain = {k: k - 1 if k > 10000 else -1 for k in range(10000, 15000)}
+    flows = bushy | comb | star | chain
+    net = spark.createDataFrame(list(flows.items()), "river_id long, downstream_river_id long")
+    assert {x.river_id: x.strahler for x in network.strahler(net).collect()} == plain_orders(flows)
+    with pytest.raises(ValueError, match="cycle"):
+        network.strahler(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "river_id long, downstream_river_id long"))
+    assert network.strahler(net.where("false")).count() == 0
+
+
+def test_order_functions_compose(spark):
+    pairs = [(a, p) for a in range(5) for p in range(a + 2)]
+    rows = [((a, p), (c, r), x) for a, p in pairs for c, r in pairs for x in range(1, 9)]
+    df = spark.createDataFrame(rows, "g struct<a:int,p:int>, f struct<a:int,p:int>, x int")
+    once = network.order_from(network.order_after(F.col("g"), F.col("f")), F.col("x"))
+    assert df.where(once != network.order_from(F.col("g"), network.order_from(F.col("f"), F.col("x")))).isEmpty()

@@ -126,3 +126,18 @@ def test_command_line(spark, files, tmp_path):
     assert cli.main([], spark) == 1
     with pytest.raises(SystemExit):
         cli.main(["route", "--router", "None", str(path)], spark)
+
+
+def test_unit_ensembles_and_kernel_steps(spark, files, tmp_path):
+    """Members of one step are convolved and routed together, each from the same carry-over; kernels of other steps stop the run."""
+    kernel = spark.read.parquet(str(files / "kernel.parquet"))
+    io.write_kernel(kernel, str(tmp_path / "hour"), 3600)
+    io.write_kernel(kernel, str(tmp_path / "day"), 86400)
+    own = options(files, discharge_dir=None, uh_kernel_file=str(tmp_path / "hour"))
+    outs = [str(tmp_path / k) for k in ("qa", "qb")]
+    UnitMuskingum(spark, **own | {"discharge_files": outs, "qlateral_files": [str(files / "a.parquet"), str(files / "b.parquet")], "runoff_processing_mode": "ensemble"}).route()
+    for k, out in zip("ab", outs, strict=True):
+        UnitMuskingum(spark, **own | {"discharge_files": [str(tmp_path / f"one-{k}")], "qlateral_files": [str(files / f"{k}.parquet")]}).route()
+        assert near(read(spark, out), read(spark, tmp_path / f"one-{k}"))
+    with pytest.raises(ValueError, match="86400 s do not fit"):
+        UnitMuskingum(spark, **own | {"uh_kernel_file": str(tmp_path / "day"), "discharge_files": outs[:1], "qlateral_files": [str(files / "a.parquet")]}).route()

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.session import written
+from thalweg.session import spent, written
 
 
 def outlets(net: DataFrame) -> DataFrame:
@@ -106,25 +106,71 @@ def subset(net: DataFrame, target: int, weights: DataFrame | None = None) -> tup
     return part, weights.join(keep, "river_id", "left_semi") if weights is not None else None
 
 
+# --- stream orders by tree contraction --------------------------------------------------------------------------------------------------------
+#
+# What a river's order is, as a function of one upstream order x that is not known yet, always has the form (a, p): a for x below p, a + 1 from p up to
+# a + 1, and x beyond. Others upstream with a greatest order m make it (m + 1, m + 2) if two have it and (m, m) if one does; functions of this form
+# one after another are of this form again.
+
+
+def order_from(f: Column, x: Column) -> Column:
+    return F.when(x < f["p"], f["a"]).when(x <= f["a"] + 1, f["a"] + 1).otherwise(x)
+
+
+def order_after(outer: Column, inner: Column) -> Column:
+    """The function of what lies upstream of the inner one."""
+    pair = lambda a, p: F.struct(a.alias("a"), p.alias("p"))
+    a, c, r = inner["a"], outer["a"], outer["p"]
+    return F.when((a > c + 1) | ((a >= r) & (a == c + 1)), inner).when(a >= r, pair(c + 1, c + 2)).when(a + 1 == r, pair(c, inner["p"])).otherwise(pair(c, r))
+
+
 def strahler(net: DataFrame) -> DataFrame:
     """river_id, strahler: 1 for headwaters; else the greatest upstream order, plus 1 if two have it.
 
-    A join and an aggregation by level; each level is written once, and only what its segments pass on goes to later ones.
+    By tree contraction, in rounds that grow with the logarithm of the number of rivers, whatever the depth. Rake: rivers whose upstream orders are all
+    known get theirs; those that wait for one only become links. Compress: a link whose river above is a link too takes that one's place, so
+    that chains halve. Each round is written; a cycle is never contracted and stops with an error.
     """
-    base = written(net.join(levels(net), "river_id").select("river_id", "downstream_river_id", "level"), "strahler")
-    depth = base.agg(F.max("level")).first()[0]
-    done: list[DataFrame] = []
-    for level in range((depth if depth is not None else -1) + 1):
-        here = base.where(F.col("level") == level)
-        if done:
-            # A segment's upstream ones are all on the level before: levels count from the farthest segment to the outlet.
-            above = done[-1].groupBy(F.col("downstream_river_id").alias("__d"), "strahler").agg(F.count(F.lit(1)).alias("n"))
-            above = above.groupBy("__d").agg(F.max(F.struct("strahler", "n")).alias("m"))
-            here = here.join(above, F.col("river_id") == F.col("__d"), "left").withColumn("strahler", F.coalesce(F.col("m.strahler") + (F.col("m.n") > 1).cast("int"), F.lit(1)))
-        else:
-            here = here.withColumn("strahler", F.lit(1))
-        done.append(written(here.select("river_id", "downstream_river_id", "strahler"), "strahler"))
-    return reduce(DataFrame.union, done or [base.withColumn("strahler", F.lit(1))]).select("river_id", "strahler")
+    kind = "struct<a:int,p:int>"
+    rivers = net.select("river_id", "downstream_river_id")
+    fed = rivers.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
+    now = rivers.join(fed, F.col("river_id") == F.col("__f"), "left").select(*rivers.columns, F.when(F.col("__f").isNull(), F.lit(1)).alias("strahler"), F.lit(None).cast("long").alias("above"), F.lit(None).cast(kind).alias("f"))
+    now = written(now, "strahler")
+    most = 4 * math.ceil(math.log2(max(2, now.count()))) + 8
+    for _ in range(most):
+        open_, forks = now.agg(F.count_if(F.col("strahler").isNull()), F.count_if(F.col("strahler").isNull() & F.col("above").isNull())).first()
+        if not open_:
+            return now.select("river_id", "strahler")
+        parts = [now.where("strahler IS NOT NULL"), _compressed(now)]
+        if forks:
+            parts.append(_raked(now, kind))
+        before, now = now, written(reduce(DataFrame.unionByName, parts), "strahler")
+        spent(before)
+    raise ValueError("the network has a cycle")
+
+
+def _raked(now: DataFrame, kind: str) -> DataFrame:
+    """Rivers that wait for several others, after a look at which of these are known. Counted by order first: however many flow into one river."""
+    each = now.where("downstream_river_id >= 0").groupBy(F.col("downstream_river_id").alias("__d"), F.col("strahler").alias("o")).agg(F.count(F.lit(1)).alias("n"), F.max("river_id").alias("one"))
+    known = F.col("o").isNotNull()
+    each = each.groupBy("__d").agg(F.max(F.when(known, F.struct("o", "n"))).alias("m"), F.max(F.when(~known, F.struct("n", "one"))).alias("u"))
+    m, two = F.coalesce(F.col("m.o"), F.lit(0)), F.coalesce(F.col("m.n") > 1, F.lit(False))
+    # With nothing known upstream the function is (0, 1): it gives x itself.
+    f = F.when(F.col("m").isNull(), F.struct(F.lit(0).alias("a"), F.lit(1).alias("p"))).when(two, F.struct((m + 1).alias("a"), (m + 2).alias("p"))).otherwise(F.struct(m.alias("a"), m.alias("p")))
+    joined = now.where("strahler IS NULL AND above IS NULL").join(each, F.col("river_id") == F.col("__d"))
+    link = F.col("u.n") == 1
+    return joined.select("river_id", "downstream_river_id", F.when(F.col("u").isNull(), m + two.cast("int")).alias("strahler"), F.when(link, F.col("u.one")).alias("above"), F.when(link, f).cast(kind).alias("f"))
+
+
+def _compressed(now: DataFrame) -> DataFrame:
+    """Links after one step: resolved where the river above is known, else over that river where it is a link itself."""
+    ahead = now.select(F.col("river_id").alias("__r"), F.col("strahler").alias("__o"), F.col("above").alias("__above"), F.col("f").alias("__f"))
+    joined = now.where("strahler IS NULL AND above IS NOT NULL").join(ahead, F.col("above") == F.col("__r"))
+    over = F.col("__above").isNotNull()
+    return joined.select(
+        "river_id", "downstream_river_id", order_from(F.col("f"), F.col("__o")).alias("strahler"), F.when(over, F.col("__above")).otherwise(F.col("above")).alias("above"),
+        F.when(over, order_after(F.col("f"), F.col("__f"))).otherwise(F.col("f")).alias("f"),
+    )
 
 
 def with_connectivity(params: DataFrame, connectivity: DataFrame, how: str = "inner") -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import packed
-from thalweg.operators.network import rooted, with_roots
-from thalweg.session import written
+from thalweg.operators.network import with_roots
+from thalweg.session import spent, written
 
 Kind = Literal["channel", "rapid", "unit"]
 RESULT = "watershed_id long, river_id long, discharge array<double>, state double"
@@ -164,19 +164,27 @@ def route_grouped(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float,
 
 
 def cut_to_pieces(rows: DataFrame, most: int) -> DataFrame:
-    """(river_id, piece, band): watersheds cut across at every `span` segments from the outlet, with the largest span for which no piece has over
-    `most` rivers (1 at last: a river is a piece). A piece is named by the river that it flows out of; it needs only those of the next band."""
-    net = written(rows.select("river_id", "downstream_river_id", "dist").distinct(), "pieces-rivers")
-    depth = net.agg(F.max("dist")).first()[0] or 0
-    span = 1 << max(0, int(depth).bit_length())
-    while True:
-        band = F.floor(F.col("dist") / span).cast("int")
-        cut = net.withColumn("downstream_river_id", F.when(F.col("dist") % span == 0, F.lit(-1).cast("long")).otherwise(F.col("downstream_river_id")))
-        pieces = written(rooted(cut).select(F.col("river_id").alias("__r"), F.col("watershed_id").alias("piece")), "pieces")
-        largest = pieces.groupBy("piece").count().agg(F.max("count")).first()[0] or 0
-        if largest <= most or span == 1:
-            return net.join(pieces, F.col("river_id") == F.col("__r")).select("river_id", "piece", band.alias("band"))
-        span //= 2
+    """(river_id, piece, band): watersheds cut across at every `span` segments from the outlet, with the largest span, a power of 2, for which no piece
+    has over `most` rivers (1 at last: a river is a piece). A piece is named by the river that it flows out of; it needs only those of the next band.
+
+    Spans grow from 1: a piece of twice the span is one of the nearer half, or goes on from a piece of the farther half to that its outlet flows to.
+    So each doubling takes one look at the pieces before it, and they are never searched for anew.
+    """
+    rivers = rows.select("river_id", "downstream_river_id", "dist").distinct()
+    now, span = written(rivers.withColumn("piece", F.col("river_id")), "pieces"), 1
+    depth = now.agg(F.max("dist")).first()[0] or 0
+    while span <= depth:
+        far = F.floor(F.col("dist") / span) % 2 == 1
+        outlets = now.where(far & (F.col("river_id") == F.col("piece"))).select(F.col("piece").alias("__p"), F.col("downstream_river_id").alias("__d"))
+        ahead = outlets.join(now.select(F.col("river_id").alias("__r"), F.col("piece").alias("__to")), F.col("__d") == F.col("__r")).select("__p", "__to")
+        wider = now.join(ahead, F.col("piece") == F.col("__p"), "left").select("river_id", "downstream_river_id", "dist", F.coalesce("__to", "piece").alias("piece"))
+        wider = written(wider, "pieces")
+        if wider.groupBy("piece").count().agg(F.max("count")).first()[0] > most:
+            spent(wider)
+            break
+        spent(now)
+        now, span = wider, span * 2
+    return now.select("river_id", "piece", F.floor(F.col("dist") / span).cast("int").alias("band"))
 
 
 def route_pieces(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n_steps: int, member: str | None = None, most: int = 1) -> DataFrame:
@@ -185,7 +193,7 @@ def route_pieces(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n
     extra = [member] if member else []
     cut = written(cut_to_pieces(rows, most), "pieces-cut")
     named = cut.select(F.col("river_id").alias("__r"), "piece", "band")
-    rows = written(rows.join(named, F.col("river_id") == F.col("__r")).drop("__r"), "pieces-input")
+    rows = written(rows.join(named, F.col("river_id") == F.col("__r")).drop("__r"), "pieces-input", "band")
     given = ["now", "prev"]
     columns = ["piece", "watershed_id", "river_id", "downstream_river_id", "dist", "fed", "c1", "c2", "c3", "q0", "v", *extra]
     series = {g: F.lit(None).cast("array<double>").alias(g) for g in given}
@@ -325,8 +333,11 @@ def joined_up(chunks: DataFrame, *extra: str) -> DataFrame:
     return chunks.groupBy("watershed_id", "river_id", *extra).agg(F.flatten(F.transform(each, lambda x: x["discharge"])).alias("discharge"), F.max("state").alias("state"))
 
 
+#: Bytes that a routing task may take, and that it takes for each number of a series: as a column and stacked, in Arrow on the way in and out, as
+#: discharge and its list, and for half of the rivers, on the widest level, eight times while that level is solved.
+TASK_BYTES, NUMBER_BYTES = 512_000_000, 80
 #: Numbers of a series that one task may hold for all its rivers: larger watersheds are cut to pieces.
-TASK_NUMBERS = 40_000_000
+TASK_NUMBERS = TASK_BYTES // NUMBER_BYTES
 
 
 def route(

@@ -97,7 +97,7 @@ def weights_csv_file(spark, d):
 @query(sql(f"SELECT river_id, step, round(u, 6) AS u FROM {_kernel_sql('curvilinear')}", "uh_inputs"))
 def kernel_file(spark, d):
     path = place(spark, "kernel")
-    io.write_kernel(kernels.kernel(views.uh_inputs(spark, d), HOUR), path)
+    io.write_kernel(kernels.kernel(views.uh_inputs(spark, d), HOUR), path, HOUR)
     return io.read_kernel(spark, path).select("river_id", F.posexplode("kernel").alias("step", "u")).withColumn("u", r6("u", "u"))
 
 
@@ -271,7 +271,7 @@ def routed_unit_hydrographs(spark, d):
     """Depths and kernels from files, half-hour routing steps."""
     base = place(spark, "unit")
     series_file(_depths(spark, d), f"{base}/input.parquet")
-    io.write_kernel(kernels.kernel(views.uh_inputs(spark, d), HOUR, "triangular"), f"{base}/kernel")
+    io.write_kernel(kernels.kernel(views.uh_inputs(spark, d), HOUR, "triangular"), f"{base}/kernel", HOUR)
     UnitMuskingum(spark, params_file=params_of(spark, d), qlateral_files=f"{base}/input.parquet", discharge_dir=base, uh_kernel_file=f"{base}/kernel", uh_state_final_file=f"{base}/carry", dt_routing=HOUR // 2, log=False).route()
     return spark.read.parquet(f"{base}/discharge_input.parquet").select("river_id", "time", F.round(F.col("Q").cast("double"), 2).alias("q"))
 

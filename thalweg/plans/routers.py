@@ -130,7 +130,7 @@ class RapidMuskingum(Muskingum):
         return df.select("river_id", (since / step).cast("int").alias("t"), F.nanvl("v", F.lit(0.0)).alias("v")), step, n, first.isoformat(" ")
 
     def transform(self, lateral: DataFrame) -> DataFrame:
-        """What reaches the channel; a hook for other transformations."""
+        """What reaches the channel; a hook for other transformations. lateral: river_id, t, v, and in ensembles member."""
         return lateral
 
     def steps(self, dt_runoff: int, n: int) -> routing.Steps:
@@ -160,21 +160,44 @@ class RapidMuskingum(Muskingum):
             self.passed_on(routed, steps, first, out, path)
             self.progress(k, len(inputs), path)
 
+    def members(self) -> tuple[DataFrame, list[tuple[int, int, str]]]:
+        """member (the input's number), river_id, t, v of all inputs, and of each its step, number of steps and first time. Files are read at once."""
+        cfg, inputs = self.cfg, self.inputs()
+        if cfg.grid_runoff_files:  # each is aggregated by itself
+            each = [self.lateral(path) for path in inputs]
+            return reduce(DataFrame.unionByName, [x[0].withColumn("member", F.lit(str(k))) for k, x in enumerate(each)]), [x[1:] for x in each]
+        df = io.read_series(self.spark, sorted(set(inputs)), cfg.var_qlateral, cfg.var_t, cfg.var_river_id)
+        times = written(df.select("source", "time").distinct(), "times")
+        ends = times.groupBy(F.col("source").alias("path")).agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count(F.lit(1)).alias("n"))
+        second = times.join(F.broadcast(ends), F.col("source") == F.col("path")).where(F.col("time") > F.col("first")).groupBy("path").agg(F.min("time").alias("second"))
+        found = {r["path"]: r for r in ends.join(second, "path", "left").collect()}  # a row an input
+        about = []
+        for k, path in enumerate(inputs):
+            r = found.get(path)
+            step = cfg.dt_runoff or (int((r["second"] - r["first"]).total_seconds()) if r and r["second"] else 0) or cfg.dt_total
+            if not r or not step:
+                raise ValueError(f"dt_runoff is needed for an input of one step: {path}")
+            about.append((path, str(k), r["first"], step, r["n"], (r["last"] - r["first"]).total_seconds() == step * (r["n"] - 1)))
+        known = F.broadcast(self.spark.createDataFrame([x[:4] for x in about], "path string, member string, first timestamp_ntz, step int"))
+        since = F.timestamp_diff("SECOND", F.col("first"), F.col("time"))
+        uneven = times.join(known, F.col("source") == F.col("path")).where(since % F.col("step") != 0)
+        if not all(x[5] for x in about) or not uneven.isEmpty():
+            raise ValueError("the times of an input are not one step apart throughout; repair them, with force_uniform_timesteps for gridded runoff")
+        rows = df.join(known, F.col("source") == F.col("path")).select("member", "river_id", (since / F.col("step")).cast("int").alias("t"), F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)).alias("v"))
+        return rows, [(step, n, first.isoformat(" ")) for _, _, first, step, n, _ in about]
+
     def execute_ensemble(self) -> None:
-        """Every member from the same state; members with the same steps are routed together."""
-        alike: dict[tuple[int, int], list[tuple]] = {}
-        for path, out in zip(self.inputs(), self.cfg.discharge_files, strict=True):
-            lateral, dt_runoff, n, first = self.lateral(path)
-            alike.setdefault((dt_runoff, n), []).append((self.transform(lateral), first, out, path))
+        """Every member from the same state; members with the same steps are routed together, and each output reads its own member's rows."""
+        rows, about = self.members()
         finals = []
-        for (dt_runoff, n), members in alike.items():
-            steps = self.steps(dt_runoff, n)
-            laterals = reduce(DataFrame.unionByName, [m[0].withColumn("member", F.lit(str(k))) for k, m in enumerate(members)])
-            routed = written(routing.route(self.kind, self.net, laterals, n, dt_runoff, steps.substeps, self.state, member="member", strategy=self.cfg.strategy), "routed")
+        for dt_runoff, n in dict.fromkeys(x[:2] for x in about):
+            steps, own = self.steps(dt_runoff, n), [k for k, x in enumerate(about) if x[:2] == (dt_runoff, n)]
+            lateral = self.transform(rows.where(F.col("member").isin([str(k) for k in own])))
+            routed = written(routing.route(self.kind, self.net, lateral, n, dt_runoff, steps.substeps, self.state, member="member", strategy=self.cfg.strategy), "routed", "member")
             finals.append(routed.select("river_id", F.col("state").alias("q")))
-            for k, (_, first, out, path) in enumerate(members):
-                self.passed_on(routed.where(F.col("member") == str(k)), steps, first, out, path)
-                self.progress(k + 1, len(members), path)
+            for k in own:
+                self.passed_on(routed.where(F.col("member") == str(k)), steps, about[k][2], self.cfg.discharge_files[k], self.inputs()[k])
+                self.progress(k + 1, len(about), self.inputs()[k])
         self.state = mean_state(finals)
 
 
@@ -191,15 +214,24 @@ class UnitMuskingum(RapidMuskingum):
 
     def before_route(self) -> None:
         self.kernels = written(io.read_kernel(self.spark, self.cfg.uh_kernel_file), "kernels")
+        self.kernel_step = io.kernel_step(self.spark, self.cfg.uh_kernel_file)
         self.first_carry = io.read_kernel_state(self.spark, self.cfg.uh_state_init_file, self.kernels) if self.cfg.uh_state_init_file else None
         self.carry = self.first_carry
 
+    def steps(self, dt_runoff: int, n: int) -> routing.Steps:
+        """Kernels of another step would change volumes by the steps' ratio."""
+        if self.kernel_step and self.kernel_step != dt_runoff:
+            raise ValueError(f"kernels of steps of {self.kernel_step} s do not fit inflow of steps of {dt_runoff} s")
+        return super().steps(dt_runoff, n)
+
     def transform(self, lateral: DataFrame) -> DataFrame:
         """In ensembles every member starts from the same carry-over."""
+        keys = ("river_id", *(["member"] if "member" in lateral.columns else []))
         carry = self.carry if self.cfg.runoff_processing_mode == "sequential" else self.first_carry
-        out = written(convolve(packed(lateral, "t", "v", "v"), self.kernels, carry), "convolved")
-        self.carry = out.select("river_id", "state")
-        return out.select("river_id", F.posexplode("v").alias("t", "v"))
+        out = written(convolve(packed(lateral, "t", "v", "v", *keys), self.kernels, carry, keys), "convolved")
+        own = out.where(F.col("member") == str(len(self.inputs()) - 1)) if "member" in keys else out
+        self.carry = own.select("river_id", "state")
+        return out.select(*keys, F.posexplode("v").alias("t", "v"))
 
     def after_route(self) -> None:
         if self.cfg.uh_state_final_file:

@@ -165,8 +165,14 @@ def write_weights(weights: DataFrame, path: str, **provenance: str) -> None:
     weights.select(*WEIGHT_COLUMNS).withMetadata("proportion", {"provenance": json.dumps(about)}).write.mode("overwrite").parquet(path)
 
 
-def write_kernel(kernel: DataFrame, path: str) -> None:
-    kernel.select("river_id", "step", "u").write.mode("overwrite").parquet(path)
+def write_kernel(kernel: DataFrame, path: str, tr: int | None = None) -> None:
+    """Writes kernels (river_id, step, u), and the seconds of their steps as metadata: volumes hold only where these are those of the inflow."""
+    kernel.select("river_id", "step", "u").withMetadata("u", {"tr": int(tr)} if tr else {}).write.mode("overwrite").parquet(path)
+
+
+def kernel_step(spark: SparkSession, path: str) -> int | None:
+    """The seconds of a kernel file's steps, if it tells."""
+    return spark.read.parquet(path).schema["u"].metadata.get("tr")
 
 
 def read_kernel(spark: SparkSession, path: str) -> DataFrame:
