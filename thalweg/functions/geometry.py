@@ -101,3 +101,82 @@ def areas(points: np.ndarray, ring: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(n)
     x, y, before = AXIS * np.radians(points[:, 0]), equal_area_y(points[:, 1]), _before(ring)
     return np.abs(np.bincount(ring, x[before] * y - x * y[before], minlength=n)) / 2
+
+
+def flat_areas(points: np.ndarray, ring: np.ndarray, n: int) -> np.ndarray:
+    """Areas of n rings in square degrees."""
+    if not len(points):
+        return np.zeros(n)
+    x, y, before = points[:, 0], points[:, 1], _before(ring)
+    return np.abs(np.bincount(ring, x[before] * y - x * y[before], minlength=n)) / 2
+
+
+def cover(points: np.ndarray, ring: np.ndarray, shape: np.ndarray, hole: np.ndarray, x_lines: np.ndarray, y_lines: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shapes covered by the cells of a grid, through a quadtree over ranges of its lines.
+
+    points (n, 2) with the ring of each; of each ring its shape (rings of one together) and whether it is a hole; low and high borders of
+    the grid's lines, (n, 2), in order. Gives blocks that lie wholly inside: shape and ranges i0, i1, j0, j1 of lines; and border cells: shape, i, j, area.
+
+    A block is a shape's part in a range of cells. Those wholly inside are given as they are; others are cut in up to four, and each takes on what its
+    ring's edges leave in it, so that a ring's points go down only where its border is. Blocks are cut at cell borders alone: a cell's part of a
+    shape has no corners but its own. All blocks of a level are cut at once.
+    """
+    n_shapes = int(shape.max()) + 1 if len(shape) else 0
+    inside: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
+    cells: list[tuple] = [(np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0))]
+    low, high = np.full((n_shapes, 2), np.inf), np.full((n_shapes, 2), -np.inf)
+    np.minimum.at(low, shape[ring], points)
+    np.maximum.at(high, shape[ring], points)
+    ranges = np.stack([np.searchsorted(x_lines[:, 1], low[:, 0], "right"), np.searchsorted(x_lines[:, 0], high[:, 0]), np.searchsorted(y_lines[:, 1], low[:, 1], "right"), np.searchsorted(y_lines[:, 0], high[:, 1])], axis=1)
+    block, owner = shape, np.arange(n_shapes)
+    first = True
+    while len(ring):
+        if first:
+            child, parent = ranges, np.arange(n_shapes)
+        else:
+            # Halves of each side that has more than one line; a block of one line across is cut along the other only.
+            mid = (ranges[:, [0, 2]] + ranges[:, [1, 3]] + 1) // 2
+            parts = []
+            for right in (0, 1):
+                for top in (0, 1):
+                    part = ranges.copy()
+                    part[:, 1 - right] = mid[:, 0]
+                    part[:, 3 - top] = mid[:, 1]
+                    parts.append(part)
+            child, parent = np.concatenate(parts), np.tile(np.arange(len(ranges)), 4)
+        some = (child[:, 0] < child[:, 1]) & (child[:, 2] < child[:, 3])
+        child, parent = child[some], parent[some]
+        boxes = np.stack([x_lines[child[:, 0], 0], x_lines[child[:, 1] - 1, 1], y_lines[child[:, 2], 0], y_lines[child[:, 3] - 1, 1]], axis=1)
+        # Every ring of a block goes to each of its children, and is cut to it. Children of a block stand together for its rings in turn.
+        of_block = np.argsort(parent, kind="stable")
+        n_children = np.bincount(parent, minlength=len(ranges))
+        start = np.cumsum(n_children) - n_children
+        copies = n_children[block]
+        new_child = of_block[np.repeat(start[block] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())]
+        new_from = np.repeat(np.arange(len(block)), copies)
+        sizes = np.bincount(ring, minlength=len(block))
+        at = np.cumsum(sizes) - sizes
+        lengths = sizes[new_from]
+        pick = np.repeat(at[new_from] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        cut, cut_ring = clipped(points[pick], np.repeat(np.arange(len(new_from)), lengths), boxes[new_child])
+        flat = flat_areas(cut, cut_ring, len(new_from))
+        new_hole = hole[new_from]
+        outer = np.bincount(new_child, np.where(new_hole, 0, flat), minlength=len(child))
+        holes = np.bincount(new_child, np.where(new_hole, flat, 0), minlength=len(child))
+        owners = owner[parent]
+        box_area = (boxes[:, 1] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 2])
+        whole = (outer >= box_area * (1 - 1e-12)) & (holes == 0)
+        inside.append(np.column_stack([owners[whole], child[whole]]))
+        single = ~whole & (child[:, 1] - child[:, 0] == 1) & (child[:, 3] - child[:, 2] == 1) & (outer > 0)
+        sign = np.where(new_hole, -1.0, 1.0)
+        found = np.bincount(new_child, sign * areas(cut, cut_ring, len(new_from)), minlength=len(child))
+        cells.append((owners[single], child[single][:, [0, 2]], found[single]))
+        # Go on with the rest, as far as anything of the shape is in it.
+        rest = ~whole & ~single & (outer > 0)
+        keep = rest[new_child] & (flat > 0)
+        number, ring_number = np.cumsum(rest) - 1, np.cumsum(keep) - 1
+        stays = keep[cut_ring]
+        points, ring = cut[stays], ring_number[cut_ring[stays]]
+        block, hole = number[new_child[keep]], new_hole[keep]
+        ranges, owner, first = child[rest], owners[rest], False
+    return np.concatenate(inside), *(np.concatenate(x) for x in zip(*cells, strict=True))

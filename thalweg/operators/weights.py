@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thalweg.functions.geometry import areas, clipped
+from thalweg.functions.geometry import AXIS, cover, equal_area_y
 from thalweg.session import written
 
 WEIGHT_COLUMNS = ("river_id", "x_index", "y_index", "x", "y", "area_sqm", "proportion")
@@ -66,51 +66,74 @@ def in_order(grid_cells: DataFrame) -> DataFrame:
 def overlay(grid_cells: DataFrame, catchments: DataFrame, river_id: str = "river_id") -> DataFrame:
     """Weights from the areas of cells within catchments, in the order of river, then area descending.
 
-    catchments: river_id and ring (an array of points), or rings (an outer ring and its holes); a river of several parts has several rows.
-    Candidates come from a join on bounding boxes: what boxes cover of the catchments' common box is dealt to bins of about a cell's size, so the
-    join is on equal bins, and a bin holds few cells whatever their size. Rings are clipped and measured for a whole batch at a time.
+    catchments: river_id and ring (an array of points), or rings (an outer ring and its holes); a river of several parts has several rows. Rows without
+    a shape give nothing. grid_cells: cells of a grid, all or some of them; each x_index has one pair of borders, and each y_index.
+
+    Rings are never shuffled or joined: a grid is known by its lines, of which every task gets the borders, and a quadtree over ranges of lines covers
+    the shapes of a whole batch (geometry.cover). Blocks of cells inside of a shape come out as ranges and are measured by Spark; only border cells are cut.
     """
     shape = "rings" if "rings" in catchments.columns else "ring"
     for need, df in (({river_id, shape}, catchments), ({"x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max"}, grid_cells)):
         if missing := need - set(df.columns):
             raise KeyError(f"missing columns: {sorted(missing)}")
+    spark = grid_cells.sparkSession
+    axes = {a: _lines(grid_cells, a) for a in "xy"}  # a row a grid line
+    borders = {a: np.array([(r["low"], r["high"]) for r in rows], float).reshape(-1, 2) for a, rows in axes.items()}
+    given = spark.sparkContext.broadcast(borders)
     rings = F.col("rings") if shape == "rings" else F.array("ring")
-    outer = lambda f, axis: f(F.transform(F.col("rings")[0], lambda p: p[axis]))
-    boxed = catchments.select(river_id, rings.alias("rings")).withColumns({"bx0": outer(F.array_min, "x"), "bx1": outer(F.array_max, "x"), "by0": outer(F.array_min, "y"), "by1": outer(F.array_max, "y")})
-    box = boxed.agg(F.min("bx0").alias("wx0"), F.max("bx1").alias("wx1"), F.min("by0").alias("wy0"), F.max("by1").alias("wy1"))
-    step = grid_cells.agg(F.percentile_approx(F.col("x_max") - F.col("x_min"), 0.5).alias("sx"), F.percentile_approx(F.col("y_max") - F.col("y_min"), 0.5).alias("sy"))
-    about = F.broadcast(box.crossJoin(step))  # one row
-
-    def binned(df: DataFrame, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
-        place = lambda edge, low, high, size: F.floor((F.greatest(F.least(F.col(edge), F.col(high)), F.col(low)) - F.col(low)) / F.col(size)).cast("int")
-        bins = lambda a, b, *w: F.explode(F.sequence(place(a, *w), place(b, *w)))
-        known = df.crossJoin(about).where((F.col(x0) < F.col("wx1")) & (F.col(x1) > F.col("wx0")) & (F.col(y0) < F.col("wy1")) & (F.col(y1) > F.col("wy0")))
-        first = known.withColumn(f"first_{x0}", place(x0, "wx0", "wx1", "sx")).withColumn(f"first_{y0}", place(y0, "wy0", "wy1", "sy"))
-        return first.withColumn("bin_x", bins(x0, x1, "wx0", "wx1", "sx")).withColumn("bin_y", bins(y0, y1, "wy0", "wy1", "sy")).drop(*about.columns)
-
-    c = binned(grid_cells.select("x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max"), "x_min", "x_max", "y_min", "y_max")
-    b = binned(boxed, "bx0", "bx1", "by0", "by1")
-    meet = (F.col("x_min") < F.col("bx1")) & (F.col("x_max") > F.col("bx0")) & (F.col("y_min") < F.col("by1")) & (F.col("y_max") > F.col("by0"))
-    # A pair meets in several bins; it counts in the one that holds the lower corner of the common box.
-    corner = (F.col("bin_x") == F.greatest("first_x_min", "first_bx0")) & (F.col("bin_y") == F.greatest("first_y_min", "first_by0"))
-    near = b.join(c, ["bin_x", "bin_y"]).where(meet & corner).select(river_id, "rings", "x_index", "y_index", "x", "y", "x_min", "x_max", "y_min", "y_max")
+    point = "array<array<struct<x:double,y:double>>>"
+    shapes = catchments.select(F.col(river_id), rings.cast(point).alias("rings")).where("rings IS NOT NULL")
+    schema = shapes.select(river_id).schema.add("i0", "integer").add("i1", "integer").add("j0", "integer").add("j1", "integer").add("area", "double")
 
     def measured(batches):
-        for batch in batches:
-            flat = [(row, hole, [(p["x"], p["y"]) for p in ring]) for row, shapes in enumerate(batch.column("rings").to_pylist()) for hole, ring in enumerate(shapes)]
-            row = np.array([f[0] for f in flat], np.int64)
-            points = np.array([p for f in flat for p in f[2]], float).reshape(-1, 2)
-            ring = np.repeat(np.arange(len(flat)), [len(f[2]) for f in flat])
-            boxes = np.stack([batch.column(c).to_numpy() for c in ("x_min", "x_max", "y_min", "y_max")], axis=1)[row]
-            sign = np.where(np.array([f[1] for f in flat]) > 0, -1.0, 1.0)
-            found = np.bincount(row, sign * areas(*clipped(points, ring, boxes), len(flat)), minlength=batch.num_rows)
-            yield batch.select([river_id, "x_index", "y_index", "x", "y"]).append_column("area_sqm", pa.array(found))
-
-    schema = near.select(river_id, "x_index", "y_index", "x", "y").schema.add("area_sqm", "double")
-    parts = near.mapInArrow(measured, schema).where("area_sqm > 0").groupBy(river_id, "x_index", "y_index", "x", "y").agg(F.sum("area_sqm").alias("area_sqm"))
+        x_lines, y_lines = given.value["x"], given.value["y"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, SHAPES):
+                batch = whole.slice(at, SHAPES)
+                of_ring, of_point = batch.column("rings"), batch.column("rings").flatten()
+                points = of_point.flatten()
+                points = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
+                n_rings, n_points = (np.diff(x.offsets.to_numpy()) for x in (of_ring, of_point))
+                ring = np.repeat(np.arange(len(n_points)), n_points)
+                owner = np.repeat(np.arange(batch.num_rows), n_rings)
+                hole = np.arange(len(owner)) > (np.cumsum(n_rings) - n_rings)[owner]
+                inside, who, cell, area = cover(points, ring, owner, hole, x_lines, y_lines)
+                ids = batch.column(river_id).take(pa.array(np.concatenate([inside[:, 0], who])))
+                ranges = [np.concatenate([inside[:, 1 + k], cell[:, k // 2] + k % 2]) for k in range(4)]
+                areas_ = pa.array(np.concatenate([np.zeros(len(inside)), area]), mask=np.arange(len(ids)) < len(inside))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(r, pa.int32()) for r in ranges), areas_], schema.names)
+
+    blocks = shapes.mapInArrow(measured, schema)
+    each = blocks.withColumn("i", F.explode(F.sequence("i0", F.col("i1") - 1))).withColumn("j", F.explode(F.sequence("j0", F.col("j1") - 1)))
+    for a, place in (("x", "i"), ("y", "j")):
+        known = [(k, r["index"], r["centre"], float(size)) for (k, r), size in zip(enumerate(axes[a]), _extents(borders[a], a), strict=True)]
+        lines = spark.createDataFrame(known, f"__{place} int, {a}_index int, {a} double, __{a} double")
+        each = each.join(F.broadcast(lines), F.col(place) == F.col(f"__{place}"))
+    each = each.select(river_id, "x_index", "y_index", "x", "y", F.coalesce("area", F.col("__x") * F.col("__y")).alias("area_sqm"))
+    if grid_cells.count() < len(axes["x"]) * len(axes["y"]):
+        each = each.join(grid_cells.select("x_index", "y_index"), ["x_index", "y_index"], "left_semi").select(*each.columns)
+    parts = each.where("area_sqm > 0").groupBy(river_id, "x_index", "y_index", "x", "y").agg(F.sum("area_sqm").alias("area_sqm"))
     return proportions(parts, river_id).orderBy(river_id, F.desc("area_sqm"), "x_index", "y_index")
 
 
+#: Shapes that a task covers at a time.
+SHAPES = 256
+
+
+def _lines(grid_cells: DataFrame, axis: str) -> list:
+    """index, centre, low, high of the lines of one axis, in order."""
+    lines = grid_cells.groupBy(F.col(f"{axis}_index").cast("int").alias("index")).agg(F.min(axis).alias("centre"), F.min(f"{axis}_min").alias("low"), F.max(f"{axis}_min").alias("low2"), F.max(f"{axis}_max").alias("high"), F.min(f"{axis}_max").alias("high2"))
+    found = sorted(lines.collect(), key=lambda r: r["low"])
+    if any(r["low"] != r["low2"] or r["high"] != r["high2"] for r in found) or any(a["high"] > b["low"] for a, b in zip(found, found[1:], strict=False)):
+        raise ValueError(f"cells do not form a grid: an {axis}_index has several borders, or lines overlap")
+    return found
+
+
+def _extents(borders: np.ndarray, axis: str) -> np.ndarray:
+    """Width of each line in the equal-area projection, in metres."""
+    return AXIS * np.radians(borders[:, 1] - borders[:, 0]) if axis == "x" else equal_area_y(borders[:, 1]) - equal_area_y(borders[:, 0])
+
+
 def in_network_order(weights: DataFrame, order: DataFrame, river_id: str = "river_id") -> DataFrame:
     """Weights with `row`: the place of each row when rivers come in the order of `order` (river_id, position; unknown ones last), larger areas first."""
     joined = weights.join(order.select(river_id, "position"), river_id, "left")

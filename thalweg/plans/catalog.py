@@ -244,6 +244,30 @@ def voronoi_overlay_area(spark, d):
 # --- runoff ---------------------------------------------------------------------------------------------------------------------------------
 
 
+#: Corners of what a cell (a to c, s to n) has of a triangle below its slanted side: F is the side's height at X, G the X at a height.
+_CORNERS = "[{'x': a, 'y': s}, {'x': least(c, gs), 'y': s}, {'x': least(c, gs), 'y': least(n, greatest(s, fc))}, {'x': gn, 'y': least(n, y0 + h * (1 - (gn - x0) / w))}, {'x': a, 'y': least(n, fa)}]"
+
+
+@query(
+    f"""WITH t AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS river_id, sign, n_nationkey * 9.0::DOUBLE - 120 + p AS x0, n_nationkey * 3.0::DOUBLE - 50 + q AS y0, w, h
+        FROM nation CROSS JOIN (VALUES (1, 0, 0, 30.0::DOUBLE, 14.0::DOUBLE), (-1, 3, 2, 9.0::DOUBLE, 4.0::DOUBLE)) v(sign, p, q, w, h)),
+    g AS (SELECT CAST(i AS INT) AS x_index, CAST(j AS INT) AS y_index, CASE WHEN i * 1.5 > 180 THEN i * 1.5 - 360 ELSE i * 1.5 END::DOUBLE - 0.75 AS x1, j::DOUBLE - 60.5 AS y1 FROM range(240) a(i) CROSS JOIN range(121) b(j)),
+    o AS (SELECT *, greatest(x1, x0) AS a, least(x1 + 1.5, x0 + w) AS c, greatest(y1, y0) AS s, least(y1 + 1, y0 + h) AS n FROM t JOIN g ON x1 < x0 + w AND x1 + 1.5 > x0 AND y1 < y0 + h AND y1 + 1 > y0),
+    f AS (SELECT *, y0 + h * (1 - (a - x0) / w) AS fa, y0 + h * (1 - (c - x0) / w) AS fc, x0 + w * (1 - (s - y0) / h) AS gs, greatest(a, least(c, x0 + w * (1 - (n - y0) / h))) AS gn FROM o WHERE y0 + h * (1 - (a - x0) / w) > s),
+    e AS (SELECT river_id, sign, x_index, y_index, unnest({_CORNERS}) AS p, generate_subscripts({_CORNERS}, 1) AS k FROM f),
+    m AS (SELECT river_id, sign, x_index, y_index, k, {geometry.AXIS} * radians(p.x) AS x, {_Y.replace("Z", "p.y")} AS y FROM e),
+    r AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, first_value(x) OVER w AS x3, first_value(y) OVER w AS y3 FROM m WINDOW w AS (PARTITION BY river_id, sign, x_index, y_index ORDER BY k)),
+    z AS (SELECT river_id, x_index, y_index, sum(sign * (x * coalesce(y2, y3) - coalesce(x2, x3) * y)) / 2 AS area FROM r GROUP BY 1, 2, 3)
+    SELECT river_id, x_index, y_index, round(area / 1000000, 3) AS area_sqkm, round(area / sum(area) OVER (PARTITION BY river_id), 6) AS proportion FROM z WHERE area > 1000"""
+)
+def slanted_overlay_area(spark, d):
+    """Triangles with triangular holes over a grid of one degree and a half by one: cells inside, and cells that slanted sides cut."""
+    x = spark.range(240).select(F.col("id").cast("int").alias("x_index"), (F.col("id") * 1.5).alias("x"))
+    y = spark.range(121).select(F.col("id").cast("int").alias("y_index"), (F.col("id") - 60.0).alias("y"))
+    w = weights.overlay(weights.cells(x, y), views.slanted_catchments(spark, d)).where("area_sqm > 1000")
+    return w.select("river_id", "x_index", "y_index", F.round(F.col("area_sqm") / 1_000_000, 3).alias("area_sqkm"), r6("proportion", "proportion"))
+
+
 @query("SELECT u AS unit, CASE WHEN u IN ('mm', 'millimeters') THEN 0.001 ELSE 1.0 END::DOUBLE AS factor FROM (VALUES ('m'), ('meters'), ('kg m-2'), ('mm'), ('millimeters'), (NULL)) v(u)")
 def unit_conversion(spark, d):
     df = spark.createDataFrame([(u,) for u in (*runoff.UNITS, None)], "unit string")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,14 +128,14 @@ def read_catchments(spark: SparkSession, path: str, river_id: str = "river_id",
     found = spark.read.parquet(path).select(F.col(river_id).cast("long").alias("river_id"), F.col(geometry).alias("geometry"))
 
     def parts(batches):
+        listed = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
         for batch in batches:
-            ids, rings = [], []
-            for river, shape in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for polygon in polygons(shape) if shape else ():
-                    ids.append(river)
-                    rings.append([[{"x": x, "y": y} for x, y in ring.tolist()] for ring in polygon])
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rings, pa.list_(pa.list_(point)))], ["river_id", "rings"])
+            shapes = [(river, polygon) for river, shape in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for polygon in (polygons(shape) if shape else ())]
+            rings = [ring for _, polygon in shapes for ring in polygon]
+            points = np.concatenate([np.zeros((0, 2)), *rings])
+            points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k])) for k in (0, 1)], ["x", "y"])
+            rings = listed(listed(points, [len(r) for r in rings]), [len(polygon) for _, polygon in shapes])
+            yield pa.RecordBatch.from_arrays([pa.array([river for river, _ in shapes], pa.int64()), rings], ["river_id", "rings"])
 
     return found.mapInArrow(parts, "river_id long, rings array<array<struct<x:double,y:double>>>")
 

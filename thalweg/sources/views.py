@@ -157,6 +157,15 @@ def wkb_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.mapInPandas(encoded, "river_id long, geometry binary")
 
 
+def slanted_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """river_id, rings: for each nation a right-angled triangle with a triangular hole."""
+    k = F.col("n_nationkey")
+    b = table(spark, sf_dir, "nation", "n_nationkey").select((k + 1).cast("long").alias("river_id"), (k * 9.0 - 120).alias("x0"), (k * 3.0 - 50).alias("y0"))
+    corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
+    triangle = lambda a, b, w, h: F.array(corner(a, b), corner(a + w, b), corner(a, b + h), corner(a, b))
+    return b.select("river_id", F.array(triangle(0, 0, 30, 14), triangle(3, 2, 9, 4)).alias("rings"))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """river_id, ring: a rectangular catchment for each nation, as a closed ring of (x, y)."""
     k = F.col("n_nationkey")
