@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from thalweg.plans import catalog
 
-TABLES = ("supplier", "nation", "events", "lineitem")
+TABLES = ("supplier", "nation", "events", "lineitem", "part", "region")
 
 
 @pytest.fixture(scope="module")

@@ -207,9 +207,9 @@ def weights_topo_sorted(spark, d):
 
 
 _BOUNDS = """bx AS (SELECT x_index, coalesce((lag(x) OVER o + x) / 2, x - 330) AS x_min, coalesce((lead(x) OVER o + x) / 2, x + 330) AS x_max
-    FROM (SELECT CAST(i AS INT) AS x_index, CASE WHEN i * 30 > 180 THEN i * 30 - 360 ELSE i * 30 END::DOUBLE AS x FROM range(12) r(i)) WINDOW o AS (ORDER BY x)),
+    FROM (SELECT CAST(i AS INT) AS x_index, CASE WHEN i * 30 > 180 THEN i * 30 - 360 ELSE i * 30 END::DOUBLE AS x FROM (SELECT DISTINCT p_partkey % 12 AS i FROM part)) WINDOW o AS (ORDER BY x)),
     by_ AS (SELECT y_index, coalesce((lag(y) OVER o + y) / 2, y - 330) AS y_min, coalesce((lead(y) OVER o + y) / 2, y + 330) AS y_max
-    FROM (SELECT CAST(i AS INT) AS y_index, (i * 15 - 60)::DOUBLE AS y FROM range(9) r(i)) WINDOW o AS (ORDER BY y)),
+    FROM (SELECT CAST(i AS INT) AS y_index, (i * 15 - 60)::DOUBLE AS y FROM (SELECT DISTINCT s_suppkey % 9 AS i FROM supplier)) WINDOW o AS (ORDER BY y)),
     cells AS (SELECT x_index, y_index, x_min, x_max, y_min, y_max, (x_min + x_max) / 2 AS x, (y_min + y_max) / 2 AS y FROM bx CROSS JOIN by_)"""
 
 
@@ -218,7 +218,7 @@ def regular_grid_cells(spark, d):
     return weights.cells(*views.axes(spark, d)).select("x_index", "y_index", "x_min", "x_max", "y_min", "y_max", "x", "y")
 
 
-@query("SELECT CAST(i AS INT) AS x_index, CASE WHEN i * 30 > 180 THEN i * 30 - 360 ELSE i * 30 END::DOUBLE AS x, row_number() OVER (ORDER BY CASE WHEN i * 30 > 180 THEN i * 30 - 360 ELSE i * 30 END) AS place FROM range(12) r(i)")
+@query("SELECT CAST(i AS INT) AS x_index, CASE WHEN i * 30 > 180 THEN i * 30 - 360 ELSE i * 30 END::DOUBLE AS x, row_number() OVER (ORDER BY CASE WHEN i * 30 > 180 THEN i * 30 - 360 ELSE i * 30 END) AS place FROM (SELECT DISTINCT p_partkey % 12 AS i FROM part)")
 def lon_wrap_index(spark, d):
     from pyspark.sql import Window as W
 
@@ -241,9 +241,6 @@ def voronoi_overlay_area(spark, d):
     return w.select("river_id", "x_index", "y_index", F.round(F.col("area_sqm") / 1_000_000, 3).alias("area_sqkm"), r6("proportion", "proportion"))
 
 
-# --- runoff ---------------------------------------------------------------------------------------------------------------------------------
-
-
 #: Corners of what a cell (a to c, s to n) has of a triangle below its slanted side: F is the side's height at X, G the X at a height.
 _CORNERS = "[{'x': a, 'y': s}, {'x': least(c, gs), 'y': s}, {'x': least(c, gs), 'y': least(n, greatest(s, fc))}, {'x': gn, 'y': least(n, y0 + h * (1 - (gn - x0) / w))}, {'x': a, 'y': least(n, fa)}]"
 
@@ -268,10 +265,19 @@ def slanted_overlay_area(spark, d):
     return w.select("river_id", "x_index", "y_index", F.round(F.col("area_sqm") / 1_000_000, 3).alias("area_sqkm"), r6("proportion", "proportion"))
 
 
-@query("SELECT u AS unit, CASE WHEN u IN ('mm', 'millimeters') THEN 0.001 ELSE 1.0 END::DOUBLE AS factor FROM (VALUES ('m'), ('meters'), ('kg m-2'), ('mm'), ('millimeters'), (NULL)) v(u)")
+# --- runoff ---------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT unit, CASE WHEN unit IN ('mm', 'millimeters') THEN 0.001 ELSE 1.0 END::DOUBLE AS factor, round(sum(CAST(l_quantity AS DOUBLE)) * CASE WHEN unit IN ('mm', 'millimeters') THEN 0.001 ELSE 1.0 END, 6)::DOUBLE AS depth
+    FROM (SELECT ['m', 'meters', 'kg m-2', 'mm', 'millimeters', NULL][l_orderkey % 6 + 1] AS unit, l_quantity FROM lineitem) GROUP BY unit"""
+)
 def unit_conversion(spark, d):
-    df = spark.createDataFrame([(u,) for u in (*runoff.UNITS, None)], "unit string")
-    return df.select("unit", runoff.unit_factor_column(F.col("unit")).alias("factor"))
+    """Depths in every known unit, and without one, as metres."""
+    units = F.array(*map(F.lit, runoff.UNITS), F.lit(None))
+    df = views.table(spark, d, "lineitem", "l_orderkey", "l_quantity").select(F.get(units, (F.col("l_orderkey") % 6).cast("int")).alias("unit"), "l_quantity")
+    df = df.withColumn("factor", runoff.unit_factor_column(F.col("unit"))).groupBy("unit", "factor").agg(F.sum(F.col("l_quantity").cast("double")).alias("depth"))
+    return df.select("unit", "factor", r6(F.col("depth") * F.col("factor"), "depth"))
 
 
 _DEPTH = "SELECT w.river_id, g.t, sum(g.ro * w.proportion) AS v FROM grid g JOIN weights w ON g.x_index = w.x_index AND g.y_index = w.y_index GROUP BY 1, 2"

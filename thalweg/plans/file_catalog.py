@@ -109,7 +109,7 @@ def kernel_state_file(spark, d):
     return io.read_kernel_state(spark, path, own).select("river_id", F.posexplode(carry).alias("step", "carry")).withColumn("carry", r6("carry", "carry"))
 
 
-@query("SELECT 'x' AS axis, CAST(i AS INT) AS place, i * 30.0::DOUBLE AS value FROM range(12) r(i) UNION ALL SELECT 'y', CAST(i AS INT), i * 15.0::DOUBLE - 60 FROM range(9) r(i)")
+@query("SELECT 'x' AS axis, CAST(i AS INT) AS place, i * 30.0::DOUBLE AS value FROM (SELECT DISTINCT p_partkey % 12 AS i FROM part) UNION ALL SELECT 'y', CAST(i AS INT), i * 15.0::DOUBLE - 60 FROM (SELECT DISTINCT s_suppkey % 9 AS i FROM supplier)")
 def grid_axes(spark, d):
     """The axes of a regular grid from a table of its cells' coordinates."""
     path, (x, y) = place(spark, "coordinates"), views.axes(spark, d)
@@ -284,16 +284,20 @@ def names_and_step(spark, d):
     return spark.createDataFrame([(io.suggested_name(first, last), io.discharge_names(["in/a.parquet"], "out")[0], first_step(times, first))], "suggested string, output string, step long")
 
 
-@query("SELECT * FROM (VALUES ('dt_routing', '900'), ('log_level', 'DEBUG'), ('progress_bar', 'False'), ('grid_runoff_files', '[]'), ('discharge_files', '[''s3://b/discharge_a.parquet'']'), ('strategy', 'auto')) v(option, value)")
+@query(
+    """SELECT 'discharge_files' AS option, 's3://b/discharge_' || lower(r_name) || '.parquet' AS value FROM region
+    UNION ALL SELECT * FROM (VALUES ('dt_routing', '900'), ('log_level', 'DEBUG'), ('progress_bar', 'False'), ('grid_runoff_files', '[]'), ('strategy', 'auto')) v(option, value)"""
+)
 def configuration(spark, d):
-    """Options from a file with others over them, defaults for the rest."""
+    """Options from a file with others over them, defaults for the rest, and an output for each input (one a region)."""
+    inputs = [f"s3://b/{r['r_name'].lower()}.parquet" for r in views.table(spark, d, "region", "r_name").collect()]  # five
     with tempfile.TemporaryDirectory() as own:
         path = os.path.join(own, "run.json")
         with open(path, "w", encoding="utf-8") as f:
-            json.dump({"params_file": "s3://b/params", "qlateral_files": "s3://b/a.parquet", "discharge_dir": "s3://b", "grid_runoff_files": None, "log": False, "dt_routing": 60}, f)
+            json.dump({"params_file": "s3://b/params", "qlateral_files": inputs, "discharge_dir": "s3://b", "grid_runoff_files": None, "log": False, "dt_routing": 60}, f)
         cfg = Config.load(path, dt_routing=900, log_level="DEBUG")
-    shown = ("dt_routing", "log_level", "progress_bar", "grid_runoff_files", "discharge_files", "strategy")
-    return spark.createDataFrame([(n, str(getattr(cfg, n))) for n in shown], "option string, value string")
+    shown = [(n, str(getattr(cfg, n))) for n in ("dt_routing", "log_level", "progress_bar", "grid_runoff_files", "strategy")]
+    return spark.createDataFrame([*shown, *(("discharge_files", x) for x in cfg.discharge_files)], "option string, value string")
 
 
 @query(sql(f"SELECT river_id, CAST(t AS INT) AS t, round(q, 6) AS q FROM {_CONV} WHERE t < {H}", "uh_inputs", "qlateral"))

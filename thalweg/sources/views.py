@@ -134,8 +134,10 @@ def bad_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(x_index, x) and (y_index, y) of a regular grid from 0 to 330 degrees east and 60 south to 60 north."""
-    return spark.range(12).select(F.col("id").cast("int").alias("x_index"), (F.col("id") * 30.0).alias("x")), spark.range(9).select(F.col("id").cast("int").alias("y_index"), (F.col("id") * 15.0 - 60.0).alias("y"))
+    """(x_index, x) and (y_index, y) of a regular grid from 0 to 330 degrees east and 60 south to 60 north: a line for each residue of keys."""
+    x = table(spark, sf_dir, "part", "p_partkey").select((F.col("p_partkey") % 12).cast("int").alias("x_index")).distinct()
+    y = table(spark, sf_dir, "supplier", "s_suppkey").select((F.col("s_suppkey") % 9).cast("int").alias("y_index")).distinct()
+    return x.withColumn("x", F.col("x_index") * 30.0), y.withColumn("y", F.col("y_index") * 15.0 - 60.0)
 
 
 def wkb_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
