@@ -58,6 +58,25 @@ def test_words(spark, tmp_path, monkeypatch, crowd):
     assert outcome(df, "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(words_by_force(rows()))
 
 
+def test_one_header_and_many_bodies(spark, tmp_path, monkeypatch):
+    """Windows that very many texts share, each going on in its own way, some in the same: no shard gets more of an anchor than CROWD."""
+    r = random.Random(3)
+    header = "".join(r.choices("abcdefgh ", k=300))
+    bodies = ["".join(r.choices("abcdefgh ", k=200)) for _ in range(290)]
+    found = [(k, header + b) for k, b in enumerate([*bodies, *bodies[:10]])] + [(400 + k, f"{k}{header}{b}x") for k, b in enumerate(bodies[:5])]
+    monkeypatch.setattr(repeats, "CROWD", 16)
+    whole = suffix_dedup.judge
+
+    def checked(pdf):
+        if pdf.groupby("anchor").size().max() > 16:
+            raise ValueError("a crowd in one shard")
+        return whole(pdf)
+
+    monkeypatch.setattr(suffix_dedup, "judge", checked)
+    df = suffix_dedup.op1_suffix_dedup(spark, folder(spark, tmp_path, found))
+    assert outcome(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated") == ordered(bytes_by_force(found))
+
+
 def test_whole_table(spark, sf):
     found = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert outcome(fm_dedup.op6_fm_dedup(spark, sf), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(words_by_force(found))

@@ -8,8 +8,9 @@ one anchor form a stretch; its content goes on to `reach` units from the last wi
 2. Anchors are counted over all texts. Stretches whose anchor occurs in one text only (and once in it, where that matters) go no further.
 3. What is left is reduced to distinct stretches, and those with one anchor meet in one shard, where an operator's index judges their windows.
 4. An anchor with over CROWD distinct stretches would not fit a shard. Its stretches are cut by where windows stand around the anchor, and what all
-   windows of a cut have in common becomes their anchor. That repeats with finer cuts, the last of which holds equal windows only: every stretch
-   and every cut is judged by the index of a shard of bounded size.
+   windows of a cut have in common becomes their anchor. That repeats with finer cuts. The last of these holds equal windows only, which may go on
+   in different ways up to `reach`. Where over CROWD of these ways are left, the window is repeated as such, and strings up to `reach` are equal
+   where their names are: they are counted by name (Units.crowded) and meet in no shard. All else is judged by the index of a shard of bounded size.
 
 Texts are shuffled only where they have candidates; tables of fixed size leave out most of the others (common.bit_table).
 """
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import SLICE, bit_table, maybe, placed, small_batches, spent, text_key, written
@@ -107,6 +108,10 @@ class Units:
         """The units of a content."""
         raise NotImplementedError
 
+    def crowded(self, n: Column, content: Column) -> Column:
+        """The marks of a stretch of one window that many others begin with: n is how often it occurs, content goes on up to `reach`."""
+        raise NotImplementedError
+
     def order(self, codes: np.ndarray, grams: np.ndarray, units) -> np.ndarray:
         return grams
 
@@ -225,13 +230,16 @@ def judged(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list[
     def distinct(rows: DataFrame) -> DataFrame:
         return written(rows.groupBy(*PIECE).agg(F.min("first").alias("first"), F.sum("n").alias("n")), "repeats-stretches")
 
-    pieces, leaves, cuts = distinct(found), [], []
+    pieces, leaves, cuts, named = distinct(found), [], [], None
     for size in (*units.range_sizes, None):
         crowds = written(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select(F.col("anchor").alias("__a")), "repeats-crowds")
-        if size is None or crowds.isEmpty():
+        if crowds.isEmpty():
             leaves.append(pieces)
             break
         leaves.append(pieces.join(crowds, F.col("anchor") == F.col("__a"), "left_anti"))
+        if size is None:
+            named = pieces.join(crowds, F.col("anchor") == F.col("__a"), "left_semi").select("stretch", units.crowded(F.col("n"), F.col("content")).alias("marks"))
+            break
         cut = written(small_batches(pieces.join(crowds, F.col("anchor") == F.col("__a")).select(*PIECE, "first", "n")).mapInArrow(_cutter(units, size), CUT), "repeats-cuts")
         cuts.append(cut.select("parent", "low", "stretch"))
         pieces = distinct(cut)
@@ -240,6 +248,8 @@ def judged(found: DataFrame, units: Units, judge: Callable[[pd.DataFrame], list[
         rows = leaves[level]
         shards = max(1, -(-int(rows.agg(F.sum(F.length("content"))).first()[0] or 0) // (SHARD_UNITS * units.unit_bytes)))
         here = rows.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(run, "stretch binary, marks binary")
+        if named is not None:
+            here, named = here.union(named), None
         if out is not None:
             # A stretch's marks are those of its cuts in order; it has at most as many cuts as windows.
             below = cuts[level].join(out.select(F.col("stretch").alias("__s"), "marks"), F.col("stretch") == F.col("__s"))

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thalweg.llm.common import documents
 from thalweg.llm.repeats import Units, covered, marked_windows, runs, scramble, search, with_verdicts
@@ -50,6 +51,10 @@ class Bytes(Units):
     def split(self, content):
         return content
 
+    def crowded(self, n, content):
+        """As judge says of a string that occurs elsewhere: 2 if WIDTH bytes do, else 1."""
+        return F.when((n > 1) & (F.octet_length(content) >= WIDTH), F.unhex(F.lit("02"))).otherwise(F.unhex(F.lit("01")))
+
 
 #: Symbols up to which suffixes are induced, bucket by bucket.
 WHOLE = 512
