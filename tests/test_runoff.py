@@ -132,3 +132,46 @@ def test_weight_files(spark, sf, tmp_path):
     old = w.select("river_id", "area_sqm", F.col("x_index").alias("lon_index"), F.col("y_index").alias("lat_index"), F.col("x").alias("lon"), F.col("y").alias("lat"))
     old.coalesce(1).write.csv(str(tmp_path / "csv"), header=True)
     assert io.read_weights_csv(spark, str(tmp_path / "csv")).exceptAll(w).isEmpty()
+
+
+def test_cover_equals_cutting_every_cell():
+    """Random stars with holes over an uneven grid with gaps: blocks inside and border cells together are what cutting shape by cell gives."""
+    r = np.random.default_rng(4)
+    x = np.cumsum(r.uniform(0.3, 2.0, 41))
+    y = np.cumsum(r.uniform(0.3, 2.0, 31)) - 20
+    x_lines, y_lines = np.stack([x[:-1], x[1:]], axis=1)[np.arange(40) % 17 != 5], np.stack([y[:-1], y[1:]], axis=1)
+
+    def star(cx, cy, size, n):
+        angle, far = np.sort(r.uniform(0, 2 * np.pi, n)), size * r.uniform(0.4, 1, n)
+        return np.stack([cx + far * np.cos(angle), cy + far * np.sin(angle)], axis=1)
+
+    rings, owner, hole = [], [], []
+    for k in range(12):
+        cx, cy, size = r.uniform(x[0] - 3, x[-1] + 3), r.uniform(y[0] - 3, y[-1] + 3), r.uniform(0.2, 18)
+        rings += [star(cx, cy, size, r.integers(3, 60)), star(cx, cy, size / 5, 5)]
+        owner += [k, k]
+        hole += [False, True]
+    points, ring = np.concatenate(rings), np.repeat(np.arange(len(rings)), [len(p) for p in rings])
+    inside, who, cell, size = geometry.cover(points, ring, np.array(owner), np.array(hole), x_lines, y_lines)
+    found = np.zeros((12, len(x_lines), len(y_lines)))
+    for k, i0, i1, j0, j1 in inside:
+        for i in range(i0, i1):
+            for j in range(j0, j1):
+                found[k, i, j] += area([(a, b) for a, b in ((x_lines[i, 0], y_lines[j, 0]), (x_lines[i, 1], y_lines[j, 0]), (x_lines[i, 1], y_lines[j, 1]), (x_lines[i, 0], y_lines[j, 1]))])
+    np.add.at(found, (who, cell[:, 0], cell[:, 1]), size)
+    for i, (x0, x1) in enumerate(x_lines):
+        for j, (y0, y1) in enumerate(y_lines):
+            cut, at = geometry.clipped(points, ring, np.tile([x0, x1, y0, y1], (len(rings), 1)))
+            each = geometry.areas(cut, at, len(rings))
+            assert np.allclose(found[:, i, j], each[::2] - each[1::2], rtol=1e-9, atol=1.0)
+    assert len(inside) and (inside[:, 2] - inside[:, 1]).max() > 1
+
+
+def test_cells_must_form_a_grid(spark, sf):
+    c = weights.cells(*views.axes(spark, sf))
+    some = c.where("NOT (x_index = 2 AND y_index = 3)")
+    whole = weights.overlay(c, views.boxes(spark, sf))
+    part = weights.overlay(some, views.boxes(spark, sf))
+    assert part.count() == whole.where("NOT (x_index = 2 AND y_index = 3)").count()
+    with pytest.raises(ValueError, match="do not form a grid"):
+        weights.overlay(c.withColumn("x_min", F.col("x_min") - F.col("y_index") / 10), views.boxes(spark, sf))

@@ -25,6 +25,7 @@ from thalweg.session import shared_dir, written
 from thalweg.sources import io, netcdf, views
 from thalweg.sources.views import START, sql
 from thalweg.streaming.incremental import convolved
+from thalweg.streaming.routed import routed
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -312,3 +313,16 @@ def stream_convolution(spark, d):
     save = lambda df, batch: df.write.parquet(f"{base}/out/{batch}")
     convolved(stream, own).writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out/*").select("river_id", "t", r6("q", "q"))
+
+
+@query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')}", "net", "qlateral"))
+def stream_route(spark, d):
+    """Rapid routing over a stream of three files, the flows of each watershed as state."""
+    base, lateral = place(spark, "stream"), views.qlateral(spark, d).select("river_id", "t", "v")
+    third = views.hours(spark, d) // 3
+    for k in range(3):
+        lateral.where((F.col("t") >= k * third) & ((F.col("t") < (k + 1) * third) | F.lit(k == 2))).coalesce(1).write.parquet(f"{base}/in/{k}")
+    stream = spark.readStream.schema(lateral.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    save = lambda df, batch: df.write.parquet(f"{base}/out/{batch}")
+    routed(stream, views.net(spark, d), "rapid", HOUR).writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out/*").select("river_id", "t", r6("q", "q"))
