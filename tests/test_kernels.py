@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
 from thalweg.streaming import incremental
@@ -63,3 +65,47 @@ def test_a_stream_of_steps(spark, basins, tmp_path):
     for r in range(3):
         want = np.convolve(v[r], kernel[r + 1])[:6]
         assert np.allclose([got[r + 1, t] for t in range(6)], want)
+
+
+def test_blocks_equal_the_whole(spark):
+    """A kernel of 2000 steps over 10000 hours: no row is longer than a block and a kernel; halves carry over; members stay apart."""
+    rng = np.random.default_rng(5)
+    k, v = rng.random(2000), rng.random(10_000)
+    own = spark.createDataFrame([(7, k.tolist()), (8, [1.0, 0.5])], "river_id long, kernel array<double>")
+    steps = lambda low, high: spark.createDataFrame(pd.DataFrame({"river_id": np.repeat([7, 8], high - low), "t": np.tile(np.arange(high - low), 2), "v": np.tile(v[low:high], 2)}))
+    found = kernels.convolve_blocks(steps(0, 10_000), own, block=2500).cache()
+    assert found.agg(F.max(F.size("v"))).first()[0] == 2500 and found.where("state IS NOT NULL").count() == 2
+    got = {(r["river_id"], r["t"]): r["v"] for r in kernels.by_step(found).collect()}
+    want = {7: np.convolve(v, k), 8: np.convolve(v, [1.0, 0.5])}
+    assert len(got) == 20_000 and all(np.allclose([got[r, t] for t in range(10_000)], want[r][:10_000], rtol=1e-9) for r in want)
+    first = kernels.convolve_blocks(steps(0, 3100), own).where("state IS NOT NULL").select("river_id", "state")
+    rest = kernels.convolve_blocks(steps(3100, 10_000), own, first, block=2048).cache()
+    got = {(r["river_id"], r["t"]): r["v"] for r in kernels.by_step(rest).collect()}
+    ends = arrays(rest.where("state IS NOT NULL"), "state")
+    for r in want:
+        assert np.allclose([got[r, t] for t in range(6900)], want[r][3100:10_000], rtol=1e-9)
+        assert np.allclose(ends[r], np.append(want[r][10_000:], 0.0), atol=1e-9)
+
+
+def test_blocks_of_members_and_what_stops_them(spark, basins):
+    k = kernels.packed(kernels.kernel(basins, 3600), "step", "u", "kernel").cache()
+    rng = np.random.default_rng(9)
+    v = {(r, m): rng.random(70).tolist() for r in (1, 2, 3) for m in "ab"}
+    long = lambda series: spark.createDataFrame([(r, m, t, x) for (r, m), s in series.items() for t, x in enumerate(s)], "river_id long, member string, t int, v double")
+    found = kernels.convolve_blocks(long(v), k, keys=("river_id", "member"), block=16)
+    got = {(r["river_id"], r["member"], r["t"]): r["v"] for r in kernels.by_step(found, "river_id", "member").collect()}
+    own = arrays(k, "kernel")
+    assert all(np.allclose([got[r, m, t] for t in range(70)], np.convolve(s, own[r])[:70]) for (r, m), s in v.items())
+    rows = long({(1, "a"): v[1, "a"]}).drop("member")
+    nothing = {r["t"]: r["v"] for r in kernels.by_step(kernels.convolve_blocks(rows.withColumn("v", F.when(F.col("t") == 3, F.lit(float("nan"))).when(F.col("t") != 5, F.col("v"))), k)).collect()}
+    holes = [0.0 if t in (3, 5) else x for t, x in enumerate(v[1, "a"])]
+    assert np.allclose([nothing[t] for t in range(70)], np.convolve(holes, own[1])[:70])
+    assert kernels.convolve_blocks(rows.limit(0), k).count() == 0
+    for bad, error in (
+        (rows.where("t <> 20"), "missing or repeated"), (rows.where("t < 32 OR t >= 48"), "missing or repeated"), (rows.where("t >= 16"), "missing or repeated"),
+        (rows.union(rows.where("t = 4")), "missing or repeated"), (rows.withColumn("river_id", F.lit(99).cast("long")), "no kernel"),
+    ):
+        with pytest.raises(Exception, match=error):
+            kernels.convolve_blocks(bad, k, block=16).collect()
+    with pytest.raises(Exception, match="does not fit"):
+        kernels.convolve_blocks(rows, k, spark.createDataFrame([(1, [0.0])], "river_id long, state array<double>")).collect()

@@ -141,3 +141,16 @@ def test_unit_ensembles_and_kernel_steps(spark, files, tmp_path):
         assert near(read(spark, out), read(spark, tmp_path / f"one-{k}"))
     with pytest.raises(ValueError, match="86400 s do not fit"):
         UnitMuskingum(spark, **own | {"uh_kernel_file": str(tmp_path / "day"), "discharge_files": outs[:1], "qlateral_files": [str(files / "a.parquet")]}).route()
+
+
+def test_unit_router_in_chunks_of_time(spark, files, tmp_path):
+    """Two inputs: convolved in blocks and routed in chunks, the carry-over passed on, as whole."""
+    own = options(files, uh_kernel_file=str(files / "kernel.parquet"), discharge_dir=None, qlateral_files=[str(files / "a.parquet"), str(files / "b.parquet")])
+    ends = {}
+    for strategy in ("grouped", "chunks"):
+        outs = [str(tmp_path / f"{strategy}-{k}") for k in "ab"]
+        ends[strategy] = UnitMuskingum(spark, **own | {"strategy": strategy, "discharge_files": outs}).route().carry
+    for k in "ab":
+        assert near(read(spark, tmp_path / f"grouped-{k}"), read(spark, tmp_path / f"chunks-{k}"))
+    a, b = ({r["river_id"]: r["state"] for r in df.collect()} for df in ends.values())
+    assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for r in a for x, y in zip(a[r], b[r], strict=True))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +58,8 @@ def packed(df: DataFrame, order: str, value: str, name: str, *keys: str) -> Data
 def convolve(lateral: DataFrame, kernels: DataFrame, state: DataFrame | None = None, keys: tuple[str, ...] = ("river_id",)) -> DataFrame:
     """keys, v, state: convolved series and the carry-over for a next call. lateral: keys and v (array); kernels and state: river_id and an array.
 
-    A state must have its kernel's length. The convolution is direct: kernels are short beside series.
+    A state must have its kernel's length. The convolution is direct, and a series is one row: for kernels that are short beside series, and
+    series that fit a row. convolve_blocks does the rest.
     """
     df = lateral.join(kernels.withColumnRenamed("kernel", "__kernel"), "river_id", "left")
     if state is not None:
@@ -84,6 +86,83 @@ def convolve(lateral: DataFrame, kernels: DataFrame, state: DataFrame | None = N
     return df.mapInPandas(run, df.select(*keys, "v").schema.add("state", T.ArrayType(T.DoubleType())))
 
 
+#: Numbers that one transform holds at once: rows of an Arrow batch are transformed in groups of so many.
+TRANSFORM_NUMBERS = 1 << 21
+
+
+def block_length(longest: int) -> int:
+    """Steps of a block for kernels of up to so many: a block and its tail fill a power of two, at least four kernels long."""
+    longest = max(1, longest)
+    return 2 ** max(8, math.ceil(math.log2(4 * longest))) - longest + 1
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def transformed(v: pd.Series, kernel: pd.Series, last: pd.Series) -> pd.Series:
+    """The last `last` numbers of each pair's whole convolution, as a product in the frequency domain."""
+    if kernel.isna().any():
+        raise ValueError("a river has no kernel")
+    sizes = v.map(len).to_numpy() + kernel.map(len).to_numpy() - 1
+    width = 2 ** math.ceil(math.log2(max(2, sizes.max(initial=2))))
+    group, out = max(1, TRANSFORM_NUMBERS // width), []
+    for a in range(0, len(v), group):
+        spectra = []
+        for side in (v, kernel):
+            own = side.iloc[a : a + group]
+            padded = np.zeros((len(own), width))
+            for row, x in zip(padded, own, strict=True):
+                row[: len(x)] = x
+            spectra.append(np.fft.rfft(padded))
+        both = np.fft.irfft(spectra[0] * spectra[1], width)
+        out += [row[n - k : n].copy() for row, n, k in zip(both, sizes[a : a + group], last.iloc[a : a + group], strict=True)]
+    return pd.Series(out, index=v.index, dtype=object)
+
+
+def convolve_blocks(lateral: DataFrame, kernels: DataFrame, state: DataFrame | None = None, keys: tuple[str, ...] = ("river_id",), block: int | None = None) -> DataFrame:
+    """keys, first, v, state: convolved series in blocks of time (first: the step of v's first number). lateral: keys, t (from 0), v.
+
+    Blocks are convolved in the frequency domain, each with what of the block before it still reaches into it (overlap-save: adding the tails of
+    convolved blocks gives the same, but would shuffle them once more). Series are dealt once, by river: blocks, their predecessors and kernels meet in
+    that partitioning, and no row is longer than a block and a kernel. Only a series' last block has a state, the carry-over for a next call; the other
+    blocks' is null. block: steps of a block, at least the longest kernel's (default: block_length).
+
+    Nulls and what is not a number count as 0. A missing or repeated step, a river without a kernel and a state of another length than its kernel stop
+    the query. No rows give no rows.
+    """
+    longest = kernels.agg(F.max(F.size("kernel"))).first()[0] or 1
+    block = max(block or block_length(longest), longest)
+    rows = lateral.select(*keys, "t", F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)).alias("v")).repartition("river_id")
+    blocks = rows.groupBy(*keys, F.floor(F.col("t") / block).alias("__block")).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("v"))
+    broken = F.raise_error(F.lit("a series has missing or repeated steps"))
+    in_step = F.transform("v", lambda p, i: F.when(p["t"] == F.col("__block") * block + i, p["v"]).otherwise(broken.cast("double")))
+    by = W.partitionBy(*keys).orderBy("__block")
+    before = F.struct("__block", "v")
+    blocks = blocks.withColumn("v", in_step).select("*", F.lag(before).over(by).alias("__before"), F.lead("__block").over(by).isNull().alias("__final"))
+    blocks = blocks.join(kernels.select("river_id", F.col("kernel").alias("__kernel")), "river_id", "left")
+    if state is not None:
+        blocks = blocks.join(state.select("river_id", F.col("state").alias("__state")), "river_id", "left")
+    else:
+        blocks = blocks.withColumn("__state", F.lit(None).cast("array<double>"))
+    n, size = F.size("v"), F.size("__kernel")
+    misfit = F.raise_error(F.lit("a state does not fit its kernel")).cast("array<double>")
+    carry = F.when(F.col("__block") == 0, F.when(F.size("__state") == size, F.col("__state")).when(F.col("__state").isNotNull(), misfit))
+    # A block follows a whole one of the number before it, or is the first.
+    follows = F.coalesce((F.col("__block") == F.col("__before.__block") + 1) & (F.size("__before.v") == block), F.col("__block") == 0)
+    reach = F.slice("__before.v", F.lit(block + 2) - size, size - 1)  # what the block before has at its end
+    longer = F.when(~follows, broken.cast("array<double>")).otherwise(F.concat(F.coalesce(reach, F.array().cast("array<double>")), F.col("v")))
+    whole = blocks.select(*keys, "__block", n.alias("__n"), size.alias("__size"), "__final", carry.alias("__carry"), transformed(longer, "__kernel", n + size - 1).alias("__whole"))
+    carried = F.zip_with("__whole", "__carry", lambda a, b: a + F.coalesce(b, F.lit(0.0)))  # what is carried over is not the longer one
+    whole = whole.withColumn("__whole", F.when(F.col("__carry").isNull(), F.col("__whole")).otherwise(carried))
+    rest = F.concat(F.slice("__whole", F.col("__n") + 1, F.col("__size") - 1), F.array(F.lit(0.0)))
+    return whole.select(*keys, (F.col("__block") * block).cast("int").alias("first"), F.slice("__whole", F.lit(1), F.col("__n")).alias("v"), F.when(F.col("__final"), rest).alias("state"))
+
+
+def by_step(blocks: DataFrame, *keys: str) -> DataFrame:
+    """keys, t, v of convolve_blocks()."""
+    keys = keys or ("river_id",)
+    # Blocks are never empty; an inner explode would have each worked out once more, to see that.
+    return blocks.select(*keys, F.posexplode_outer("v").alias("__p", "v"), "first").select(*keys, (F.col("first") + F.col("__p")).alias("t"), "v")
+
+
 class Incremental:
     """One step at a time for one river: adds a step's runoff to the carry-over, gives its first value and moves on."""
 

@@ -392,6 +392,22 @@ def uh_final_state(spark, d):
     return out.select("river_id", F.posexplode(carry).alias("step", "carry")).withColumn("carry", r6("carry", "carry"))
 
 
+@query(sql(f"SELECT river_id, CAST(t AS INT) AS t, round(q, 6) AS q FROM {_CONV} WHERE t < {H}", "uh_inputs", "qlateral"))
+def uh_convolve_blocks(spark, d):
+    """Blocks of four days convolved in the frequency domain, each with the end of the block before it."""
+    return kernels.by_step(kernels.convolve_blocks(_depths(spark, d), _kernels(spark, d), block=96)).select("river_id", "t", r6("v", "q"))
+
+
+@query(sql(f"SELECT river_id, CAST(t - {H} AS INT) AS step, round(q, 6) AS carry FROM {_CONV} WHERE t >= {H}", "uh_inputs", "qlateral"))
+def uh_final_state_blocks(spark, d):
+    """The carry-over of two inputs, the second begun from the first's."""
+    half, own, rows = views.hours(spark, d) // 2, written(_kernels(spark, d), "kernels"), _depths(spark, d)
+    first = kernels.convolve_blocks(rows.where(F.col("t") < half), own).where("state IS NOT NULL").select("river_id", "state")
+    rest = kernels.convolve_blocks(rows.where(F.col("t") >= half).withColumn("t", F.col("t") - half), own, first).where("state IS NOT NULL")
+    carry = F.slice("state", F.lit(1), F.size("state") - 1)  # the last place is always 0
+    return rest.select("river_id", F.posexplode(carry).alias("step", "carry")).withColumn("carry", r6("carry", "carry"))
+
+
 # --- routing --------------------------------------------------------------------------------------------------------------------------------
 
 _C = lambda dt, net="net": f"(SELECT river_id, downstream_river_id, ({dt} / k - 2 * x) / ({dt} / k + 2 * (1 - x)) AS c1, ({dt} / k + 2 * x) / ({dt} / k + 2 * (1 - x)) AS c2, (2 * (1 - x) - {dt} / k) / ({dt} / k + 2 * (1 - x)) AS c3 FROM {net})"

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.functions.kernels import convolve, packed
+from thalweg.functions.kernels import by_step, convolve, convolve_blocks, packed
 from thalweg.operators import routing, runoff, validate
 from thalweg.operators.network import with_roots
 from thalweg.plans.config import Config
@@ -225,13 +225,15 @@ class UnitMuskingum(RapidMuskingum):
         return super().steps(dt_runoff, n)
 
     def transform(self, lateral: DataFrame) -> DataFrame:
-        """In ensembles every member starts from the same carry-over."""
+        """In ensembles every member starts from the same carry-over. Where routing goes by chunks of time, so does the convolution."""
         keys = ("river_id", *(["member"] if "member" in lateral.columns else []))
         carry = self.carry if self.cfg.runoff_processing_mode == "sequential" else self.first_carry
-        out = written(convolve(packed(lateral, "t", "v", "v", *keys), self.kernels, carry, keys), "convolved")
+        in_blocks = self.cfg.strategy == "chunks"
+        found = convolve_blocks(lateral, self.kernels, carry, keys) if in_blocks else convolve(packed(lateral, "t", "v", "v", *keys), self.kernels, carry, keys)
+        out = written(found, "convolved")
         own = out.where(F.col("member") == str(len(self.inputs()) - 1)) if "member" in keys else out
-        self.carry = own.select("river_id", "state")
-        return out.select(*keys, F.posexplode("v").alias("t", "v"))
+        self.carry = own.where("state IS NOT NULL").select("river_id", "state")
+        return by_step(out, *keys) if in_blocks else out.select(*keys, F.posexplode("v").alias("t", "v"))
 
     def after_route(self) -> None:
         if self.cfg.uh_state_final_file:
