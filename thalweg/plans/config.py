@@ -33,6 +33,8 @@ class Config:
     """Every option of a run. Paths become absolute; local inputs and the folders of local outputs must exist; others are left to Spark."""
 
     params_file: str | None = None
+    #: Whether the parameters must come in topological order; those of positional states and kernels do.
+    params_in_order: bool = False
     discharge_dir: str | None = None
     discharge_files: list[str] = field(default_factory=list)
     channel_state_init_file: str | None = None

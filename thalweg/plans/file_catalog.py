@@ -22,7 +22,7 @@ from thalweg.plans.config import Config
 from thalweg.plans.grid_weights import grid_weights
 from thalweg.plans.routers import RapidMuskingum, UnitMuskingum, first_step
 from thalweg.session import shared_dir, written
-from thalweg.sources import io, netcdf, views
+from thalweg.sources import io, netcdf, positional, views
 from thalweg.sources.views import START, sql
 from thalweg.streaming.incremental import convolved
 from thalweg.streaming.routed import routed
@@ -165,6 +165,46 @@ def grid_weights_call(spark, d):
     return w.select("river_id", "x_index", "y_index", F.round(F.col("area_sqm") / 1_000_000, 3).alias("area_sqkm"), r6("proportion", "proportion"))
 
 
+# --- files without ids ------------------------------------------------------------------------------------------------------------------------
+
+
+def ordered(df: DataFrame, path: str, files: int, *columns: str) -> str:
+    """Rivers in order over some files, and of these the columns alone."""
+    df.repartitionByRange(files, "river_id").sortWithinPartitions("river_id").select(*columns).write.parquet(path)
+    return path
+
+
+def ordered_net(spark, d, files: int = 3) -> DataFrame:
+    return io.read_params(spark, ordered(views.net(spark, d), place(spark, "params"), files, "river_id", "downstream_river_id", "k", "x"), position=True)
+
+
+@query(sql("SELECT river_id, CAST(row_number() OVER (ORDER BY river_id) - 1 AS BIGINT) AS position, q FROM state", "state"))
+def state_positional(spark, d):
+    """A state of one column in four files, beside parameters in three: rows meet by their numbers over all files."""
+    net = ordered_net(spark, d)
+    path = ordered(views.state(spark, d).withColumnRenamed("q", "Q"), place(spark, "state"), 4, "Q")
+    return io.read_state(spark, path, net).join(net.select("river_id", "position"), "river_id")
+
+
+@query(sql(f"SELECT river_id, step, round(u, 6) AS u FROM {_kernel_sql('curvilinear')}", "uh_inputs"))
+def kernel_npz(spark, d):
+    """Sparse kernels in archives of 32 rivers each, without ids."""
+    net, folder = ordered_net(spark, d), place(spark, "kernel")
+    positional.write_kernels(kernels.kernel(views.uh_inputs(spark, d), HOUR), net, folder, 32)
+    return io.read_kernel(spark, folder, net).select("river_id", F.posexplode("kernel").alias("step", "u")).withColumn("u", r6("u", "u"))
+
+
+@query(sql(f"SELECT river_id, CAST(t - {H} AS INT) AS step, round(q, 6) AS carry FROM {_CONV} WHERE t >= {H}", "uh_inputs", "qlateral"))
+def kernel_state_positional(spark, d):
+    """A carry-over with a column a step and no ids."""
+    net, own = ordered_net(spark, d), written(_kernels(spark, d), "kernels")
+    steps = own.agg(F.max(F.size("kernel"))).first()[0]
+    state = kernels.convolve(kernels.packed(_depths(spark, d), "t", "v", "v"), own).select("river_id", *(F.col("state")[k].alias(str(k)) for k in range(steps)))
+    path = ordered(state, place(spark, "kernel-state"), 4, *map(str, range(steps)))
+    carry = F.slice("state", F.lit(1), F.size("state") - 1)  # the last place is always 0
+    return io.read_kernel_state(spark, path, own, net).select("river_id", F.posexplode(carry).alias("step", "carry")).withColumn("carry", r6("carry", "carry"))
+
+
 # --- netCDF ---------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -62,8 +62,10 @@ class Muskingum:
 
     def network(self) -> DataFrame:
         """The checked network with the roots of its rivers, found once for all inputs."""
-        net = written(io.read_params(self.spark, self.cfg.params_file, self.cfg.var_river_id), "parameters")
-        validate.require(validate.params(net), "routing parameters")
+        cfg = self.cfg
+        by_order = cfg.params_in_order or any(io.without_ids(self.spark, p) for p in (cfg.channel_state_init_file, cfg.uh_kernel_file, cfg.uh_state_init_file))
+        net = written(io.read_params(self.spark, cfg.params_file, cfg.var_river_id, by_order), "parameters")
+        validate.require(validate.params(net if cfg.params_in_order else net.drop("position")), "routing parameters")
         return written(with_roots(net), "network")
 
     def progress(self, done: int, of: int, what: str) -> None:
@@ -213,9 +215,9 @@ class UnitMuskingum(RapidMuskingum):
             raise ValueError("missing option: uh_kernel_file")
 
     def before_route(self) -> None:
-        self.kernels = written(io.read_kernel(self.spark, self.cfg.uh_kernel_file), "kernels")
+        self.kernels = written(io.read_kernel(self.spark, self.cfg.uh_kernel_file, self.net), "kernels")
         self.kernel_step = io.kernel_step(self.spark, self.cfg.uh_kernel_file)
-        self.first_carry = io.read_kernel_state(self.spark, self.cfg.uh_state_init_file, self.kernels) if self.cfg.uh_state_init_file else None
+        self.first_carry = io.read_kernel_state(self.spark, self.cfg.uh_state_init_file, self.kernels, self.net) if self.cfg.uh_state_init_file else None
         self.carry = self.first_carry
 
     def steps(self, dt_runoff: int, n: int) -> routing.Steps:

@@ -17,19 +17,37 @@ from pyspark.sql.utils import AnalysisException
 
 from thalweg import __version__
 from thalweg.operators.weights import WEIGHT_COLUMNS, numbered
-from thalweg.sources import netcdf
+from thalweg.sources import netcdf, positional
 
 
-def read_params(spark: SparkSession, path: str, river_id: str = "river_id") -> DataFrame:
-    """river_id, downstream_river_id, k, x."""
-    return spark.read.parquet(path).select(F.col(river_id).cast("long").alias("river_id"), F.col("downstream_river_id").cast("long"), F.col("k").cast("double"), F.col("x").cast("double"))
+def read_params(spark: SparkSession, path: str, river_id: str = "river_id", position: bool = False) -> DataFrame:
+    """river_id, downstream_river_id, k, x; if asked for, also position, the number of the row."""
+    df = spark.read.parquet(path)
+    found = (F.col(river_id).cast("long").alias("river_id"), F.col("downstream_river_id").cast("long"), F.col("k").cast("double"), F.col("x").cast("double"))
+    return positional.numbered_rows(df).select(*found, "position") if position else df.select(*found)
+
+
+def without_ids(spark: SparkSession, path: str | None) -> bool:
+    """Whether a state or kernel file goes by the order of the parameters: a table without river_id, or sparse archives."""
+    if not path:
+        return False
+    if positional.npz_files(path):
+        return True
+    try:
+        return "river_id" not in spark.read.parquet(path).columns
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
 
 
 def read_state(spark: SparkSession, path: str | None, net: DataFrame, discharge: str = "Q") -> DataFrame:
-    """river_id, q of every river; zeros for rivers, or altogether where there is no file."""
+    """river_id, q of every river; zeros for rivers, or altogether where there is no file. A table of one column goes by the network's positions."""
     zero = net.select("river_id", F.lit(0.0).alias("q"))
     if not path:
         return zero
+    if without_ids(spark, path):
+        return positional.channel_state(spark, path, net)
     try:
         found = spark.read.parquet(path).select("river_id", F.col(discharge).cast("double").alias("q"))
     except AnalysisException as e:
@@ -173,13 +191,19 @@ def write_kernel(kernel: DataFrame, path: str, tr: int | None = None) -> None:
 
 def kernel_step(spark: SparkSession, path: str) -> int | None:
     """The seconds of a kernel file's steps, if it tells."""
+    if positional.npz_files(path):
+        return None
     return spark.read.parquet(path).schema["u"].metadata.get("tr")
 
 
-def read_kernel(spark: SparkSession, path: str) -> DataFrame:
-    """river_id, kernel (array by step)."""
+def read_kernel(spark: SparkSession, path: str, net: DataFrame | None = None) -> DataFrame:
+    """river_id, kernel (array by step). Sparse archives (.npz, or a folder of them) need the network with positions."""
     from thalweg.functions.kernels import packed
 
+    if files := positional.npz_files(path):
+        if net is None:
+            raise ValueError("sparse kernels need the network")
+        return positional.kernels(spark, files, net)
     return packed(spark.read.parquet(path), "step", "u", "kernel")
 
 
@@ -187,9 +211,13 @@ def write_kernel_state(state: DataFrame, path: str) -> None:
     state.select("river_id", "state").write.mode("overwrite").parquet(path)
 
 
-def read_kernel_state(spark: SparkSession, path: str, kernels: DataFrame) -> DataFrame:
-    """river_id, state; its length must be the kernel's."""
-    df = spark.read.parquet(path).join(kernels, "river_id")
+def read_kernel_state(spark: SparkSession, path: str, kernels: DataFrame, net: DataFrame | None = None) -> DataFrame:
+    """river_id, state; its length must be the kernel's. A table without ids, a column a step, needs the network with positions."""
+    if net is not None and without_ids(spark, path):
+        found = positional.kernel_state(spark, path, net)
+    else:
+        found = spark.read.parquet(path)
+    df = found.join(kernels, "river_id")
     fits = F.when(F.size("state") == F.size("kernel"), F.col("state")).otherwise(F.raise_error(F.lit("a state does not fit its kernel")).cast("array<double>"))
     return df.select("river_id", fits.alias("state"))
 
