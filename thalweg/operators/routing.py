@@ -124,11 +124,16 @@ def _solved(kind: Kind, pdf: pd.DataFrame, substeps: int, dt_runoff: float, n_st
     return solve(kind, pdf, substeps, dt_runoff, n_steps, inflow)
 
 
+def with_fed(net: DataFrame) -> DataFrame:
+    """net with fed: whether anything flows into a river."""
+    fed = net.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
+    return net.join(fed, F.col("river_id") == F.col("__f"), "left").withColumn("fed", F.col("__f").isNotNull()).drop("__f")
+
+
 def with_states(net: DataFrame, state: DataFrame | None, dt_routing: float) -> DataFrame:
-    """One row for each river: topology, coefficients, whether it is fed, and initial flow q0."""
-    base = coefficients(net if "watershed_id" in net.columns else with_roots(net), dt_routing)
-    fed = base.where("downstream_river_id >= 0").select(F.col("downstream_river_id").alias("__f")).distinct()
-    base = base.join(fed, F.col("river_id") == F.col("__f"), "left").withColumn("fed", F.col("__f").isNotNull()).drop("__f")
+    """One row for each river: topology, coefficients, whether it is fed, and initial flow q0. A network that knows its roots, or what is fed, is not asked again."""
+    base = net if "watershed_id" in net.columns else with_roots(net)
+    base = coefficients(base if "fed" in net.columns else with_fed(base), dt_routing)
     if state is not None:
         base = base.join(state.select("river_id", "q"), "river_id", "left")
     return base.withColumn("q0", F.coalesce("q", F.lit(0.0)) if state is not None else F.lit(0.0))

@@ -20,7 +20,7 @@ CHOICES = {
 PATHS = {
     "params_file": ("one", "read"), "channel_state_init_file": ("one", "read"), "grid_weights_file": ("one", "read"), "uh_kernel_file": ("one", "read"), "uh_state_init_file": ("one", "read"),
     "qlateral_files": ("many", "read"), "grid_runoff_files": ("many", "read"), "discharge_files": ("many", "written"),
-    "channel_state_final_file": ("one", "written"), "uh_state_final_file": ("one", "written"), "discharge_dir": ("one", "folder"),
+    "channel_state_final_file": ("one", "written"), "uh_state_final_file": ("one", "written"), "discharge_dir": ("one", "folder"), "network_cache_dir": ("one", "folder"),
 }
 
 
@@ -35,6 +35,8 @@ class Config:
     params_file: str | None = None
     #: Whether the parameters must come in topological order; those of positional states and kernels do.
     params_in_order: bool = False
+    #: A folder that keeps checked networks for other runs.
+    network_cache_dir: str | None = None
     discharge_dir: str | None = None
     discharge_files: list[str] = field(default_factory=list)
     channel_state_init_file: str | None = None

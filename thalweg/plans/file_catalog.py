@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.functions import geometry, kernels
-from thalweg.operators import weights
+from thalweg.operators import network, weights
 from thalweg.plans import cli
 from thalweg.plans.catalog import _BOUNDS, _CONV, _MEMBERS, _UNIT, _UP, _Y, GRID_START, HOUR, TARGET, H, _depths, _kernel_sql, _kernels, _mean_sql, query, r6
 from thalweg.plans.config import Config
 from thalweg.plans.grid_weights import grid_weights
 from thalweg.plans.routers import RapidMuskingum, UnitMuskingum, first_step
 from thalweg.session import shared_dir, written
-from thalweg.sources import io, netcdf, positional, views
+from thalweg.sources import cache, io, netcdf, positional, store, views
 from thalweg.sources.views import START, sql
 from thalweg.streaming.incremental import convolved
 from thalweg.streaming.routed import routed
@@ -274,6 +274,30 @@ def routed_netcdf(spark, d):
     return out.select("river_id", "time", F.round("Q", 2).alias("q"))
 
 
+@query(sql(f"{_ROUTED} FROM {_mean_sql('rapid')}", "net", "qlateral"))
+def routed_with_kept_network(spark, d):
+    """Two runs of one network, which the first keeps and the second finds."""
+    base, params = place(spark, "kept"), params_of(spark, d)
+    source = series_file(views.qlateral(spark, d), f"{base}/input.parquet")
+    for out in ("first", "second"):
+        RapidMuskingum(spark, params_file=params, qlateral_files=source, discharge_files=[f"{base}/{out}"], network_cache_dir=f"{base}/cache", log=False).route()
+    if [name for name, _, _ in cache.catalogue(f"{base}/cache")] != ["network"]:
+        raise RuntimeError("one network was to be kept")
+    return spark.read.parquet(f"{base}/second").select("river_id", "time", F.round(F.col("Q").cast("double"), 2).alias("q"))
+
+
+@query(sql(f"SELECT river_id, TIMESTAMP '{START}' + to_hours(CAST(t AS BIGINT)) AS time, round(q, 2) AS q FROM {_mean_sql('rapid')} WHERE river_id IN (1, 5, 42) AND t >= 30 AND t < 300", "net", "qlateral"))
+def discharge_store(spark, d):
+    """Discharge clustered by watershed and river over 16 files; of these, the ones that hold three rivers on some days are opened."""
+    base, net = place(spark, "store"), network.with_roots(views.net(spark, d))
+    source = series_file(views.qlateral(spark, d), f"{base}/input.parquet")
+    router = RapidMuskingum(spark, params_file=params_of(spark, d), qlateral_files=source, discharge_files=[f"{base}/out"], log=False)
+    router.set_write_discharges(store.sink(net, 16)).route()
+    start = datetime.fromisoformat(START)
+    found = store.read(spark, f"{base}/out", net, [1, 5, 42], start + timedelta(hours=30), start + timedelta(hours=300))
+    return found.select("river_id", "time", F.round("q", 2).alias("q"))
+
+
 @query(sql(f"{_ROUTED} FROM {_mean_sql('rapid')} WHERE river_id <= 3", "net", "qlateral"))
 def routed_in_sequence(spark, d):
     """Two inputs one after the other, the state carried on, with a sink that passes some rivers on and hooks of one's own."""

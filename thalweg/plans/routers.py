@@ -15,7 +15,7 @@ from thalweg.operators import routing, runoff, validate
 from thalweg.operators.network import with_roots
 from thalweg.plans.config import Config
 from thalweg.session import written
-from thalweg.sources import io
+from thalweg.sources import cache, io
 
 PROGRESS = 25
 logging.addLevelName(PROGRESS, "PROGRESS")
@@ -61,12 +61,18 @@ class Muskingum:
         """A hook."""
 
     def network(self) -> DataFrame:
-        """The checked network with the roots of its rivers, found once for all inputs."""
+        """The checked network with the roots of its rivers and whether they are fed, found once for all inputs, and once for all runs where a folder keeps it."""
         cfg = self.cfg
         by_order = cfg.params_in_order or any(io.without_ids(self.spark, p) for p in (cfg.channel_state_init_file, cfg.uh_kernel_file, cfg.uh_state_init_file))
-        net = written(io.read_params(self.spark, cfg.params_file, cfg.var_river_id, by_order), "parameters")
-        validate.require(validate.params(net if cfg.params_in_order else net.drop("position")), "routing parameters")
-        return written(with_roots(net), "network")
+
+        def checked() -> DataFrame:
+            net = written(io.read_params(self.spark, cfg.params_file, cfg.var_river_id, by_order), "parameters")
+            validate.require(validate.params(net if cfg.params_in_order else net.drop("position")), "routing parameters")
+            return routing.with_fed(with_roots(net))
+
+        if not cfg.network_cache_dir:
+            return written(checked(), "network")
+        return cache.kept(self.spark, cfg.network_cache_dir, "network", cache.digest([cfg.params_file], cfg.var_river_id, by_order, cfg.params_in_order), checked)
 
     def progress(self, done: int, of: int, what: str) -> None:
         if self.cfg.progress_bar:
