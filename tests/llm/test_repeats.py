@@ -102,19 +102,42 @@ def test_suffix_array(symbols, whole, monkeypatch):
             assert s[a : a + prefix[b]] == s[b : b + prefix[b]] and s[a + prefix[b] : a + prefix[b] + 1] != s[b + prefix[b] : b + prefix[b] + 1]
 
 
-def test_index_finds_every_occurrence():
-    r = np.random.default_rng(3)
-    s = np.concatenate([r.integers(0, 4, 500), [4]])
-    index = fm_dedup.Index(s, 5, np.arange(len(s)))
+@pytest.mark.parametrize("symbols", [1, 2, 4, 50])
+def test_matching_statistics(symbols):
+    """Each place's longest string that a row with a smaller value holds too, and the least value of those that do, against looking everywhere."""
+    r = np.random.default_rng(symbols)
+    rows = [r.integers(1, symbols + 1, r.integers(1, 20)).tolist() for _ in range(60)]
+    rows += [rows[0], rows[1][:5], [*rows[2], *rows[3]]]
+    values = r.permutation(len(rows) // 2).tolist() * 2 + [7] * 2
+    values = values[: len(rows)]
+    s = np.array([x for row in rows for x in (*row, 0)])
+    sizes = np.array([len(row) + 1 for row in rows])
+    starts = np.cumsum(sizes) - sizes
+    index = fm_dedup.Index(s, symbols + 1, np.repeat(np.array(values, np.int32), sizes))
     assert suffix_dedup.suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-    patterns = r.integers(0, 4, (200, 5))
-    lo, hi, length = index.search(patterns)
-    text = bytes(s.tolist())
-    for p, a, b, n in zip(patterns, lo, hi, length, strict=True):
-        tail = bytes(p[len(p) - n :].tolist())
-        assert sorted(index.values[a:b]) == [i for i in range(len(text)) if text.startswith(tail, i)]
-        assert n == len(p) or bytes(p[len(p) - n - 1 :].tolist()) not in text
+    found = index.statistics(s, starts, starts + sizes - 1, np.array(values))
+    holders = {}
+    for row, value in zip(rows, values, strict=True):
+        for i in range(len(row)):
+            for j in range(i + 1, len(row) + 1):
+                holders[tuple(row[i:j])] = min(value, holders.get(tuple(row[i:j]), value))
+    expected = []
+    for row, value, start in zip(rows, values, starts.tolist(), strict=True):
+        for i in range(len(row)):
+            most = max((j for j in range(i + 1, len(row) + 1) if holders[tuple(row[i:j])] < value), default=i)
+            if most > i:
+                expected.append((start + i, most - i, holders[tuple(row[i:most])]))
+    assert sorted(zip(*(x.tolist() for x in found), strict=True)) == expected
+
+
+def test_minima():
+    r = np.random.default_rng(3)
     values = r.integers(0, 99, 77)
+    minima = fm_dedup.Minima(values)
     a = r.integers(0, 76, 50)
     b = np.minimum(77, a + 1 + r.integers(0, 40, 50))
-    assert fm_dedup.range_least(values, a, b).tolist() == [values[i:j].min() for i, j in zip(a, b, strict=True)]
+    assert minima.least(a, b).tolist() == [values[i:j].min() for i, j in zip(a, b, strict=True)]
+    values[[0, -1]] = 0
+    minima, bound = fm_dedup.Minima(values), r.integers(1, 99, 50)
+    assert minima.smaller_left(a, bound).tolist() == [max(k for k in range(i + 1) if values[k] < x) for i, x in zip(a, bound, strict=True)]
+    assert minima.smaller_right(a, bound).tolist() == [min(k for k in range(i, 77) if values[k] < x) for i, x in zip(a, bound, strict=True)]

@@ -3,9 +3,13 @@
 Every word goes that is covered by a window of WIDTH words whose sequence also starts in a document with a smaller doc_id; windows are judged on
 the input. Stretches of text that may hold such windows (see repeats) meet in shards. A shard's stretches are indexed: their words are numbered,
 the suffixes sorted, and the transform that puts the word before each suffix in the suffixes' order is held in a wavelet matrix of packed bits
-with block counts; the order itself is not kept, only whose suffix stands where, as a rank of its doc_id. Then the stretches are streamed through
-the index by backward search, the windows of many at a time: matching goes on while the interval of suffixes is not empty, and an interval that
-reaches WIDTH words is reported with the smallest doc_id in it.
+with block counts; the order itself is not kept, only whose suffix stands where, as a rank of its doc_id, and how many words neighbours share.
+
+Then the stretches are streamed through the index from right to left, many at a time. For each place of a stretch this gives its matching
+statistic: the length of the longest string from there that a stretch with a smaller doc_id holds too. Interval and length go on from word to word.
+A word is put before the match by one backward step; where the interval that it leads to is empty, or holds no smaller doc_id, the match loses words at
+its right end until the interval widens, and the step is tried again. Places whose statistic reaches WIDTH are reported with the smallest
+doc_id of their interval.
 
 A null doc_id comes after all others; two null ones are not before each other. Rows with one doc_id do not count against each other. Null and
 empty texts have no words (and keep the digest of an empty string). Words are as in the text, joined by one space when kept. Very long texts are
@@ -65,14 +69,51 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
 
+class Minima:
+    """Minima of ranges of an array, by those of runs of doubling length."""
+
+    def __init__(self, values: np.ndarray):
+        self.tables = [values]
+        while 2 ** len(self.tables) <= len(values):
+            half = 2 ** (len(self.tables) - 1)
+            self.tables.append(np.minimum(self.tables[-1][:-half], self.tables[-1][half:]))
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least value of each non-empty range."""
+        level = np.frexp((hi - lo).astype(float))[1] - 1
+        out = np.empty(len(lo), self.tables[0].dtype)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.tables[k][lo[at]], self.tables[k][hi[at] - 2**k])
+        return out
+
+    def smaller_left(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The last place up to `at` whose value is below the bound; there is one."""
+        for k in range(len(self.tables) - 1, -1, -1):
+            start = at - 2**k + 1
+            at = np.where((start >= 0) & (self.tables[k][np.maximum(start, 0)] >= bound), start - 1, at)
+        return at
+
+    def smaller_right(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The first place from `at` on whose value is below the bound; there is one."""
+        for k in range(len(self.tables) - 1, -1, -1):
+            table = self.tables[k]
+            at = np.where((at < len(table)) & (table[np.minimum(at, len(table) - 1)] >= bound), at + 2**k, at)
+        return at
+
+
 class Index:
-    """The full-text index of a sequence of numbers below `top`: counts of smaller symbols, a wavelet matrix of the transform, and for each place in
-    the order of suffixes the value of the sequence's member that starts it."""
+    """The full-text index of a sequence of numbers below `top`: counts of smaller symbols, a wavelet matrix of the transform, for each place in
+    the order of suffixes the value of the sequence's member that starts it, and how many symbols it shares with the place before.
+
+    The symbol 0 ends the sequence and parts it; nothing that is searched holds it.
+    """
 
     def __init__(self, s: np.ndarray, top: int, values: np.ndarray):
         order = suffix_order(s)
-        self.values = values[order]
         self.size = len(s)
+        self.values = Minima(values[order])
+        self.shared = Minima(shared_starts(s, order))
         transform = s[order - 1]
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=top))])
         self.levels: list[tuple[int, Bits]] = []
@@ -90,42 +131,61 @@ class Index:
             i = np.where(c >> shift & 1 == 1, bits.zeros + ones, i - ones)
         return i
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of the ends of patterns (a row each): the interval of suffixes that begin with the longest matched end, and its
-        length. Rows drop out of the search when their interval empties."""
-        n = len(patterns)
-        lo, hi, length = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
-        on = np.arange(n)
-        for column in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[on, column]
-            # Nothing is before the first symbol of a search: its interval is that of the symbol.
-            whole = column == patterns.shape[1] - 1
-            a = self.smaller[c] if whole else self.begin[c] + self.descend(c, lo[on])
-            b = self.smaller[c + 1] if whole else self.begin[c] + self.descend(c, hi[on])
-            go = a < b
-            on = on[go]
-            lo[on], hi[on] = a[go], b[go]
-            length[on] += 1
-            if not len(on):
-                break
-        return lo, hi, length
-
-
-def range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The least of values[lo:hi] for each non-empty range, by minima of runs of doubling length."""
-    tables = [values]
-    while 2 ** len(tables) <= len(values):
-        half = 2 ** (len(tables) - 1)
-        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
-    level = np.frexp((hi - lo).astype(float))[1] - 1
-    out = np.empty(len(lo), values.dtype)
-    for k, table in enumerate(tables):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(table[lo[at]], table[hi[at] - 2**k])
-    return out
-
-
-#: Windows searched at a time.
+    def extended(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of what was matched with the symbols c before it: one backward step."""
+        begin, both = self.begin[c], self.descend(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return begin + both[: len(c)], begin + both[len(c) :]
+
+    def shortened(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches cut at their right end until their intervals widen, which are shorter than all suffixes: intervals and lengths."""
+        length = np.maximum(self.shared.tables[0][lo], self.shared.tables[0][hi]).astype(np.int64)
+        # What is shared by no neighbour is the empty match.
+        wide = np.maximum(length, 1)
+        left, right = self.shared.smaller_left(lo, wide), self.shared.smaller_right(hi, wide)
+        return np.where(length > 0, left, 0), np.where(length > 0, right, self.size), length
+
+    def statistics(self, s: np.ndarray, start: np.ndarray, end: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the places start to end of s (a row each, streamed side by side from the right): place, length of the longest
+        string from there, within the row, whose interval holds a value under `below`, and the least value in it. Only places with a match are given."""
+        n = len(start)
+        lo, hi, length, least = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        out = []
+        for step in range(int((end - start).max(initial=0))):
+            here = np.flatnonzero(end - 1 - step >= start)
+            going = here
+            while len(going):
+                a, b = self.extended(s[end[going] - 1 - step], lo[going], hi[going])
+                some = np.flatnonzero(a < b)
+                value = self.values.least(a[some], b[some])
+                fits = value < below[going[some]]
+                some, value = some[fits], value[fits]
+                met = going[some]
+                lo[met], hi[met], least[met] = a[some], b[some], value
+                length[met] += 1
+                failed = np.ones(len(going), bool)
+                failed[some] = False
+                going = going[failed]
+                going = going[length[going] > 0]  # nothing is left to cut: no match here, and the next one starts anew
+                lo[going], hi[going], length[going] = self.shortened(lo[going], hi[going])
+            met = here[length[here] > 0]
+            out.append((end[met] - 1 - step, length[met], least[met]))
+        return tuple(np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
+
+
+def shared_starts(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place in the order of suffixes, how many symbols other than 0 its suffix shares with the one before; 0 at the first, and one 0 after
+    the last."""
+    shared = np.zeros(len(s) + 1, np.int32)
+    going, k = np.arange(1, len(s)), 0
+    while len(going):
+        own = s[order[going] + k]
+        going = going[(own == s[order[going - 1] + k]) & (own != 0)]
+        shared[going] += 1
+        k += 1
+    return shared
+
+
+#: Stretches streamed at a time.
 STREAM = 1 << 15
 
 
@@ -150,30 +210,32 @@ def possible(rows: list[list[int]], pdf: pd.DataFrame) -> list[np.ndarray]:
 
 
 def judge(pdf: pd.DataFrame) -> list[bytes]:
-    """For each window of each stretch, eight bytes: the smallest doc_id of the shard's stretches that hold it."""
+    """For each window of each stretch, eight bytes: the smallest doc_id among the stretches whose longest match with the window's start is reported, or
+    else its own. It is below the stretch's own wherever a stretch of the shard with a smaller one holds the window."""
     number: dict[bytes, int] = {}
     rows = [[number.setdefault(w, len(number)) for w in content.split()] for content in pdf["content"]]
-    least = [np.full(windows, first, np.int64) for windows, first in zip(pdf["windows"], pdf["first"], strict=True)]
+    first = pdf["first"].to_numpy(np.int64)
+    marks = [np.full(windows, own, np.int64) for windows, own in zip(pdf["windows"], first, strict=True)]
     asked = possible(rows, pdf)
-    held = [k for k, windows in enumerate(asked) if len(windows)]
-    if held:
+    held = np.array([k for k, windows in enumerate(asked) if len(windows)], np.int64)
+    if len(held):
         sizes = np.array([len(rows[k]) for k in held])
         words = np.array([x for k in held for x in (*rows[k], -1)], np.int64)
         s = np.unique(words, return_inverse=True)[1]  # the end of a stretch is the least symbol
-        ids, rank = np.unique(pdf["first"].to_numpy(np.int64)[held], return_inverse=True)
+        ids, rank = np.unique(first[held], return_inverse=True)
         index = Index(s, int(s.max()) + 1, np.repeat(rank.astype(np.int32), sizes + 1))
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        owner = np.repeat(np.arange(len(held)), [len(asked[k]) for k in held])
-        window = np.concatenate([asked[k] for k in held])
-        places = starts[owner] + window
-        found = np.empty(len(places), np.int64)
-        for at in range(0, len(places), STREAM):
-            lo, hi, _ = index.search(s[places[at : at + STREAM, None] + np.arange(WIDTH)])  # each is found: its own stretch holds it
-            found[at : at + STREAM] = ids[range_least(index.values, lo, hi)]
-        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        for k, at, x in zip(held, np.split(window, cuts), np.split(found, cuts), strict=True):
-            least[k][at] = x
-    return [x.tobytes() for x in least]
+        begin = starts + np.array([asked[k].min() for k in held])
+        end = starts + np.array([asked[k].max() for k in held]) + WIDTH
+        for at in range(0, len(held), STREAM):
+            some = slice(at, at + STREAM)
+            place, length, least = index.statistics(s, begin[some], end[some], rank[some])
+            reached = length >= WIDTH
+            place, least = place[reached], ids[least[reached]]
+            owner = np.searchsorted(starts, place, side="right") - 1
+            for k, window, doc_id in zip(held[owner].tolist(), (place - starts[owner]).tolist(), least.tolist(), strict=True):
+                marks[k][window] = doc_id
+    return [x.tobytes() for x in marks]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
