@@ -1,15 +1,17 @@
 """Secret scans by a trigram inverted index, with DataFrame functions only.
 
 For each rule's regular expression a Boolean trigram query is derived: what every match must contain. Documents are indexed by the trigrams
-that any query names (postings: trigram -> keys of texts that hold it, lower case); a rule's query is answered by intersecting and uniting
+that any query names (postings: trigram -> places of rows whose texts hold it, lower case); a rule's query is answered by intersecting and uniting
 postings, and only candidates are verified by the rule itself. Rules without a mandatory trigram (runs of hexadecimal digits) scan all texts.
 
 Base rules are assign, access and hex: leftmost, not overlapping within a rule, failing matches dropped without a retry. The others are added
 (github, slack, google, jwt, pem). Offsets are code points, ends exclusive.
 
-Nulls and empty texts have no spans. Texts are keyed by a hash of their content; equal texts share postings, and two texts that share a key by
-accident only make a candidate more. Postings are reduced to a row a text before they are shuffled, so no trigram's list is gathered
-in one place. Positions are summed in blocks, so that many matches in one text stay cheap. Other columns are not read.
+Nulls and empty texts have no spans; very long texts are taken whole, repeated rows each by themselves, and an empty table gives an empty result.
+Rows are known by their place (file and number in it), so that equal texts do not meet. Postings are reduced to a row a text before they are
+shuffled, so no trigram's list is gathered in one place. Texts stay where they are but for candidates: a bit table of fixed size leaves out most
+others first, an exact join decides. Positions are summed in blocks, so that many matches in one text stay cheap. Columns of any names go through
+(`found` gives way).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import documents
+from thalweg.llm.common import bit_table, documents, maybe, placed, whole_row, written
 
 
 @dataclass(frozen=True)
@@ -129,15 +131,12 @@ def trigrams(query: Query) -> list[str]:
     return [query] if isinstance(query, str) else sorted({t for q in query[1:] for t in trigrams(q)})
 
 
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
-def postings(docs: DataFrame, names: list[str], text: str = "text") -> DataFrame:
-    """The inverted index over the named trigrams: (trigram's place in names, key of a text that holds it)."""
-    lower = F.lower(F.col(text))
-    held = F.filter(F.array(*(F.when(F.contains(lower, F.lit(t)), F.lit(i)) for i, t in enumerate(names))), lambda i: i.isNotNull())
-    return docs.where(F.col(text).isNotNull()).select(text_hash(F.col(text)).alias("key"), F.explode(held).alias("trigram"))
+def postings(texts: DataFrame, names: list[str]) -> DataFrame:
+    """The inverted index over the named trigrams: (trigram's number in names, file and at of a text that holds it). texts: body, file, at."""
+    lowered = texts.select("file", "at", F.lower("body").alias("body"))
+    none = F.lit(len(names))
+    held = F.array_remove(F.array(*(F.when(F.contains("body", F.lit(t)), F.lit(i)).otherwise(none) for i, t in enumerate(names))), none)
+    return lowered.select("file", "at", F.explode(held).alias("trigram"))
 
 
 def answered(query: Query, place: dict[str, int]) -> Column:
@@ -151,13 +150,14 @@ def answered(query: Query, place: dict[str, int]) -> Column:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], names: list[str]) -> DataFrame:
-    """key and a flag for each rule with a trigram query: postings intersected and united by key."""
+    """__file, __at and a flag __<rule> for each rule with a trigram query, of rows with any: postings intersected and united by place."""
     words = range(-(-len(names) // 62))
     bit = lambda w: F.when(F.floor(F.col("trigram") / 62) == w, F.expr("shiftleft(1L, cast(trigram % 62 AS INT))")).otherwise(F.lit(0).cast("long"))
-    masks = index.groupBy("key").agg(*(F.bit_or(bit(w)).alias(f"m{w}") for w in words))
+    masks = index.groupBy("file", "at").agg(*(F.bit_or(bit(w)).alias(f"m{w}") for w in words))
     place = {t: i for i, t in enumerate(names)}
     flags = {r.name: answered(q, place) for r in rules if (q := trigram_query(r.pattern)) is not True}
-    return masks.select(F.col("key").alias("__key"), *(f.alias(f"__{n}") for n, f in flags.items())).where(reduce(lambda a, b: a | b, [F.col(f"__{n}") for n in flags]))
+    flagged = masks.select(F.col("file").alias("__file"), F.col("at").alias("__at"), *(f.alias(f"__{n}") for n, f in flags.items()))
+    return flagged.where(reduce(lambda a, b: a | b, [F.col(f"__{n}") for n in flags]))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -191,20 +191,25 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with `found`: all spans of the rules, by start, then rule."""
-    queries = {r.name: trigram_query(r.pattern) for r in rules}
-    names = sorted({t for q in queries.values() for t in trigrams(q)})
-    marked = docs.withColumn("__hash", text_hash(F.col(text)))
+    """docs with `found`: all spans of the rules, by start, then rule. docs is read from files, or written first."""
+    asked = {r.name: q for r in rules if (q := trigram_query(r.pattern)) is not True}
+    names = sorted({t for q in asked.values() for t in trigrams(q)})
+    marked = placed(docs, whole_row(docs, "doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     if names:
-        hits = candidates(postings(docs, names, text), rules, names)
-        marked = marked.join(hits, F.col("__hash") == F.col("__key"), "left")
+        hits = written(candidates(postings(marked.select("body", "file", "at"), names), rules, names), "secrets-hits")
+        flagged = maybe(marked, bit_table(hits, "__file", "__at"), "file", "at")
+        flags = [f"__{n}" for n in asked]
+        here = (F.col("file") == F.col("__file")) & (F.col("at") == F.col("__at"))
+        rest = flagged.where("NOT held").select("doc", "body", *(F.lit(False).alias(f) for f in flags))
+        marked = rest.union(flagged.where("held").join(hits, here, "left").select("doc", "body", *(F.coalesce(f, F.lit(False)) for f in flags)))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.col("body")
     each = []
     for order, r in enumerate(rules):
-        possible = F.col(f"__{r.name}") if queries[r.name] is not True else F.lit(True)
+        possible = F.col(f"__{r.name}") if r.name in asked else F.lit(True)
         each.append(F.when(possible & body.rlike(r.pattern), spans(body, r, order)).otherwise(none))
-    return marked.withColumn("found", F.array_sort(F.concat(*each))).select(*docs.columns, "found")
+    others = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != "found"]
+    return marked.select(*others, F.array_sort(F.concat(*each)).alias("found"))
 
 
 def _joined(found: Column) -> Column:
