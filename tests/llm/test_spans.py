@@ -134,3 +134,14 @@ def test_added_secrets(spark):
     df = secrets.scan(spark.createDataFrame([(SAMPLES[10],)], "text string"))
     assert [x["name"] for x in df.first()["found"] if x["name"] != "hex"] == ["github", "slack", "google", "pem"]
     assert not [x for x in df._jdf.queryExecution().toString().split() if "Python" in x or "Arrow" in x]
+
+
+def test_secrets_beside_clashing_columns(spark, tmp_path):
+    """Other columns go through whatever their names; equal texts, null and empty ones each keep their row."""
+    found = [(1, SAMPLES[10], 5), (2, SAMPLES[10], 6), (3, None, 7), (4, "", 8), (5, "a token of thanks", 9)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(found, "at long, text string, body long").selectExpr("*", "at AS file", "at AS `a.b`", "at AS `__text`", "'x' AS found").write.parquet(path)
+    rows = {r["at"]: r for r in secrets.scan(spark.read.parquet(path)).collect()}
+    assert [(k, rows[k]["body"], rows[k]["file"], rows[k]["a.b"], rows[k]["text"]) for k in sorted(rows)] == [(k, n, k, k, t) for k, t, n in found]
+    assert rows[1]["found"] == rows[2]["found"] and len(rows[1]["found"]) > 3
+    assert not any(rows[k]["found"] for k in (3, 4, 5))

@@ -132,10 +132,10 @@ def trigrams(query: Query) -> list[str]:
 
 
 def postings(texts: DataFrame, names: list[str]) -> DataFrame:
-    """The inverted index over the named trigrams: (trigram's number in names, file and at of a text that holds it). texts: body, file, at."""
-    lowered = texts.select("file", "at", F.lower("body").alias("body"))
+    """The inverted index over the named trigrams: (trigram's number in names, file and at of a text that holds it). texts: __text, file, at."""
+    lowered = texts.select("file", "at", F.lower("__text").alias("__text"))
     none = F.lit(len(names))
-    held = F.array_remove(F.array(*(F.when(F.contains("body", F.lit(t)), F.lit(i)).otherwise(none) for i, t in enumerate(names))), none)
+    held = F.array_remove(F.array(*(F.when(F.contains("__text", F.lit(t)), F.lit(i)).otherwise(none) for i, t in enumerate(names))), none)
     return lowered.select("file", "at", F.explode(held).alias("trigram"))
 
 
@@ -194,22 +194,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     """docs with `found`: all spans of the rules, by start, then rule. docs is read from files, or written first."""
     asked = {r.name: q for r in rules if (q := trigram_query(r.pattern)) is not True}
     names = sorted({t for q in asked.values() for t in trigrams(q)})
-    marked = placed(docs, whole_row(docs, "doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    marked = placed(docs, whole_row(docs, "doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     if names:
-        hits = written(candidates(postings(marked.select("body", "file", "at"), names), rules, names), "secrets-hits")
+        hits = written(candidates(postings(marked.select("__text", "file", "at"), names), rules, names), "secrets-hits")
         flagged = maybe(marked, bit_table(hits, "__file", "__at"), "file", "at")
         flags = [f"__{n}" for n in asked]
         here = (F.col("file") == F.col("__file")) & (F.col("at") == F.col("__at"))
-        rest = flagged.where("NOT held").select("doc", "body", *(F.lit(False).alias(f) for f in flags))
-        marked = rest.union(flagged.where("held").join(hits, here, "left").select("doc", "body", *(F.coalesce(f, F.lit(False)) for f in flags)))
+        rest = flagged.where("NOT held").select("doc", "__text", *(F.lit(False).alias(f) for f in flags))
+        marked = rest.union(flagged.where("held").join(hits, here, "left").select("doc", "__text", *(F.coalesce(f, F.lit(False)) for f in flags)))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    body = F.col("body")
+    body = F.col("__text")
     each = []
     for order, r in enumerate(rules):
         possible = F.col(f"__{r.name}") if r.name in asked else F.lit(True)
         each.append(F.when(possible & body.rlike(r.pattern), spans(body, r, order)).otherwise(none))
     others = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != "found"]
-    return marked.select(*others, F.array_sort(F.concat(*each)).alias("found"))
+    # In two steps: beside a field of doc with its name, the text's name would mean that field.
+    return marked.select("doc", F.array_sort(F.concat(*each)).alias("found")).select(*others, "found")
 
 
 def _joined(found: Column) -> Column:
