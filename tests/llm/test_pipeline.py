@@ -31,6 +31,16 @@ def test_quality(spark, docs):
     assert out.columns == df.columns and whole(out) == Counter(map(tuple, stays))
 
 
+def test_quality_takes_one_python_worker_a_task(spark, docs, monkeypatch):
+    """The sums read written statistics: they are no second Python step behind the first one in the same task."""
+    df, sf_dir = docs
+    given, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, labels: given.append(rows) or train(rows, labels))
+    pipeline.accept_quality(spark, df, sf_dir)
+    plans = [rows._jdf.queryExecution().toString() for rows in given]
+    assert len(plans) == 1 and "MapInArrow" not in plans[0] and "MapInArrow" in quality.with_statistics(df)._jdf.queryExecution().toString()
+
+
 def test_near_copies(spark, docs):
     df, sf_dir = docs
     out = pipeline.drop_near_copies(spark, df, sf_dir)

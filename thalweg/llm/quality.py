@@ -164,8 +164,12 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, with their columns as they were."""
-    model = train(with_statistics(docs.select("doc_id", text), text), labels)
+    """The rows of docs that the classifier accepts, with their columns as they were.
+
+    The statistics are written before the sums: where labels are broadcast both would run in one task, each with a Python worker, and workers
+    that are taken in turn never end: later stages would fill twice as many of them.
+    """
+    model = train(written(with_statistics(docs.select("doc_id", text), text), "quality-statistics"), labels)
     at = docs.columns.index(text)
 
     def run(batches):
