@@ -40,6 +40,26 @@ def test_tokens_of_any_text(text):
     assert own.decode(ids).decode() == text
 
 
+def test_frequent_pieces_stay_in_small_caches(monkeypatch):
+    """What is asked for again and again is encoded once, however many others come between; ids are the same with room for hardly anything."""
+    encoded = []
+    plain = bpe.Bpe.encode_piece
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    monkeypatch.setattr(bpe, "PAIRS", 4)
+    monkeypatch.setattr(bpe.Bpe, "encode_piece", lambda self, piece: encoded.append(piece) or plain(self, piece))
+    text = "".join(f" wherer {a}{b}thonre" for a in "abcdefghij" for b in ("nt", "sh", "ûr"))
+    ids = bpe.Bpe(bpe.vocabulary()).encode(text)
+    assert ids == b"".join(x.to_bytes(4, "little") for x in LIBRARY.encode(text, add_special_tokens=False).ids)
+    assert encoded.count(" wherer") == 1 and len(encoded) == 31
+
+
+def test_long_pieces_take_linear_time():
+    """Pieces of one pre-token each, over LONGEST characters, with borders that fall back again and again."""
+    own = bpe.load(bpe.vocabulary())
+    for text in ("thonre" * 5000, "a" * 30001, "=" * 30001, "é" * 9999, "a" * bpe.LONGEST, "ab" * (bpe.LONGEST // 2) + "c"):
+        assert own.encode(text) == b"".join(x.to_bytes(4, "little") for x in LIBRARY.encode(text, add_special_tokens=False).ids)
+
+
 def test_encode_and_decode_columns(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None)], "doc_id long, text string")
     assert ordered(map(tuple, bpe.decode(bpe.encode(df)).select("doc_id", "text").collect())) == [(1, "hello world"), (2, "")]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from functools import cache
 
 import ahocorasick
@@ -24,9 +25,10 @@ from thalweg.llm.common import documents, map_rows
 
 #: The byte-level pre-tokenizer's pattern (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pre-tokens that a task remembers, and the longest remembered, in characters.
-REMEMBERED, LONGEST = 200_000, 48
-PAIRS = 1_000_000
+#: Encoded pre-tokens that a task remembers, the longest remembered, in characters, and the pairs of tokens that it remembers.
+REMEMBERED, LONGEST, PAIRS = 300_000, 48, 200_000
+#: A pair of tokens as one number: the left one's id plus one (0: none) above these bits, the right one's id in them.
+ID_BITS = 24
 
 
 def vocabulary() -> str:
@@ -54,53 +56,48 @@ class Bpe:
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.char_table = dict(enumerate(chars))
-        self.id_of, self.size_of = vocab, {i: len(t) for t, i in vocab.items()}
-        self.text_of = {i: t for t, i in vocab.items()}
-        #: Merge -> its rank; token -> its rank as the product of a merge and its two halves. Single bytes are their own halves.
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made = {i: -1 for i in vocab.values()}
-        self.halves = {i: (i, i) for i in vocab.values()}
+        n = max([*vocab.values(), *added.values()]) + 1
+        raw = [b""] * n
+        for t, i in vocab.items():
+            raw[i] = bytes(self.byte_of[ord(c)] for c in t)
+        #: By id: bytes of a token, the rank of its merge (-1: none), and the two halves of that. Single bytes are their own halves.
+        self.size, self.made = [len(x) for x in raw], [-1] * n
+        self.left, self.right = list(range(n)), list(range(n))
+        self.rank: dict[int, int] = {}
         for r, (a, b) in enumerate(merges):
-            ids, whole = (vocab[a], vocab[b]), vocab[a + b]
-            self.rank[ids] = r
+            left, right, whole = vocab[a], vocab[b], vocab[a + b]
+            self.rank[left << ID_BITS | right] = r
             if self.made[whole] < 0:
-                self.made[whole], self.halves[whole] = r, ids
+                self.made[whole], self.left[whole], self.right[whole] = r, left, right
+        #: Bytes are held as the characters of the same numbers, so that ASCII text is taken as it is.
         self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
+        self.shorter = [-1] * n  # the longest token that is a proper prefix
+        within: list[tuple[str, int]] = []
+        for t, i in sorted((raw[i].decode("latin-1"), i) for i in vocab.values()):
             self.automaton.add_word(t, i)
+            while within and not t.startswith(within[-1][0]):
+                within.pop()
+            if within:
+                self.shorter[i] = within[-1][1]
+            within.append((t, i))
         self.automaton.make_automaton()
-        self.shorter: dict[int, int | None] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.fitting = _Remembered(self._longest_fitting, PAIRS)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
         self.pre = regex.compile(PATTERN)
-        self.cache = _Remembered(self.encode_piece)
+        self.cache = _Pieces(self.encode_piece, REMEMBERED)
         #: Decoding: all tokens' bytes in one array, and where each token's bytes begin.
-        n = max([*vocab.values(), *added.values()]) + 1
-        raw = [b""] * n
-        for t, i in vocab.items():
-            raw[i] = bytes(self.byte_of[ord(c)] for c in t)
         for t, i in added.items():
             raw[i] = t.encode()
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
-    def next_shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of this one."""
-        if token not in self.shorter:
-            t = self.text_of[token]
-            self.shorter[token] = next((self.id_of[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.id_of), None)
-        return self.shorter[token]
-
-    def fits(self, left: int, right: int) -> bool:
-        """Whether merging left's and right's bytes side by side would keep the border between them."""
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) >= PAIRS:
-                self.compatible.clear()
-            known = self.compatible[left, right] = self._border_holds(left, right)
-        return known
+    def _longest_fitting(self, pair: int) -> int:
+        """The longest token that is the right one of a pair or a prefix of it, and whose border with the left one holds; -1 if there is none."""
+        left, token = (pair >> ID_BITS) - 1, pair & (1 << ID_BITS) - 1
+        while left >= 0 and token >= 0 and not self._border_holds(left, token):
+            token = self.shorter[token]
+        return token
 
     def _border_holds(self, a: int, b: int) -> bool:
         # Undo merges from the last to the first on either side of the border. A merge across it between two states of the sides counts if
@@ -108,74 +105,51 @@ class Bpe:
         # the one that replaced the right part (of two equal ranks the left one goes first).
         limit = len(self.rank)
         while True:
-            across = self.rank.get((a, b))
+            across = self.rank.get(a << ID_BITS | b)
             if across is not None and across < limit:
                 return False
             ra, rb = self.made[a], self.made[b]
             if ra < 0 and rb < 0:
                 return True
             if ra > rb:
-                limit, a = ra, self.halves[a][1]
+                limit, a = ra, self.right[a]
             else:
-                limit, b = rb + 1, self.halves[b][0]
+                limit, b = rb + 1, self.left[b]
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one pre-token, as little-endian 32-bit integers."""
-        text = piece.encode("utf-8").decode("latin-1").translate(self.char_table)
-        whole = self.id_of.get(text)
-        n = len(text)
-        longest = [0] * n
-        size = self.size_of
-        at = [0] * n
-        for end, token in self.automaton.iter(text):
-            start = end + 1 - size[token]
-            if size[token] > at[start]:
-                at[start], longest[start] = size[token], token
-        if whole is not None and at[0] == n and self._alone(whole):
-            return np.array([whole], "<u4").tobytes()
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
+        n, size, fitting = len(text), self.size, self.fitting
+        longest = [-1] * n
+        if n > LONGEST:  # all places at once, which takes linear time; short pieces find them as they come to them
+            for end, token in self.automaton.iter(text):
+                start = end + 1 - size[token]
+                if longest[start] < 0 or size[token] > size[longest[start]]:
+                    longest[start] = token
         out: list[int] = []
-        open_ = bytearray(b"\1") * (n + 1)
-        pos, token = 0, longest[0]
-        while True:
-            last = out[-1] if out else None
-            while True:
-                end = pos + size[token]
-                if open_[end] and (last is None or self.fits(last, token)):
-                    out.append(token)
-                    pos = end
-                    if pos == n:
-                        return np.array(out, "<u4").tobytes()
-                    token = longest[pos]
-                    break
-                token = self.next_shorter(token)
-                if token is None:
-                    open_[pos] = 0
+        closed = bytearray(n + 1)
+        pos = before = 0  # before: the last token's part of a pair
+        while pos < n:
+            if longest[pos] < 0:
+                for end, token in self.automaton.iter_long(text, pos):  # the longest match here, the longest one behind it, and so on
+                    start = end + 1 - size[token]
+                    if longest[start] >= 0:
+                        break
+                    longest[start] = token
+            token = fitting[before | longest[pos]]
+            while token < 0 or closed[pos + size[token]]:
+                if token < 0:
+                    closed[pos] = 1
                     token = out.pop()
                     pos -= size[token]
-                    break
-
-    def _alone(self, token: int) -> bool:
-        """Whether a token's own bytes are encoded as that token: its halves, and theirs, must meet."""
-        a, b = self.halves[token]
-        return self.made[token] < 0 or a == b == token or (self._alone_known(a) and self._alone_known(b) and not self._broken(a, b, self.made[token]))
-
-    @cache  # noqa: B019  one instance a process
-    def _alone_known(self, token: int) -> bool:
-        return self._alone(token)
-
-    def _broken(self, a: int, b: int, limit: int) -> bool:
-        """Whether a merge across the border of a and b comes before their own."""
-        while True:
-            ra, rb = self.made[a], self.made[b]
-            if ra < 0 and rb < 0:
-                return False
-            if ra > rb:
-                bound, a = ra, self.halves[a][1]
-            else:
-                bound, b = rb + 1, self.halves[b][0]
-            across = self.rank.get((a, b))
-            if across is not None and across < min(bound, limit):
-                return True
+                    before = (out[-1] + 1) << ID_BITS if out else 0
+                token = self.shorter[token]
+                if token >= 0:
+                    token = fitting[before | token]
+            out.append(token)
+            pos += size[token]
+            before = (token + 1) << ID_BITS
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian 32-bit integers."""
@@ -196,18 +170,28 @@ class Bpe:
 
 
 class _Remembered(dict):
-    """Encoded pre-tokens; emptied when full, so that memory stays bounded."""
+    """What make gives for a key, for up to `room` keys: when half of them are there, they become the older half, and of the older half before
+    them only what is asked for again stays. So memory stays bounded, and what is frequent is kept."""
+
+    def __init__(self, make, room: int):
+        self.make, self.half, self.older = make, room // 2, {}
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
 
-    def __init__(self, encode):
-        self.encode = encode
+
+class _Pieces(_Remembered):
+    """Encoded pre-tokens; long ones are not kept."""
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = out
-        return out
+        return self.make(piece) if len(piece) > LONGEST else super().__missing__(piece)
 
 
 @cache
