@@ -382,10 +382,11 @@ def stream_convolution(spark, d):
 @query(sql(f"SELECT river_id, t, round(q, 6) AS q FROM {_mean_sql('rapid')}", "net", "qlateral"))
 def stream_route(spark, d):
     """Rapid routing over a stream of three files, the flows of each watershed as state."""
-    base, lateral = place(spark, "stream"), views.qlateral(spark, d).select("river_id", "t", "v")
+    base, lateral = place(spark, "stream"), written(views.qlateral(spark, d).select("river_id", "t", "v"), "stream-series")
     third = views.hours(spark, d) // 3
     for k in range(3):
-        lateral.where((F.col("t") >= k * third) & ((F.col("t") < (k + 1) * third) | F.lit(k == 2))).coalesce(1).write.parquet(f"{base}/in/{k}")
+        # A batch is a file. The rows are found by many tasks; only the file is written by one.
+        lateral.where((F.col("t") >= k * third) & ((F.col("t") < (k + 1) * third) | F.lit(k == 2))).repartition(1).write.parquet(f"{base}/in/{k}")
     stream = spark.readStream.schema(lateral.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
     save = lambda df, batch: df.write.parquet(f"{base}/out/{batch}")
     routed(stream, views.net(spark, d), "rapid", HOUR).writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()

@@ -5,7 +5,9 @@ Their values have no hydrologic meaning; they exercise the operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START = "2024-01-01 00:00:00"
@@ -21,10 +23,6 @@ def hours(spark: SparkSession, sf_dir: str) -> int:
     return max(0, (-1 if last is None else int(last)) + 1)
 
 
-def _each_hour(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")))
-
-
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest of three watersheds: river r flows to r div 2; 1, 2 and 3 are outlets."""
     r = (F.col("s_suppkey") + 1).cast("long")
@@ -47,18 +45,47 @@ def _with_time(df: DataFrame) -> DataFrame:
     return df.withColumn("time", F.expr(f"timestampadd(HOUR, t, TIMESTAMP_NTZ'{START}')"))
 
 
+def lateral_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """river_id, v: an array by hour for each river, missing hours 0. Only hours with events are shuffled; whole series are made where their river is."""
+    found = _hourly(spark, sf_dir).groupBy("river_id").agg(_pairs().alias("__pairs"))
+    return net(spark, sf_dir).select("river_id").join(found, "river_id", "left").select("river_id", _dense("__pairs", hours(spark, sf_dir)).alias("v"))
+
+
+def lateral_arrays_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lateral_arrays, for each event type as an ensemble member."""
+    members = table(spark, sf_dir, "events", "event_type").distinct().select(F.col("event_type").alias("member"))
+    found = _hourly(spark, sf_dir, "event_type").repartition("river_id").groupBy("river_id", "event_type").agg(_pairs().alias("pairs"))
+    found = found.groupBy("river_id").agg(F.collect_list(F.struct("event_type", "pairs")).alias("__found"))  # at most a place a member
+    rivers = net(spark, sf_dir).select("river_id").join(found, "river_id", "left").join(F.broadcast(members))  # five rows
+    own = F.get(F.filter("__found", lambda x: x["event_type"] == F.col("member")), F.lit(0))["pairs"]
+    return rivers.select("member", "river_id", own.alias("__pairs")).select("member", "river_id", _dense("__pairs", hours(spark, sf_dir)).alias("v"))
+
+
+def _pairs() -> Column:
+    return F.collect_list(F.struct("t", F.coalesce("v", F.lit(0.0)).alias("v")))
+
+
+def _dense(pairs: str, n: int) -> Column:
+    """An array of n numbers from pairs (t, v), 0 where there is none. Rows stay where they are, and as they are dealt."""
+
+    @F.arrow_udf("array<double>")
+    def dense(t: pa.Array, v: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(t)), t.value_lengths().fill_null(0).to_numpy())
+        out = np.zeros(len(t) * n)
+        out[rows * n + t.flatten().to_numpy()] = v.flatten().to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1) * n, pa.int32()), pa.array(out))
+
+    return dense(F.col(f"{pairs}.t"), F.col(f"{pairs}.v"))
+
+
 def qlateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """river_id, t, time, v: an hourly series for each river, missing hours 0."""
-    base = _each_hour(net(spark, sf_dir).select("river_id"), hours(spark, sf_dir))
-    return _with_time(base.join(_hourly(spark, sf_dir), ["river_id", "t"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))).select("river_id", "t", "time", "v")
+    return _with_time(lateral_arrays(spark, sf_dir).select("river_id", F.posexplode("v").alias("t", "v"))).select("river_id", "t", "time", "v")
 
 
 def qlateral_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As qlateral, for each event type as an ensemble member."""
-    members = table(spark, sf_dir, "events", "event_type").distinct().select(F.col("event_type").alias("member"))
-    base = _each_hour(net(spark, sf_dir).select("river_id"), hours(spark, sf_dir)).join(F.broadcast(members))  # five rows
-    found = _hourly(spark, sf_dir, "event_type").withColumnRenamed("event_type", "member")
-    return _with_time(base.join(found, ["river_id", "t", "member"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))).select("member", "river_id", "t", "time", "v")
+    return _with_time(lateral_arrays_members(spark, sf_dir).select("member", "river_id", F.posexplode("v").alias("t", "v"))).select("member", "river_id", "t", "time", "v")
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
