@@ -109,3 +109,15 @@ def test_blocks_of_members_and_what_stops_them(spark, basins):
             kernels.convolve_blocks(bad, k, block=16).collect()
     with pytest.raises(Exception, match="does not fit"):
         kernels.convolve_blocks(rows, k, spark.createDataFrame([(1, [0.0])], "river_id long, state array<double>")).collect()
+
+
+def test_rows_packed_in_parts_are_whole(spark, monkeypatch):
+    """Rows in any order, in order, and by step, packed a few at a time: the arrays are those of all rows at once. Nulls and repeated steps stay."""
+    rng = np.random.default_rng(8)
+    rows = [(r, m, t, None if t == 3 else float(rng.integers(100))) for r in range(6) for m in ("a", "b", None) for t in range(30)] + [(2, "a", 5, -1.0)]
+    for order in (rng.permutation(len(rows)).tolist(), range(len(rows)), sorted(range(len(rows)), key=lambda i: rows[i][2])):
+        df = spark.createDataFrame([rows[i] for i in order], "river_id long, member string, t int, v double").repartition(3)
+        for pack in (50, 1 << 20):
+            monkeypatch.setattr(kernels, "PACK", pack)
+            got = {(r["river_id"], r["member"]): r["v"] for r in kernels.packed_rows(df, "member").collect()}
+            assert got == {(r["river_id"], r["member"]): r["v"] for r in kernels.packed(df, "t", "v", "v", "river_id", "member").collect()} and len(got) == 18

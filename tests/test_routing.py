@@ -131,3 +131,30 @@ def test_chunks_check_their_series(spark, net, lateral):
             routing.route("rapid", net, bad, T, HOUR, strategy="chunks", chunk=6).collect()
     chunks = routing.route_chunks("rapid", net, lateral, 1, HOUR, T, 6)
     assert chunks.groupBy("first").count().count() == 4 and chunks.where("state IS NOT NULL").count() == net.count()
+
+
+def test_small_pieces_share_tasks(spark):
+    """A comb of 200 rivers, of which no piece may have over 8: its many single rivers come to few bins, and a piece is never cut."""
+    rows = [(1, -1, 0)] + [(r, r - 1 if r <= 20 else r % 20 + 1, 0) for r in range(2, 201)]
+    dist = {1: 0}
+    for r, down, _ in rows[1:]:
+        dist[r] = dist[down] + 1
+    net = spark.createDataFrame([(r, down, dist[r]) for r, down, _ in rows], "river_id long, downstream_river_id long, dist int")
+    found = {r["river_id"]: (r["band"], r["bin"]) for r in routing.dealt(net, 64).collect()}
+    pieces = {r["river_id"]: r["piece"] for r in routing.cut_to_pieces(net, 64).collect()}
+    assert sorted(found) == list(range(1, 201)) and len(set(found.values())) < len(set(pieces.values()))
+    assert len({(p, *found[r]) for r, p in pieces.items()}) == len(set(pieces.values()))
+
+
+@pytest.mark.parametrize("strategy, task_numbers", [("levels", 3 * T), ("auto", 5 * T), ("auto", 10**6)])
+def test_arrays_are_routed_as_rows_are(net, lateral, strategy, task_numbers):
+    """Two members, as arrays and as rows, with the tables kept or not."""
+    rows = lateral.withColumn("member", F.lit("a")).union(lateral.withColumn("v", F.col("v") * 2).withColumn("member", F.lit("b"))).select("river_id", "t", "v", "member")
+    arrays = kernels.packed(rows, "t", "v", "v", "river_id", "member")
+    out = [
+        sorted(routing.route("rapid", net, x, T, HOUR, member="member", strategy=strategy, task_numbers=task_numbers, kept=kept).select("member", "river_id", "discharge", "state", "watershed_id").collect())
+        for x, kept in ((rows, False), (rows, True), (arrays, False))
+    ]
+    assert len(out[0]) == 20 and out[0] == out[1] == out[2]
+    single = routing.route("rapid", net, lateral, T, HOUR, strategy="grouped")
+    assert np.allclose(np.array([r["discharge"] for r in out[0][:10]]), matrix(single), atol=1e-9)

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from thalweg.functions import kernels
 from thalweg.operators import routing
 from thalweg.sources import views
 from thalweg.streaming import routed as streaming
@@ -49,8 +50,8 @@ def test_rows_are_packed_by_river(monkeypatch):
     river, t = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(50), indexing="ij"))
     order = rng.permutation(200)
     rows = pa.table({"river_id": river[order], "t": pa.array(t[order], pa.int32()), "v": (river * 1000.0 + t)[order]})
-    monkeypatch.setattr(streaming, "PACK", 60)
-    out = pa.Table.from_batches(streaming.pack(iter(rows.to_batches(max_chunksize=30)))).to_pylist()
+    monkeypatch.setattr(kernels, "PACK", 60)
+    out = pa.Table.from_batches(kernels.runs(iter(rows.to_batches(max_chunksize=30)), "river_id")).to_pylist()
     assert len(out) == 4 * 4 and all(r["t"] == sorted(r["t"]) for r in out)
     assert sorted((r["river_id"], a, b) for r in out for a, b in zip(r["t"], r["v"], strict=True)) == [(int(r), int(k), r * 1000.0 + k) for r, k in zip(river, t, strict=True)]
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +58,54 @@ def packed(df: DataFrame, order: str, value: str, name: str, *keys: str) -> Data
     return df.groupBy(*(keys or ("river_id",))).agg(F.transform(pairs, lambda p: p[value]).alias(name))
 
 
+#: Rows that a task packs at once.
+PACK = 1 << 21
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, t, v) as arrays by key, in order of t, of `size` (PACK) rows or a little more at a time."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        numbers = [x if pa.types.is_integer(x.type) and not x.null_count else x.dictionary_encode(null_encoding="encode").indices for x in (rows.column(k).chunk(0) for k in keys)]
+        numbers, t = [x.to_numpy(zero_copy_only=False) for x in numbers], rows.column("t").chunk(0).to_numpy(zero_copy_only=False)
+        later, same = np.zeros(len(t) - 1, bool), np.ones(len(t) - 1, bool)
+        for x in (*numbers, t):
+            later, same = later | same & (x[1:] > x[:-1]), same & (x[1:] == x[:-1])
+        if not (later | same).all():
+            order = np.lexsort((t, *reversed(numbers)))
+            rows, numbers = rows.take(pa.array(order)).combine_chunks(), [x[order] for x in numbers]
+        changes = reduce(np.logical_or, [x[1:] != x[:-1] for x in numbers])
+        starts = np.flatnonzero(np.concatenate([[True], changes]))
+        offsets = pa.array(np.append(starts, len(t)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, rows.column(c).chunk(0)) for c in ("t", "v")]
+        return pa.RecordBatch.from_arrays([*(rows.column(k).chunk(0).take(pa.array(starts)) for k in keys), *lists], [*keys, "t", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= (size or PACK):
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def packed_rows(lateral: DataFrame, *keys: str) -> DataFrame:
+    """packed() of long series: river_id, (keys), v from rows with t. Tasks pack what they hold before it is dealt by river, so that only arrays are shuffled."""
+    keys = ("river_id", *keys)
+    rows = lateral.select(*keys, F.col("t").cast("int"), F.col("v").cast("double"))
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    schema = T.StructType([*fields, T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    parts = rows.mapInArrow(lambda batches, size=PACK: runs(batches, *keys, size=size), schema).repartition("river_id")
+    listed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.get("t", F.lit(0)).alias("first"), F.element_at("t", -1).alias("last"), "t", "v"))).alias("__parts"))
+    follows = F.forall(F.sequence(F.lit(1), F.size("__parts") - 1), lambda i: F.get("__parts", i)["first"] > F.get("__parts", i - 1)["last"])
+    each = F.flatten(F.transform("__parts", lambda p: F.arrays_zip(p["t"].alias("t"), p["v"].alias("v"))))
+    mixed = F.transform(F.sort_array(each), lambda p: p["v"])
+    ends = F.when(F.size("__parts") == 1, F.get("__parts", F.lit(0))["v"]).when(follows, F.flatten(F.col("__parts.v"))).otherwise(mixed)
+    return listed.select(*keys, ends.alias("v"))
+
+
 def convolve(lateral: DataFrame, kernels: DataFrame, state: DataFrame | None = None, keys: tuple[str, ...] = ("river_id",)) -> DataFrame:
     """keys, v, state: convolved series and the carry-over for a next call. lateral: keys and v (array); kernels and state: river_id and an array.
 

@@ -19,11 +19,13 @@ from typing import Literal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thalweg.functions.kernels import packed
+from thalweg.functions.kernels import packed, packed_rows
 from thalweg.operators.network import with_roots
 from thalweg.session import spent, written
 
@@ -139,33 +141,68 @@ def with_states(net: DataFrame, state: DataFrame | None, dt_routing: float) -> D
     return base.withColumn("q0", F.coalesce("q", F.lit(0.0)) if state is not None else F.lit(0.0))
 
 
-def prepared(net: DataFrame, lateral: DataFrame | None, state: DataFrame | None, dt_routing: float, member: str | None = None) -> DataFrame:
-    """One row for each river (and member): topology, coefficients, inflow array v and initial flow q0.
+def with_inflow(base: DataFrame, lateral: DataFrame | None, member: str | None = None) -> DataFrame:
+    """base (a row a river) with the inflow array v, a row for each river and member.
 
-    Joined by river_id; a river without a series, or a series without a river, stops the query. lateral: river_id, (member), t, v. A network that
-    knows its roots (network.with_roots) is not searched for them again.
+    Joined by river_id; a river without a series, or a series without a river, stops the query. lateral: river_id, (member), and t, v or arrays v by step.
     """
-    base = with_states(net, state, dt_routing)
     if lateral is None:
         return base.withColumn("v", F.lit(None).cast("array<double>"))
-    keys = ["river_id"] + ([member] if member else [])
-    arrays = packed(lateral, "t", "v", "v", *keys)
-    # A full outer join keeps what does not match, so that it can be told.
-    joined = base.join(arrays.withColumnRenamed("river_id", "__r"), F.col("river_id") == F.col("__r"), "full_outer")
+    arrays = packed_rows(lateral, *([member] if member else [])) if "t" in lateral.columns else lateral
+    # A full outer join keeps what does not match, so that it can be told. Rivers are hashed, and series, which are long, pass by unsorted.
+    joined = arrays.withColumnRenamed("river_id", "__r").join(base.hint("shuffle_hash"), F.col("river_id") == F.col("__r"), "full_outer")
     matched = F.when(F.col("river_id").isNull(), F.raise_error(F.lit("lateral inflow of a river that is not in the network"))).when(F.col("__r").isNull(), F.raise_error(F.lit("a river without lateral inflow"))).otherwise(F.col("river_id"))
     return joined.withColumn("river_id", matched.cast("long")).drop("__r")
 
 
+def prepared(net: DataFrame, lateral: DataFrame | None, state: DataFrame | None, dt_routing: float, member: str | None = None) -> DataFrame:
+    """One row for each river (and member): topology, coefficients, inflow array v and initial flow q0.
+
+    A network that knows its roots (network.with_roots) is not searched for them again.
+    """
+    return with_inflow(with_states(net, state, dt_routing), lateral, member)
+
+
+#: Columns of numbers that a routing task reads, besides those that name its rows.
+OWN = ("river_id", "downstream_river_id", "dist", "fed", "c1", "c2", "c3", "q0")
+
+
+def _series(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The arrays of an Arrow column, as views of its numbers."""
+    out = []
+    for part in column.chunks:
+        numbers, at = part.values.to_numpy(zero_copy_only=False), part.offsets.to_numpy()
+        out += [numbers[i:j] if ok else None for i, j, ok in zip(at[:-1].tolist(), at[1:].tolist(), part.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True)]
+    return out
+
+
+def _frame(table: pa.Table, *more: str) -> pd.DataFrame:
+    return table.select([*OWN, *more]).to_pandas().assign(v=pd.Series(_series(table.column("v")), dtype=object))
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Arrays as an Arrow column, their numbers copied at once."""
+    sizes = np.array([0 if x is None else len(x) for x in arrays], np.int64)
+    numbers = np.concatenate([np.zeros(0), *(x for x in arrays if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(numbers), mask=pa.array([x is None for x in arrays], pa.bool_()))
+
+
+def _solved_table(own: pd.DataFrame, out: pd.DataFrame) -> dict[str, pa.Array]:
+    """Columns of RESULT. own, in order, is what out was solved from."""
+    return {"watershed_id": pa.array(own["watershed_id"], pa.int64()), "river_id": pa.array(out["river_id"], pa.int64()), "discharge": _lists(out["discharge"].to_list()), "state": pa.array(out["state"], pa.float64())}
+
+
 def route_grouped(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n_steps: int, member: str | None = None) -> DataFrame:
     """watershed_id, river_id, (member), discharge (array by step), state: a task for each watershed and member."""
-    keys = ["watershed_id"] + ([member] if member else [])
-    schema = RESULT + (f", {member} string" if member else "")
+    extra = [member] if member else []
+    schema = RESULT + "".join(f", {m} string" for m in extra)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _solved(kind, pdf, substeps, dt_runoff, n_steps)[0].assign(watershed_id=key[0])
-        return out.assign(**{member: key[1]}) if member else out
+    def run(table: pa.Table) -> pa.Table:
+        own = ordered(_frame(table, "watershed_id", *extra))
+        out = _solved(kind, own, substeps, dt_runoff, n_steps)[0]
+        return pa.table(_solved_table(own, out) | {m: pa.array(own[m], pa.string()) for m in extra})
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return rows.groupBy("watershed_id", *extra).applyInArrow(run, schema)
 
 
 def cut_to_pieces(rows: DataFrame, most: int) -> DataFrame:
@@ -192,40 +229,49 @@ def cut_to_pieces(rows: DataFrame, most: int) -> DataFrame:
     return now.select("river_id", "piece", F.floor(F.col("dist") / span).cast("int").alias("band"))
 
 
-def route_pieces(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n_steps: int, member: str | None = None, most: int = 1) -> DataFrame:
-    """The same for watersheds too large for one task: pieces of at most `most` rivers are solved band by band, from the headwaters down, each in a
-    task of its own; only the series of their outlets go on to the next band. Bands are written to the shared folder."""
+#: A task solves pieces of about so many times fewer rivers than it could: small ones together, and a large one alone or with a few.
+SHARE = 8
+
+
+def dealt(rivers: DataFrame, most: int) -> DataFrame:
+    """(river_id, band, bin): pieces of at most `most` rivers, dealt by hash to bins of about most / SHARE rivers of one band, or of one piece."""
+    cut = written(cut_to_pieces(rivers, most), "pieces-cut")
+    bins = cut.groupBy(F.col("band").alias("__b")).agg(F.ceil(F.count(F.lit(1)) * SHARE / most).alias("bins"))
+    return written(cut.join(F.broadcast(bins), F.col("band") == F.col("__b")).select("river_id", "band", F.pmod(F.xxhash64("piece"), "bins").alias("bin")), "pieces-dealt")  # a row a band
+
+
+def route_pieces(kind: Kind, rows: DataFrame, substeps: int, dt_runoff: float, n_steps: int, member: str | None, named: DataFrame) -> DataFrame:
+    """The same for watersheds too large for one task, given with band and bin and written by band: bins of pieces (named: river_id, band, bin) are solved
+    band by band, from the headwaters down, each in a task; only the series of pieces' outlets go on to the next band. Bands are written to the shared
+    folder."""
     extra = [member] if member else []
-    cut = written(cut_to_pieces(rows, most), "pieces-cut")
-    named = cut.select(F.col("river_id").alias("__r"), "piece", "band")
-    rows = written(rows.join(named, F.col("river_id") == F.col("__r")).drop("__r"), "pieces-input", "band")
     given = ["now", "prev"]
-    columns = ["piece", "watershed_id", "river_id", "downstream_river_id", "dist", "fed", "c1", "c2", "c3", "q0", "v", *extra]
+    columns = ["bin", "watershed_id", *OWN, "v", *extra]
     series = {g: F.lit(None).cast("array<double>").alias(g) for g in given}
     schema = f"{RESULT}, downstream_river_id long, now array<double>, prev array<double>" + "".join(f", {m} string" for m in extra)
+    target = named.select(F.col("river_id").alias("__r"), "bin", F.col("band").alias("__band"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        comes = pdf["now"].notna()
+    def run(table: pa.Table) -> pa.Table:
+        comes = table.filter(pc.is_valid(table.column("now")))
         inflow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for river, now, prev in zip(pdf["river_id"][comes], pdf["now"][comes], pdf["prev"][comes], strict=True):
+        for river, now, prev in zip(comes.column("river_id").to_pylist(), *(_series(comes.column(g)) for g in given), strict=True):
             a, b = inflow.get(river, (0.0, 0.0))
             inflow[river] = (a + now, b + prev)
-        own = pdf[~comes].reset_index(drop=True)
+        own = ordered(_frame(table.filter(pc.is_null(table.column("now"))), "watershed_id", *extra))
         out, leaves = _solved(kind, own, substeps, dt_runoff, n_steps, inflow)
         leaves = {r: x for r, *x in leaves}
-        each = [leaves.get(r, (None, None, None)) for r in out["river_id"]]
-        out = out.assign(watershed_id=own["watershed_id"].iloc[0], downstream_river_id=pd.array([x[0] for x in each], "Int64"), now=[x[1] for x in each], prev=[x[2] for x in each])
-        return out.assign(**{m: own[m].iloc[0] for m in extra})
+        to, now, prev = zip(*(leaves.get(r, (None, None, None)) for r in out["river_id"].tolist()), strict=True)
+        found = _solved_table(own, out) | {"downstream_river_id": pa.array(to, pa.int64()), "now": _lists(now), "prev": _lists(prev)}
+        return pa.table(found | {m: pa.array(own[m], pa.string()) for m in extra})
 
-    last = cut.agg(F.max("band")).first()[0]
+    last = named.agg(F.max("band")).first()[0]
     bands, above = [], None
     for band in range(last if last is not None else -1, -1, -1):
         here = rows.where(F.col("band") == band).select(*columns, *series.values())
         if above is not None:
-            target = named.where(F.col("band") == band).select("__r", "piece")
-            comes = above.where("downstream_river_id IS NOT NULL").join(target, F.col("downstream_river_id") == F.col("__r"))
-            here = here.unionByName(comes.select("piece", F.col("__r").alias("river_id"), *given, *extra), allowMissingColumns=True)
-        above = written(here.groupBy("piece", *extra).applyInPandas(run, schema), "pieces-band")
+            comes = above.where("downstream_river_id IS NOT NULL").join(target.where(F.col("__band") == band), F.col("downstream_river_id") == F.col("__r"))
+            here = here.unionByName(comes.select("bin", F.col("__r").alias("river_id"), *given, *extra), allowMissingColumns=True)
+        above = written(here.groupBy("bin", *extra).applyInArrow(run, schema), "pieces-band", *extra)
         bands.append(above.select("watershed_id", "river_id", "discharge", "state", *extra))
     return reduce(DataFrame.unionByName, bands) if bands else route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
 
@@ -357,28 +403,37 @@ def route(
     strategy: Literal["auto", "grouped", "levels", "chunks"] = "auto",
     task_numbers: int = TASK_NUMBERS,
     chunk: int = 24,
+    kept: bool = False,
 ) -> DataFrame:
-    """Discharge arrays and states of all rivers.
+    """Discharge arrays and states of all rivers. lateral: river_id, (member), and t, v or, but for chunks, arrays v by step. kept: as written tables,
+    by member, to be read more than once.
 
     auto: watersheds whose series fit a task are solved whole, the others in pieces that fit. grouped: all whole; levels: all in pieces; chunks: all at
     once in chunks of time.
     """
     if strategy == "chunks" and lateral is not None:
-        return joined_up(route_chunks(kind, net, lateral, substeps, dt_runoff, n_steps, chunk, state, member), *([member] if member else []))
-    rows = prepared(net, lateral, state, dt_runoff / substeps, member)
+        extra = [member] if member else []
+        found = joined_up(route_chunks(kind, net, lateral, substeps, dt_runoff, n_steps, chunk, state, member), *extra)
+        return written(found, "routed", *extra) if kept else found
+    base = written(with_states(net, state, dt_runoff / substeps), "routing-rivers")
     most = max(1, task_numbers // max(1, n_steps * substeps))
+    extra = [member] if member else []
+    whole = lambda rows: route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
+    keep = lambda routed: written(routed, "routed", *extra) if kept else routed
     if strategy == "grouped":
-        return route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
-    rows = written(rows, "routing")
-    if strategy == "levels":
-        return route_pieces(kind, rows, substeps, dt_runoff, n_steps, member, most)
-    sizes = rows.groupBy("watershed_id", *([member] if member else [])).count().groupBy(F.col("watershed_id").alias("__w")).agg(F.max("count").alias("n"))
-    large = written(sizes.where(F.col("n") > most), "routing-large")
+        return keep(whole(with_inflow(base, lateral, member)))
+    sizes = base.groupBy(F.col("watershed_id").alias("__w")).agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where(F.col("n") > (0 if strategy == "levels" else most)).select("__w"), "routing-large")
     if large.isEmpty():
-        return route_grouped(kind, rows, substeps, dt_runoff, n_steps, member)
-    is_large = F.col("watershed_id") == F.col("__w")
-    whole = route_grouped(kind, rows.join(large, is_large, "left_anti"), substeps, dt_runoff, n_steps, member)
-    return whole.unionByName(route_pieces(kind, rows.join(large, is_large, "left_semi"), substeps, dt_runoff, n_steps, member, most))
+        return keep(whole(with_inflow(base, lateral, member)))
+    named = dealt(base.join(large, F.col("watershed_id") == F.col("__w"), "left_semi"), most)
+    places = named.select(F.col("river_id").alias("__p"), "band", "bin")
+    placed = base.join(places, F.col("river_id") == F.col("__p"), "left").drop("__p").withColumn("band", F.coalesce("band", F.lit(-1)))
+    rows = written(with_inflow(placed, lateral, member), "routing", "band")
+    pieces = route_pieces(kind, rows, substeps, dt_runoff, n_steps, member, named)
+    if strategy == "levels":
+        return pieces
+    return keep(whole(rows.where("band = -1"))).unionByName(pieces)
 
 
 def long_series(routed: DataFrame, *keys: str) -> DataFrame:

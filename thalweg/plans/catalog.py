@@ -547,7 +547,7 @@ def sequential_state_carry(spark, d):
 
 
 def _ensemble(spark, d):
-    return routing.route("rapid", views.net(spark, d), views.qlateral_members(spark, d), views.hours(spark, d), HOUR, member="member")
+    return routing.route("rapid", views.net(spark, d), views.lateral_arrays_members(spark, d), views.hours(spark, d), HOUR, member="member")
 
 
 #: All members as one network: their rivers numbered on, member by member.

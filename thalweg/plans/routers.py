@@ -163,7 +163,7 @@ class RapidMuskingum(Muskingum):
         for k, (path, out) in enumerate(zip(inputs, self.cfg.discharge_files, strict=True), 1):
             lateral, dt_runoff, n, first = self.lateral(path)
             steps = self.steps(dt_runoff, n)
-            routed = written(routing.route(self.kind, self.net, self.transform(lateral), n, dt_runoff, steps.substeps, self.state, strategy=self.cfg.strategy), "routed")
+            routed = routing.route(self.kind, self.net, self.transform(lateral), n, dt_runoff, steps.substeps, self.state, strategy=self.cfg.strategy, kept=True)
             self.state = routed.select("river_id", F.col("state").alias("q"))
             self.passed_on(routed, steps, first, out, path)
             self.progress(k, len(inputs), path)
@@ -201,7 +201,7 @@ class RapidMuskingum(Muskingum):
         for dt_runoff, n in dict.fromkeys(x[:2] for x in about):
             steps, own = self.steps(dt_runoff, n), [k for k, x in enumerate(about) if x[:2] == (dt_runoff, n)]
             lateral = self.transform(rows.where(F.col("member").isin([str(k) for k in own])))
-            routed = written(routing.route(self.kind, self.net, lateral, n, dt_runoff, steps.substeps, self.state, member="member", strategy=self.cfg.strategy), "routed", "member")
+            routed = routing.route(self.kind, self.net, lateral, n, dt_runoff, steps.substeps, self.state, member="member", strategy=self.cfg.strategy, kept=True)
             finals.append(routed.select("river_id", F.col("state").alias("q")))
             for k in own:
                 self.passed_on(routed.where(F.col("member") == str(k)), steps, about[k][2], self.cfg.discharge_files[k], self.inputs()[k])

@@ -6,43 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from thalweg.functions.kernels import runs
 from thalweg.operators import routing
 from thalweg.session import written
 
 #: The last step that was routed, and by river, in the order of `routing.ordered`: x after it and what was published with it.
 STATE = "done int, rivers array<bigint>, x array<double>, published array<double>"
-#: Numbers of a stream that a task packs at once, and of a watershed's that are solved and passed on at once.
-PACK, BLOCK = 1 << 21, 1 << 20
-
-
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (river_id, t, v) as arrays by river, in order of t, of PACK rows or a little more at a time: only arrays are shuffled."""
-
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        river, t = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("river_id", "t"))
-        if not ((river[1:] > river[:-1]) | ((river[1:] == river[:-1]) & (t[1:] >= t[:-1]))).all():
-            order = np.lexsort((t, river))
-            river, rows = river[order], rows.take(pa.array(order))
-        starts = np.flatnonzero(np.concatenate([[True], river[1:] != river[:-1]])) if len(river) else np.zeros(0, np.int64)
-        offsets = pa.array(np.append(starts, len(river)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("t", "v")]
-        return pa.RecordBatch.from_arrays([pa.array(river[starts], pa.int64()), *lists], ["river_id", "t", "v"])
-
-    held, n = [], 0
-    for batch in batches:
-        held, n = [*held, batch], n + batch.num_rows
-        if n >= PACK:
-            yield packed(held)
-            held, n = [], 0
-    if n:
-        yield packed(held)
+#: Numbers of a watershed's that are solved and passed on at once.
+BLOCK = 1 << 20
 
 
 def matrix(key: int, rivers: np.ndarray, river: np.ndarray, t: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +77,6 @@ def routed(stream: DataFrame, net: DataFrame, kind: routing.Kind, dt_runoff: int
             yield pd.DataFrame({"river_id": out["river_id"], "first": np.int32(steps[at]), "q": out["discharge"]})
         held.update((int(steps[-1]), rivers.tolist(), ends.tolist(), last.tolist()))
 
-    rows = stream.select("river_id", "t", "v").mapInArrow(pack, "river_id long, t array<int>, v array<double>").join(base, "river_id")
+    rows = stream.select("river_id", "t", "v").mapInArrow(lambda batches: runs(batches, "river_id"), "river_id long, t array<int>, v array<double>").join(base, "river_id")
     found = rows.groupBy("watershed_id").applyInPandasWithState(run, "river_id long, first int, q array<double>", STATE, "append", GroupStateTimeout.NoTimeout)
     return found.select("river_id", F.posexplode("q").alias("p", "q"), "first").select("river_id", (F.col("first") + F.col("p")).alias("t"), "q")
