@@ -59,7 +59,7 @@ def packed(df: DataFrame, order: str, value: str, name: str, *keys: str) -> Data
 
 
 #: Rows that a task packs at once.
-PACK = 1 << 21
+PACK = 1 << 19
 
 
 def runs(batches: Iterator[pa.RecordBatch], *keys: str, size: int | None = None) -> Iterator[pa.RecordBatch]:

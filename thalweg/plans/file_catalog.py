@@ -323,9 +323,9 @@ def routed_in_sequence(spark, d):
 @query(sql(f"SELECT CAST(river_id AS BIGINT) AS river_id, round(avg(full_), 6) AS q FROM {_MEMBERS} WHERE s = {H} - 1 GROUP BY 1", "net_members", "lateral_members"))
 def routed_ensemble(spark, d):
     """A file for each member, all from one state and routed at once; the final state is their mean."""
-    base, q = place(spark, "ensemble"), views.qlateral_members(spark, d)
+    base, q = place(spark, "ensemble"), written(views.lateral_arrays_members(spark, d), "members", "member")
     members = sorted(r["member"] for r in q.select("member").distinct().collect())  # five event types
-    inputs = [series_file(q.where(F.col("member") == m), f"{base}/in/{k}") for k, m in enumerate(members)]
+    inputs = [series_file(views.by_hour(q.where(F.col("member") == m)), f"{base}/in/{k}") for k, m in enumerate(members)]
     outputs = [f"{base}/out/{k}" for k in range(len(members))]
     RapidMuskingum(spark, params_file=params_of(spark, d), qlateral_files=inputs, discharge_files=outputs, runoff_processing_mode="ensemble", channel_state_final_file=f"{base}/state", log=False).route()
     return io.read_state(spark, f"{base}/state", views.net(spark, d)).select("river_id", r6("q", "q"))

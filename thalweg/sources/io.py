@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from thalweg import __version__
 from thalweg.operators.weights import WEIGHT_COLUMNS, numbered
+from thalweg.session import written
 from thalweg.sources import netcdf, positional
 
 
@@ -68,9 +69,7 @@ def read_series(spark: SparkSession, paths: list[str], value: str, time: str = "
     tables, cubes = [p for p in paths if not netcdf.is_netcdf(p)], [p for p in paths if netcdf.is_netcdf(p)]
     found = []
     if tables:
-        # What Spark tells of a file is percent-encoded, and schemes are written in several ways (file:/x, file:///x): both are undone.
-        plain = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^[^/]*:/*", "/").alias("__file")
-        df = spark.read.parquet(*tables).select(plain, F.col(river_id).cast("long").alias("river_id"), F.col(time).alias("time"), F.col(value).cast("double").alias("v"))
+        df = spark.read.parquet(*tables).select(F.col("_metadata.file_path").alias("__file"), F.col(river_id).cast("long").alias("river_id"), F.col(time).alias("time"), F.col(value).cast("double").alias("v"))
         found.append(_with_source(df, tables))
     if cubes:
         df = netcdf.read(spark, cubes, f"`{river_id}` long, `{time}` timestamp_ntz, `{value}` double, source string")
@@ -79,20 +78,26 @@ def read_series(spark: SparkSession, paths: list[str], value: str, time: str = "
 
 
 def _with_source(df: DataFrame, paths: list[str]) -> DataFrame:
-    """df with source: the path that its file is, or that the file's folder is below."""
+    """df with source: the path that its file (__file) is, or that the file's folder is below. Files are looked up, so that no row asks for more than a name."""
     if len(paths) == 1:
         return df.withColumn("source", F.lit(paths[0])).drop("__file")
+    files = written(df.select("__file").distinct(), "files")  # a row a file
+    found = files.select(F.col("__file").alias("__named"), _source(paths).alias("source"))
+    return df.join(F.broadcast(found), F.col("__file") == F.col("__named"), "left").drop("__file", "__named")
+
+
+def _source(paths: list[str]) -> Column:
+    """Which of the paths a file (__file) is of."""
+    # What Spark tells of a file is percent-encoded, and schemes are written in several ways (file:/x, file:///x): both are undone.
+    plain = F.regexp_replace(F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B"))), "^[^/]*:/*", "/")
     own = {re.sub(r"^[^/]*:/*", "/", p).rstrip("/"): p for p in paths}
-    named = df.sparkSession.createDataFrame(list(own.items()), "__own string, source string")
+    known = F.create_map(*(F.lit(x) for pair in own.items() for x in pair))
     # A path is the beginning of its files' at as many steps as it has: one look-up for each number of steps among the paths.
     steps = sorted({k.count("/") for k in own}, reverse=True)
-    cut = F.array(*(F.substring_index("__file", "/", n + 1) for n in steps))
-    held = F.broadcast(named.agg(F.map_from_entries(F.collect_list(F.struct("__own", "source"))).alias("__known")))  # a row, of the paths given
     # Paths may also be relative: then they are the end of a file's folder.
-    near = F.filter(F.map_entries("__known"), lambda e: F.contains(F.col("__file"), F.concat(F.lit("/"), e["key"], F.lit("/"))) | F.endswith(F.col("__file"), F.concat(F.lit("/"), e["key"])))
-    whole = F.filter(F.transform(cut, lambda c: F.try_element_at("__known", c)), lambda x: x.isNotNull())
-    source = F.coalesce(F.get(whole, F.lit(0)), F.get(near, F.lit(0))["value"])
-    return df.crossJoin(held).withColumn("source", source).drop("__file", "__known")
+    near = F.filter(F.map_entries(known), lambda e: F.contains(plain, F.concat(F.lit("/"), e["key"], F.lit("/"))) | F.endswith(plain, F.concat(F.lit("/"), e["key"])))
+    whole = F.filter(F.array(*(F.try_element_at(known, F.substring_index(plain, "/", n + 1)) for n in steps)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(whole, F.lit(0)), F.get(near, F.lit(0))["value"])
 
 
 def read_grid(spark: SparkSession, paths: list[str], runoff: str = "ro", x: str = "x_index", y: str = "y_index", time: str = "time") -> DataFrame:

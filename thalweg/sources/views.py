@@ -78,14 +78,19 @@ def _dense(pairs: str, n: int) -> Column:
     return dense(F.col(f"{pairs}.t"), F.col(f"{pairs}.v"))
 
 
+def by_hour(arrays: DataFrame) -> DataFrame:
+    """A row for each number of arrays by hour: t, time, v."""
+    return _with_time(arrays.select(*(c for c in arrays.columns if c != "v"), F.posexplode("v").alias("t", "v")))
+
+
 def qlateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """river_id, t, time, v: an hourly series for each river, missing hours 0."""
-    return _with_time(lateral_arrays(spark, sf_dir).select("river_id", F.posexplode("v").alias("t", "v"))).select("river_id", "t", "time", "v")
+    return by_hour(lateral_arrays(spark, sf_dir)).select("river_id", "t", "time", "v")
 
 
 def qlateral_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As qlateral, for each event type as an ensemble member."""
-    return _with_time(lateral_arrays_members(spark, sf_dir).select("member", "river_id", F.posexplode("v").alias("t", "v"))).select("member", "river_id", "t", "time", "v")
+    return by_hour(lateral_arrays_members(spark, sf_dir)).select("member", "river_id", "t", "time", "v")
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
