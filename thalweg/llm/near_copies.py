@@ -44,7 +44,8 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 def prefix(s: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     """The shingles of which similar sets share one, rare ones first. common is sorted."""
-    last = np.isin(s, common)
+    # Looked up: the set's size counts, not that of common, which grows with the table up to MOST.
+    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
     return np.concatenate([s[~last], s[last]])[: len(s) - ceil(similarity * len(s) - 1e-9) + 1]
 
 
