@@ -124,3 +124,36 @@ def test_a_router_over_files_without_ids(spark, net, tmp_path):
     spark.read.parquet(path).orderBy(F.desc("river_id")).coalesce(1).write.parquet(str(tmp_path / "unordered"))
     with pytest.raises(ValueError, match="not before its downstream"):
         RapidMuskingum(spark, params_file=str(tmp_path / "unordered"), params_in_order=True, qlateral_files=str(tmp_path / "q.parquet"), discharge_files=[str(tmp_path / "no")], log=False).route()
+
+
+def test_small_archives_share_tasks(spark, tmp_path):
+    """Archives of a river each, one of them without entries: their headers are read by tasks, and there are not as many tasks as archives."""
+    n = 40
+    spark.createDataFrame([(100 + k, -1, 3600.0, 0.2) for k in range(n)], "river_id long, downstream_river_id long, k double, x double").coalesce(1).write.parquet(str(tmp_path / "net"))
+    own = io.read_params(spark, str(tmp_path / "net"), position=True)
+    (tmp_path / "k").mkdir()
+    for k in range(n):
+        saved(tmp_path / f"k/{k:03d}.npz", np.array([[float(k)], [0.0], [k + 0.5 if k != 7 else 0.0]]) * (k != 7), "csc")
+    about = positional.headers(spark, positional.npz_files(str(tmp_path / "k")))
+    assert about.rdd.getNumPartitions() == 1 and [(r["k"], r["rivers"], r["entries"]) for r in about.orderBy("k").collect()] == [(k, 1, 0 if k == 7 else 1 if k == 0 else 2) for k in range(n)]
+    got = {r["river_id"]: r["kernel"] for r in io.read_kernel(spark, str(tmp_path / "k"), own).collect()}
+    assert got == {100 + k: [float(k), 0.0, k + 0.5] if k != 7 else [0.0] * 3 for k in range(n)}
+
+
+def test_kernels_are_not_broadcast(spark, net, tmp_path, monkeypatch):
+    """Neither written nor read kernels pass through the driver, however small Spark takes them for; kernels are made by all cores."""
+    from thalweg.functions import kernels
+
+    path, ids = net
+    own = io.read_params(spark, path, position=True)
+    made = kernels.kernel(spark.createDataFrame([(r, 3600.0, 1e6) for r in ids], "river_id long, tc double, area double"), 3600)
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    shown, collect = [], type(own).collect
+    plan = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    monkeypatch.setattr(type(own), "collect", lambda df: (shown.append(plan(df)), collect(df))[1])
+    small = spark.createDataFrame([(r, 3600.0, 1e6) for r in ids], "river_id long, tc double, area double")
+    small.write.parquet(str(tmp_path / "basins"))
+    positional.write_kernels(kernels.kernel(spark.read.parquet(str(tmp_path / "basins")), 3600), own, str(tmp_path / "k"), 2)
+    shown.append(plan(io.read_kernel(spark, str(tmp_path / "k"), own)))
+    merged = [p for p in shown if "SortMergeJoin" in p]
+    assert len(merged) == 2

@@ -48,7 +48,9 @@ def kernel(basins: DataFrame, tr: float, shape: str = "curvilinear") -> DataFram
     longest = basins.agg(F.max(tp)).first()[0]
     steps = math.ceil(last * longest / tr) if longest is not None else 0
     volume = lambda i: cumulative(F.least(i * tr, F.lit(last) * F.col("tp")) / F.col("tp"), table)
-    df = basins.select("river_id", "area", tp.alias("tp")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(max(0, steps - 1)))))
+    # Few rows become many: they are dealt to all cores first.
+    dealt = basins.select("river_id", "area", tp.alias("tp")).repartition(basins.sparkSession.sparkContext.defaultParallelism, "river_id")
+    df = dealt.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(max(0, steps - 1)))))
     return df.select("river_id", "step", ((volume(F.col("step") + 1) - volume(F.col("step"))) * F.col("area") / total / tr).alias("u"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from thalweg.session import written
 from thalweg.sources.netcdf import located
 
 #: Entries of a matrix that one task reads, and numbers that it holds of an array at a time.
@@ -152,20 +153,40 @@ class Archive:
             done += len(values)
 
 
+#: Archives whose headers one task reads.
+HEADERS = 64
+
+
+def headers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """k (a file's number), path, layout, steps, rivers, entries of archives, from their headers."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for path in pdf["path"]:
+                with Archive(path) as a:
+                    found.append(a.about())
+            yield pdf.assign(**{c: [x[i] for x in found] for i, c in enumerate(("layout", "steps", "rivers", "entries"))})
+
+    named = spark.createDataFrame(list(enumerate(files)), "k long, path string").repartition(math.ceil(len(files) / HEADERS))
+    return named.mapInPandas(read, "k long, path string, layout string, steps long, rivers long, entries long")
+
+
 def kernels(spark: SparkSession, files: list[str], net: DataFrame) -> DataFrame:
     """river_id, kernel of sparse archives. net: river_id, position. Entries of one place are summed; places without an entry are 0."""
     if "position" not in net.columns:
         raise ValueError("a kernel without river ids needs the network's positions")
-    blocks, first, lengths = [], 0, set()
-    for path in files:  # headers only
-        with Archive(path) as a:
-            layout, steps, rivers, n = a.about()
-        blocks += [(path, layout, first, low, min(n, low + ENTRIES)) for low in range(0, n, ENTRIES)]
-        first, lengths = first + rivers, lengths | {steps}
-    if len(lengths) != 1:
-        raise ValueError(f"kernels of one length are needed, not of {sorted(lengths)} steps")
-    if first != net.count():
-        raise ValueError(f"kernels of {first} rivers do not fit a network of {net.count()}")
+    about = written(headers(spark, files), "kernel-files")
+    steps, longest, rivers, n = about.agg(F.min("steps"), F.max("steps"), F.sum("rivers"), F.sum("entries")).first()
+    if steps != longest:
+        raise ValueError(f"kernels of one length are needed, not of {steps} to {longest} steps")
+    if rivers != net.count():
+        raise ValueError(f"kernels of {rivers} rivers do not fit a network of {net.count()}")
+    before = F.sum("rivers").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1))  # a row a file
+    ranges = about.where("entries > 0").withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("entries") - 1, F.lit(ENTRIES).cast("long"))))
+    first = about.select(F.col("k").alias("__k"), F.coalesce(before, F.lit(0)).alias("start"))
+    blocks = ranges.join(first, F.col("k") == F.col("__k")).select("path", "layout", "start", "low", F.least("entries", F.col("low") + ENTRIES).alias("high"))
+    tasks = max(1, math.ceil(n / ENTRIES), min(len(files), spark.sparkContext.defaultParallelism))  # small archives share one
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,15 +195,13 @@ def kernels(spark: SparkSession, files: list[str], net: DataFrame) -> DataFrame:
                     for step, river, u in a.entries(layout, low, high):
                         yield pd.DataFrame({"position": river.astype(np.int64) + start, "step": step.astype(np.int32), "u": u.astype(float)})
 
-    listed = spark.createDataFrame(blocks, "path string, layout string, start long, low long, high long").repartition(max(1, len(blocks)))
-    found = listed.mapInPandas(read, "position long, step int, u double").repartition("position").groupBy("position", "step").agg(F.sum("u").alias("u"))
+    found = blocks.repartition(tasks, "path", "low").mapInPandas(read, "position long, step int, u double").repartition("position").groupBy("position", "step").agg(F.sum("u").alias("u"))
     sparse = found.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("step", "u"))).alias("k"))
-    steps = next(iter(lengths))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     gap = lambda p, i: p["step"] - F.coalesce(F.get("k", i - 1)["step"], F.lit(-1)) - 1
     filled = F.flatten(F.transform("k", lambda p, i: F.concat(zeros(gap(p, i)), F.array(p["u"]))))
     dense = sparse.select(F.col("position").alias("__p"), F.concat(filled, zeros(F.lit(steps - 1) - F.element_at("k", -1)["step"])).alias("kernel"))
-    return net.select("river_id", "position").join(dense, F.col("position") == F.col("__p"), "left").select("river_id", F.coalesce("kernel", zeros(F.lit(steps))).alias("kernel"))
+    return net.select("river_id", "position").join(dense.hint("merge"), F.col("position") == F.col("__p"), "left").select("river_id", F.coalesce("kernel", zeros(F.lit(steps))).alias("kernel"))
 
 
 def write_kernels(kernel: DataFrame, net: DataFrame, folder: str, rivers: int = 100_000) -> list[str]:
@@ -193,7 +212,8 @@ def write_kernels(kernel: DataFrame, net: DataFrame, folder: str, rivers: int =
     steps, n = (kernel.agg(F.max("step")).first()[0] or 0) + 1, net.count()
     system, at = located(folder)
     system.create_dir(at, recursive=True)
-    own = net.select("river_id", "position").join(kernel.where("u <> 0").select("river_id", "step", "u"), "river_id", "left")
+    # Spark takes the steps of kernels for few, as they come from few rivers, and would broadcast them all.
+    own = net.select("river_id", "position").join(kernel.where("u <> 0").select("river_id", "step", "u").hint("merge"), "river_id", "left")
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         low = int(key[0]) * rivers
